@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import byte_bpe, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +20,18 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_digest(table(spark, folder, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.encode_digest(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {}
