@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_rules, token_counts
+from . import byte_bpe, pii, quality_rules, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, folder, "pages"))
+
+
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.spans_digest(table(spark, folder, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_digest(table(spark, folder, "documents"))
 
@@ -29,6 +37,8 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_token_counts": op10_token_counts,
