@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,9 @@ from .common import map_batches, text_of
 
 #: Odd multipliers of the slot hash.
 STEP, MIX, MASK = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xFFFFFFFFFFFFFFFF
-#: Pieces whose ids a task remembers before it starts afresh.
-MEMO = 300_000
-#: White space that may take part in a match of several characters: such texts are split by the pattern as a whole.
-ODD_SPACE = regex.compile(r"[\s\x1c-\x1f]{2}|[^\S \n]|[\x1c-\x1f]|^\s|\s$")
+#: Pieces whose ids a task remembers, and the characters of those that are too long to remember.
+MEMO, LONG_PIECE = 600_000, 64
+PACK = struct.Struct("<I").pack
 
 
 class PerfectHash:
@@ -82,12 +82,30 @@ class PerfectHash:
         return self.ranks[slot] if self.keys[slot] == token else -1
 
 
+class Memo(dict):
+    """Remembers about `MEMO` values: what was not asked for since the last turn is forgotten at the next."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def recall(self, key):
+        """A value of the last turn, taken into this one, or None."""
+        if (value := self.old.get(key)) is not None:
+            self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > MEMO // 2:
+            self.old = dict(self)
+            self.clear()
+
+
 class ByteBPE:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.hash = PerfectHash(ranks)
-        self.pairs = {k: r for k, r in ranks.items() if len(k) == 2}
         self.bytes = [ranks[bytes([i])] for i in range(256)]
         self.tokens = {r: k for k, r in ranks.items()}
         self.pattern = pattern
@@ -98,57 +116,67 @@ class ByteBPE:
             return cls({base64.b64decode(k): int(r) for k, r in (line.split() for line in f if line.strip())}, pattern)
 
     def start(self) -> None:
-        """Make what only a task needs."""
-        self.split, self.memo = regex.compile(self.pattern).findall, {}
+        """Make what only a task needs: the merges, from two ids to the id of both together, and the memo."""
+        self.split, self.memo = regex.compile(self.pattern).findall, Memo()
+        ids = {k: r for r, k in self.tokens.items()}
+        self.merges = {}
+        for token, rank in ids.items():
+            for i in range(1, len(token)):
+                left, right = ids.get(token[:i]), ids.get(token[i:])
+                if left is not None and right is not None:
+                    self.merges[left << 32 | right] = rank
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo", "merges")}
 
     def merge(self, token: bytes) -> list[int]:
-        """Ids of a pre-token that the vocabulary lacks: the lowest-ranked pair merges first, the leftmost of equals."""
-        n, rank_of = len(token), self.hash.get
-        if n == 1:
-            return [self.bytes[token[0]]]
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part is token[i:end[i]]; the next begins at end[i]
-        known = [self.pairs.get(token[i : i + 2], -1) for i in range(n - 1)]
-        known.append(-1)
-        heap = [(r, i) for i, r in enumerate(known) if r >= 0]
+        """Ids of a pre-token that the vocabulary lacks: the lowest-ranked pair merges first, the leftmost of equals.
+
+        The parts are linked by the places where they begin; the heap holds rank and place of each pair in one number.
+        """
+        n, merged, own = len(token), self.merges.get, self.bytes
+        ids = [own[b] for b in token]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [merged(x << 32 | y, -1) for x, y in zip(ids, ids[1:])]
+        rank.append(-1)
+        heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
         heapq.heapify(heap)
-        alive = bytearray(b"\x01") * n
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or known[i] != r:
+            r, i = divmod(pop(heap), n)
+            if rank[i] != r:
                 continue
-            j = end[i]
-            alive[j], end[i] = 0, end[j]
-            if (k := end[i]) < n:
+            ids[i] = r
+            j = after[i]
+            rank[j], ids[j] = -1, -1
+            k = after[i] = after[j]
+            if k < n:
                 before[k] = i
-                if (r := rank_of(token[i : end[k]])) >= 0:
-                    heapq.heappush(heap, (r, i))
-                known[i] = r
+                rank[i] = r = merged(ids[i] << 32 | ids[k], -1)
+                if r >= 0:
+                    push(heap, r * n + i)
             else:
-                known[i] = -1
+                rank[i] = -1
             if (p := before[i]) >= 0:
-                if (r := rank_of(token[p : end[i]])) >= 0:
-                    heapq.heappush(heap, (r, p))
-                known[p] = r
-        out, i = [], 0
-        while i < n:
-            j = end[i]
-            out.append(self.bytes[token[i]] if j == i + 1 else rank_of(token[i:j]))
-            i = j
-        return out
+                rank[p] = r = merged(ids[p] << 32 | ids[i], -1)
+                if r >= 0:
+                    push(heap, r * n + p)
+        return [x for x in ids if x >= 0]
 
     def packed(self, piece: str) -> bytes:
         """Ids of the matches of the pattern in `piece`, as little-endian 32-bit integers."""
-        out: list[int] = []
-        for pre in self.split(piece):
-            token = pre.encode()
-            if (r := self.hash.get(token)) >= 0:
-                out.append(r)
-            else:
-                out += self.merge(token)
-        return np.array(out, dtype="<u4").tobytes()
+        out, memo = [], self.memo
+        found = self.split(piece)
+        for pre in found:
+            ids = memo.get(pre) if len(found) > 1 else None
+            if ids is None:
+                token = pre.encode()
+                r = self.hash.get(token)
+                ids = PACK(r) if r >= 0 else np.array(self.merge(token), "<u4").tobytes()
+                if len(found) > 1 and len(pre) < LONG_PIECE:
+                    memo[pre] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text.
@@ -157,9 +185,8 @@ class ByteBPE:
         together with what stands before it, so pieces cut there are encoded apart and remembered.
         """
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        if ODD_SPACE.search(text):
+        memo.turn()
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # white space of several or other characters
             pieces = self.split(text)
         else:
             first, *rest = text.split(" ")
@@ -175,9 +202,9 @@ class ByteBPE:
                     pieces.append(piece)
         out = []
         for piece in pieces:
-            if (ids := memo.get(piece)) is None:
+            if (ids := memo.get(piece)) is None and (ids := memo.recall(piece)) is None:
                 ids = self.packed(piece)
-                if len(piece) < 200:
+                if len(piece) < LONG_PIECE:
                     memo[piece] = ids
             out.append(ids)
         return b"".join(out)
