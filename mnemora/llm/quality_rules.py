@@ -29,6 +29,8 @@ SOFT_RULES = {
 HOST_LIMIT = 0.5
 #: A document that fails so many rules goes whatever its host.
 RULE_LIMIT = 2
+#: Hosts whose rates are broadcast at most (under 10 MB).
+BROADCAST_HOSTS = 100_000
 #: Bounds of the prior's weight, in documents.
 PRIOR_MIN, PRIOR_MAX = 1.0, 1000.0
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -108,9 +110,11 @@ def host_rates(judged: DataFrame) -> DataFrame:
     return out.select("host", *rates)
 
 
-def quality_verdicts(df: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
+def quality_verdicts(df: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, only_kept: bool = False) -> DataFrame:
     """The columns `keep` (default: all), then `measures`, `base_failed`, `failed_rules` and `kept`.
 
+    With `only_kept` the rows that are kept, and only the columns `keep`.
+
     The measures are written once to the shared folder, since they serve both the sums by host and the verdicts.
     """
     keep = df.columns if keep is None else keep
@@ -120,23 +124,22 @@ def quality_verdicts(df: DataFrame, text: str = "text", host: str = "source", ke
     flat = base.select("*", *(F.col(f"measures.{k}").alias(k) for k in MEASURES))
     judged = flat.select(*own, "host", "measures", (f := F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")).alias("base_failed"), *(F.expr(c).alias(f"f_{r}") for r, c in SOFT_RULES.items()))
     rates = host_rates(judged)
+    # one row a host: taken to the rows where it is small, else both are dealt by host and skewed hosts are split
+    rates = F.broadcast(rates) if judged.select("host").distinct().count() <= BROADCAST_HOSTS else rates
     both = judged.join(rates, "host", "left")
     failed = F.array_compact(F.array(*(F.when(F.col(f"f_{r}"), F.lit(r)) for r in SOFT_RULES)))
     refused = F.lit(False)
     for r in SOFT_RULES:
         refused = refused | (F.col(f"f_{r}") & (F.col(f"r_{r}") > HOST_LIMIT))
-    return both.select(
-        *(F.col(o).alias(c) for o, c in zip(own, keep)),
-        "measures",
-        "base_failed",
-        failed.alias("failed_rules"),
-        (~F.col("base_failed") & ~refused & (F.size(failed) < RULE_LIMIT)).alias("kept"),
-    )
+    verdict = ~F.col("base_failed") & ~refused & (F.size(failed) < RULE_LIMIT)
+    if only_kept:
+        return both.filter(verdict).select(*(F.col(o).alias(c) for o, c in zip(own, keep)))
+    return both.select(*(F.col(o).alias(c) for o, c in zip(own, keep)), "measures", "base_failed", failed.alias("failed_rules"), verdict.alias("kept"))
 
 
 def quality_filter(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of `df` that the rules keep, with its columns."""
-    return quality_verdicts(df, text, host).filter("kept").select(*(F.col(f"`{c}`") for c in df.columns))
+    return quality_verdicts(df, text, host, only_kept=True)
 
 
 def quality_digest(df: DataFrame) -> DataFrame:
