@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, license_scan, ngram_join, pii, quality_rules, token_counts, warc
+from . import byte_bpe, chat_format, decontaminate, html_extract, license_scan, ngram_join, pii, quality_rules, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_format.chat_digest(table(spark, folder, "conversations"))
+
+
+def op2_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, folder, "pages"))
 
@@ -49,6 +57,8 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_html_extract": op2_html_extract,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_ngram_join": op5_ngram_join,
