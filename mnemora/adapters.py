@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,64 +13,87 @@ from .schemas import CATEGORIES
 AS_OF = "2024-02-15 00:00:00"
 
 
-@dataclass(frozen=True)
-class Memory:
-    """The tables of the model; any DataFrames with their columns will do."""
-
-    conversations: DataFrame
-    messages: DataFrame
-    chunks: DataFrame
-    embeddings: DataFrame
-    entities: DataFrame
-    relationships: DataFrame
-    mentions: DataFrame
-    reflections: DataFrame
-    ingestion_log: DataFrame
-
-
 def stamp(minutes: str) -> str:
     return f"TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST({minutes} AS INT), 0)"
 
 
-def memory(spark: SparkSession, folder: str) -> Memory:
-    """Lazy DataFrames over the Parquet tables in `folder`; only what a query touches is read."""
-    read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
-    messages = read("conversations").selectExpr(
-        "conv_id * 1000 + turn AS id", "conv_id AS conversation_id", "role", "text AS content",
-        "CASE WHEN turn % 3 = 2 THEN concat('tool', CAST(conv_id % 5 AS STRING)) END AS tool_name",
-        "CAST((conv_id * 37 + turn * 11) % 5000 AS INT) AS duration_ms", f"{stamp('conv_id * 60 + turn * (1 + conv_id % 20)')} AS created_at",
-    )
-    conversations = messages.groupBy(F.col("conversation_id").alias("id")).agg(
-        F.count("*").alias("message_count"), F.min("created_at").alias("started_at"), F.max("created_at").alias("ended_at")
-    ).selectExpr(
-        "id", "concat('proj', CAST(id % 7 AS STRING)) AS project_name", "concat('model-', CAST(id % 3 AS STRING)) AS model", "message_count", "started_at", "ended_at",
-        "CASE WHEN id % 13 = 0 THEN NULL ELSE message_count * 100 END AS token_count_in", "message_count * 50 AS token_count_out",
-        "CAST(id % 100 AS DECIMAL(10,4)) / 100 AS cost_usd", "CASE WHEN id % 4 = 0 THEN NULL ELSE concat('summary of ', CAST(id AS STRING)) END AS summary",
-    )
-    category = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES)) + " END AS category"
-    chunks = read("documents").join(read("labels"), "doc_id", "left").selectExpr(
-        "doc_id AS id", "text AS content", category, "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE source END AS project_name", "array(lang, source) AS tags",
-        "CAST(0.50 + CAST(doc_id % 50 AS DECIMAL(4,2)) / 100 AS DECIMAL(3,2)) AS confidence", "CASE WHEN doc_id % 5 = 0 THEN 'manual' ELSE 'conversation' END AS source_type",
-        "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 100 END AS source_id",
-        "CASE WHEN toxic = 1 THEN 'stale' WHEN quality = 0 THEN 'superseded' WHEN quality IS NULL THEN NULL ELSE 'active' END AS status",
-        f"{stamp('doc_id * 60')} AS created_at", "CAST(doc_id % 17 AS INT) AS access_count", f"CASE WHEN doc_id % 3 = 0 THEN NULL ELSE {stamp('doc_id * 60 + (doc_id % 50) * 1440')} END AS last_accessed",
-        "CASE WHEN quality = 0 AND doc_id > 0 THEN doc_id - 1 END AS superseded_by", "CASE WHEN doc_id % 97 = 0 THEN array(doc_id + 1, doc_id + 2) END AS merged_from",
-    )
-    embeddings = read("embeddings").selectExpr("vec_id AS id", "CASE WHEN vec_id % 2 = 0 THEN 'memory_chunk' ELSE 'message' END AS source_type", "CASE WHEN vec_id % 2 = 0 THEN vec_id ELSE (vec_id % 100) * 1000 END AS source_id", "embedding", "'model-a' AS model")
-
-    def entity(table: str, base: int, prefix: str, kind: str, project: str) -> DataFrame:
-        return read(table).selectExpr(f"CAST({base} + {prefix}key AS BIGINT) AS id", f"'{kind}' AS entity_type", f"{prefix[0]}_name AS name", f"lower({prefix[0]}_name) AS canonical_name", f"CAST(({prefix}key * 7) % 23 AS INT) AS mention_count", f"{project} AS project_name")
-
-    entities = entity("region", 1, "r_region", "concept", "CAST(NULL AS STRING)").unionByName(entity("nation", 100, "n_nation", "organization", "concat('proj', CAST(n_nationkey % 7 AS STRING))")).unionByName(entity("supplier", 1000, "s_supp", "project", "concat('proj', CAST(s_suppkey % 7 AS STRING))")).unionByName(entity("customer", 100000, "c_cust", "person", "concat('proj', CAST(c_custkey % 7 AS STRING))"))
-
-    def relation(table: str, base: int, a: str, b: str, kind: str) -> DataFrame:
-        return read(table).selectExpr(f"CAST({base} + {a} AS BIGINT) AS from_entity", f"CAST({b} AS BIGINT) AS to_entity", f"{kind} AS relation_type", f"CAST(0.50 + CAST({a} % 50 AS DECIMAL(4,2)) / 100 AS DECIMAL(3,2)) AS confidence", f"{stamp(a)} AS created_at")
-
-    relationships = relation("nation", 100, "n_nationkey", "1 + n_regionkey", "'member_of'").unionByName(relation("supplier", 1000, "s_suppkey", "100 + s_nationkey", "'relates_to'")).unionByName(relation("customer", 100000, "c_custkey", "100 + c_nationkey", "'relates_to'")).unionByName(relation("supplier", 1000, "s_suppkey", "100 + s_nationkey", "'works_on'").filter("from_entity % 3 = 0"))
-    mentions = read("orders").selectExpr("o_orderkey AS id", "100000 + o_custkey AS entity_id", "CASE WHEN o_orderkey % 4 = 0 THEN 'memory_chunk' ELSE 'conversation' END AS source_type", "o_orderkey % 100 AS source_id", "o_orderpriority AS context_snippet", "o_orderdate AS created_at")
-    reflections = read("events").selectExpr("event_id AS id", "event_type AS reflection_type", "CASE WHEN event_id % 3 = 0 THEN 'merged' WHEN event_id % 3 = 1 THEN 'marked_superseded' ELSE 'kept' END AS action_taken", "CASE WHEN event_id % 5 = 0 THEN array() WHEN event_id % 5 = 1 THEN NULL ELSE array(event_id, event_id + 1) END AS affected_chunks", "props AS reasoning", "value AS confidence", "ts AS created_at")
-    log = read("documents").selectExpr("doc_id AS id", "concat(source, '/', CAST(doc_id AS STRING)) AS file_path", "sha2(text, 256) AS file_hash", f"{stamp('doc_id')} AS ingested_at", "n_chars AS record_count")
-    return Memory(conversations, messages, chunks, embeddings, entities, relationships, mentions, reflections, log)
+class Memory:
+    """The tables of the model over the Parquet tables in a folder; a table is opened when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+
+    @functools.cached_property
+    def messages(self) -> DataFrame:
+        return self.read("conversations").selectExpr(
+            "conv_id * 1000 + turn AS id", "conv_id AS conversation_id", "role", "text AS content",
+            "CASE WHEN turn % 3 = 2 THEN concat('tool', CAST(conv_id % 5 AS STRING)) END AS tool_name",
+            "CAST((conv_id * 37 + turn * 11) % 5000 AS INT) AS duration_ms", f"{stamp('conv_id * 60 + turn * (1 + conv_id % 20)')} AS created_at",
+        )
+
+    @functools.cached_property
+    def conversations(self) -> DataFrame:
+        return self.messages.groupBy(F.col("conversation_id").alias("id")).agg(
+            F.count("*").alias("message_count"), F.min("created_at").alias("started_at"), F.max("created_at").alias("ended_at")
+        ).selectExpr(
+            "id", "concat('proj', CAST(id % 7 AS STRING)) AS project_name", "concat('model-', CAST(id % 3 AS STRING)) AS model", "message_count", "started_at", "ended_at",
+            "CASE WHEN id % 13 = 0 THEN NULL ELSE message_count * 100 END AS token_count_in", "message_count * 50 AS token_count_out",
+            "CAST(id % 100 AS DECIMAL(10,4)) / 100 AS cost_usd", "CASE WHEN id % 4 = 0 THEN NULL ELSE concat('summary of ', CAST(id AS STRING)) END AS summary",
+        )
+
+    @functools.cached_property
+    def chunks(self) -> DataFrame:
+        category = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES)) + " END AS category"
+        return self.read("documents").join(self.read("labels"), "doc_id", "left").selectExpr(
+            "doc_id AS id", "text AS content", category, "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE source END AS project_name", "array(lang, source) AS tags",
+            "CAST(0.50 + CAST(doc_id % 50 AS DECIMAL(4,2)) / 100 AS DECIMAL(3,2)) AS confidence", "CASE WHEN doc_id % 5 = 0 THEN 'manual' ELSE 'conversation' END AS source_type",
+            "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 100 END AS source_id",
+            "CASE WHEN toxic = 1 THEN 'stale' WHEN quality = 0 THEN 'superseded' WHEN quality IS NULL THEN NULL ELSE 'active' END AS status",
+            f"{stamp('doc_id * 60')} AS created_at", "CAST(doc_id % 17 AS INT) AS access_count", f"CASE WHEN doc_id % 3 = 0 THEN NULL ELSE {stamp('doc_id * 60 + (doc_id % 50) * 1440')} END AS last_accessed",
+            "CASE WHEN quality = 0 AND doc_id > 0 THEN doc_id - 1 END AS superseded_by", "CASE WHEN doc_id % 97 = 0 THEN array(doc_id + 1, doc_id + 2) END AS merged_from",
+        )
+
+    @functools.cached_property
+    def embeddings(self) -> DataFrame:
+        return self.read("embeddings").selectExpr("vec_id AS id", "CASE WHEN vec_id % 2 = 0 THEN 'memory_chunk' ELSE 'message' END AS source_type", "CASE WHEN vec_id % 2 = 0 THEN vec_id ELSE (vec_id % 100) * 1000 END AS source_id", "embedding", "'model-a' AS model")
+
+    @functools.cached_property
+    def entities(self) -> DataFrame:
+        def of(table: str, base: int, key: str, name: str, kind: str, project: str) -> DataFrame:
+            return self.read(table).selectExpr(f"CAST({base} + {key} AS BIGINT) AS id", f"'{kind}' AS entity_type", f"{name} AS name", f"lower({name}) AS canonical_name", f"CAST(({key} * 7) % 23 AS INT) AS mention_count", f"{project} AS project_name")
+
+        proj = lambda key: f"concat('proj', CAST({key} % 7 AS STRING))"
+        parts = (
+            of("region", 1, "r_regionkey", "r_name", "concept", "CAST(NULL AS STRING)"), of("nation", 100, "n_nationkey", "n_name", "organization", proj("n_nationkey")),
+            of("supplier", 1000, "s_suppkey", "s_name", "project", proj("s_suppkey")), of("customer", 100000, "c_custkey", "c_name", "person", proj("c_custkey")),
+        )
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    @functools.cached_property
+    def relationships(self) -> DataFrame:
+        def of(table: str, base: int, a: str, b: str, kind: str) -> DataFrame:
+            return self.read(table).selectExpr(f"CAST({base} + {a} AS BIGINT) AS from_entity", f"CAST({b} AS BIGINT) AS to_entity", f"'{kind}' AS relation_type", f"CAST(0.50 + CAST({a} % 50 AS DECIMAL(4,2)) / 100 AS DECIMAL(3,2)) AS confidence", f"{stamp(a)} AS created_at")
+
+        parts = (
+            of("nation", 100, "n_nationkey", "1 + n_regionkey", "member_of"), of("supplier", 1000, "s_suppkey", "100 + s_nationkey", "relates_to"),
+            of("customer", 100000, "c_custkey", "100 + c_nationkey", "relates_to"), of("supplier", 1000, "s_suppkey", "100 + s_nationkey", "works_on").filter("from_entity % 3 = 0"),
+        )
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    @functools.cached_property
+    def mentions(self) -> DataFrame:
+        return self.read("orders").selectExpr("o_orderkey AS id", "100000 + o_custkey AS entity_id", "CASE WHEN o_orderkey % 4 = 0 THEN 'memory_chunk' ELSE 'conversation' END AS source_type", "o_orderkey % 100 AS source_id", "o_orderpriority AS context_snippet", "o_orderdate AS created_at")
+
+    @functools.cached_property
+    def reflections(self) -> DataFrame:
+        return self.read("events").selectExpr("event_id AS id", "event_type AS reflection_type", "CASE WHEN event_id % 3 = 0 THEN 'merged' WHEN event_id % 3 = 1 THEN 'marked_superseded' ELSE 'kept' END AS action_taken", "CASE WHEN event_id % 5 = 0 THEN array() WHEN event_id % 5 = 1 THEN NULL ELSE array(event_id, event_id + 1) END AS affected_chunks", "props AS reasoning", "value AS confidence", "ts AS created_at")
+
+    @functools.cached_property
+    def ingestion_log(self) -> DataFrame:
+        return self.read("documents").selectExpr("doc_id AS id", "concat(source, '/', CAST(doc_id AS STRING)) AS file_path", "sha2(text, 256) AS file_hash", f"{stamp('doc_id')} AS ingested_at", "n_chars AS record_count")
 
 
 _STAMP = "TIMESTAMP '2024-01-01' + to_minutes(CAST({} AS INT))"

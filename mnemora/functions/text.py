@@ -28,6 +28,8 @@ REDACTIONS = (
     (r"(?U)/Users/([^/\s]+)", "/Users/<user>"),
     (r"(?U)/home/([^/\s]+)", "/home/<user>"),
 )
+#: Lower-case substrings one of which a match of the rule always holds; a text without them skips the rule.
+HELD = (("private key",), ("sk-ant-",), ("sk-",), ("sk-",), ("gh",), ("akia", "asia"), ("aiza",), ("xox",), ("_live_", "_test_"), ("eyj",), ("authorization",), ("password", "passwd", "pwd", "secret", "key", "token"), ("@",), ("/users/",), ("/home/",))
 # Words that tie a statement to a time, and the form of dates.
 STALE_WORDS = ("heute", "aktuell", "derzeit", "momentan", "gerade", "jetzt", "diese woche", "naechste woche", "nächste woche", "meeting am", "termin am", "am ", "q1", "q2", "q3", "q4", "2025", "2026", "release", "sprint", "kw ")
 DATES = r"(?iU)\b(\d{1,2}\.\d{1,2}\.(?:\d{2,4})?|\d{4}-\d{2}-\d{2}|q[1-4]/\d{2,4}|kw\s?\d{1,2})\b"
@@ -45,7 +47,16 @@ def strip(x: str | Column) -> Column:
 
 def redact(x: str | Column) -> Column:
     """Known shapes of secrets and personal data replaced, rule by rule."""
-    return functools.reduce(lambda c, rule: F.regexp_replace(c, *rule), REDACTIONS, _c(x))
+
+    def apply(c: Column, rule: tuple[str, str], held: tuple[str, ...]) -> Column:
+        # the lambda names the text so far once, however often the rule refers to it
+        maybe = lambda t: functools.reduce(lambda a, b: a | b, (F.contains(F.lower(t), F.lit(h)) for h in held))
+        return F.transform(F.array(c), lambda t: F.when(maybe(t), F.regexp_replace(t, *rule)).otherwise(t))[0]
+
+    out = _c(x)
+    for rule, held in zip(REDACTIONS, HELD, strict=True):
+        out = apply(out, rule, held)
+    return out
 
 
 def redactions(before: str | Column, after: str | Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .adapters import AS_OF, Memory, memory, sql
+from .adapters import AS_OF, Memory, sql
 from .functions import text as tx
 from .operators import graph as g
 from .operators import mutations as mu
@@ -29,7 +29,7 @@ def query(name: str, oracle: str | None = None):
     """Register a function of the memory tables under `name`."""
 
     def add(fn: Callable[[Memory], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(memory(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Memory(spark, folder))
         if oracle:
             SQL[name] = oracle
         return fn
