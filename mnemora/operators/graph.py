@@ -97,6 +97,24 @@ def contradictions(relationships: DataFrame) -> DataFrame:
     return relationships.groupBy("from_entity", "to_entity").agg(F.array_join(F.array_sort(F.collect_set("relation_type")), ",").alias("types"), F.countDistinct("relation_type").alias("n_types")).filter("n_types > 1")
 
 
+def attribute_conflicts(relationships: DataFrame) -> DataFrame:
+    """Relations of one kind between the same two entities whose attributes (a JSON text) differ."""
+    plain = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json("attributes", "map<string,string>")))))
+    rows = relationships.withColumn("plain", plain).filter("plain != '{}'")
+    return rows.groupBy("from_entity", "to_entity", "relation_type").agg(F.countDistinct("plain").alias("n")).filter("n > 1")
+
+
+def attribute_keys(entities: DataFrame, limit: int = 20) -> DataFrame:
+    """Keys of the entities' attributes (a JSON text), those of the most mentioned first, and the rows of each entity before its keys are laid out."""
+    rows = entities.withColumn("entries", F.count("*").over(Window.partitionBy("id")))
+    return rows.select("id", "mention_count", "entries", F.explode(F.json_object_keys("attributes")).alias("key")).orderBy(F.desc_nulls_first("mention_count"), "id", "key").limit(limit)
+
+
+def merged_attributes(old: str, new: str):
+    """Attributes of two maps, the new ones winning."""
+    return F.map_from_entries(F.concat(F.filter(F.map_entries(old), lambda e: ~F.map_contains_key(new, e["key"])), F.map_entries(new)))
+
+
 def timeline(entities: DataFrame, relationships: DataFrame, mentions: DataFrame, conversations: DataFrame, entity: int) -> DataFrame:
     """What happened with an entity, oldest first: its mentions with their conversations, and its relations."""
     talk = conversations.select(F.col("id").alias("source_id"), F.col("project_name").alias("detail")).withColumn("source_type", F.lit("conversation"))

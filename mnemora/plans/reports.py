@@ -199,6 +199,63 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
+def top_skills(skills: DataFrame, limit: int = 10) -> DataFrame:
+    return skills.orderBy(F.desc_nulls_first("use_count"), "name", "id").limit(limit).select("id", "name", "use_count")
+
+
+def skill_list(skills: DataFrame, limit: int = 500) -> DataFrame:
+    """Skills by their last sign of life; its kind says where that comes from."""
+    kind = F.when(F.col("last_used").isNotNull(), "used").when(F.col("file_modified").isNotNull(), "file").otherwise("scanned")
+    return skills.withColumn("sort_date", F.coalesce("file_modified", "last_used", "created_at")).orderBy(F.desc_nulls_last("sort_date"), F.desc_nulls_last("use_count"), "name", "id").limit(limit).select("id", "name", kind.alias("kind"), "sort_date")
+
+
+def keywords(column: str, text: str, every: bool) -> Column:
+    """Names that hold every, or one, of the words in a text parted by commas and spaces."""
+    words = list(dict.fromkeys(w for w in text.replace(",", " ").split() if w))
+    if not words:
+        return F.lit(True)
+    return functools.reduce(operator.and_ if every else operator.or_, [like(column, w) for w in words])
+
+
+#: Orders of the list of prompts.
+PROMPT_ORDERS = {
+    "name": lambda: [F.asc("name")], "newest": lambda: [F.desc_nulls_last("updated_at")], "oldest": lambda: [F.asc_nulls_last("updated_at")],
+    "most_used": lambda: [F.desc_nulls_last("usage_count")], "category": lambda: [F.asc_nulls_last("category"), F.asc("name")],
+}
+
+
+def prompt_list(prompts: DataFrame, category: str | None = None, text: str | None = None, order: str = "newest", limit: int = 500) -> DataFrame:
+    wanted = all_of(F.col("category") == category if category else None, like("name", text) | like("content", text) if text else None)
+    return prompts.filter(wanted).orderBy(*PROMPT_ORDERS[order](), "id").limit(limit).select("id", "name", "category", "usage_count")
+
+
+def project_list(projects: DataFrame) -> DataFrame:
+    return projects.orderBy(F.desc_nulls_last("updated_at"), "name").select("id", "name", "status")
+
+
+def contacts(projects: DataFrame, name: str) -> DataFrame:
+    """People of the projects whose contacts hold the name."""
+    people = projects.select("name", F.explode(F.from_json("contacts", "array<struct<name:string,role:string>>")).alias("p"))
+    return people.select(F.col("name").alias("project"), F.col("p.name").alias("person"), F.col("p.role").alias("role")).filter(like("person", name))
+
+
+def project_decisions(projects: DataFrame) -> DataFrame:
+    """Decisions that the projects' JSON lists, one row each."""
+    rows = projects.select(F.col("name").alias("project"), F.explode(F.from_json("decisions", "array<struct<title:string,date:string>>")).alias("d"))
+    return rows.select("project", F.col("d.title").alias("title"), F.to_date("d.date").alias("day"))
+
+
+def since(preset: str, as_of: Column) -> Column | None:
+    """Where a period begins: the month, 30 or 90 days, or everything."""
+    return {"month": lambda: F.date_trunc("month", as_of), "30d": lambda: before(as_of, 30), "90d": lambda: before(as_of, 90), "all": lambda: None}[preset]()
+
+
+def conversation_detail(messages: DataFrame, conversation: int, newest_first: bool = False) -> DataFrame:
+    """The redacted turns of one conversation."""
+    order = (F.desc if newest_first else F.asc)
+    return messages.filter(F.col("conversation_id") == conversation).orderBy(order("created_at"), order("id")).select("id", "role", tx.redact("content").alias("content"))
+
+
 # --- queues of work ------------------------------------------------------------------------------------------
 
 

@@ -243,6 +243,68 @@ def _(m):
     return rp.distinct_values(m.chunks, "project_name")
 
 
+@query("skills_top", sql("skills", "SELECT id, name, use_count FROM skills ORDER BY use_count DESC NULLS FIRST, name, id LIMIT 10"))
+def _(m):
+    return rp.top_skills(m.skills)
+
+
+@query("skills_list", sql("skills", "SELECT id, name, CASE WHEN last_used IS NOT NULL THEN 'used' WHEN file_modified IS NOT NULL THEN 'file' ELSE 'scanned' END AS kind, coalesce(file_modified, last_used, created_at) AS sort_date FROM skills ORDER BY sort_date DESC NULLS LAST, use_count DESC NULLS LAST, name, id LIMIT 500"))
+def _(m):
+    return rp.skill_list(m.skills)
+
+
+@query("skills_search", sql("skills", "SELECT id, name, description FROM skills WHERE name ILIKE '%1%' OR description ILIKE '%steel%' ORDER BY use_count DESC NULLS LAST, id LIMIT 20"))
+def _(m):
+    return m.skills.filter(rp.like("name", "1") | rp.like("description", "steel")).orderBy(F.desc_nulls_last("use_count"), "id").limit(20).select("id", "name", "description")
+
+
+@query("names_with_keywords", sql("entities", "SELECT id, name FROM entities WHERE (name ILIKE '%customer%' AND name ILIKE '%7%')"))
+def _(m):
+    return m.entities.filter(rp.keywords("name", "customer, 7 customer", every=True)).select("id", "name")
+
+
+@query("prompts_list", sql("prompts", "SELECT id, name, category, usage_count FROM prompts WHERE category = 'skill' AND (name ILIKE '%the%' OR content ILIKE '%the%') ORDER BY usage_count DESC NULLS LAST, id LIMIT 500"))
+def _(m):
+    return rp.prompt_list(m.prompts, "skill", "the", "most_used")
+
+
+@query("projects_list", sql("projects", "SELECT id, name, status FROM projects ORDER BY updated_at DESC NULLS LAST, name"))
+def _(m):
+    return rp.project_list(m.projects)
+
+
+@query("contacts", sql("projects", "SELECT name AS project, p->>'name' AS person, p->>'role' AS role FROM (SELECT name, unnest(CAST(contacts AS JSON[])) AS p FROM projects) WHERE p->>'name' ILIKE '%an%'"))
+def _(m):
+    return rp.contacts(m.projects, "an")
+
+
+@query("project_decisions", sql("projects", "SELECT name AS project, d->>'title' AS title, CAST(d->>'date' AS DATE) AS day FROM (SELECT name, unnest(CAST(decisions AS JSON[])) AS d FROM projects)"))
+def _(m):
+    return rp.project_decisions(m.projects)
+
+
+@query("recent_errors_since", sql("chunks convs", f"SELECT chunks.id, chunks.created_at, convs.project_name AS session_project FROM chunks LEFT JOIN convs ON source_type = 'conversation' AND convs.id = source_id WHERE category = 'error_solution' AND created_at >= {NOW} - INTERVAL 30 DAY"))
+def _(m):
+    origin = m.conversations.select(F.col("id").alias("source_id"), F.col("project_name").alias("session_project")).withColumn("source_type", F.lit("conversation"))
+    return m.chunks.filter((F.col("category") == "error_solution") & (F.col("created_at") >= rp.since("30d", as_of()))).join(origin, ["source_type", "source_id"], "left").select("id", "created_at", "session_project")
+
+
+@query("conversation_detail", sql("messages", "SELECT id, role, content FROM messages WHERE conversation_id = 7"))
+def _(m):
+    return rp.conversation_detail(m.messages, 7)
+
+
+@query("graph_attribute_conflicts", sql("mentions", "SELECT entity_id AS from_entity, source_id AS to_entity, source_type AS relation_type, count(DISTINCT context_snippet) AS n FROM mentions GROUP BY 1, 2, 3 HAVING count(DISTINCT context_snippet) > 1"))
+def _(m):
+    attributes = F.to_json(F.create_map(F.lit("priority"), "context_snippet"))
+    return g.attribute_conflicts(m.mentions.select(F.col("entity_id").alias("from_entity"), F.col("source_id").alias("to_entity"), F.col("source_type").alias("relation_type"), attributes.alias("attributes")))
+
+
+@query("graph_attribute_keys", sql("reflections", "SELECT id, id % 7 AS mention_count, 1::BIGINT AS entries, unnest(json_keys(reasoning)) AS key FROM reflections ORDER BY mention_count DESC NULLS FIRST, id, key LIMIT 20"))
+def _(m):
+    return g.attribute_keys(m.reflections.select("id", (F.col("id") % 7).alias("mention_count"), F.col("reasoning").alias("attributes")))
+
+
 # --- queues --------------------------------------------------------------------------------------------------
 
 
