@@ -38,7 +38,7 @@ TEMPLATES = {
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 public domain dedication."],
-    "proprietary": ["Copyright 2020 Example Inc. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher."],
+    "proprietary": ["All rights reserved.", "Copyright 2020 Example Inc. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher."],
 }
 #: Talk with licence words that is no notice.
 TALK = ["the driving licence was taken away last year", "you need a permission of your parents to go", "he was licensed as a pilot", "a public library in the city", "the software license market grew by five percent", "copyright law is a matter of debate", "the warranty of the car has expired", "an open source conference", "the apache helicopter landed", "gnu and mit are short words", "students of mit won the price", "we ask for your permission", "free software is a matter of liberty", "the terms of the contract were harsh", "her fishing license expired", "custom terms apply to this license"]
