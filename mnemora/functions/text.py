@@ -48,15 +48,17 @@ def strip(x: str | Column) -> Column:
 def redact(x: str | Column) -> Column:
     """Known shapes of secrets and personal data replaced, rule by rule."""
 
-    def apply(c: Column, rule: tuple[str, str], held: tuple[str, ...]) -> Column:
+    def apply(text: Column, low: Column, rule: tuple[str, str], held: tuple[str, ...]) -> Column:
+        maybe = functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in held))
         # the lambda names the text so far once, however often the rule refers to it
-        maybe = lambda t: functools.reduce(lambda a, b: a | b, (F.contains(F.lower(t), F.lit(h)) for h in held))
-        return F.transform(F.array(c), lambda t: F.when(maybe(t), F.regexp_replace(t, *rule)).otherwise(t))[0]
+        return F.transform(F.array(text), lambda t: F.when(maybe, F.regexp_replace(t, *rule)).otherwise(t))[0]
 
-    out = _c(x)
-    for rule, held in zip(REDACTIONS, HELD, strict=True):
-        out = apply(out, rule, held)
-    return out
+    def all_rules(s: Column) -> Column:
+        # no replacement makes up text that a later rule takes, so the first text decides what may match
+        return functools.reduce(lambda c, r: apply(c, s["low"], *r), zip(REDACTIONS, HELD, strict=True), s["text"])
+
+    c = _c(x)
+    return F.transform(F.array(F.struct(c.alias("text"), F.lower(c).alias("low"))), all_rules)[0]
 
 
 def redactions(before: str | Column, after: str | Column) -> Column:
