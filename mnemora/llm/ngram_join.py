@@ -17,8 +17,6 @@ smallest id there, null if there is none; an empty table gives an empty table; c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash

@@ -39,6 +39,9 @@ def test_round_trip(spark):
     archives = warc.write_archives(df)
     back = {r.record_id: bytes(r.payload) for r in warc.read_archives(archives).filter("record_type = 'response'").collect()}
     assert all(back[str(i)] == (h or "").encode() for i, _, h in rows if str(i) in back)
+    nameless = warc.warc_round_trip(spark.createDataFrame([(None, None, "same"), (None, "u", "same"), (4, "u", "same"), (None, "u", "own")], "page_id long, url string, html string"))
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in nameless.collect() if r.page_id) == [(4, "response", None)]
+    assert sorted((r.payload_bytes, r.record_type, r.refers_to) for r in nameless.collect() if r.page_id is None) == [(3, "response", None), (4, "revisit", 4), (4, "revisit", 4)]
     small = warc.write_archives(df, min_bytes=1 << 40)
     assert warc.read_archives(small).filter("record_type = 'revisit'").count() == 0
     assert warc.warc_round_trip(df.limit(0)).count() == 0
