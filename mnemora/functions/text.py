@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column
@@ -167,3 +168,9 @@ def canonical(names: pd.Series) -> pd.Series:
     """Names compared without accents, compatibility forms, case or spare white space (no built-in does NFKD)."""
     plain = lambda s: None if s is None else " ".join("".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).split()).lower()
     return names.map(plain)
+
+
+@F.pandas_udf(T.StringType())
+def path_uuid(paths: pd.Series) -> pd.Series:
+    """Name-based UUID of a file's place (no built-in makes version 5)."""
+    return paths.map(lambda p: None if p is None else str(uuid.uuid5(uuid.NAMESPACE_URL, p)))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_title
 from ..schemas import CATEGORIES
 
 
@@ -57,6 +58,21 @@ def upsert(existing: DataFrame, rows: DataFrame, key: list[str], newest: list[st
     return existing.join(latest.select(*key), key, "left_anti").unionByName(latest)
 
 
+def edit(rows: DataFrame, row_id: int, **values) -> DataFrame:
+    """Rows with new values in some columns of one of them."""
+    return rows.withColumns({c: F.when(F.col("id") == row_id, F.lit(v).cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def delete(rows: DataFrame, ids: Sequence[int]) -> DataFrame:
+    return rows.filter(~F.col("id").isin(*ids))
+
+
+def set_titles(conversations: DataFrame, titles: DataFrame) -> DataFrame:
+    """Conversations with cleaned titles as summaries where `titles` (id, title) has one."""
+    new = titles.select("id", clean_title("title").alias("new_title")).filter("new_title != ''")
+    return conversations.join(new, "id", "left").withColumn("summary", F.coalesce("new_title", "summary")).drop("new_title")
+
+
 def log_reflection(kind: str, action: str, reasoning: Column, affected: Column, confidence: Column, at: Column, source: DataFrame) -> DataFrame:
     """Audit rows for the rows of `source`; reasons are cut at 4,000 characters."""
     return source.select(F.lit(kind).alias("reflection_type"), affected.cast("array<long>").alias("affected_chunks"), F.lit(action).alias("action_taken"), F.substring(reasoning, 1, 4000).alias("reasoning"), confidence.cast("decimal(3,2)").alias("confidence"), at.alias("created_at"))

@@ -73,7 +73,7 @@ def parse_plans(files: DataFrame, least: int = 50) -> DataFrame:
     """Plan files as one conversation with one message each: title, text, hash; short ones drop out."""
     text = F.decode("content", "UTF-8")
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", F.sha2("content", 256).alias("file_hash"), text.alias("text"), F.col("modificationTime").alias("started_at")).filter(F.length(tx.strip("text")) >= least).withColumn("title", tx.title_of("text", name))
+    return files.select("path", F.sha2("content", 256).alias("file_hash"), text.alias("text"), F.col("modificationTime").alias("started_at")).filter(F.length(tx.strip("text")) >= least).withColumn("title", tx.title_of("text", name)).withColumn("session_id", tx.path_uuid("path"))
 
 
 def parse_skills(files: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Ingest, streaming, store, tools, graph and reflection on small examples."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from mnemora import schemas
 from mnemora.api import MemoryStore, console
-from mnemora.operators import graph, mutations, reflect
+from mnemora.operators import extract, graph, mutations, reflect
 from mnemora.operators.embedding import embed, hashing_embedder
 from mnemora.plans import reports
 from mnemora.sources import sessions, sinks
@@ -75,7 +76,7 @@ def test_markdown_sources(spark, tmp_path):
     (s,) = sessions.parse_skills(sessions.read_files(spark, str(tmp_path), "SKILL.md")).collect()
     assert (s.name, s.version, s.triggers, s.body) == ("demo-skill", "1.0", ["run it", "do it"], "# Body\ntext")
     (p,) = sessions.parse_plans(sessions.read_files(spark, str(tmp_path), "plan*.md")).collect()
-    assert p.title == "A plan"
+    assert p.title == "A plan" and p.session_id == str(uuid.uuid5(uuid.NAMESPACE_URL, p.path))
     (c,) = sessions.parse_prompts(sessions.read_files(spark, str(tmp_path), "CLAUDE.md")).collect()
     assert c.variables == ["coding_style", "project_name"]
     (tmp_path / "q.jsonl").write_text('// note\n\n# other\n{"id": "q1", "question": "?", "expected_substrings": ["Hi"]}\n')
@@ -138,3 +139,22 @@ def test_reflection(spark):
     assert joined.merged[0]["merged_from"] == [1, 2, 3]
     assert mutations.parse_ids("1, 2 x 3,-4") == [1, 2, 3]
     assert reports.all_of(None, F.lit(True)) is not None
+
+
+def test_extraction(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "b")], "conversation_id long, transcript string")
+    chunks = '```json\n[{"content": "use x", "category": "decision", "tags": ["t"], "confidence": 3}, {"content": "", "category": "decision"}, {"content": "y", "category": "no"}]\n```'
+    answers = extract.ask(texts, lambda ts: [chunks if t == "a" else "no json" for t in ts])
+    (c,) = extract.parse_chunks(answers).collect()
+    assert (c.source_id, c.content, c.tags, float(c.confidence)) == (1, "use x", ["t"], 1.0)
+    graph_answer = 'So: {"entities": [{"type": "person", "name": "Ánn"}, {"type": "ghost", "name": "x"}], "relationships": [{"from": "ann", "to": "Mnemora", "type": "works_on"}, {"from": "ann", "to": "ann", "type": "uses"}]}'
+    entities, relations = extract.parse_graph(extract.ask(texts.limit(1), lambda ts: [graph_answer for _ in ts]))
+    assert [e.canonical_name for e in entities.collect()] == ["ann"]
+    found = spark.createDataFrame([(1, "ann", 7)], "conversation_id long, canonical_name string, id long")
+    known = spark.createDataFrame([("mnemora", 3, "p", 1), ("mnemora", 4, None, 9)], "canonical_name string, id long, project_name string, mention_count int")
+    (r,) = extract.with_ids(relations, found, known, "p").collect()
+    assert (r.from_entity, r.to_entity, r.relation_type) == (7, 3, "works_on")
+    rows = spark.createDataFrame([(1, "old"), (2, None)], "id long, summary string")
+    titled = mutations.set_titles(rows, spark.createDataFrame([(2, "'New one.'")], "id long, title string"))
+    assert {x.id: x.summary for x in titled.collect()} == {1: "old", 2: "New one"}
+    assert {x.id: x.summary for x in mutations.delete(mutations.edit(rows, 2, summary="s"), [1]).collect()} == {2: "s"}
