@@ -45,7 +45,7 @@ def undirected(relationships: DataFrame) -> DataFrame:
 
 def distances(relationships: DataFrame, start: int, deepest: int = DEEPEST) -> DataFrame:
     """Nodes within `deepest` undirected steps of `start`, with their distance."""
-    edges = undirected(relationships)
+    edges = cut(undirected(relationships))  # read once a hop, made once
     frontier = seen = relationships.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).alias("depth"))
     for depth in range(1, deepest + 1):
         step = edges.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
@@ -58,7 +58,7 @@ def distances(relationships: DataFrame, start: int, deepest: int = DEEPEST) -> D
 
 def path(relationships: DataFrame, start: int, end: int, deepest: int = DEEPEST) -> DataFrame:
     """A shortest undirected path as an array of nodes; of several the smallest. Empty if there is none."""
-    edges = undirected(relationships)
+    edges = cut(undirected(relationships))
     frontier = relationships.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.array(F.lit(start).cast("long")).alias("path"))
     seen = frontier.select("node")
     for _ in range(deepest + 1):
@@ -76,6 +76,7 @@ def recall(relationships: DataFrame, start: int, hops: int = 2, types: list[str]
     edges = relationships.filter(F.col("relation_type").isin(types)) if types else relationships
     edges = edges.select("from_entity", "to_entity", "relation_type")
     both = edges.select(F.col("from_entity").alias("near"), F.col("to_entity").alias("far"), "*").unionByName(edges.select(F.col("to_entity").alias("near"), F.col("from_entity").alias("far"), "*"))
+    both = cut(both)
     frontier = visited = relationships.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"))
     out = []
     for hop in range(1, max(1, min(MOST_HOPS, hops)) + 1):
