@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import time_bound
@@ -27,6 +27,9 @@ def candidate_pairs(chunks: DataFrame, most: int = MOST_PAIRS, categories: Itera
     if categories:
         rows = rows.filter(F.col("category").isin(*categories))
     rows = rows.select("id", "category", F.coalesce("project_name", F.lit("")).alias("project"))
+    # the first pairs of a group are of its first rows; the rank limit is applied before the shuffle too
+    order = Window.partitionBy("category", "project").orderBy("id")
+    rows = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most + 1).drop("k")
     a, b = rows.withColumnRenamed("id", "id_a"), rows.withColumnRenamed("id", "id_b")
     return a.join(b, ["category", "project"]).filter("id_a < id_b").orderBy("category", "project", "id_a", "id_b").limit(most).select("id_a", "id_b", "category")
 
