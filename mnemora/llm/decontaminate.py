@@ -68,6 +68,19 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
     return best, *at
 
 
+class Numbers(dict):
+    """Numbers of raw words, found out once each: 0 if no item has the word, -1 for bare marks."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> int:
+        p = plain(word)
+        self[word] = n = self.known.get(p, 0) if p else -1
+        return n
+
+
 class Items:
     """The seeds of one shard of the benchmark."""
 
@@ -84,11 +97,16 @@ class Items:
         self.item, self.place = self.item[order], self.place[order]
         self.seeds, first = np.unique(codes[order], return_index=True)
         self.first = np.r_[first, len(codes)]
+        self.has_short = bool((self.seeds & ((1 << 21) - 1) == 0).any())  # items of fewer words than a seed
         self.weight = np.ones(len(self.seeds))
-        self.memo: dict[str, int] = {}
+        self.memo = Numbers(self.known)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+
+    def __setstate__(self, state):
+        self.__dict__ = state
+        self.memo = Numbers(self.known)
 
     def codes(self, w: np.ndarray, item: int = -1) -> np.ndarray:
         """Codes of the trigrams; an item shorter than a seed has one code, of its words with zeros behind."""
@@ -99,27 +117,20 @@ class Items:
 
     def read(self, text: str) -> np.ndarray:
         """A text as word numbers: 0 for words that no item has; bare marks are left out."""
-        memo, known = self.memo, self.known
+        memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
         words = text.split()
-        try:
-            out = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in memo:
-                    p = plain(w)
-                    memo[w] = known.get(p, 0) if p else -1
-            out = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
         return out[out >= 0]
 
     def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the text and numbers of the seeds that begin there."""
-        codes = self.codes(w)
+        maybe = np.flatnonzero((w[:-2] > 0) & (w[1:-1] > 0) & (w[2:] > 0)) if len(w) >= SEED else np.empty(0, np.int64)
+        codes = (w[maybe] << 42) + (w[maybe + 1] << 21) + w[maybe + 2]
         short = [np.flatnonzero(self._short(w, n)) for n in (1, 2)] if self.has_short else []
-        maybe = np.flatnonzero((w[:-2] > 0) & (w[1:-1] > 0) & (w[2:] > 0)) if len(codes) else np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.seeds, codes[maybe]), max(0, len(self.seeds) - 1))
-        good = self.seeds[at] == codes[maybe] if len(self.seeds) else np.zeros(0, bool)
+        at = np.minimum(np.searchsorted(self.seeds, codes), max(0, len(self.seeds) - 1))
+        good = self.seeds[at] == codes if len(self.seeds) else np.zeros(0, bool)
         places, seeds = maybe[good], at[good]
         for n, found in zip((1, 2), short):
             if len(found):
@@ -129,10 +140,6 @@ class Items:
                 places, seeds = np.r_[places, found[same]], np.r_[seeds, k[same]]
         return places, seeds
 
-    @property
-    def has_short(self) -> bool:
-        return bool(len(self.seeds)) and bool((self.seeds & ((1 << 21) - 1) == 0).any())
-
     @staticmethod
     def _short(w: np.ndarray, n: int) -> np.ndarray:
         return w > 0 if n == 1 else np.r_[(w[:-1] > 0) & (w[1:] > 0), np.zeros(min(1, len(w)), bool)]
