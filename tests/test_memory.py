@@ -158,3 +158,17 @@ def test_extraction(spark):
     titled = mutations.set_titles(rows, spark.createDataFrame([(2, "'New one.'")], "id long, title string"))
     assert {x.id: x.summary for x in titled.collect()} == {1: "old", 2: "New one"}
     assert {x.id: x.summary for x in mutations.delete(mutations.edit(rows, 2, summary="s"), [1]).collect()} == {2: "s"}
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from mnemora import cli
+
+    root = ["--root", str(tmp_path / "cli")]
+    assert cli.main([*root, "add", "decision", "use parquet"]) == 0
+    assert cli.main([*root, "ingest", str(folder / "projects")]) == 0
+    for command in (["search", "parquet"], ["stats"], ["sql", "SELECT count(*) AS n FROM messages"], ["forget", "1"], ["reflections"]):
+        assert cli.main([*root, *command]) == 0
+    assert "use parquet" not in cli.sinks.context_markdown(Store(spark, root[1]).read("memory_chunks"), "p")
+    assert "|  3|" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main([*root, "add", "nonsense", "x"])
