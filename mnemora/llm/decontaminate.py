@@ -1,18 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to test items, local alignment scores the copies.
+"""Benchmark decontamination: word pairs shared with test items are seeds, local alignment scores the copies.
 
-Seeds are word trigrams of the items, weighted by how rare they are in all texts. Where the seeds of an item that
-stand close together in a text weigh enough, Smith-Waterman alignment over words scores the stretch around them,
-so edited and paraphrased copies are found too. Words are compared lower-cased and without marks.
+An item of n words that scores S in a text shares at least (2 S - n - 3) / 3 of its word pairs with it, on diagonals
+(place in the text less place in the item) that lie close together, whatever words stand between. Where so many seeds
+of an item meet, Smith-Waterman alignment over words scores the stretch around them, so the items found are those that
+alignment with the whole text would find, edited and paraphrased copies too. How common a seed is only decides which
+ones the search begins with; no text counts for another. Words are compared lower-cased and without marks.
 
 The items go to the tasks in shards of at most `SHARD_WORDS` words, however large the benchmark; every shard meets
-every text. Defined cases: null or blank texts match nothing; items without words match nothing; items of fewer
-words than a seed are one seed; repeated items and rows are each reported; empty tables give an empty result;
-columns but id and text are carried by `without_contaminated` and not read.
+every text. Defined cases: null or blank texts match nothing; items without words match nothing; an item of one word
+is one seed; repeated items and rows are each reported; empty tables give an empty result; columns but id and text
+are carried by `without_contaminated` and not read.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -23,11 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, text_of
 
-SEED = 3
 #: Words of the benchmark that one pass takes along.
 SHARD_WORDS = 500_000
-#: Weight of rare seeds that a stretch needs; a seed that no text repeats weighs 1, one in every text 0.
-MIN_WEIGHT = 1.5
+#: Places of the items that have a seed before it is common; a search may begin without common seeds, see `Items`.
+COMMON = 64
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Score of a copy, as a share of the score of an exact copy; short items need more.
 MIN_SCORE, SHORT_WORDS, SHORT_SCORE = 0.5, 8, 0.9
@@ -68,6 +68,22 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
     return best, *at
 
 
+def bounds(n: int) -> tuple[int, int]:
+    """Word pairs of an item of `n` words that every copy shares, and how far the diagonals of one copy lie apart.
+
+    M matched words in R runs share B = M - R pairs; the R - 1 breaks cost a mismatch each while the item has words
+    for them, and a gap beyond, so the score is at most (n + 3 B + 3) / 2. Gaps cost 2 each of at most 2 n.
+    """
+    score = -int(-(MATCH * n * (MIN_SCORE if n >= SHORT_WORDS else SHORT_SCORE) - 1e-9) // 1)
+    return max(1, -(-(2 * score - n - 3) // 3)), (MATCH * n - score) // -GAP
+
+
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers from each `lo` up to its `hi`, one range after the other."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Numbers(dict):
     """Numbers of raw words, found out once each: 0 if no item has the word, -1 for bare marks."""
 
@@ -82,7 +98,11 @@ class Numbers(dict):
 
 
 class Items:
-    """The seeds of one shard of the benchmark."""
+    """The seeds of one shard of the benchmark.
+
+    A copy shares `need` seeds of its item at least, so up to `need - 1` common ones are left out of the search, and
+    `need` is less by their number: what the others must reach whether or not the copy has those.
+    """
 
     def __init__(self, items: list[tuple[object, str]]):
         self.ids, self.known = [], {}
@@ -91,14 +111,26 @@ class Items:
             if words := words_of(text or ""):
                 self.ids.append(item_id)
                 self.words.append(np.array([self.known.setdefault(w, len(self.known) + 1) for w in words], np.int64))
-        rows = [(c, k, p) for k, w in enumerate(self.words) for p, c in enumerate(self.codes(w, k).tolist())]
-        codes, self.item, self.place = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.empty(0, np.int64),) * 3
-        order = np.argsort(codes, kind="stable")
+        codes = [self.codes(w) for w in self.words]
+        limits = [bounds(len(w)) for w in self.words]
+        self.need, self.band = (np.array(x, np.int64) for x in zip(*limits)) if limits else (np.empty(0, np.int64),) * 2
+        every = np.concatenate(codes) if codes else np.empty(0, np.int64)
+        self.item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        self.place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else every
+        _, number, count = np.unique(every, return_inverse=True, return_counts=True)
+        often, used, begin = count[number], np.ones(len(every), bool), 0
+        for k, c in enumerate(codes):
+            mine = begin + np.argsort(-often[begin : begin + len(c)], kind="stable")[: self.need[k] - 1]
+            mine = mine[often[mine] > COMMON]
+            used[mine] = False
+            self.need[k] -= len(mine)
+            begin += len(c)
+        every, self.item, self.place = every[used], self.item[used], self.place[used]
+        order = np.argsort(every, kind="stable")
         self.item, self.place = self.item[order], self.place[order]
-        self.seeds, first = np.unique(codes[order], return_index=True)
-        self.first = np.r_[first, len(codes)]
-        self.has_short = bool((self.seeds & ((1 << 21) - 1) == 0).any())  # items of fewer words than a seed
-        self.weight = np.ones(len(self.seeds))
+        self.seeds, first, self.seed = np.unique(every[order], return_index=True, return_inverse=True)
+        self.first = np.r_[first, len(every)]
+        self.has_short = bool((self.seeds & ((1 << 21) - 1) == 0).any())  # items of one word
         self.memo = Numbers(self.known)
 
     def __getstate__(self):
@@ -108,12 +140,10 @@ class Items:
         self.__dict__ = state
         self.memo = Numbers(self.known)
 
-    def codes(self, w: np.ndarray, item: int = -1) -> np.ndarray:
-        """Codes of the trigrams; an item shorter than a seed has one code, of its words with zeros behind."""
-        base = 1 << 21  # a shard has fewer words
-        if 0 < len(w) < SEED and item >= 0:
-            w = np.r_[w, np.zeros(SEED - len(w), np.int64)]
-        return (w[:-2] * base + w[1:-1]) * base + w[2:] if len(w) >= SEED else np.empty(0, np.int64)
+    @staticmethod
+    def codes(w: np.ndarray) -> np.ndarray:
+        """Codes of the word pairs; an item of one word has one code, of it and zero."""
+        return (w[:-1] << 21) + w[1:] if len(w) > 1 else w << 21  # a shard has fewer words
 
     def read(self, text: str) -> np.ndarray:
         """A text as word numbers: 0 for words that no item has; bare marks are left out."""
@@ -126,81 +156,77 @@ class Items:
 
     def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the text and numbers of the seeds that begin there."""
-        maybe = np.flatnonzero((w[:-2] > 0) & (w[1:-1] > 0) & (w[2:] > 0)) if len(w) >= SEED else np.empty(0, np.int64)
-        codes = (w[maybe] << 42) + (w[maybe + 1] << 21) + w[maybe + 2]
-        short = [np.flatnonzero(self._short(w, n)) for n in (1, 2)] if self.has_short else []
-        at = np.minimum(np.searchsorted(self.seeds, codes), max(0, len(self.seeds) - 1))
-        good = self.seeds[at] == codes if len(self.seeds) else np.zeros(0, bool)
-        places, seeds = maybe[good], at[good]
-        for n, found in zip((1, 2), short):
-            if len(found):
-                code = (w[found] << 42) + ((w[found + 1] << 21) if n == 2 else 0)
-                k = np.minimum(np.searchsorted(self.seeds, code), len(self.seeds) - 1)
-                same = self.seeds[k] == code
-                places, seeds = np.r_[places, found[same]], np.r_[seeds, k[same]]
-        return places, seeds
-
-    @staticmethod
-    def _short(w: np.ndarray, n: int) -> np.ndarray:
-        return w > 0 if n == 1 else np.r_[(w[:-1] > 0) & (w[1:] > 0), np.zeros(min(1, len(w)), bool)]
+        if not len(self.seeds):
+            return (np.empty(0, np.int64),) * 2
+        places = np.flatnonzero((w[:-1] > 0) & (w[1:] > 0))
+        codes = (w[places] << 21) + w[places + 1]
+        if self.has_short:
+            single = np.flatnonzero(w > 0)
+            places, codes = np.r_[places, single], np.r_[codes, w[single] << 21]
+        at = np.minimum(np.searchsorted(self.seeds, codes), len(self.seeds) - 1)
+        good = self.seeds[at] == codes
+        return places[good], at[good]
+
+    def stretches(self, k: int, places: np.ndarray, diagonals: np.ndarray) -> list[tuple[int, int]]:
+        """Where in the text a copy of item `k` may lie, from the item's seeds there, sorted by diagonal."""
+        n, need, band = len(self.words[k]), int(self.need[k]), int(self.band[k])
+        out: list[tuple[int, int]] = []
+        within: dict[int, int] = {}
+        left, place, diagonal = 0, places.tolist(), diagonals.tolist()
+        for p, d in zip(place, diagonal):
+            within[p] = within.get(p, 0) + 1
+            while d - diagonal[left] > band:
+                old = place[left]
+                left += 1
+                within[old] -= 1
+                if not within[old]:
+                    del within[old]
+            if len(within) >= need:
+                a, b = d - band, d + band + n
+                if out and a <= out[-1][1]:
+                    a = out.pop()[0]
+                out.append((a, b))
+        return out
 
     def copies(self, text: str) -> list[tuple[object, float, int, int]]:
         """Items that `text` copies: id, score, and the word span of the copy in the text."""
         w = self.read(text)
         places, seeds = self.hits(w)
-        if not len(places):
+        there = np.unique(seeds)
+        found = ranges(self.first[there], self.first[there + 1])  # places of the items whose seed is in the text
+        enough = np.bincount(self.item[found], minlength=len(self.ids)) >= self.need
+        found = found[enough[self.item[found]]]
+        if not len(found):
             return []
-        by_item: dict[int, list[tuple[int, int, int]]] = {}
-        for p, s in zip(places.tolist(), seeds.tolist()):
-            for k in range(self.first[s], self.first[s + 1]):
-                by_item.setdefault(int(self.item[k]), []).append((p, s, int(self.place[k])))
+        order = np.argsort(seeds, kind="stable")
+        places, seeds = places[order], seeds[order]
+        found = found[np.argsort(self.item[found], kind="stable")]
         out = []
-        for k, found in by_item.items():
+        for own in np.split(found, np.flatnonzero(np.diff(self.item[found])) + 1):
+            k = int(self.item[own[0]])
             n = len(self.words[k])
-            need = min(MIN_WEIGHT, 0.5 * max(1, n - SEED + 1))
-            if sum(self.weight[s] for s in {s for _, s, _ in found}) < need:
-                continue
-            found.sort()
+            lo, hi = np.searchsorted(seeds, self.seed[own]), np.searchsorted(seeds, self.seed[own], "right")
+            at = np.repeat(self.place[own], hi - lo)
+            diagonals = places[ranges(lo, hi)] - at
+            order = np.argsort(diagonals, kind="stable")
             best = (0.0, 0, 0)
-            group: list[tuple[int, int, int]] = []
-            for hit in (*found, None):
-                if group and (hit is None or hit[0] - group[-1][0] > n):
-                    if sum(self.weight[s] for s in {s for _, s, _ in group}) >= need:
-                        a = max(0, min(p - q for p, _, q in group) - n // 4)
-                        b = min(len(w), max(p - q + n for p, _, q in group) + n // 4)
-                        score, s, e = align(self.words[k], w[a:b])
-                        if score / (MATCH * n) > best[0]:
-                            best = score / (MATCH * n), a + s, a + e
-                    group = []
-                if hit:
-                    group.append(hit)
+            for a, b in self.stretches(k, at[order], diagonals[order]):
+                a, b = max(0, a), min(len(w), b)
+                score, s, e = align(self.words[k], w[a:b])
+                if score / (MATCH * n) > best[0]:
+                    best = score / (MATCH * n), a + s, a + e
             if best[0] >= (MIN_SCORE if n >= SHORT_WORDS else SHORT_SCORE):
                 out.append((self.ids[k], *best))
         return out
 
 
-def shards(df: DataFrame, bench: DataFrame, text: str, item: str) -> Iterator[Items]:
-    """The benchmark's shards, their seeds weighted by their share of the texts of `df`."""
+def shards(bench: DataFrame, item: str) -> Iterator[Items]:
+    """The benchmark's shards."""
     rows = bench.select(F.col(f"`{item}`").alias("item"), text_of().alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
     count = max(1, -(-total // SHARD_WORDS))
-    texts = df.select(text_of(f"`{text}`").alias("text"))
     for k in range(count):
-        items = Items([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).orderBy("item").collect()])
-
-        def tally(batch: pa.RecordBatch, items=items) -> pa.RecordBatch:
-            n = np.zeros(len(items.seeds) + 1, np.int64)  # the last counts texts
-            for t in batch.column(0):
-                n[np.unique(items.hits(items.read(t.as_py()))[1])] += 1
-                n[-1] += 1
-            some = np.flatnonzero(n)
-            return pa.RecordBatch.from_pydict({"seed": pa.array(some, pa.int64()), "n": pa.array(n[some], pa.int64())})
-
-        df_of = dict(map_batches(texts, tally, "seed long, n long").groupBy("seed").agg(F.sum("n")).collect())  # at most a row a seed
-        texts_in_all = df_of.pop(len(items.seeds), 0)
-        for s, n in df_of.items():
-            items.weight[s] = 1 - math.log(n) / math.log(texts_in_all + 1)
-        yield items
+        yield Items([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).orderBy("item").collect()])
 
 
 def contaminated(df: DataFrame, bench: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -209,7 +235,7 @@ def contaminated(df: DataFrame, bench: DataFrame, doc: str = "doc_id", text: str
     rows = df.select(F.col(f"`{doc}`").alias("doc_id"), text_of(f"`{text}`").alias("text"))
     doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     out = None
-    for items in shards(df, bench, text, item):
+    for items in shards(bench, item):
 
         def run(batch: pa.RecordBatch, items=items) -> pa.RecordBatch | None:
             found = [(i, *c) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for c in items.copies(t.as_py())]
@@ -226,7 +252,7 @@ def contaminated(df: DataFrame, bench: DataFrame, doc: str = "doc_id", text: str
 def without_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """The rows of `df` whose text copies no item."""
     out, at = df, df.columns.index(text)
-    for items in shards(df, bench, text, item):
+    for items in shards(bench, item):
 
         def run(batch: pa.RecordBatch, items=items) -> pa.RecordBatch:
             return batch.filter(pa.array([not items.copies(t.as_py() or "") for t in batch.column(at)], pa.bool_()))

@@ -64,3 +64,44 @@ def test_shards_find_the_same(spark, monkeypatch):
     whole = {(r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()}
     monkeypatch.setattr(dc, "SHARD_WORDS", 100)
     assert {(r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()} == whole
+
+
+def edited(rnd, words):
+    """Two of every three words kept, so no three of them stand together."""
+    return [f"new{rnd.randrange(10**9)}" if k % 3 == 2 else x for k, x in enumerate(words)]
+
+
+def test_copies_in_a_third_and_in_all_rows(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+    item = [word() for _ in range(15)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(word() for _ in range(15)))], "item_id long, text string")
+    forms = {"exact": item, "edited": edited(rnd, item)}
+    assert brute_score(item, forms["edited"]) >= dc.MIN_SCORE * dc.MATCH * len(item)
+    for share in (3, 1):
+        for form in forms.values():
+            docs = [(d, " ".join([word() for _ in range(20)] + (form if d % share == 0 else []) + [word() for _ in range(20)])) for d in range(60)]
+            df = spark.createDataFrame(docs, "doc_id long, text string")
+            assert {(r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()} == {(d, 1) for d in range(60) if d % share == 0}
+            assert dc.without_contaminated(df, bench).count() == 60 - len(range(0, 60, share))
+
+
+def test_bounds_and_common_seeds_lose_no_copy(monkeypatch):
+    """Items and texts of few words, so seeds are common and copies have gaps, against alignment with the whole text."""
+    for common, letters in ((64, "abcdefghijkl"), (1, "abcdefghijkl"), (1, "abcd")):
+        monkeypatch.setattr(dc, "COMMON", common)
+        rnd, found = random.Random(common), 0
+        items = [(i, " ".join(rnd.choice(letters) for _ in range(rnd.randint(1, 24)))) for i in range(40)]
+        searched = dc.Items(items)
+        for _ in range(60):
+            w = [rnd.choice(letters) for _ in range(rnd.randint(0, 30))]
+            for x in rnd.choice(items)[1].split():
+                w += [x] if rnd.random() > 0.3 else rnd.choice(([], ["zz"], [x, "zz"], ["zz", "zz", x]))
+            t = " ".join(w)
+            want = set()
+            for k, own in enumerate(searched.words):
+                score = dc.align(own, searched.read(t))[0] / (dc.MATCH * len(own))
+                want |= {(searched.ids[k], score)} if score >= (dc.MIN_SCORE if len(own) >= dc.SHORT_WORDS else dc.SHORT_SCORE) else set()
+            assert {(i, s) for i, s, *_ in searched.copies(t)} == want
+            found += len(want)
+        assert found > 60
