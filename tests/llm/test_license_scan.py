@@ -40,3 +40,16 @@ def test_scan_like_the_plain_form(spark):
     assert ls.scan(df.limit(0)).count() == 0
     by = {r.doc_id: r.family for r in ls.scan(df).filter("doc_id in (3, 4)").collect()}
     assert by == {3: "cc-by-nc", 4: "mit"}
+
+
+def test_no_line_with_a_feature_is_left_out(spark):
+    rnd = random.Random(6)
+    lines = ["Released under CC BY-SA 4.0.", "CC BY 4.0", "Affero", "MPL 2.0", "under MIT", "all his rights", "Creative", "a by-nc b", "GPL-3.0", "of permitted use", "no word of it", *ls.ANCHORS]
+    lines += [" ".join(x for x in ls.example(rnd, rnd.choice(ls.FAMILIES)).split() if rnd.random() > 0.4) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r for r in ls.scan(df).collect()}
+    assert set(got) >= {i for i, t in enumerate(lines) if ls.grams_of(ls.words_of(t))}  # brute force, no search before it
+    for i, r in got.items():
+        assert abs(r.probability - ls.trained().probabilities(lines[i]).max()) < 2e-3
+    assert got[0].family == "cc-by-sa" and set(range(9)) <= set(got) and 10 not in got and got[9].family == ls.UNKNOWN
+    assert all(any(s in a for s in ls.STEMS) for a in ls.ANCHORS)
