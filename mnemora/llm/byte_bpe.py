@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 import struct
 
 import numpy as np
@@ -29,6 +30,8 @@ STEP, MIX, MASK = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xFFFFFFFFFFFFFFFF
 #: Pieces whose ids a task remembers, and the characters of those that are too long to remember.
 MEMO, LONG_PIECE = 600_000, 64
 PACK = struct.Struct("<I").pack
+#: White space but space and line feed.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class PerfectHash:
@@ -186,7 +189,8 @@ class ByteBPE:
         """
         memo = self.memo
         memo.turn()
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # white space of several or other characters
+        # as many words as spaces and line feeds part, if no other white space parts any: each of them stands alone
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or OTHER_SPACE.search(text):
             pieces = self.split(text)
         else:
             first, *rest = text.split(" ")

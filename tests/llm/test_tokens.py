@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -47,6 +48,19 @@ def test_byte_bpe_like_the_library(spark, library):
     assert encode_digest(df.limit(0), BYTE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_other_white_space_beside_runs_like_the_library(library):
+    bpe = ByteBPE.from_file(BYTE, public_tokenizers.PATTERN)
+    bpe.start()
+    others = "\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u2029\u3000"
+    texts = [f"a{x}b{x}c{run}d" for x in others for run in ("\n\n\n", "   ", " \n ", "\n \n")] + [f" a{x}b c" for x in others] + [f"a{x}b\n" for x in others]
+    rnd = random.Random(9)
+    texts += ["".join(rnd.choice(f"ab \n{rnd.choice(others)}") for _ in range(30)) for _ in range(500)]
+    taken = [t for t in texts if len(t.split()) == t.count(" ") + t.count("\n") + 1]
+    assert len(taken) > 50  # where the count of words alone says nothing
+    for t in texts:
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == library.encode_ordinary(t), t
+
+
 def test_perfect_hash_is_minimal():
     bpe = ByteBPE.from_file(BYTE, public_tokenizers.PATTERN)
     assert sorted(bpe.hash.ranks) == list(range(len(bpe.tokens))) and bpe.hash.get(b"\xff\xfe\xfd") == -1
