@@ -28,10 +28,12 @@ from .common import map_batches, text_of
 #: Odd multipliers of the slot hash.
 STEP, MIX, MASK = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xFFFFFFFFFFFFFFFF
 #: Pieces whose ids a task remembers, and the characters of those that are too long to remember.
-MEMO, LONG_PIECE = 600_000, 64
+MEMO, LONG_PIECE = 300_000, 64
 PACK = struct.Struct("<I").pack
 #: White space but space and line feed.
 OTHER_SPACE = re.compile(r"[^\S \n]")
+#: The pattern (a fixed value) of whose matches none holds a single space or line feed together with what stands before it.
+CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class PerfectHash:
@@ -85,23 +87,16 @@ class PerfectHash:
         return self.ranks[slot] if self.keys[slot] == token else -1
 
 
-class Memo(dict):
-    """Remembers about `MEMO` values: what was not asked for since the last turn is forgotten at the next."""
+class Memo:
+    """Remembers about `MEMO` values in two turns: what was not asked for since the last turn is forgotten at the next."""
 
     def __init__(self):
-        super().__init__()
-        self.old: dict = {}
-
-    def recall(self, key):
-        """A value of the last turn, taken into this one, or None."""
-        if (value := self.old.get(key)) is not None:
-            self[key] = value
-        return value
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def turn(self) -> None:
-        if len(self) > MEMO // 2:
-            self.old = dict(self)
-            self.clear()
+        if len(self.new) > MEMO // 2:
+            self.new, self.old = {}, self.new
 
 
 class ByteBPE:
@@ -119,56 +114,65 @@ class ByteBPE:
             return cls({base64.b64decode(k): int(r) for k, r in (line.split() for line in f if line.strip())}, pattern)
 
     def start(self) -> None:
-        """Make what only a task needs: the merges, from two ids to the id of both together, and the memo."""
+        """Make what only a task needs: by left id the merges with right ids, those of single bytes as a table, the memo."""
         self.split, self.memo = regex.compile(self.pattern).findall, Memo()
-        ids = {k: r for r, k in self.tokens.items()}
-        self.merges = {}
+        ids, none = {k: r for r, k in self.tokens.items()}, {}
+        self.merges: list[dict[int, int]] = [none] * (max(self.tokens) + 1)
         for token, rank in ids.items():
             for i in range(1, len(token)):
                 left, right = ids.get(token[:i]), ids.get(token[i:])
                 if left is not None and right is not None:
-                    self.merges[left << 32 | right] = rank
+                    if self.merges[left] is none:
+                        self.merges[left] = {}
+                    self.merges[left][right] = rank
+        self.pairs = [[self.merges[x].get(y, -1) for y in self.bytes] for x in self.bytes]
+
+    def stop(self) -> None:
+        for name in ("split", "memo", "merges", "pairs"):
+            self.__dict__.pop(name, None)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo", "merges")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo", "merges", "pairs")}
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of a pre-token that the vocabulary lacks: the lowest-ranked pair merges first, the leftmost of equals.
 
         The parts are linked by the places where they begin; the heap holds rank and place of each pair in one number.
         """
-        n, merged, own = len(token), self.merges.get, self.bytes
-        ids = [own[b] for b in token]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = [merged(x << 32 | y, -1) for x, y in zip(ids, ids[1:])]
-        rank.append(-1)
+        n, merges, pairs = len(token), self.merges, self.pairs
+        ids = [self.bytes[b] for b in token]
+        rank = [pairs[x][y] for x, y in zip(token, token[1:])]
         heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
+        if not heap:
+            return ids
+        rank.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             r, i = divmod(pop(heap), n)
             if rank[i] != r:
                 continue
-            ids[i] = r
             j = after[i]
-            rank[j], ids[j] = -1, -1
             k = after[i] = after[j]
+            ids[i] = r
+            ids[j] = rank[j] = -1
             if k < n:
                 before[k] = i
-                rank[i] = r = merged(ids[i] << 32 | ids[k], -1)
-                if r >= 0:
-                    push(heap, r * n + i)
+                rank[i] = r2 = merges[r].get(ids[k], -1)
+                if r2 >= 0:
+                    push(heap, r2 * n + i)
             else:
                 rank[i] = -1
             if (p := before[i]) >= 0:
-                rank[p] = r = merged(ids[p] << 32 | ids[i], -1)
-                if r >= 0:
-                    push(heap, r * n + p)
+                rank[p] = r2 = merges[ids[p]].get(r, -1)
+                if r2 >= 0:
+                    push(heap, r2 * n + p)
         return [x for x in ids if x >= 0]
 
     def packed(self, piece: str) -> bytes:
         """Ids of the matches of the pattern in `piece`, as little-endian 32-bit integers."""
-        out, memo = [], self.memo
+        out, memo = [], self.memo.new
         found = self.split(piece)
         for pre in found:
             ids = memo.get(pre) if len(found) > 1 else None
@@ -184,13 +188,14 @@ class ByteBPE:
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text.
 
-        A single space or line feed between two characters that are not white space never lies inside a match
-        together with what stands before it, so pieces cut there are encoded apart and remembered.
+        By the pattern `CUT_AT_SPACES` a single space or line feed between two characters that are not white space
+        never lies inside a match together with what stands before it, so pieces cut there are encoded apart and
+        remembered. Texts with other white space, and all texts under other patterns, are split by the pattern itself.
         """
-        memo = self.memo
-        memo.turn()
+        self.memo.turn()
+        memo, old = self.memo.new, self.memo.old
         # as many words as spaces and line feeds part, if no other white space parts any: each of them stands alone
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or OTHER_SPACE.search(text):
+        if self.pattern != CUT_AT_SPACES or len(text.split()) != text.count(" ") + text.count("\n") + 1 or OTHER_SPACE.search(text):
             pieces = self.split(text)
         else:
             first, *rest = text.split(" ")
@@ -206,8 +211,9 @@ class ByteBPE:
                     pieces.append(piece)
         out = []
         for piece in pieces:
-            if (ids := memo.get(piece)) is None and (ids := memo.recall(piece)) is None:
-                ids = self.packed(piece)
+            if (ids := memo.get(piece)) is None:
+                if (ids := old.get(piece)) is None:
+                    ids = self.packed(piece)
                 if len(piece) < LONG_PIECE:
                     memo[piece] = ids
             out.append(ids)
@@ -248,4 +254,4 @@ def _mapped(df, bpe, text, keep, result, names, types, ddl) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*keep, *names])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_batches(rows, run, f"{kept}, {ddl}" if kept else ddl)
+    return map_batches(rows, run, f"{kept}, {ddl}" if kept else ddl, bpe.stop)

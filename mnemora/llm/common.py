@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,9 +18,11 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; one of the session's own only where none is configured (tests)."""
+    """The shared folder for checkpoints. Only a session of one process may do without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -33,17 +37,50 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """`fn` over the Arrow batches of `df`, partition by partition."""
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and what one stage leaves unused counts in the next."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str, done: Callable[[], None] | None = None) -> DataFrame:
+    """`fn` over the Arrow batches of `df`, partition by partition; `done` drops what a partition has remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+        try:
+            for batch in batches:
+                if batch.num_rows and (out := fn(batch)) is not None:
+                    yield out
+                    del out
+        finally:
+            if done:
+                done()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def join_hot(df: DataFrame, side: DataFrame, key: str, rows: str, hot: int = 10_000, most: int = 100_000) -> DataFrame:
+    """Left join of `df` with `side`, which has one row a key and the number `rows` of rows that it meets in `df`.
+
+    A key may meet a third of all rows. Keys of more than `hot` rows (at most `most` of them, those of most rows) are
+    taken to the rows as they lie; the other rows are dealt by key. Columns of `side` must not be columns of `df`.
+    """
+    names = [c for c in side.columns if c not in (key, rows)]
+    bound = side.select(F.count_if(F.col(rows) > hot).alias("n"), F.approx_percentile(F.when(F.col(rows) > hot, F.col(rows)), F.lit(0.5)).alias("middle")).first()
+    if not bound.n:
+        return df.join(side.drop(rows), key, "left")
+    while bound.n > most:  # the half of most rows, until they are few
+        hot = int(bound.middle)
+        bound = side.select(F.count_if(F.col(rows) > hot).alias("n"), F.approx_percentile(F.when(F.col(rows) > hot, F.col(rows)), F.lit(0.5)).alias("middle")).first()
+    few = side.filter(F.col(rows) > hot).select(F.col(key).alias("_hot_key"), F.struct(*names).alias("_hot"))
+    rest = side.filter(F.col(rows) <= hot).select(F.col(key).alias("_rest_key"), F.struct(*names).alias("_rest"))
+    met = df.join(F.broadcast(few), F.col(key) == F.col("_hot_key"), "left")
+    cold = met.filter("_hot IS NULL").join(rest, F.col(key) == F.col("_rest_key"), "left").select(*df.columns, *(F.col(f"_rest.{c}").alias(c) for c in names))
+    return met.filter("_hot IS NOT NULL").select(*df.columns, *(F.col(f"_hot.{c}").alias(c) for c in names)).unionByName(cold)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}

@@ -32,7 +32,7 @@ MATCH, MISMATCH, GAP = 2, -1, -2
 #: Score of a copy, as a share of the score of an exact copy; short items need more.
 MIN_SCORE, SHORT_WORDS, SHORT_SCORE = 0.5, 8, 0.9
 #: Words that a task remembers before it starts afresh.
-MEMO = 1_000_000
+MEMO = 200_000
 MARKS = re.compile(r"[\W_]+")
 
 

@@ -36,7 +36,7 @@ DENSE = 12
 #: Ids that are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Word hashes that a task remembers before it starts afresh.
-MEMO = 1_000_000
+MEMO = 200_000
 #: Odd multipliers of the n-gram hash.
 ODD = tuple(np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -84,7 +84,7 @@ def _sets(df: DataFrame, n: int, fields: str, row) -> DataFrame:
         found = [x for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (x := row(i, gram_set(t.as_py(), hashes, n))) is not None]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema) if found else None
 
-    return map_batches(df, run, fields)
+    return map_batches(df, run, fields, hashes.clear)
 
 
 def _class(grams: np.ndarray) -> int:

@@ -40,6 +40,9 @@ class Counter:
 
         self.tokenizer, self.memo = Tokenizer.from_file(self.path), {}
 
+    def stop(self) -> None:
+        self.__dict__.pop("tokenizer", None), self.__dict__.pop("memo", None)
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("tokenizer", "memo")}
 
@@ -134,4 +137,4 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     ddl = "n_bytes long, n_tokens long, over_limit boolean"
-    return map_batches(rows, run, f"{kept}, {ddl}" if kept else ddl)
+    return map_batches(rows, run, f"{kept}, {ddl}" if kept else ddl, counter.stop)
