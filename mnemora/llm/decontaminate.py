@@ -6,26 +6,29 @@ of an item meet, Smith-Waterman alignment over words scores the stretch around t
 alignment with the whole text would find, edited and paraphrased copies too. How common a seed is only decides which
 ones the search begins with; no text counts for another. Words are compared lower-cased and without marks.
 
-The items go to the tasks in shards of at most `SHARD_WORDS` words, however large the benchmark; every shard meets
-every text. Defined cases: null or blank texts match nothing; items without words match nothing; an item of one word
-is one seed; repeated items and rows are each reported; empty tables give an empty result; columns but id and text
-are carried by `without_contaminated` and not read.
+The corpus is read once, however large the benchmark. One of up to `TASK_WORDS` words goes to the tasks whole, as
+seeds in sorted arrays. The seeds of a larger one are a table: the word pairs of the texts join it by hash, are
+counted by text and item, and only where enough of an item's seeds are in a text does the alignment see both.
+
+Defined cases: null or blank texts match nothing; items without words match nothing; an item of one word is one
+seed; repeated items and rows are each reported; ids may be of any type; empty tables give an empty result; columns
+but id and text are carried by `without_contaminated` and not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import free_name, map_batches, materialise, text_of
 
-#: Words of the benchmark that one pass takes along.
-SHARD_WORDS = 500_000
+#: Words of a benchmark that goes to the tasks whole, some tens of MB.
+TASK_WORDS = 500_000
 #: Places of the items that have a seed before it is common; a search may begin without common seeds, see `Items`.
 COMMON = 64
 MATCH, MISMATCH, GAP = 2, -1, -2
@@ -98,7 +101,7 @@ class Numbers(dict):
 
 
 class Items:
-    """The seeds of one shard of the benchmark.
+    """The seeds of a benchmark.
 
     A copy shares `need` seeds of its item at least, so up to `need - 1` common ones are left out of the search, and
     `need` is less by their number: what the others must reach whether or not the copy has those.
@@ -130,7 +133,7 @@ class Items:
         self.item, self.place = self.item[order], self.place[order]
         self.seeds, first, self.seed = np.unique(every[order], return_index=True, return_inverse=True)
         self.first = np.r_[first, len(every)]
-        self.has_short = bool((self.seeds & ((1 << 21) - 1) == 0).any())  # items of one word
+        self.has_short = bool((self.seeds & ((1 << 31) - 1) == 0).any())  # items of one word
         self.memo = Numbers(self.known)
 
     def __getstate__(self):
@@ -143,7 +146,7 @@ class Items:
     @staticmethod
     def codes(w: np.ndarray) -> np.ndarray:
         """Codes of the word pairs; an item of one word has one code, of it and zero."""
-        return (w[:-1] << 21) + w[1:] if len(w) > 1 else w << 21  # a shard has fewer words
+        return (w[:-1] << 31) + w[1:] if len(w) > 1 else w << 31
 
     def read(self, text: str) -> np.ndarray:
         """A text as word numbers: 0 for words that no item has; bare marks are left out."""
@@ -159,10 +162,10 @@ class Items:
         if not len(self.seeds):
             return (np.empty(0, np.int64),) * 2
         places = np.flatnonzero((w[:-1] > 0) & (w[1:] > 0))
-        codes = (w[places] << 21) + w[places + 1]
+        codes = (w[places] << 31) + w[places + 1]
         if self.has_short:
             single = np.flatnonzero(w > 0)
-            places, codes = np.r_[places, single], np.r_[codes, w[single] << 21]
+            places, codes = np.r_[places, single], np.r_[codes, w[single] << 31]
         at = np.minimum(np.searchsorted(self.seeds, codes), len(self.seeds) - 1)
         good = self.seeds[at] == codes
         return places[good], at[good]
@@ -220,42 +223,128 @@ class Items:
         return out
 
 
-def shards(bench: DataFrame, item: str) -> Iterator[Items]:
-    """The benchmark's shards."""
-    rows = bench.select(F.col(f"`{item}`").alias("item"), text_of().alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
-    count = max(1, -(-total // SHARD_WORDS))
-    for k in range(count):
-        yield Items([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).orderBy("item").collect()])
+# --- benchmarks that go to the tasks whole -----------------------------------------------------------------------
 
 
-def contaminated(df: DataFrame, bench: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """One row per text and item that it copies: the ids, `score` (1 for an exact copy) and the copy's word span."""
-    kinds = [df.schema[doc].dataType.simpleString(), bench.schema[item].dataType.simpleString()]
-    rows = df.select(F.col(f"`{doc}`").alias("doc_id"), text_of(f"`{text}`").alias("text"))
-    doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    out = None
-    for items in shards(bench, item):
+def words_in(bench: DataFrame) -> int:
+    """Words of the benchmark, parted by white space: one more than the items' words at most by item."""
+    return bench.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+")).cast("long")), F.lit(0))).first()[0]
 
-        def run(batch: pa.RecordBatch, items=items) -> pa.RecordBatch | None:
-            found = [(i, *c) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for c in items.copies(t.as_py())]
-            if not found:
-                return None
-            types = [doc_type[kinds[0]], doc_type[kinds[1]], pa.float64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), types)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-        part = map_batches(rows, run, f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, first_word long, end_word long")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _held(bench: DataFrame) -> tuple[Items, pa.Array]:
+    """The seeds of a small benchmark, by place, and the items' ids at these places."""
+    table = bench.orderBy("item").toArrow()  # at most TASK_WORDS words
+    return Items(list(enumerate(table.column("text").to_pylist()))), table.column("item").combine_chunks()
 
 
-def without_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """The rows of `df` whose text copies no item."""
-    out, at = df, df.columns.index(text)
-    for items in shards(bench, item):
+def _small(rows: DataFrame, bench: DataFrame, schema: str) -> DataFrame:
+    items, ids = _held(bench)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = [(k, *c) for k, t in enumerate(batch.column(1)) for c in items.copies(t.as_py())]
+        if not found:
+            return None
+        row, item, score, first, end = zip(*found)
+        made = [batch.column(0).take(pa.array(row)), ids.take(pa.array(item)), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())]
+        return pa.RecordBatch.from_arrays(made, names=["doc_id", "item_id", "score", "first_word", "end_word"])
+
+    return map_batches(rows, run, schema, items.memo.clear)
+
+
+# --- benchmarks whose seeds are a table --------------------------------------------------------------------------
+
+
+def pair_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of the word pairs; of a single word, that of the word alone."""
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])] if len(words) > 1 else words
+    return np.fromiter((xxhash.xxh3_64_intdigest(p) for p in pairs), np.uint64, len(pairs)).view(np.int64)
 
-        def run(batch: pa.RecordBatch, items=items) -> pa.RecordBatch:
-            return batch.filter(pa.array([not items.copies(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
 
-        out = map_batches(out, run, out.schema)
-    return out
+def seed_table(bench: DataFrame) -> DataFrame:
+    """`number` of an item, `place`, `seed`, and `need`: of these seeds every copy of the item has so many at least.
+
+    An item's `need` falls by each of its common seeds, of which at most `need` - 1 are left out.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        number, place, seed, need = [], [], [], []
+        for k, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            words = words_of(text.as_py())
+            if words:
+                h = pair_hashes(words)
+                number += [k] * len(h)
+                place += range(len(h))
+                seed += h.tolist()
+                need += [bounds(len(words))[0]] * len(h)
+        return pa.RecordBatch.from_pydict({"number": pa.array(number, pa.int64()), "place": pa.array(place, pa.int64()), "seed": pa.array(seed, pa.int64()), "need": pa.array(need, pa.int64())})
+
+    rows = map_batches(bench.select("number", "text"), run, "number long, place long, seed long, need long")
+    often = rows.groupBy("seed").agg(F.count("*").alias("often"))
+    # the common seeds of an item, those of most places first, are left out; an item's seeds lie in one array
+    by_item = rows.join(often, "seed").groupBy("number", "need").agg(F.sort_array(F.collect_list(F.struct("often", "seed", "place")), asc=False).alias("seeds"))
+    out = F.least(F.size(F.filter("seeds", lambda s: s["often"] > COMMON)).cast("long"), F.col("need") - 1)
+    kept = by_item.select("number", (F.col("need") - out).alias("need"), F.explode(F.slice("seeds", (out + 1).cast("int"), F.size("seeds"))).alias("s"))
+    return kept.select("number", "need", "s.place", "s.seed")
+
+
+def _large(rows: DataFrame, bench: DataFrame, schema: str) -> DataFrame:
+    bench = materialise(bench.withColumn("number", F.monotonically_increasing_id()))
+    seeds = materialise(seed_table(bench))
+    single = not seeds.filter("need = 1").limit(1).isEmpty()  # a copy of a short item may share one seed, or be one word
+
+    def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for text in batch.column(1):
+            words = words_of(text.as_py())
+            h = pair_hashes(words) if len(words) > 1 else np.empty(0, np.int64)
+            if single and words:
+                h = np.r_[h, np.fromiter((xxhash.xxh3_64_intdigest(w) for w in set(words)), np.uint64).view(np.int64)]
+            found.append(np.unique(h))
+        lengths = np.cumsum([0, *map(len, found)])
+        flat = np.concatenate(found) if found else np.empty(0, np.int64)
+        return pa.RecordBatch.from_pydict({"text_key": batch.column(0), "seeds": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))})
+
+    # equal texts are searched once, known by their digest
+    keyed = rows.select("doc_id", F.sha2("text", 256).alias("text_key"), "text")
+    texts = map_batches(keyed.select("text_key", "text"), hashes, "text_key string, seeds array<long>").dropDuplicates(["text_key"])
+    met = texts.select("text_key", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("text_key", "number", "need").agg(F.count("*").alias("n")).filter("n >= need")
+    pairs = keyed.join(met.select("text_key", "number"), "text_key").join(bench.select("number", "item", F.col("text").alias("item_text")), "number")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = [(k, *c[1:]) for k, (t, i) in enumerate(zip(batch.column(1), batch.column(3))) for c in Items([(0, i.as_py())]).copies(t.as_py())]
+        if not found:
+            return None
+        row, score, first, end = zip(*found)
+        made = [batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())]
+        return pa.RecordBatch.from_arrays(made, names=["doc_id", "item_id", "score", "first_word", "end_word"])
+
+    return map_batches(pairs.select("doc_id", "text", "item", "item_text"), run, schema)
+
+
+def _inputs(df: DataFrame, bench: DataFrame, doc: str, text: str, item: str) -> tuple[DataFrame, DataFrame, str]:
+    rows = df.select(F.col(f"`{doc}`").alias("doc_id"), text_of(f"`{text}`").alias("text"))
+    items = bench.select(F.col(f"`{item}`").alias("item"), text_of().alias("text"))
+    kinds = rows.schema["doc_id"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
+    return rows, items, f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, first_word long, end_word long"
+
+
+def contaminated(df: DataFrame, bench: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", task_words: int = TASK_WORDS) -> DataFrame:
+    """One row per text and item that it copies: the ids, `score` (1 for an exact copy) and the copy's word span."""
+    rows, items, schema = _inputs(df, bench, doc, text, item)
+    return (_small if words_in(items) <= task_words else _large)(rows, items, schema)
+
+
+def without_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", task_words: int = TASK_WORDS) -> DataFrame:
+    """The rows of `df` whose text copies no item."""
+    at = df.columns.index(text)
+    rows, items, schema = _inputs(df, bench, text, text, item)
+    if words_in(items) > task_words:
+        key = free_name(df, "text_key")
+        gone = _large(rows, items, schema).select(F.sha2("doc_id", 256).alias(key)).distinct()  # here the text stands for the id
+        return df.join(gone, F.sha2(text_of(f"`{text}`"), 256) == F.col(key), "left_anti")
+    held, _ = _held(items)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([not held.copies(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
+
+    return map_batches(df, run, df.schema, held.memo.clear)

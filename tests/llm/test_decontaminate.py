@@ -58,12 +58,29 @@ def test_copies_like_all_pairs(spark):
     assert dc.contaminated(df.limit(0), bench).count() == 0 and dc.contaminated(df, bench.limit(0)).count() == 0
 
 
-def test_shards_find_the_same(spark, monkeypatch):
+def test_both_routes_find_the_same(spark, monkeypatch):
     items, docs = corpus(3)
+    items += [(7, items[7][1]), (60, "solo"), (61, " ".join(x for _, x in items[:5]))]  # a repeated id, one word, a long item
+    docs += [(200, "a solo walk"), (201, None), (202, items[3][1]), (203, items[3][1])]
     bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
-    whole = {(r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()}
-    monkeypatch.setattr(dc, "SHARD_WORDS", 100)
-    assert {(r.doc_id, r.item_id) for r in dc.contaminated(df, bench).collect()} == whole
+    rows = lambda **k: sorted(map(tuple, dc.contaminated(df, bench, **k).collect()))
+    whole = rows()
+    left = sorted(map(str, dc.without_contaminated(df, bench).collect()))
+    for common in (64, 1):  # with and without seeds left out
+        monkeypatch.setattr(dc, "COMMON", common)
+        assert rows(task_words=0) == whole and len(whole) > 15
+        assert sorted(map(str, dc.without_contaminated(df, bench, task_words=0).collect())) == left
+    assert dc.contaminated(df.limit(0), bench, task_words=0).count() == 0 and dc.contaminated(df, bench.limit(0), task_words=-1).count() == 0
+
+
+def test_ids_of_any_type_and_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    bench = spark.createDataFrame([(3, text)], "id int, text string").selectExpr("CAST(id AS decimal(9,2)) AS item_id", "text")
+    df = spark.createDataFrame([(1, text, "x", 5), (2, "else", "y", 6)], "doc_id int, text string, text_key string, item long").selectExpr("CAST(doc_id AS smallint) AS doc_id", "text", "text_key", "item")
+    for words in (dc.TASK_WORDS, 0):
+        out = dc.contaminated(df, bench, task_words=words)
+        assert out.schema["doc_id"].dataType.simpleString() == "smallint" and [(r.doc_id, str(r.item_id)) for r in out.collect()] == [(1, "3.00")]
+        assert [r.doc_id for r in dc.without_contaminated(df, bench, task_words=words).collect()] == [2]
 
 
 def edited(rnd, words):
