@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
+
+import numpy as np
 
 from mnemora.llm import pii
 
@@ -49,6 +52,72 @@ def test_field_on_held_out_sentences():
     assert right / found > 0.9 and right / there > 0.85, (right, found, there)
 
 
+def every_segmentation(field, text):
+    """Best spans by trying all segmentations and labels of a short text."""
+    atoms = list(pii.atoms_in(text))
+    scores = field.scores(field.segments(text, atoms))
+    best = (-np.inf, None)
+
+    def go(i, label, total, spans):
+        nonlocal best
+        if i == len(atoms):
+            best = max(best, (total + field.t[label, 0], spans), key=lambda x: x[0])
+            return
+        for j in range(i + 1, len(atoms) + 1):
+            if (i, j) in scores:
+                for y in range(len(pii.LABELS)):
+                    if scores[i, j][y] > -np.inf:
+                        go(j, y, total + field.t[label, y] + scores[i, j][y], spans + ((atoms[i][0], atoms[j - 1][1], pii.LABELS[y]),) * (y > 0))
+
+    go(0, 0, 0.0, ())
+    return list(best[1] or ())
+
+
+def test_decoding_like_all_segmentations():
+    field, rnd, labelled = pii.trained(), random.Random(5), 0
+    few = ["token: aBcDeFgHiJk", "+1 (017) 555-7713", "ann @ x.org", "DE44 5001 0517", "", ".", "12 34-56", "ssn 123-45-6789", "password hunterABCD!"]
+    for text in [*few, *(" ".join(rnd.choice(("key", "a", "12", "x@y.de", "1.2.3.4", "Ab", "-", "(5)")) for _ in range(rnd.randint(1, 4))) for _ in range(25))]:
+        if len(list(pii.atoms_in(text))) > 5:
+            continue
+        got = list(field.best(text))
+        assert got == every_segmentation(field, text), text
+        labelled += len(got)
+    assert labelled > 10
+
+
+def test_windows_and_settled_ways_lose_nothing(monkeypatch):
+    field, rnd = pii.trained(), random.Random(6)
+    words = ["foo", "bar", "Xy.", "nada,", "(q)", "a-b", "JavaScript", "key", "Call", "tel:", "İstanbul", "deadbeef" * 4, "٣٤"]
+    for settle in (1024, 8):
+        monkeypatch.setattr(pii.Ways, "SETTLE", settle)
+        for _ in range(60):
+            t = rnd.choice(("\n", " ", "\u00a0")).join(pii.sentence(rnd)[0] if rnd.random() < 0.4 else " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 30))) for _ in range(rnd.randint(1, 5)))
+            whole = list(field.best(t))
+            assert [s for a, b in pii.windows(t) for s in field.best(t, a, b)] == whole
+            monkeypatch.setattr(pii.Ways, "SETTLE", 10**9)
+            assert list(field.best(t)) == whole
+            monkeypatch.setattr(pii.Ways, "SETTLE", settle)
+
+
+def test_long_and_letter_secrets():
+    field = pii.trained()
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9." + "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6Ikpv" * 3 + ".SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV"
+    assert pii.find(f"token: {jwt}", field)[1] == [(7, 7 + len(jwt), "secret")]
+    assert pii.find("password: hunterhunterABCD", field)[1] == [(10, 26, "secret")]
+    assert pii.find("the key word is call and the card of my account server host", field)[1] == []
+
+
+def test_long_texts_in_bounded_memory():
+    field = pii.trained()
+    text, word = " ".join(map(str, range(12_000))), "a1" * 100_000
+    tracemalloc.start()
+    pii.find(text, field)
+    pii.find(word, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000, peak
+
+
 def test_digest_and_edge_cases(spark):
     rows = list(enumerate(texts()))
     df = spark.createDataFrame([*rows, (-1, None), (0, "")], "doc_id long, text string")
