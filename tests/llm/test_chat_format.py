@@ -46,34 +46,41 @@ def conversations(seed, n=120, longest=6):
     return rows
 
 
-def test_least_cost_in_blocks_of_any_size(spark):
-    rows = conversations(1)
-    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, block string").repartition(3)
+def test_least_cost_whole_and_in_runs(spark):
+    rows = conversations(1) + [(None, t, "user", f"none {t}") for t in range(3)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, run string, cost int").repartition(3)
     want = {}
     for c in {r[0] for r in rows}:
-        roles = [r[2] if r[2] in cf.ROLES else None for r in sorted(r for r in rows if r[0] == c)]
+        roles = [r[2] if r[2] in cf.ROLES else None for r in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
         want[c] = brute(roles)
-    for block in (512, 2):
-        parts = cf.render(df, block=block).collect()
-        got = {}
-        for p in sorted(parts, key=lambda p: (p.conv, p.block)):
-            cost, text = got.get(p.conv, (0.0, ""))
-            got[p.conv] = cost + p.cost, text + p.rendered
-        assert {c: v[0] for c, v in got.items()} == want
-        assert all(legal(v[1]) for v in got.values())
-        for c, t, _, x in rows:
-            assert x in got[c][1]
+    whole = {r.conv: r for r in cf.render(df).collect()}
+    assert len(whole) == cf.render(df).count() and {c: r.cost for c, r in whole.items()} == want
+    assert all(legal(r.rendered) for r in whole.values())
+    for c, t, _, x in rows:
+        assert x in whole[c].rendered
+    for hot in (1, 3):  # all but the shortest conversations in runs
+        assert {r.conv: r for r in cf.render(df, hot_turns=hot).collect()} == whole
+    turns = sorted(map(str, cf.repair(df).collect()))
+    assert turns == sorted(map(str, cf.repair(df, hot_turns=2).collect())) and len(turns) == len(rows)
+
+
+def test_hot_conversations_are_cut(spark):
+    """A third of all turns without an id, many of them alike; one conversation of many turns: one row each."""
+    rnd = random.Random(4)
+    rows = [(None, None, "user", "same")] * 300 + [(777, t, rnd.choice(("user", "assistant", "system")), f"t{t}") for t in range(400)] + conversations(5, 60)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    assert cf.chat_digest(df).count() == 62
+    assert {r.conv: (r.rendered, r.cost) for r in cf.render(df, hot_turns=50).collect()} == {r.conv: (r.rendered, r.cost) for r in cf.render(df).collect()}
 
 
 def test_render_and_edge_cases(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "Human", "hi"), (1, 2, "user", "there"), (1, 3, "gpt", "hello"), (2, 0, "system", "only"), (3, 0, "user", None), (None, None, "user", "a"), (None, 0, "user", "b"), (4, 0, "user", "same"), (4, 0, "user", "same")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {}
-    for r in cf.render(df).orderBy("block").collect():
-        got[r.conv] = got.get(r.conv, "") + r.rendered
+    got = {r.conv: r.rendered for r in cf.render(df).collect()}
     assert got[1] == "<|system|>\nbe kind\n<|user|>\nhi\nthere\n<|assistant|>\nhello\n"
     assert got[2] == "<|user|>\nonly\n"  # one relabel is cheaper than two empty turns
     assert got[3] == "<|user|>\n\n" and got[None] == "<|user|>\na\nb\n" and got[4] == "<|user|>\nsame\nsame\n"
     assert cf.repair(df).count() == len(rows) and cf.chat_digest(df.limit(0)).count() == 0
     long = spark.range(3_000).select(F.lit(9).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("t").alias("text"))
-    assert cf.render(long).agg(F.count("*"), F.sum("n_turns"), F.sum("cost")).first()[:] == (6, 3000, 0.0)
+    assert cf.render(long).agg(F.count("*"), F.sum("n_turns"), F.sum("cost")).first()[:] == (1, 3000, 0.0)
+    assert cf.render(df.limit(0), hot_turns=0).count() == 0
