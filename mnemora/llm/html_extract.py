@@ -6,8 +6,9 @@ drop, by dynamic programming, so that nothing below a dropped node is kept. The
 driver, on generated pages; they go to the tasks with the function (a few hundred KB).
 
 Defined cases: a null or empty page has an empty text; pages are read whole, with broken markup read as browsers do
-in the common cases (unclosed paragraphs and items, stray ends, missing heads); repeated rows are read each; an
-empty table gives an empty table; columns but those named are not read.
+in the common cases (unclosed paragraphs, items, buttons and drawings, stray ends, missing heads), in time in
+proportion to their length and depth; all that Python counts as white space, no-break spaces too, becomes one space;
+repeated rows are read each; an empty table gives an empty table; columns but those named are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import functools
 import html
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,12 @@ RAW = frozenset("script style textarea title xmp noembed noframes".split())
 SILENT = frozenset("template noscript svg math iframe object select button datalist canvas audio video map".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
+#: Elements inside which an open paragraph outside is none of theirs.
+KEEPS_PARAGRAPH = ("td", "th", "li", "table", "article", "section", "div")
+#: Characters of pages that are scored at once.
+PACK_CHARS = 500_000
+#: Silent elements inside each other that are told apart; deeper ones end with these.
+DEEP_SILENCE = 64
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^'\"<>]++|\"[^\"<]*\"|'[^'<]*')*+)>")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 NAMED = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -80,18 +88,79 @@ def _attributes(raw: str) -> tuple[frozenset[str], bool]:
     return frozenset(tokens), hidden
 
 
+class Stack:
+    """The open elements, and for each tag the places where it is open: what a tag closes is found without a search."""
+
+    def __init__(self):
+        self.nodes, self.tags, self.places = [0], ["root"], {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def cut(self, to: int) -> None:
+        while len(self.nodes) > to:
+            self.nodes.pop()
+            self.places[self.tags.pop()].pop()
+
+    def inmost(self, tags) -> int:
+        """The inmost place where one of the tags is open, 0 if none is."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+
+class Silence:
+    """Whether the reading is inside an element that is never text.
+
+    Such an element ends with its end tag, or with that of an enclosing block; one whose end tag does not follow in
+    the page is read as if it were not there.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.names, self.inner, self.ends = page, [], {}, {}
+
+    def ended_after(self, tag: str, at: int) -> bool:
+        if tag not in self.ends:
+            self.ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", self.page, re.I)), default=-1)
+        return self.ends[tag] >= at
+
+    def tag(self, tag: str, close: bool, empty: bool, at: int) -> None:
+        if close:
+            if tag in self.names:
+                del self.names[len(self.names) - 1 - self.names[::-1].index(tag) :]
+                if not self.names:
+                    self.inner = {}
+        elif not empty and len(self.names) < DEEP_SILENCE and self.ended_after(tag, at):
+            self.names.append(tag)
+
+    def block(self, tag: str, close: bool, open_outside: bool) -> bool:
+        """Take note of a block's tag inside; True if it ends the silence, as the end of a block around it."""
+        n = self.inner.get(tag, 0)
+        if not close:
+            self.inner[tag] = n + 1
+        elif n:
+            self.inner[tag] = n - 1
+        elif open_outside:
+            self.names, self.inner = [], {}
+            return True
+        return False
+
+
 def parse(page: str) -> list[Node]:
-    """Nodes in page order, the first a root; each text block belongs to the block-level element it stands in."""
+    """Nodes in page order, the first a root; each text block belongs to the block-level element it stands in.
+
+    Time is in proportion to the page, however deep or broken it is.
+    """
     nodes = [Node("root", -1, 0, frozenset(), False, 0)]
-    stack, run, links, block = [0], [], 0, 0
-    in_link, silent, at, n = False, 0, 0, len(page)
+    stack, silence, run, links, block = Stack(), Silence(page), [], 0, 0
+    in_link, at, n = False, 0, len(page)
 
     def flush():
         nonlocal run, links, block
         if run:
             text = " ".join("".join(run).split())
             if text:
-                node = nodes[stack[-1]]
+                node = nodes[stack.nodes[-1]]
                 node.texts.append((block, text))
                 block += 1
                 node.chars += len(text)
@@ -105,12 +174,12 @@ def parse(page: str) -> list[Node]:
 
     def leave(to: int):
         flush()
-        del stack[to:]
+        stack.cut(to)
 
     while at < n:
         lt = page.find("<", at)
         if lt < 0 or lt > at:
-            if not silent:
+            if not silence.names:
                 text = html.unescape(page[at : lt if lt >= 0 else n])
                 run.append(text)
                 if in_link:
@@ -130,7 +199,7 @@ def parse(page: str) -> list[Node]:
             elif at + 1 < n and page[at + 1].isalpha():
                 break  # a tag that never ends
             else:
-                if not silent:
+                if not silence.names:
                     run.append("<")
                 at += 1
             continue
@@ -139,24 +208,24 @@ def parse(page: str) -> list[Node]:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             if tag == "textarea":
-                nodes[stack[-1]].inputs += 1
+                nodes[stack.nodes[-1]].inputs += 1
             continue
         if tag in SILENT:
-            silent = max(0, silent + (-1 if close else 0 if m[3].rstrip().endswith("/") else 1))
+            silence.tag(tag, close, m[3].rstrip().endswith("/"), at)
             if tag in ("select", "button") and not close:
-                nodes[stack[-1]].inputs += 1
-            if not silent:
+                nodes[stack.nodes[-1]].inputs += 1
+            if not silence.names:
                 run.append(" ")
             continue
-        if silent:
+        if silence.names and not (tag in BLOCKS and silence.block(tag, close, bool(stack.places.get(tag)))):
             continue
-        nodes[stack[-1]].tags += not close
+        nodes[stack.nodes[-1]].tags += not close
         if tag == "br" or tag == "hr":
             if tag == "hr":
                 flush()
             run.append(" ")
         elif tag == "input":
-            nodes[stack[-1]].inputs += 1
+            nodes[stack.nodes[-1]].inputs += 1
         elif tag == "a":
             in_link = not close
         elif tag in BLOCKS:
@@ -166,32 +235,21 @@ def parse(page: str) -> list[Node]:
                 else:
                     continue
             if close:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        leave(k)
-                        break
+                if to := stack.inmost((tag,)):
+                    leave(to)
                 else:
                     flush()
                 continue
             flush()
-            if tag in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = nodes[stack[k]].tag
-                    if t in SCOPES[tag]:
-                        break
-                    if t in CLOSES[tag]:
-                        del stack[k:]
-                        break
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == "p":
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in ("td", "th", "li", "table", "article", "section", "div"):
-                    break
+            if tag in CLOSES and (to := stack.inmost(CLOSES[tag])) > stack.inmost(SCOPES[tag]):
+                stack.cut(to)
+            if (to := stack.inmost(("p",))) > stack.inmost(KEEPS_PARAGRAPH):
+                stack.cut(to)
             tokens, hidden = _attributes(m[3]) if m[3].strip() else (frozenset(), False)
-            nodes[stack[-1]].children.append(len(nodes))
-            stack.append(len(nodes))
-            nodes.append(Node(tag, stack[-2], len(stack) - 1, tokens, hidden, block))
+            parent = stack.nodes[-1]
+            nodes[parent].children.append(len(nodes))
+            stack.push(len(nodes), tag)
+            nodes.append(Node(tag, parent, len(stack.nodes) - 1, tokens, hidden, block))
     flush()
     return nodes
 
@@ -212,7 +270,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     for i in range(n - 1, 0, -1):
         total[parents[i]] += total[i]
     page, last = max(total[0, 0], 1), max(total[0, 3], 1)
-    inside: list[tuple] = []
+    inside: list[int] = []  # marks of a node and of those above it, one bit a feature
     tag_at = {t: AT[f"tag_{t}"] for t in TAGS}
     in_at = {t: AT[f"in_{t}"] for t in ("article", "main", "nav", "header", "footer", "aside", "form", "li", "table")}
     for i, v in enumerate(nodes):
@@ -220,20 +278,22 @@ def features(nodes: list[Node]) -> np.ndarray:
         t = "h" if len(t) == 2 and t[0] == "h" else "ul" if t in ("ol", "menu", "dl") else "li" if t in ("dd", "dt") else "table" if t in ("td", "th", "tr", "tbody", "thead") else t
         if t in tag_at:
             row[tag_at[t]] = 1
-        if v.parent >= 0:
-            for k in inside[v.parent]:
-                row[k] = 1
-        own = []
+        own = inside[v.parent] if v.parent >= 0 else 0
+        marks = own
+        while marks:
+            low = marks & -marks
+            row[low.bit_length() - 1] = 1
+            marks ^= low
         if t in in_at:
-            own.append(in_at[t])
+            own |= 1 << in_at[t]
         if v.tokens:
             for k in frozenset().union(*map(meanings, v.tokens)):
                 row[AT[k]] = 1
-                own.append(AT[f"in_{k}"])
+                own |= 1 << AT[f"in_{k}"]
         if v.hidden:
             row[AT["hidden"]] = 1
-            own.append(AT["hidden"])
-        inside.append((*inside[v.parent], *own) if v.parent >= 0 else tuple(own))
+            own |= 1 << AT["hidden"]
+        inside.append(own)
         chars, links, tags, blocks, stops, paragraph, inputs = total[i]
         up = nodes[v.parent].children if v.parent >= 0 else ()
         row[AT["depth"]] = v.depth
@@ -451,6 +511,19 @@ def trained(pages: int = 900, seed: int = 5) -> Trees:
     return Trees().fit(x[w > 0], y[w > 0], w[w > 0])
 
 
+def _packs(pages: pa.Array) -> Iterator[list[str]]:
+    """The pages in packs of a bounded size, a larger page by itself; the trees score a pack at once."""
+    pack, size = [], 0
+    for p in pages:
+        pack.append(p.as_py())
+        size += len(pack[-1])
+        if size >= PACK_CHARS:
+            yield pack
+            pack, size = [], 0
+    if pack:
+        yield pack
+
+
 def extract(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Per row the columns `keep`, `text` and `n_chars`."""
     if taken := {c.lower() for c in keep} & {"text", "n_chars"}:
@@ -461,8 +534,8 @@ def extract(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[str] = []
         pages = batch.column(batch.num_columns - 1)
-        for at in range(0, len(pages), 256):
-            parsed = [parse(p.as_py()) for p in pages[at : at + 256]]
+        for some in _packs(pages):
+            parsed = [parse(p) for p in some]
             odds = trees.predict(np.concatenate([features(p) for p in parsed]))
             k = 0
             for p in parsed:

@@ -2,6 +2,7 @@
 
 import html
 import random
+import time
 
 import numpy as np
 
@@ -33,16 +34,75 @@ def test_held_out_pages():
     assert same / 150 > 0.93, same
 
 
+HAND = {
+    "wiki": (
+        "<html><body><div id='mw-panel'><ul><li><a href=/>Main page</a></li><li><a href=/r>Random page</a></li><li><a href=/c>Changes</a></li></ul></div><div id='bodyContent' class='body-content'><h1>Tin mines</h1><p>The tin mines of the valley were worked for some nine hundred years, first by hand and later by steam.</p><h2>History</h2><p>In 1845 the last of the deep shafts was sunk, and the pumps ran day and night until the war.</p><ul><li>North shaft, 1790</li><li>South shaft, 1845</li></ul></div><div id='footer'><ul><li><a href=/p>Privacy</a></li><li><a href=/a>About</a></li></ul></div></body></html>",
+        ["Tin mines", "The tin mines of the valley were worked for some nine hundred years, first by hand and later by steam.", "History", "In 1845 the last of the deep shafts was sunk, and the pumps ran day and night until the war.", "North shaft, 1790", "South shaft, 1845"],
+    ),
+    "share bar in the article": (
+        "<body><header><a href=/>The Daily</a></header><main><article><h1>Rain again</h1><div class='social-share'><a href=#>Tweet</a><a href=#>Mail</a></div><p>It rained for the third week in a row, and the river rose above the meadows, people said.</p><p>Nobody had seen the like of it since the bridge was built, nor did they hope to.</p></article></main><footer><p>Copyright The Daily, all rights reserved.</p></footer></body>",
+        ["Rain again", "It rained for the third week in a row, and the river rose above the meadows, people said.", "Nobody had seen the like of it since the bridge was built, nor did they hope to."],
+    ),
+}
+
+
+def test_pages_of_another_hand():
+    for page, blocks in HAND.values():
+        assert text_of(page) == "\n\n".join(blocks)
+
+
+def other_page(rnd):
+    """A page of a shape of its own: nested wrappers, lists of links in columns, a long article, words of another make."""
+    word = lambda: "".join(rnd.choice(("ka", "lo", "mi", "ne", "ru", "sta", "vo")) for _ in range(rnd.randint(1, 3)))
+    text = lambda a, b: (" ".join(word() for _ in range(rnd.randint(a, b))) + ", " + word() + ".").capitalize()
+    links = "".join(f"<div><a href='#'>{word()} {word()}</a></div>" for _ in range(rnd.randint(4, 12)))
+    blocks = [text(20, 70) for _ in range(rnd.randint(3, 9))]
+    body = "".join(f"<p>{b}</p>\n" for b in blocks)
+    story = rnd.choice((f"<article class='story'>{body}</article>", f"<div class='post-body entry'>{body}</div>", f"<main>{body}</main>"))
+    talk = "".join(f"<li class='comment'><div class='comment-body'><p>{text(5, 30)}</p></div></li>" for _ in range(rnd.randint(1, 6)))
+    page = f"<div id='page'><div class='top-nav'>{links}</div><div class='row'><div class='col'>{story}<ol class='comments'>{talk}</ol></div><div class='sidebar'><h4>{word()}</h4>{links}</div></div><div id='site-footer'><p>{text(4, 12)}</p></div></div>"
+    return f"<!doctype html><html><head><title>{word()}</title></head><body>{page}</body></html>", blocks
+
+
+def test_pages_of_another_generator():
+    rnd, same = random.Random(77), 0
+    for _ in range(100):
+        page, blocks = other_page(rnd)
+        same += text_of(page) == "\n\n".join(blocks)
+    assert same >= 90, same
+
+
+def test_unclosed_silent_elements_do_not_silence_the_page():
+    article = "<article><p>First paragraph of a story that goes on, and on.</p><p>Second paragraph of the same story, no more.</p></article>"
+    want = "First paragraph of a story that goes on, and on.\n\nSecond paragraph of the same story, no more."
+    for before, after in (("<button>", ""), ("<div><svg><g></div>", ""), ("<div><button>x</div>", "<p><button>y</button></p>"), ("<select><option>", ""), ("<button>Buy</button>", ""), ("<noscript><p>no</p></noscript>", "")):
+        assert text_of(f"<html><body>{before}{article}{after}</body></html>").endswith(want), before
+
+
+def test_deep_and_broken_pages_in_proportion():
+    for make in (lambda n: "<ul>" * n, lambda n: "<ul>" * n + "</li></p></td>" * n, lambda n: "<div class='comment nav'>" * n + "x", lambda n: "<ul><li>a" * n, lambda n: "<div><button>" * n + "</button>", lambda n: "<table><tr><td>" * n):
+        took = []
+        for n in (4_000, 16_000):
+            start = time.process_time()
+            nodes = he.parse(make(n))
+            he.main_text(nodes, he.features(nodes)[:, 0].astype(float) + 1)
+            took.append(time.process_time() - start)
+        assert took[1] < 10 * max(took[0], 0.05), took
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
-    rnd, numbers = random.Random(9), np.random.default_rng(1)
-    for _ in range(30):
-        nodes = he.parse(he.generated(rnd)[0])
+    rnd, numbers, tried = random.Random(9), np.random.default_rng(1), 0
+    small = ["".join(rnd.choice(("<div>", "</div>", "<p>x", "<ul><li>y", "</ul>")) for _ in range(12)) for _ in range(30)]
+    for page in [*small, *(he.generated(rnd)[0] for _ in range(30))]:
+        nodes = he.parse(page)
         odds = numbers.normal(size=len(nodes))
         kept = he.decode(nodes, odds)
         assert all(kept[v.parent] for v, k in zip(nodes, kept) if k and v.parent >= 0)
         if len(nodes) < 13:
             best = max(sum(o if k else -o for o, k in zip(odds, choice)) for choice in _choices(nodes))
             assert np.isclose(best, sum(o if k else -o for o, k in zip(odds, kept)))
+            tried += 1
+    assert tried > 20
 
 
 def _choices(nodes):
