@@ -2,8 +2,9 @@
 
 The writer makes one archive of each bounded run of records and keeps the archives as rows of a table, so that
 Spark's own writers store them on any file system. The reader takes such a table, or archive files by
-`spark.read.format("binaryFile")` (column `content`). It loads the dictionary of each archive, decodes one frame per record,
-and validates frames, headers, lengths and digests: a record that fails raises with its archive and place.
+`spark.read.format("binaryFile")` (column `content`, so up to 2 GB an archive). It loads the dictionary of each archive,
+decodes one frame per record, in time in proportion to the archive, and validates frames, headers, lengths and digests:
+a record that fails raises with its archive and place. Header names count in any case, as the format has it.
 
 Of records with equal payloads of at least a given size, that with the largest id is the response and the others
 revisit it. Rows that repeat the largest id are all responses.
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import join_hot, materialise, text_of
 
 #: Fixed values of the formats: frame magics, the skippable frame of a dictionary, and the revisit profile.
 ZSTD_MAGIC, DICT_FRAME_MAGIC, DICT_MAGIC = 0xFD2FB528, 0x184D2A5D, 0xEC30A437
@@ -36,7 +37,11 @@ DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_RECORDS, ARCHIVE_BYTES = 2_000, 16_000_000
 #: The dictionary of an archive is trained on so many of its first records, up to so many characters of each.
 DICT_RECORDS, DICT_SAMPLE, DICT_BYTES = 256, 4_096, 16_384
-REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
+#: Headers that may stand more than once in a record (a fixed value of the format).
+MAY_REPEAT = ("warc-concurrent-to",)
+#: Bytes that the decoder is given at once.
+SLICE = 1 << 16
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -102,7 +107,7 @@ def read_dictionary(data: bytes) -> tuple[zstandard.ZstdCompressionDict | None,
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of a record, validated."""
+    """Headers (their names in lower case, values of repeated ones parted by line feeds) and block of a record, validated."""
     head, mark, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not mark or not re.fullmatch(r"WARC/1\.[01]", lines[0]):
@@ -110,15 +115,17 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     headers: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
-        if not colon or not name or name != name.strip() or name in headers:
+        known = name.lower()
+        if not colon or not name or name != name.strip() or known in headers and known not in MAY_REPEAT:
             raise ValueError(f"bad header line: {line[:80]!r}")
-        headers[name] = value.strip()
+        headers[known] = f"{headers[known]}\n{value.strip()}" if known in headers else value.strip()
     if missing := [h for h in REQUIRED if h not in headers]:
         raise ValueError(f"headers missing: {missing}")
-    if not headers["Content-Length"].isdigit() or len(rest) != int(headers["Content-Length"]) + 4 or rest[-4:] != b"\r\n\r\n":
+    size = headers["content-length"]
+    if not (size.isascii() and size.isdigit()) or len(rest) != int(size) + 4 or rest[-4:] != b"\r\n\r\n":
         raise ValueError("Content-Length does not fit the record")
     block = rest[:-4]
-    if (digest := headers.get("WARC-Block-Digest")) and digest != f"sha1:{sha1_base32(block)}":
+    if (digest := headers.get("warc-block-digest")) and digest.startswith("sha1:") and digest != f"sha1:{sha1_base32(block)}":
         raise ValueError("the block's digest differs")
     return headers, block
 
@@ -131,13 +138,15 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     while at < len(data):
         if len(data) - at < 4 or struct.unpack_from("<I", data, at)[0] != ZSTD_MAGIC:
             raise ValueError(f"record {n}: no frame at byte {at}")
-        frame = unpacker.decompressobj()
-        raw = frame.decompress(view[at:])
-        if not frame.eof:
-            raise ValueError(f"record {n}: the frame is cut off")
-        at = len(data) - len(frame.unused_data)
+        frame, parts = unpacker.decompressobj(), []
+        while not frame.eof:
+            if at == len(data):
+                raise ValueError(f"record {n}: the frame is cut off")
+            parts.append(frame.decompress(view[at : at + SLICE]))
+            at = min(at + SLICE, len(data))
+        at -= len(frame.unused_data)  # of the last slice only
         try:
-            yield parse_record(raw)
+            yield parse_record(b"".join(parts))
         except ValueError as e:
             raise ValueError(f"record {n}: {e}") from e
         n += 1
@@ -146,12 +155,13 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def with_heads(pages: DataFrame, payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """`page_id`, `url`, `payload` and `refers_to`: the largest id among equal payloads if that is another row's.
 
-    Only digests that occur twice or more are joined back, and copies are reduced to one row a digest before.
+    Only digests that occur twice or more are joined back, one row a digest. A digest of very many pages, as that of the
+    empty payload, is taken to the pages as they lie, so copies do not meet in one task.
     """
     rows = pages.select(F.col("page_id"), text_of("url").alias("url"), F.encode(text_of(f"`{payload}`"), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    heads = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("head")).filter("n > 1").drop("n")
-    return rows.join(heads, "digest", "left").select("page_id", "url", "payload", F.when(F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
+    heads = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("head")).filter("n > 1")
+    return join_hot(rows, materialise(heads), "digest", "n").select("page_id", "url", "payload", F.when(F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, payload: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -177,21 +187,27 @@ def write_archives(pages: DataFrame, payload: str = "html", min_bytes: int = 0)
 def read_archives(archives: DataFrame, column: str = "data") -> DataFrame:
     """One row a record: `record_id`, `url`, `record_type`, `refers_to`, `payload_bytes`, `payload_digest`, `payload`.
 
-    A revisit has no payload; its length and digest are those that its headers state for the payload it refers to.
+    Records but responses have no payload; length and digest of a revisit are those that its headers state for the payload
+    it refers to, null where they state none.
     """
     names = ["record_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     types = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary()]
 
     def row(headers: dict[str, str], block: bytes):
         _, _, payload = block.partition(b"\r\n\r\n")
-        kind = headers["WARC-Type"]
-        digest = headers.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-        if kind == "response" and digest != sha1_base32(payload):
-            raise ValueError(f"{headers['WARC-Record-ID']}: the payload's digest differs")
-        refers = headers.get("WARC-Refers-To")
-        size = len(payload) if kind == "response" else int(headers["WARC-Truncated-Payload-Length"])
+        kind = headers["warc-type"]
+        digest = headers.get("warc-payload-digest", "")
+        if kind == "response":
+            own = sha1_base32(payload)
+            if digest.startswith("sha1:") and digest != f"sha1:{own}":
+                raise ValueError(f"{headers['warc-record-id']}: the payload's digest differs")
+            digest, size = own, len(payload)
+        else:
+            stated = headers.get("warc-truncated-payload-length")
+            digest, size, payload = digest.removeprefix("sha1:") or None, stated and int(stated), None
+        refers = headers.get("warc-refers-to")
         bare = lambda x: x.removeprefix("<urn:page:").removesuffix(">")
-        return bare(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), kind, refers and bare(refers), size, digest, payload if kind == "response" else None
+        return bare(headers["warc-record-id"]), headers.get("warc-target-uri"), kind, refers and bare(refers), size, digest, payload
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)

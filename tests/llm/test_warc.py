@@ -3,12 +3,13 @@
 import base64
 import hashlib
 import random
+import time
 
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from mnemora.llm import warc
+from mnemora.llm import common, warc
 
 
 def pages(n=120):
@@ -52,10 +53,43 @@ def test_dictionary_and_damage():
     data = warc.archive_bytes(records)
     assert data[:4] == b"\x5d\x2a\x4d\x18"
     found = list(warc.read_archive(data))
-    assert len(found) == 400 and found[7][0]["WARC-Record-ID"] == "<urn:page:7>"
+    assert len(found) == 400 and found[7][0]["warc-record-id"] == "<urn:page:7>"
     plain = zstandard.ZstdCompressor()
     assert len(list(warc.read_archive(plain.compress(records[0]) + plain.compress(records[1])))) == 2
     for broken in (data[:-5], data[:40], data[:9000] + b"\0" + data[9001:], plain.compress(records[0][:-1]), plain.compress(records[0].replace(b"WARC-Date", b"WARC-Data")), b"junk"):
         with pytest.raises((ValueError, zstandard.ZstdError)):
             list(warc.read_archive(broken))
     assert list(warc.read_archive(b"")) == []
+
+
+def test_headers_in_any_case_and_repeated():
+    record = warc.record_bytes("1", "u", b"<p>x</p>", "response", "")
+    odd = record.replace(b"WARC-Date", b"warc-date").replace(b"Content-Type: application/http", b"WARC-Concurrent-To: <urn:a>\r\nWARC-Concurrent-To: <urn:b>\r\nContent-Type: application/http", 1)
+    headers, _ = warc.parse_record(odd)
+    assert headers["warc-concurrent-to"] == "<urn:a>\n<urn:b>" and headers["warc-date"] == warc.DATE
+    with pytest.raises(ValueError):
+        warc.parse_record(record.replace(b"WARC-Date", b"warc-date: x\r\nWARC-Date", 1))
+
+
+def test_reading_takes_time_in_proportion():
+    took = []
+    for n in (2_000, 8_000):
+        packer = zstandard.ZstdCompressor(level=1)
+        data = b"".join(packer.compress(warc.record_bytes(str(i), "u", random.Random(i).randbytes(4_000), "response", "")) for i in range(n))
+        start = time.process_time()
+        assert sum(1 for _ in warc.read_archive(data)) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * max(took[0], 0.05), took
+
+
+def test_other_records_and_hot_digests(spark):
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:i>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: 4\r\n\r\nsoft\r\n\r\n"
+    frames = zstandard.ZstdCompressor().compress(info) + zstandard.ZstdCompressor().compress(warc.record_bytes("2", "u", b"x", "revisit", "9"))
+    rows = warc.read_archives(spark.createDataFrame([(bytearray(frames),)], "data binary")).collect()
+    assert [(r.record_type, r.payload_bytes, r.refers_to, r.payload) for r in rows] == [("warcinfo", None, None, None), ("revisit", 1, "9", None)]
+    df = spark.createDataFrame([(i, "u", "" if i % 3 else f"own {i // 2}") for i in range(300)], "page_id long, url string, html string")
+    heads = spark.createDataFrame([("", 200, 299), ("own 0", 1, 0)], "html string, n long, head long")
+    left = common.join_hot(df, heads, "html", "n", hot=50)
+    assert left.filter("html = ''").agg(F.min("head"), F.count("*")).first()[:] == (299, 200) and left.count() == 300
+    assert left.filter("html != '' AND head IS NOT NULL").count() == 1
+    assert sorted(map(str, common.join_hot(df, heads, "html", "n", hot=0, most=1).collect())) == sorted(map(str, left.collect()))
