@@ -2,17 +2,21 @@
 
 Texts are sets of hashed word n-grams. Documents with equal sets are one class from the start. Two bounds that
 follow from set sizes discard classes and pairs before any product: a class with more n-grams of its own than
-its size lets it miss has no partner, and partners share an n-gram among the rarest of each. Classes that such
-n-grams connect are dealt into blocks; each pair of blocks is one task that accumulates overlap counts by matrix
-products, drops pairs outside the bounds of their sizes, and returns counts of links and a spanning forest.
+its size lets it miss has no partner, and partners share an n-gram among the rarest of each, its prefix. Classes that
+prefix n-grams connect make a group. A small group is one block, multiplied with itself. In a larger one the classes
+with the same rarest n-gram and about the same size make blocks, bound in classes and in n-grams, and only blocks
+that share a prefix n-gram and whose sizes allow a link meet: a long chain of groups costs in proportion to its
+length. Each tile, a pair of blocks, accumulates overlap counts by matrix products, drops pairs outside the bounds
+of their sizes, and returns counts of links and a spanning forest.
 
 N-grams and sets are known by 64-bit hashes; two different sets of one corpus of d classes share one with a
-chance of about d^2 / 2^65. Nothing is capped: a dense group of g near copies costs g^2 / 2 cells of products,
-spread over (g / BLOCK)^2 / 2 tasks.
+chance of about d^2 / 2^65. Nothing is capped: a dense group of g near copies, whose links are g^2 / 2, costs as many
+cells of products, spread over (g / BLOCK)^2 / 2 tiles.
 
 Defined cases: a null or blank text has an empty set, which links with nothing; a text of fewer words than n is
 one n-gram; rows that repeat a document link like any copies; rows without an id join components and take the
-smallest id there, null if there is none; an empty table gives an empty table; columns but id and text are not read.
+smallest id there, null if there is none; an empty table gives an empty table; columns but id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,17 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_batches, materialise, text_of
+from .common import free_name, join_hot, map_batches, materialise, text_of
 from .graphs import components
 
 WORDS, PERCENT = 4, 85
-#: Classes of one block; a task holds two blocks at most.
-BLOCK = 1024
+#: Classes, and n-grams, of one block; a larger set is a block by itself. A tile holds two blocks.
+BLOCK, BLOCK_GRAMS = 1024, 1_000_000
 #: One n-gram hash in so many takes part in the first bound.
 ONE_IN = 4
 #: N-grams of more members than this are multiplied as dense columns.
 DENSE = 12
-#: Ids that are broadcast at most (16 MB); more are joined by a shuffle.
+#: Ids that are broadcast at most (32 MB with the hashes of their texts); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Word hashes that a task remembers before it starts afresh.
 MEMO = 200_000
@@ -70,18 +74,13 @@ def gram_set(text: str, hashes: WordHashes, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def _slack(n):
-    """N-grams that a set of n may lack in a partner."""
-    return n - (PERCENT * n + 99) // 100
-
-
 def _sets(df: DataFrame, n: int, fields: str, row) -> DataFrame:
-    """mapInArrow over `id` and `text`: `row(id, set)` gives a tuple of columns or None."""
+    """mapInArrow over `id` and `text`: `row(id, text, set)` gives a tuple of columns or None."""
     hashes: WordHashes = WordHashes()
     schema = pa.schema([(f.split()[0], {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}[f.split()[1]]) for f in fields.split(", ")])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [x for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (x := row(i, gram_set(t.as_py(), hashes, n))) is not None]
+        found = [x for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (x := row(i, s := t.as_py(), gram_set(s, hashes, n))) is not None]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema) if found else None
 
     return map_batches(df, run, fields, hashes.clear)
@@ -91,6 +90,11 @@ def _class(grams: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes()))))
 
 
+def text_key(text: str) -> int:
+    """What xxhash64 in Spark gives for a text."""
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(text.encode(), seed=42))))
+
+
 def _signed(grams: np.ndarray) -> np.ndarray:
     return grams.view(np.int64)
 
@@ -136,13 +140,13 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
     return out
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> np.ndarray:
     """Which cells are links: pairs within the bounds of their sizes whose overlap reaches the similarity."""
     na = np.array([len(s) for s in left])
     nb = na if right is None else np.array([len(s) for s in right])
     both = overlaps(left, right)
-    near = 100 * np.minimum(na[:, None], nb) >= PERCENT * np.maximum(na[:, None], nb)
-    return near & (both > 0) & (100 * both >= PERCENT * (na[:, None] + nb - both))
+    near = 100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)
+    return near & (both > 0) & (100 * both >= percent * (na[:, None] + nb - both))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -161,16 +165,16 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _tile(table: pa.Table) -> pa.Table:
-    """One task's blocks: per class its links' copies and a root among the classes seen."""
-    cls, root, side, copies = (table.column(c).to_numpy() for c in ("cls", "root", "side", "copies"))
+def _tiles(table: pa.Table, percent: int) -> pa.Table:
+    """One task's tiles: per class its links' copies and a root among the classes seen."""
+    cls, tile, side, copies = (table.column(c).to_numpy() for c in ("cls", "tile", "side", "copies"))
     grams = [x.values.to_numpy() for x in table.column("grams")]
     kept: dict[str, list] = {"a": [], "b": [], "links": []}
-    order = np.lexsort((cls, side, root))
-    for rows in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+    order = np.lexsort((cls, side, tile))
+    for rows in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
         first = rows[np.r_[True, cls[rows][1:] != cls[rows][:-1]]]  # rows of repeated documents
         left, right = first[side[first] == 0], first[side[first] == 1]
-        link = linked([grams[i] for i in left], [grams[i] for i in right] if len(right) else None) if len(left) else np.zeros((0, 0), bool)
+        link = linked([grams[i] for i in left], [grams[i] for i in right] if len(right) else None, percent) if len(left) else np.zeros((0, 0), bool)
         a, b = np.nonzero(link)
         members = np.r_[left, right] if len(right) else left
         if len(right):
@@ -186,79 +190,119 @@ def _tile(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64()) for k, v in kept.items()})
 
 
-def jaccard_components(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """Per row of `df`: the id, `n_shingles`, `component_id` and `n_links`, the number of rows that link with it."""
+def placements(groups: DataFrame, chosen: DataFrame, prefix: DataFrame, percent: int, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """`cls`, `tile`, `side` and `n` of each class in each tile it takes part in; a side of 1 is the second of two blocks.
+
+    `groups` has `node` and `root`, `chosen` has `cls` and `n`, `prefix` has `cls`, `gram` and its `df`.
+    """
+    members = materialise(groups.select(F.col("node").alias("cls"), "root").join(chosen.select("cls", "n"), "cls"))
+    sizes = materialise(members.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("grams")).withColumn("large", (F.col("g") > block) | (F.col("grams") > block_grams)))
+    small = join_hot(members, sizes.select("root", "g", "large"), "root", "g").filter("NOT large").select("cls", F.col("root").alias("tile"), F.lit(0).alias("side"), "n")
+    if sizes.filter("large").isEmpty():
+        return materialise(small)
+    large = materialise(join_hot(members, sizes.select("root", "g", "large"), "root", "g").filter("large").select("cls", "n"))
+    held = materialise(prefix.join(large.select("cls"), "cls", "left_semi"))
+    # sizes of partners are at most one band apart
+    width = float(np.log(100 / percent)) * (1 + 1e-6)
+    rarest = held.groupBy("cls").agg(F.min(F.struct("df", "gram")).alias("rarest"))
+    celled = materialise(large.join(rarest, "cls").withColumn("band", F.floor(F.log("n") / width)).withColumn("cell", F.xxhash64("rarest.gram", "band")).drop("rarest"))
+    cells = materialise(celled.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("s")))
+    parts = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("s") / block_grams))
+    blocks = join_hot(celled, cells.select("cell", "c", parts.alias("parts"), (F.col("c") == 1).alias("alone")), "cell", "c")
+    blocks = materialise(blocks.select("cls", "n", "band", "alone", F.xxhash64("cell", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block")))
+    # blocks that share a prefix n-gram, of the same band or the next
+    shared = materialise(held.select("cls", "gram").join(blocks, "cls").select("gram", "band", "block", "alone").distinct())
+    other = shared.select("gram", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("block").alias("other"), F.col("band").alias("other_band"))
+    meet = shared.join(other, ["gram", "band"]).filter("band != other_band OR block < other OR (block = other AND NOT alone)")
+    pairs = materialise(meet.select("block", "other").distinct())
+    tile = F.xxhash64("block", "other", F.lit("tile"))
+    sides = pairs.select(F.col("block").alias("mine"), tile.alias("tile"), F.lit(0).alias("side")).unionByName(pairs.filter("block != other").select(F.col("other").alias("mine"), tile.alias("tile"), F.lit(1).alias("side")))
+    return materialise(small.unionByName(blocks.join(sides, F.col("block") == F.col("mine")).select("cls", "tile", "side", "n")))
+
+
+def _components(df: DataFrame, doc: str, text: str, n: int, percent: int, block: int, block_grams: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (`id`, `text_key`, `cls`, `n`) and, of the classes with a link, `cls`, `root`, `component_id` and `links`."""
     base = df.select(F.col(f"`{doc}`").cast("long").alias("id"), text_of(f"`{text}`").alias("text"))
 
-    def summary(i, grams):
+    def summary(i, text, grams):
         some = _signed(grams[grams % np.uint64(ONE_IN) == 0])
-        return i, _class(grams), len(grams), some
+        return i, text_key(text), _class(grams), len(grams), some
 
-    docs = materialise(_sets(base, n, "id long, cls long, n long, some array<long>", summary))
+    docs = materialise(_sets(base, n, "id long, text_key long, cls long, n long, some array<long>", summary))
     classes = materialise(docs.filter("n > 0").groupBy("cls").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n")))
 
     # first bound: n-grams that no other class has
     one_in = docs.filter("n > 0").select("cls", F.explode("some").alias("gram"))
     lone = one_in.groupBy("gram").agg(F.min("cls").alias("cls"), F.max("cls").alias("other")).filter("cls = other")
     own = lone.groupBy("cls").agg(F.count("*").alias("own"))
-    slack = F.expr(f"n - ((n * {PERCENT} + 99) div 100)")
+    slack = F.expr(f"n - ((n * {percent} + 99) div 100)")  # n-grams that a set may lack in a partner
     chosen = materialise(classes.join(own, "cls", "left").filter(F.coalesce("own", F.lit(0)) <= slack).select("cls", "first_id", "copies", "n"))
 
     # the sets of the classes that are left, from one document each
     ids = chosen.select(F.col("first_id").alias("want"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     again = base.join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    sets = materialise(_sets(again, n, "cls long, grams array<long>", lambda i, grams: (_class(grams), _signed(grams)) if len(grams) else None).dropDuplicates(["cls"]).join(chosen.select("cls", "copies", "n"), "cls"))
+    sets = materialise(_sets(again, n, "cls long, grams array<long>", lambda i, text, grams: (_class(grams), _signed(grams)) if len(grams) else None).dropDuplicates(["cls"]).join(chosen.select("cls", "copies", "n"), "cls"))
 
     # second bound: partners share one of the rarest n-grams of each
     rows = sets.select("cls", "n", F.explode("grams").alias("gram"))
-    shared = rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    by_class = rows.join(shared, "gram").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held"))
+    shared = materialise(rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"))
+    by_class = join_hot(rows, shared.withColumn("rows", F.col("df")), "gram", "rows").filter("df IS NOT NULL").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held"))
     room = slack + 1 - (F.col("n") - F.size("held"))
-    prefix = materialise(by_class.filter(room > 0).select("cls", F.explode(F.slice("held", F.lit(1), F.least(room, F.size("held").cast("long")).cast("int"))).alias("g")).select("cls", "g.gram"))
-    stars = prefix.groupBy("gram").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    groups = components(prefix.join(stars, "gram").select(F.col("cls").alias("a"), F.col("hub").alias("b")).filter("a != b").distinct())
-
-    # blocks and their products
-    sizes = groups.groupBy("root").agg(F.count("*").alias("g"))
-    dealt = groups.join(sizes, "root").select(F.col("node").alias("cls"), "root", F.ceil(F.col("g") / block).cast("int").alias("blocks"))
-    placed = sets.join(dealt, "cls").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    bins = max(1, -(-dealt.filter("blocks = 1").count() // block))
-    tiles = placed.select("cls", "root", "copies", "grams", "mine", "blocks", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        "cls", "root", "copies", "grams",
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("key"),
-        F.when(F.col("blocks") == 1, F.lit(-1)).otherwise(F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("tile"),
-        F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"),
-    )
-    done = materialise(tiles.groupBy("key", "tile").applyInArrow(_tile, "a long, b long, links long"))
+    prefix = materialise(by_class.filter(room > 0).select("cls", F.explode(F.slice("held", F.lit(1), F.least(room, F.size("held").cast("long")).cast("int"))).alias("g")).select("cls", "g.gram", "g.df"))
+    stars = prefix.groupBy("gram").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).filter("m > 1").withColumn("rows", F.col("m"))
+    starred = join_hot(prefix, materialise(stars), "gram", "rows").filter("m IS NOT NULL")
+    groups = components(starred.select(F.col("cls").alias("a"), F.col("hub").alias("b")).filter("a != b").distinct())
+
+    # the products
+    placed = placements(groups, chosen, prefix, percent, block, block_grams)
+    bins = max(1, -(-(placed.agg(F.sum("n")).first()[0] or 0) // (2 * block_grams)))
+    tiles = placed.drop("n").join(sets.select("cls", "copies", "grams"), "cls").withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(bins)))
+    done = materialise(tiles.groupBy("bin").applyInArrow(lambda t: _tiles(t, percent), "a long, b long, links long"))
     linked_to = done.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     roots = components(done.filter("a != b").select("a", "b")).withColumnRenamed("node", "cls")
 
-    # back to documents
     grouped = classes.join(roots, "cls", "left").join(linked_to, "cls", "left").filter("copies > 1 OR root IS NOT NULL")
-    grouped = grouped.select("cls", F.coalesce("root", "cls").alias("root"), "first_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    firsts = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = grouped.join(firsts, "root").select("cls", "component_id", "links", F.lit(True).alias("grouped"))
-    return docs.withColumn("cls", F.when(F.col("n") > 0, F.col("cls"))).join(found, "cls", "left").select(
+    grouped = materialise(grouped.select("cls", F.coalesce("root", "cls").alias("root"), "first_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    firsts = materialise(grouped.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("g")))
+    found = join_hot(grouped, firsts, "root", "g").select("cls", "root", "component_id", "copies", "links")
+    return docs.drop("some"), materialise(found)
+
+
+def _rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents with the columns of their class in `found`; those without words have no class and meet nothing."""
+    own = F.coalesce("id", F.monotonically_increasing_id())
+    rows = docs.withColumn("cls", F.when(F.col("n") > 0, F.col("cls")).otherwise(own))
+    return join_hot(rows, found.withColumn("grouped", F.lit(True)), "cls", "copies").withColumn("grouped", F.col("grouped").isNotNull() & (F.col("n") > 0))
+
+
+def jaccard_components(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """Per row of `df`: the id, `n_shingles`, `component_id` and `n_links`, the number of rows that link with it."""
+    rows = _rows(*_components(df, doc, text, n, percent, block, block_grams))
+    return rows.select(
         F.col("id").alias(doc),
         F.col("n").alias("n_shingles"),
         F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        F.coalesce("links", F.lit(0)).alias("n_links"),
+        F.when(F.col("grouped"), F.col("links")).otherwise(0).alias("n_links"),
     )
 
 
-def one_of_each(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df` whose id is the smallest of their component; rows without an id stay.
+def one_of_each(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of `df` with the smallest id of their component, of equal ids the text with the smallest hash.
 
-    Of rows that repeat an id one stays.
+    Rows without an id, or without words, stay. Of rows that repeat both id and text one stays; rows that share an id
+    but not a text are judged each for itself.
     """
-    found = materialise(jaccard_components(df, doc, text)).select(F.col(doc).alias("id"), "component_id")
-    key = free_name(df, "key")
-    gone = found.filter("id != component_id").select(F.col("id").alias(key)).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    rest = df.join(gone, F.col(f"`{doc}`") == F.col(key), "left_anti")
-    again = found.filter("id IS NOT NULL").groupBy(F.col("id").alias(key)).agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    if again.limit(1).count() == 0:
+    rows = materialise(_rows(*_components(df, doc, text, n, percent, BLOCK, BLOCK_GRAMS)).filter("grouped AND id IS NOT NULL").select("id", "text_key", "root"))
+    keepers = materialise(rows.groupBy("root").agg(F.min(F.struct("id", "text_key")).alias("kept"), F.count("*").alias("g")))
+    judged = materialise(join_hot(rows, keepers, "root", "g").groupBy("id", "text_key").agg(F.count("*").alias("rows"), F.first(F.struct("id", "text_key") == F.col("kept")).alias("stays")))
+    key, kept_text = free_name(df, "key"), free_name(df, "kept_text")
+    same = lambda: (F.col(f"`{doc}`").cast("long") == F.col(key)) & (F.xxhash64(text_of(f"`{text}`")) == F.col(kept_text))
+    named = judged.select(F.col("id").alias(key), F.col("text_key").alias(kept_text), "rows", "stays")
+    gone, again = (named.filter(c).select(key, kept_text) for c in ("NOT stays", "stays AND rows > 1"))
+    few = lambda d: F.broadcast(d) if d.count() <= BROADCAST_IDS else d
+    rest = df.join(few(gone), same(), "left_anti")
+    if again.isEmpty():
         return rest
-    many = rest.join(again, F.col(f"`{doc}`") == F.col(key), "left_semi").dropDuplicates([doc])
-    return rest.join(again, F.col(f"`{doc}`") == F.col(key), "left_anti").unionByName(many)
+    again = few(again)
+    return rest.join(again, same(), "left_anti").unionByName(rest.join(again, same(), "left_semi").dropDuplicates([doc, text]))

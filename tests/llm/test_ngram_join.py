@@ -62,6 +62,52 @@ def test_components_like_brute_force(spark):
         got = nj.jaccard_components(df, block=block).select("doc_id", "n_shingles", "component_id", "n_links").collect()
         assert sorted(map(tuple, got), key=str) == brute(rows)
     assert nj.jaccard_components(df.limit(0)).count() == 0
+    got = nj.jaccard_components(df, n=5, percent=80, block=4, block_grams=300).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 5, 80)
+
+
+def chain(n, length=40):
+    """Texts of which each shares half its n-grams with the next: one group by n-grams, no link."""
+    return [(i, " ".join(f"w{k}" for k in range(i * length // 2, i * length // 2 + length))) for i in range(n)]
+
+
+def test_a_long_chain_makes_few_tiles(spark, monkeypatch):
+    seen = []
+    whole = nj.placements
+    monkeypatch.setattr(nj, "placements", lambda *a: seen.append(whole(*a)) or seen[-1])
+    near = [(10_000 + i, " ".join(f"n{k}" if k != i else f"edit{i}" for k in range(120))) for i in range(90)]
+    made = {}
+    for n in (300, 1_200):
+        rows = chain(n) + near
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        # room for many n-grams that others lack, so that the chain's classes stay and are one group
+        got = nj.jaccard_components(df, percent=30, block=16).select("doc_id", "component_id", "n_links").collect()
+        assert {(r.component_id, r.n_links) for r in got if r.doc_id >= 10_000} == {(10_000, 89)}
+        assert all(r.component_id == r.doc_id and r.n_links == 0 for r in got if r.doc_id < 10_000)
+        made[n] = seen[-1].select("tile").distinct().count()
+    assert made[1_200] < 6 * made[300] and made[1_200] < 8 * 1_200, made
+
+
+def test_hubs_and_components(spark):
+    from mnemora.llm import common, graphs
+
+    ids = list(range(1000, 1400))
+    random.Random(3).shuffle(ids)  # a chain in no order, and one in order
+    links = [(0, i) for i in range(1, 300)] + [(500 + i, 501 + i) for i in range(40)] + [(900, 900)] + list(zip(ids, ids[1:]))
+    df = spark.createDataFrame(links, "a long, b long")
+    want = {**{i: 0 for i in range(300)}, **{500 + i: 500 for i in range(41)}, 900: 900, **dict.fromkeys(ids, 1000)}
+    assert {r.node: r.root for r in graphs.components(df).collect()} == want
+    usual, graphs.join_hot = graphs.join_hot, lambda *a: common.join_hot(*a, hot=20)
+    try:
+        assert {r.node: r.root for r in graphs.components(df).collect()} == want
+    finally:
+        graphs.join_hot = usual
+
+
+def test_text_keys_like_the_built_in_function(spark):
+    texts = ["", "a", "é漢字 text", "x" * 1000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.selectExpr("xxhash64(t)").collect()] == [nj.text_key(t) for t in texts]
 
 
 def test_overlaps_like_sets():
@@ -77,5 +123,8 @@ def test_one_of_each_stays(spark):
     df = spark.createDataFrame([(d, t, "x", d) for d, t in rows] + [(rows[0][0], rows[0][1], "x", -1), (None, "q", "x", -2)], "doc_id long, text string, gone string, key long")
     got = nj.one_of_each(df)
     assert got.columns == df.columns
+    assert nj.one_of_each(df.limit(0)).count() == 0
+    two = spark.createDataFrame([(1, "a b c d e f"), (2, "q r s t u v"), (2, "a b c d e f"), (2, "q r s t u v"), (3, "q r s t u v"), (4, ""), (4, None)], "doc_id int, text string")
+    assert sorted(map(tuple, nj.one_of_each(two).collect()), key=str) == [(1, "a b c d e f"), (2, "q r s t u v"), (4, ""), (4, None)]
     want = {d for d, _, c, _ in brute(rows) if d == c}
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted(want) and got.filter("doc_id is null").count() == 1

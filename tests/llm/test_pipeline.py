@@ -37,7 +37,7 @@ def test_run_like_brute_force(spark, tmp_path):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     left = {d: t for d, t, *_ in rows if brute_quality(rows)[d][-1]}
-    groups = brute_groups(list(left.items()))
+    groups = brute_groups(list(left.items()), 5, 80)
     left = {d: left[d] for d, _, c, _ in groups if d == c}
     item = decontaminate.words_of(bench[0][1])
     left = {d: t for d, t in left.items() if " ".join(item) not in " ".join(decontaminate.words_of(t))}
