@@ -5,9 +5,8 @@ family, or `unknown` for licence talk of no known family; its probabilities are
 fitted on held-out paragraphs. A family counts only if the paragraph also compares well with a template of it.
 
 The model is trained on the driver on `TRAIN_EACH` generated paragraphs a family and comes to the tasks as one
-row of maps (a few hundred KB). Features need a licence word, so a paragraph without one has no evidence. A plain
-search leaves out paragraphs that hold no stem; every licence word contains a stem, so all that are left out have no
-evidence. What holds a stem only inside another word ('permitted') has none either and is `unknown`.
+row of maps (a few hundred KB). Features need a licence word (`ANCHORS`): a paragraph that has none as a word of its own
+has no evidence and gets no row, and every other paragraph gets one.
 
 Defined cases: a null or empty text has no paragraphs; paragraphs are the lines of the text, read whole; repeated
 rows are scanned each; an empty table gives an empty result; other columns are carried only if asked for.
@@ -45,11 +44,11 @@ TEMPLATES = {
 TALK = ["the driving licence was taken away last year", "you need a permission of your parents to go", "he was licensed as a pilot", "a public library in the city", "the software license market grew by five percent", "copyright law is a matter of debate", "the warranty of the car has expired", "an open source conference", "the apache helicopter landed", "gnu and mit are short words", "students of mit won the price", "we ask for your permission", "free software is a matter of liberty", "the terms of the contract were harsh", "her fishing license expired", "custom terms apply to this license"]
 #: Words of which a feature holds at least one; a paragraph with none of them is not scored.
 ANCHORS = ("license", "licence", "licensed", "licenses", "license-identifier", "spdx-license-identifier", "copyright", "permission", "redistribution", "redistribute", "gnu", "gpl", "lgpl", "agpl", "affero", "apache", "apache-2.0", "mit", "bsd", "mozilla", "mpl", "mpl-2.0", "cc", "cc0", "by-nc", "by-sa", "creative", "commons", "rights", "warranty", "public", "terms")
-#: Stems of which every anchor contains one; what the plain search looks for.
-STEMS = ("licens", "licenc", "copyright", "permission", "redistribut", "gnu", "gpl", "apache", "bsd", "mozilla", "mpl-2", "cc0", "mpl", "cc", "by-nc", "by-sa", "mit", "affero", "creative", "commons", "rights", "warranty", "public", "terms")
 TRAIN_EACH, HELD_OUT_EACH, SEED = 60, 20, 11
 MIN_PROBABILITY, MIN_TEMPLATE = 0.5, 0.5
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+#: Where a word begins like an anchor: a search that finds all texts with an anchor, and some without.
+BEGINS = "(?i)(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(dict.fromkeys(re.escape(a[1:]) for a in ANCHORS if a[0] == c))})" for c in sorted({a[0] for a in ANCHORS})) + ")"
 UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES, UNKNOWN)
 
@@ -167,9 +166,9 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
     model = trained()
     own = [f"c{i}" for i in range(len(keep))]
     rows = df.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(keep, own)), text_of(f"`{text}`").alias("whole"))
-    stems = lambda c: functools.reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(s)) for s in STEMS))
-    lines = rows.filter(stems(F.col("whole"))).select(*own, F.posexplode(F.split("whole", "\n")).alias("paragraph", "line")).filter(stems(F.col("line")))
+    lines = rows.filter(F.rlike("whole", F.lit(BEGINS))).select(*own, F.posexplode(F.split("whole", "\n")).alias("paragraph", "line")).filter(F.rlike("line", F.lit(BEGINS)))
     words = lines.select(*own, "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"), F.lit(1)).alias("words"))
+    words = words.filter(F.arrays_overlap("words", F.array(*(F.lit(a) for a in ANCHORS))))
     anchored = rf"(^| )({'|'.join(re.escape(a) for a in ANCHORS)})( |$)"
     grams = F.array_distinct(F.filter(F.concat(*(_ngrams(F.col("words"), n) for n in (1, 2, 3))), lambda g: F.rlike(g, F.lit(anchored))))
     pairs = F.array_distinct(_ngrams(F.col("words"), 2))
