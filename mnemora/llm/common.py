@@ -64,16 +64,24 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 def join_hot(df: DataFrame, side: DataFrame, key: str, rows: str, hot: int = 10_000, most: int = 100_000) -> DataFrame:
     """Left join of `df` with `side`, which has one row a key and the number `rows` of rows that it meets in `df`.
 
-    A key may meet a third of all rows. Keys of more than `hot` rows (at most `most` of them, those of most rows) are
-    taken to the rows as they lie; the other rows are dealt by key. Columns of `side` must not be columns of `df`.
+    A side of at most `most` keys is taken to the rows whole. Of a larger one this holds for the keys that meet more
+    than `hot` rows, as one key may meet a third of all, and if these are more than `most`, for those of most rows; all
+    other rows are dealt by key. `side` is read several times; its columns must not be columns of `df`.
     """
     names = [c for c in side.columns if c not in (key, rows)]
-    bound = side.select(F.count_if(F.col(rows) > hot).alias("n"), F.approx_percentile(F.when(F.col(rows) > hot, F.col(rows)), F.lit(0.5)).alias("middle")).first()
-    if not bound.n:
+
+    def bound():
+        over = F.when(F.col(rows) > hot, F.col(rows))
+        return side.agg(F.count("*").alias("keys"), F.count(over).alias("n"), F.approx_percentile(over, F.lit(0.5)).alias("middle")).first()
+
+    found = bound()
+    if found.keys <= most:
+        return df.join(F.broadcast(side.drop(rows)), key, "left")
+    while found.n > most:
+        hot = int(found.middle)
+        found = bound()
+    if not found.n:
         return df.join(side.drop(rows), key, "left")
-    while bound.n > most:  # the half of most rows, until they are few
-        hot = int(bound.middle)
-        bound = side.select(F.count_if(F.col(rows) > hot).alias("n"), F.approx_percentile(F.when(F.col(rows) > hot, F.col(rows)), F.lit(0.5)).alias("middle")).first()
     few = side.filter(F.col(rows) > hot).select(F.col(key).alias("_hot_key"), F.struct(*names).alias("_hot"))
     rest = side.filter(F.col(rows) <= hot).select(F.col(key).alias("_rest_key"), F.struct(*names).alias("_rest"))
     met = df.join(F.broadcast(few), F.col(key) == F.col("_hot_key"), "left")

@@ -5,7 +5,9 @@ shrunk towards the corpus rate with an empirical beta prior, and the verdicts on
 
 Defined cases: a null text is an empty text (it has no words and fails the base rule); a null host is a host
 of its own; repeated rows are judged one by one and each counts for its host; an empty table gives an empty
-table; columns with clashing names are left alone, as results are added under free names.
+table; columns with clashing names are left alone, as results get underscores before their names until these are free.
+A host may hold a third of all rows: failures are summed before they are dealt by host, and the verdict on a host of
+many rows is taken to them as they lie.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, free_name, materialise, text_of
+from .common import WHITE, free_name, join_hot, materialise, text_of
 
 #: Symbols that count as markup debris.
 SYMBOLS = "#*$%&|<>"
@@ -29,8 +31,6 @@ SOFT_RULES = {
 HOST_LIMIT = 0.5
 #: A document that fails so many rules goes whatever its host.
 RULE_LIMIT = 2
-#: Hosts whose rates are broadcast at most (under 10 MB).
-BROADCAST_HOSTS = 100_000
 #: Bounds of the prior's weight, in documents.
 PRIOR_MIN, PRIOR_MAX = 1.0, 1000.0
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -89,7 +89,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
-    """Per host the shrunken failure rate of each rule; `judged` has `host` and one flag column a rule.
+    """Per host its number of documents and the shrunken failure rate of each rule; `judged` has `host` and one flag column a rule.
 
     The prior of a rule is a beta distribution fitted by moments to the hosts' rates: its mean is the corpus
     rate, its weight follows from the variance between hosts.
@@ -107,11 +107,11 @@ def host_rates(judged: DataFrame) -> DataFrame:
         m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
         weight = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(PRIOR_MIN)), F.lit(PRIOR_MAX))).otherwise(PRIOR_MAX)
         rates.append(((F.col(r) + m * weight) / (F.col("n") + weight)).alias(f"r_{r}"))
-    return out.select("host", *rates)
+    return out.select("host", "n", *rates)
 
 
 def quality_verdicts(df: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, only_kept: bool = False) -> DataFrame:
-    """The columns `keep` (default: all), then `measures`, `base_failed`, `failed_rules` and `kept`.
+    """The columns `keep` (default: all), then `measures`, `base_failed`, `failed_rules` and `kept`, under free names.
 
     With `only_kept` the rows that are kept, and only the columns `keep`.
 
@@ -123,10 +123,7 @@ def quality_verdicts(df: DataFrame, text: str = "text", host: str = "source", ke
     base = materialise(base.select(*own, "host", "measures"))
     flat = base.select("*", *(F.col(f"measures.{k}").alias(k) for k in MEASURES))
     judged = flat.select(*own, "host", "measures", (f := F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")).alias("base_failed"), *(F.expr(c).alias(f"f_{r}") for r, c in SOFT_RULES.items()))
-    rates = host_rates(judged)
-    # one row a host: taken to the rows where it is small, else both are dealt by host and skewed hosts are split
-    rates = F.broadcast(rates) if judged.select("host").distinct().count() <= BROADCAST_HOSTS else rates
-    both = judged.join(rates, "host", "left")
+    both = join_hot(judged, materialise(host_rates(judged)), "host", "n")
     failed = F.array_compact(F.array(*(F.when(F.col(f"f_{r}"), F.lit(r)) for r in SOFT_RULES)))
     refused = F.lit(False)
     for r in SOFT_RULES:
@@ -134,7 +131,9 @@ def quality_verdicts(df: DataFrame, text: str = "text", host: str = "source", ke
     verdict = ~F.col("base_failed") & ~refused & (F.size(failed) < RULE_LIMIT)
     if only_kept:
         return both.filter(verdict).select(*(F.col(o).alias(c) for o, c in zip(own, keep)))
-    return both.select(*(F.col(o).alias(c) for o, c in zip(own, keep)), "measures", "base_failed", failed.alias("failed_rules"), verdict.alias("kept"))
+    results = {"measures": F.col("measures"), "base_failed": F.col("base_failed"), "failed_rules": failed, "kept": verdict}
+    named = base.select(*(F.col(o).alias(c) for o, c in zip(own, keep)))
+    return both.select(*(F.col(o).alias(c) for o, c in zip(own, keep)), *(v.alias(free_name(named, k)) for k, v in results.items()))
 
 
 def quality_filter(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:

@@ -97,7 +97,7 @@ def test_hubs_and_components(spark):
     df = spark.createDataFrame(links, "a long, b long")
     want = {**{i: 0 for i in range(300)}, **{500 + i: 500 for i in range(41)}, 900: 900, **dict.fromkeys(ids, 1000)}
     assert {r.node: r.root for r in graphs.components(df).collect()} == want
-    usual, graphs.join_hot = graphs.join_hot, lambda *a: common.join_hot(*a, hot=20)
+    usual, graphs.join_hot = graphs.join_hot, lambda *a: common.join_hot(*a, hot=20, most=30)
     try:
         assert {r.node: r.root for r in graphs.components(df).collect()} == want
     finally:

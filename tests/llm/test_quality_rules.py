@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from mnemora.llm import quality_rules as q
 
 
@@ -52,5 +54,8 @@ def test_like_the_plain_version(spark):
     kept = q.quality_filter(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, v in got.items() if v[-1]}
     assert q.quality_digest(df.limit(0)).count() == 0
+    clashing = q.quality_verdicts(df.withColumn("measures", F.lit(1)).withColumn("host", F.lit("x")).withColumn("Base_failed", F.lit(2)).withColumn("f_symbols", F.lit(3)))
+    assert clashing.columns[-4:] == ["_measures", "_base_failed", "failed_rules", "_kept"]
+    assert {r.doc_id: r._kept for r in clashing.select("doc_id", "_kept").collect()} == {d: v[-1] for d, v in got.items()}
     again = q.quality_digest(df.unionByName(df))
     assert again.count() == 2 * len(rows)
