@@ -4,7 +4,7 @@ Texts are sets of hashed word n-grams. Documents with equal sets are one class f
 follow from set sizes discard classes and pairs before any product: a class with more n-grams of its own than
 its size lets it miss has no partner, and partners share an n-gram among the rarest of each, its prefix. Classes that
 prefix n-grams connect make a group. A small group is one block, multiplied with itself. In a larger one the classes
-with the same rarest n-gram and about the same size make blocks, bound in classes and in n-grams, and only blocks
+with the same prefix n-gram and about the same size make blocks, bound in classes and in n-grams, and only blocks
 that share a prefix n-gram and whose sizes allow a link meet: a long chain of groups costs in proportion to its
 length. Each tile, a pair of blocks, accumulates overlap counts by matrix products, drops pairs outside the bounds
 of their sizes, and returns counts of links and a spanning forest.
@@ -40,7 +40,7 @@ DENSE = 12
 #: Ids that are broadcast at most (32 MB with the hashes of their texts); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Word hashes that a task remembers before it starts afresh.
-MEMO = 200_000
+MEMO = 400_000
 #: Odd multipliers of the n-gram hash.
 ODD = tuple(np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -193,7 +193,9 @@ def _tiles(table: pa.Table, percent: int) -> pa.Table:
 def placements(groups: DataFrame, chosen: DataFrame, prefix: DataFrame, percent: int, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """`cls`, `tile`, `side` and `n` of each class in each tile it takes part in; a side of 1 is the second of two blocks.
 
-    `groups` has `node` and `root`, `chosen` has `cls` and `n`, `prefix` has `cls`, `gram` and its `df`.
+    `groups` has `node` and `root`, `chosen` has `cls` and `n`, `prefix` has `cls`, `gram` and the number `m` of classes
+    that have it in their prefix. A class goes by the prefix n-gram that most others have too, so that near copies,
+    which have most of their prefixes in common, fill a few whole blocks.
     """
     members = materialise(groups.select(F.col("node").alias("cls"), "root").join(chosen.select("cls", "n"), "cls"))
     sizes = materialise(members.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("grams")).withColumn("large", (F.col("g") > block) | (F.col("grams") > block_grams)))
@@ -204,8 +206,8 @@ def placements(groups: DataFrame, chosen: DataFrame, prefix: DataFrame, percent:
     held = materialise(prefix.join(large.select("cls"), "cls", "left_semi"))
     # sizes of partners are at most one band apart
     width = float(np.log(100 / percent)) * (1 + 1e-6)
-    rarest = held.groupBy("cls").agg(F.min(F.struct("df", "gram")).alias("rarest"))
-    celled = materialise(large.join(rarest, "cls").withColumn("band", F.floor(F.log("n") / width)).withColumn("cell", F.xxhash64("rarest.gram", "band")).drop("rarest"))
+    common = held.groupBy("cls").agg(F.max(F.struct("m", "gram")).alias("common"))
+    celled = materialise(large.join(common, "cls").withColumn("band", F.floor(F.log("n") / width)).withColumn("cell", F.xxhash64("common.gram", "band")).drop("common"))
     cells = materialise(celled.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("s")))
     parts = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("s") / block_grams))
     blocks = join_hot(celled, cells.select("cell", "c", parts.alias("parts"), (F.col("c") == 1).alias("alone")), "cell", "c")
@@ -249,13 +251,13 @@ def _components(df: DataFrame, doc: str, text: str, n: int, percent: int, block:
     shared = materialise(rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"))
     by_class = join_hot(rows, shared.withColumn("rows", F.col("df")), "gram", "rows").filter("df IS NOT NULL").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held"))
     room = slack + 1 - (F.col("n") - F.size("held"))
-    prefix = materialise(by_class.filter(room > 0).select("cls", F.explode(F.slice("held", F.lit(1), F.least(room, F.size("held").cast("long")).cast("int"))).alias("g")).select("cls", "g.gram", "g.df"))
+    prefix = materialise(by_class.filter(room > 0).select("cls", F.explode(F.slice("held", F.lit(1), F.least(room, F.size("held").cast("long")).cast("int"))).alias("g")).select("cls", "g.gram"))
     stars = prefix.groupBy("gram").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).filter("m > 1").withColumn("rows", F.col("m"))
-    starred = join_hot(prefix, materialise(stars), "gram", "rows").filter("m IS NOT NULL")
+    starred = materialise(join_hot(prefix, materialise(stars), "gram", "rows").filter("m IS NOT NULL").select("cls", "gram", "hub", "m"))
     groups = components(starred.select(F.col("cls").alias("a"), F.col("hub").alias("b")).filter("a != b").distinct())
 
     # the products
-    placed = placements(groups, chosen, prefix, percent, block, block_grams)
+    placed = placements(groups, chosen, starred, percent, block, block_grams)
     bins = max(1, -(-(placed.agg(F.sum("n")).first()[0] or 0) // (2 * block_grams)))
     tiles = placed.drop("n").join(sets.select("cls", "copies", "grams"), "cls").withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(bins)))
     done = materialise(tiles.groupBy("bin").applyInArrow(lambda t: _tiles(t, percent), "a long, b long, links long"))

@@ -77,7 +77,7 @@ def test_a_long_chain_makes_few_tiles(spark, monkeypatch):
     monkeypatch.setattr(nj, "placements", lambda *a: seen.append(whole(*a)) or seen[-1])
     near = [(10_000 + i, " ".join(f"n{k}" if k != i else f"edit{i}" for k in range(120))) for i in range(90)]
     made = {}
-    for n in (300, 1_200):
+    for n in (150, 600):
         rows = chain(n) + near
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
         # room for many n-grams that others lack, so that the chain's classes stay and are one group
@@ -85,7 +85,25 @@ def test_a_long_chain_makes_few_tiles(spark, monkeypatch):
         assert {(r.component_id, r.n_links) for r in got if r.doc_id >= 10_000} == {(10_000, 89)}
         assert all(r.component_id == r.doc_id and r.n_links == 0 for r in got if r.doc_id < 10_000)
         made[n] = seen[-1].select("tile").distinct().count()
-    assert made[1_200] < 6 * made[300] and made[1_200] < 8 * 1_200, made
+    assert made[600] < 6 * made[150] and made[600] < 8 * 600, made
+
+
+def test_a_dense_group_fills_its_blocks(spark, monkeypatch):
+    seen = []
+    whole = nj.placements
+    monkeypatch.setattr(nj, "placements", lambda *a: seen.append(whole(*a)) or seen[-1])
+    rnd, base = random.Random(6), [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(400):
+        w = base[:]
+        for _ in range(rnd.randint(1, 2)):
+            w[rnd.randrange(150)] = f"e{i}x{rnd.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = nj.jaccard_components(df, block=40).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    copies = seen[-1].count() / len(rows)
+    assert copies < 2 * 400 / 40, copies  # each class meets all others in whole blocks
 
 
 def test_hubs_and_components(spark):
