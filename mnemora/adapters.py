@@ -63,7 +63,7 @@ class Memory:
     @functools.cached_property
     def entities(self) -> DataFrame:
         def of(table: str, base: int, key: str, name: str, kind: str, project: str) -> DataFrame:
-            return self.read(table).selectExpr(f"CAST({base} + {key} AS BIGINT) AS id", f"'{kind}' AS entity_type", f"{name} AS name", f"lower({name}) AS canonical_name", f"CAST(({key} * 7) % 23 AS INT) AS mention_count", f"{project} AS project_name")
+            return self.read(table).selectExpr(f"CAST({base} + {key} AS BIGINT) AS id", f"'{kind}' AS entity_type", f"{name} AS name", f"lower({name}) AS canonical_name", f"CAST(({key} * 7) % 23 AS INT) AS mention_count", f"{project} AS project_name", f"{stamp(f'{key} % 40000 * 3')} AS first_seen")
 
         proj = lambda key: f"concat('proj', CAST({key} % 7 AS STRING))"
         parts = (
@@ -101,13 +101,13 @@ class Memory:
 
     @functools.cached_property
     def prompts(self) -> DataFrame:
-        return self.read("benchmark").selectExpr("item_id AS id", "concat('prompt ', CAST(item_id AS STRING)) AS name", "CASE item_id % 3 WHEN 0 THEN 'skill' WHEN 1 THEN 'system' END AS category", "text AS content", "CAST(item_id * 7 % 5 AS INT) AS usage_count", f"{stamp('item_id * 30')} AS updated_at")
+        return self.read("benchmark").selectExpr("item_id AS id", "concat('prompt ', CAST(item_id AS STRING)) AS name", "CASE item_id % 3 WHEN 0 THEN 'skill' WHEN 1 THEN 'system' END AS category", "text AS content", "CAST(item_id * 7 % 5 AS INT) AS usage_count", f"{stamp('item_id * 30')} AS updated_at", f"{stamp('item_id * 25')} AS created_at")
 
     @functools.cached_property
     def projects(self) -> DataFrame:
         people = """concat('[{"name":"', n_name, '","role":"lead"},{"name":"person ', CAST(n_nationkey AS STRING), '","role":"member"}]') AS contacts"""
         choices = """concat('[{"title":"choice ', CAST(n_nationkey AS STRING), '","date":"2024-01-0', CAST(1 + n_nationkey % 9 AS STRING), '"}]') AS decisions"""
-        return self.read("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS name", "CASE n_nationkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'paused' WHEN 2 THEN 'completed' ELSE 'archived' END AS status", people, choices, f"CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE {stamp('n_nationkey * 60')} END AS updated_at")
+        return self.read("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS name", "CASE n_nationkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'paused' WHEN 2 THEN 'completed' ELSE 'archived' END AS status", people, choices, f"CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE {stamp('n_nationkey * 60')} END AS updated_at", "concat('work in region ', CAST(n_regionkey AS STRING)) AS description", f"{stamp('n_nationkey * 1500')} AS created_at")
 
 
 _STAMP = "TIMESTAMP '2024-01-01' + to_minutes(CAST({} AS INT))"
@@ -115,7 +115,7 @@ _CATEGORY = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enu
 
 
 def _entity(table, base, key, name, kind, project):
-    return f"SELECT CAST({base} + {key} AS BIGINT) AS id, '{kind}' AS entity_type, {name} AS name, lower({name}) AS canonical_name, CAST(({key} * 7) % 23 AS INT) AS mention_count, {project} AS project_name FROM {table}"
+    return f"SELECT CAST({base} + {key} AS BIGINT) AS id, '{kind}' AS entity_type, {name} AS name, lower({name}) AS canonical_name, CAST(({key} * 7) % 23 AS INT) AS mention_count, {project} AS project_name, {_STAMP.format(f'{key} % 40000 * 3')} AS first_seen FROM {table}"
 
 
 def _relation(table, base, a, b, kind, where="true"):
@@ -133,8 +133,8 @@ CTES = {
     "mentions": "SELECT o_orderkey AS id, 100000 + o_custkey AS entity_id, CASE WHEN o_orderkey % 4 = 0 THEN 'memory_chunk' ELSE 'conversation' END AS source_type, o_orderkey % 100 AS source_id, o_orderpriority AS context_snippet, o_orderdate AS created_at FROM orders",
     "reflections": "SELECT event_id AS id, event_type AS reflection_type, CASE WHEN event_id % 3 = 0 THEN 'merged' WHEN event_id % 3 = 1 THEN 'marked_superseded' ELSE 'kept' END AS action_taken, CASE WHEN event_id % 5 = 0 THEN [] WHEN event_id % 5 = 1 THEN NULL ELSE [event_id, event_id + 1] END AS affected_chunks, props AS reasoning, value AS confidence, ts AS created_at FROM events",
     "skills": f"SELECT p_partkey AS id, p_name AS name, p_type AS description, p_brand AS path, CAST(p_size % 11 AS INT) AS use_count, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE {_STAMP.format('p_partkey * 10')} END AS last_used, CASE WHEN p_partkey % 3 = 0 THEN {_STAMP.format('p_partkey * 20')} END AS file_modified, {_STAMP.format('p_partkey')} AS created_at FROM part",
-    "prompts": f"SELECT item_id AS id, 'prompt ' || item_id AS name, CASE item_id % 3 WHEN 0 THEN 'skill' WHEN 1 THEN 'system' END AS category, text AS content, CAST(item_id * 7 % 5 AS INT) AS usage_count, {_STAMP.format('item_id * 30')} AS updated_at FROM benchmark",
-    "projects": f"SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CASE n_nationkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'paused' WHEN 2 THEN 'completed' ELSE 'archived' END AS status, '[{{\"name\":\"' || n_name || '\",\"role\":\"lead\"}},{{\"name\":\"person ' || n_nationkey || '\",\"role\":\"member\"}}]' AS contacts, '[{{\"title\":\"choice ' || n_nationkey || '\",\"date\":\"2024-01-0' || (1 + n_nationkey % 9) || '\"}}]' AS decisions, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE {_STAMP.format('n_nationkey * 60')} END AS updated_at FROM nation",
+    "prompts": f"SELECT item_id AS id, 'prompt ' || item_id AS name, CASE item_id % 3 WHEN 0 THEN 'skill' WHEN 1 THEN 'system' END AS category, text AS content, CAST(item_id * 7 % 5 AS INT) AS usage_count, {_STAMP.format('item_id * 30')} AS updated_at, {_STAMP.format('item_id * 25')} AS created_at FROM benchmark",
+    "projects": f"SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CASE n_nationkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'paused' WHEN 2 THEN 'completed' ELSE 'archived' END AS status, '[{{\"name\":\"' || n_name || '\",\"role\":\"lead\"}},{{\"name\":\"person ' || n_nationkey || '\",\"role\":\"member\"}}]' AS contacts, '[{{\"title\":\"choice ' || n_nationkey || '\",\"date\":\"2024-01-0' || (1 + n_nationkey % 9) || '\"}}]' AS decisions, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE {_STAMP.format('n_nationkey * 60')} END AS updated_at, 'work in region ' || n_regionkey AS description, {_STAMP.format('n_nationkey * 1500')} AS created_at FROM nation",
     "ingestion_log": f"SELECT doc_id AS id, source || '/' || doc_id AS file_path, sha256(text) AS file_hash, {_STAMP.format('doc_id')} AS ingested_at, n_chars AS record_count FROM documents",
 }
 NEEDS = {"convs": ("messages",)}

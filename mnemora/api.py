@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from .operators import graph, mutations, retrieval
 from .operators.embedding import Embedder
 from .plans import reports
 from .schemas import CATEGORIES
+from .shared import written
 from .sources.store import Store
 
 MOST_LISTED = 200
@@ -30,15 +32,36 @@ class MemoryStore:
             raise ValueError("a project must be named")
         return project or None
 
-    def search(self, text: str, scope: str | None = None, project: str | None = None, limit: int = 10) -> DataFrame:
-        """The sources closest to a text; a scope filters after the limit."""
+    def search(self, text: str, scope: str | None = None, project: str | None = None, limit: int = 10, as_of: Column | None = None) -> DataFrame:
+        """The sources closest to a text; a scope filters after the limit. With `as_of` access to their chunks is tracked."""
         if not self.embedder:
             raise ValueError("no embedder is set")
-        found = retrieval.scored(*(self.store.read(t) for t in ("embeddings", "memory_chunks", "messages", "conversations")), self.embedder([text])[0], self.scope(project))
-        return retrieval.nearest(found, max(1, min(MOST_LISTED, limit)), scope)
-
-    def find(self, term: str, limit: int = 20) -> DataFrame:
-        return reports.search_chunks(self.store.read("memory_chunks"), term, limit)
+        tables = (self.store.read(t) for t in ("embeddings", "memory_chunks", "messages", "conversations"))
+        found = retrieval.nearest(*tables, self.embedder([text])[0], max(1, min(MOST_LISTED, limit)), scope, self.scope(project))
+        if as_of is None:
+            return found
+        found = written(found)
+        self._tracked(found.filter("source_type = 'memory_chunk'").select(F.col("source_id").alias("id")), as_of)
+        return found
+
+    def find(self, term: str, limit: int = 20, as_of: Column | None = None) -> DataFrame:
+        """Chunks that hold a term; with `as_of` their access is tracked, in one commit."""
+        return self._tracked(reports.search_chunks(self.store.read("memory_chunks"), term, limit), as_of)
+
+    def _tracked(self, hits: DataFrame, as_of: Column | None) -> DataFrame:
+        if as_of is None:
+            return hits
+        hits = written(hits)
+        self.store.commit(replaced={"memory_chunks": mutations.touch(self.store.read("memory_chunks"), hits, as_of)})
+        return hits
+
+    def preload(self, project: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
+        """The chunks and contacts that a session starts with; an audit row says which they were."""
+        chunks = self.store.read("memory_chunks")
+        chosen, people = written(reports.context_preload(chunks, project)), written(reports.preload_contacts(chunks, project))
+        audit = reports.preload_audit(chosen, people, project, as_of).withColumn("id", F.lit(self.store.next_id("memory_reflections")))
+        self.store.commit(appended={"memory_reflections": audit})
+        return chosen, people
 
     def recall_entity(self, name: str, hops: int = 2, types: list[str] | None = None) -> DataFrame:
         seed = graph.resolve(self.store.read("entities"), name, 1).first()
@@ -93,8 +116,14 @@ class MemoryStore:
 
 def console(spark: SparkSession, statement: str, tables: dict[str, DataFrame]) -> DataFrame:
     """Read-only SQL over the named tables."""
-    if statement.lstrip(" (\t\n").split(None, 1)[0].lower() not in ("select", "with", "explain"):
+    words = statement.split(None, 1)
+    plain = words[1] if words and words[0].lower() == "explain" and len(words) > 1 else statement
+    if not plain.lstrip(" (\t\n").lower().startswith(("select", "with")):
         raise ValueError("only SELECT, WITH and EXPLAIN are allowed")
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+    try:
+        spark.sql(f"SELECT * FROM (\n{plain}\n) LIMIT 0")  # what changes tables cannot stand in a subquery
+    except ParseException as e:
+        raise ValueError("only SELECT, WITH and EXPLAIN are allowed") from e
     return spark.sql(statement)

@@ -1,26 +1,19 @@
 """The knowledge graph: entities, relationships and mentions as DataFrames.
 
 Walks go hop by hop: the frontier joins the edge list, what was visited drops out by an anti-join, and lineage is
-cut through the session's checkpoint folder; only a bounded number of hops is ever made.
+cut through the folder that the session's nodes share; only a bounded number of hops is ever made.
 """
 
 from __future__ import annotations
 
 import functools
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_HOPS, DEEPEST = 3, 6
-
+from ..shared import written as cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; one of our own only where it names none."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+MOST_HOPS, DEEPEST = 3, 6
 
 
 def resolve(entities: DataFrame, name: str, limit: int = 10) -> DataFrame:
@@ -75,8 +68,9 @@ def recall(relationships: DataFrame, start: int, hops: int = 2, types: list[str]
     """Edges by which each hop reaches nodes that were not visited before; several edges to one node all count."""
     edges = relationships.filter(F.col("relation_type").isin(types)) if types else relationships
     edges = edges.select("from_entity", "to_entity", "relation_type")
-    both = edges.select(F.col("from_entity").alias("near"), F.col("to_entity").alias("far"), "*").unionByName(edges.select(F.col("to_entity").alias("near"), F.col("from_entity").alias("far"), "*"))
-    both = cut(both)
+    edges = cut(edges)
+    ends = F.explode(F.array(F.struct(F.col("from_entity").alias("near"), F.col("to_entity").alias("far")), F.struct(F.col("to_entity").alias("near"), F.col("from_entity").alias("far"))))
+    both = edges.select("*", ends.alias("end")).select("from_entity", "to_entity", "relation_type", "end.near", "end.far")
     frontier = visited = relationships.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"))
     out = []
     for hop in range(1, max(1, min(MOST_HOPS, hops)) + 1):
@@ -111,7 +105,7 @@ def attribute_keys(entities: DataFrame, limit: int = 20) -> DataFrame:
     return rows.select("id", "mention_count", "entries", F.explode(F.json_object_keys("attributes")).alias("key")).orderBy(F.desc_nulls_first("mention_count"), "id", "key").limit(limit)
 
 
-def merged_attributes(old: str, new: str):
+def merged_attributes(old: str | Column, new: str | Column) -> Column:
     """Attributes of two maps, the new ones winning."""
     return F.map_from_entries(F.concat(F.filter(F.map_entries(old), lambda e: ~F.map_contains_key(new, e["key"])), F.map_entries(new)))
 
@@ -144,15 +138,50 @@ def best_match(entities: DataFrame, project: str) -> DataFrame:
     return entities.withColumn("k", F.row_number().over(w)).filter("k = 1").select("canonical_name", "id", "mention_count")
 
 
-def upsert_entities(existing: DataFrame, found: DataFrame) -> DataFrame:
+def upsert_entities(existing: DataFrame, found: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Entities after a batch of findings: same type, name and project add up; without a project a finding is new.
 
-    Both have entity_type, canonical_name, project_name, mention_count, confidence; keys of findings may repeat.
+    Both have entity_type, canonical_name, project_name, mention_count, confidence; keys of findings may repeat. Where
+    both also have `attributes` (a map) and findings a `place` in their order, later ones win over earlier ones; where
+    existing entities have `last_seen`, those found again were seen `as_of`.
     """
     key = ["entity_type", "canonical_name", "project_name"]
-    scoped = found.filter("project_name IS NOT NULL").groupBy(*key).agg(F.sum("mention_count").alias("more"), F.max("confidence").alias("sure"))
-    merged = existing.join(scoped, key, "full").select(*key, (F.coalesce("mention_count", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("mention_count"), F.greatest("confidence", "sure").alias("confidence"))
-    return merged.unionByName(found.filter("project_name IS NULL").select(*key, "mention_count", "confidence"))
+    merges, dates = "attributes" in existing.columns, "last_seen" in existing.columns
+    more = [F.sum("mention_count").alias("more"), F.max("confidence").alias("sure")]
+    if merges:
+        scoped = found.filter("project_name IS NOT NULL")
+        # one value a key and attribute, before the maps of an entity are put together
+        latest = scoped.select(*key, "place", F.explode("attributes")).groupBy(*key, "key").agg(F.max_by("value", "place").alias("value"))
+        maps = latest.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("new"))
+        sums = scoped.groupBy(*key).agg(*more).join(maps, key, "left")
+    else:
+        sums = found.filter("project_name IS NOT NULL").groupBy(*key).agg(*more)
+    nothing = F.create_map().cast("map<string,string>")
+    extra, alone = [], []
+    if merges:
+        extra.append(merged_attributes(F.coalesce("attributes", nothing), F.coalesce("new", nothing)).alias("attributes"))
+        alone.append(F.coalesce("attributes", nothing).alias("attributes"))
+    if dates:
+        extra.append(F.when(F.col("more").isNotNull(), as_of).otherwise(F.col("last_seen")).alias("last_seen"))
+        alone.append(as_of.alias("last_seen"))
+    merged = existing.join(sums, key, "full").select(*key, (F.coalesce("mention_count", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("mention_count"), F.greatest("confidence", "sure").alias("confidence"), *extra)
+    return merged.unionByName(found.filter("project_name IS NULL").select(*key, "mention_count", "confidence", *alone))
+
+
+def mentions_of(found: DataFrame, entities: DataFrame, as_of: Column) -> DataFrame:
+    """Mentions to append, one a finding and never merged: `found` has the entity's key, source and context."""
+    key = ["entity_type", "canonical_name", "project_name"]
+    ids = entities.select(F.col("id").alias("entity_id"), *(F.col(c).alias(f"own_{c}") for c in key))
+    same = functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in key))
+    return found.join(ids, same).select("entity_id", "source_type", "source_id", F.substring("context_snippet", 1, 500).alias("context_snippet"), as_of.alias("created_at"))
+
+
+def detail(entities: DataFrame, relationships: DataFrame, mentions: DataFrame, conversations: DataFrame, entity: int) -> DataFrame:
+    """All that is shown of an entity: relations out and in, mentions with their conversations, newest first."""
+    sides = neighbours(entities, relationships, entity).select("direction", F.col("relation_type").alias("what"), F.col("other").alias("id"), F.col("other_name").alias("title"))
+    talk = conversations.select(F.col("id").alias("source_id"), "summary").withColumn("source_type", F.lit("conversation"))
+    told = mentions.filter(F.col("entity_id") == entity).join(talk, ["source_type", "source_id"], "left").orderBy(F.desc_nulls_first("created_at"), "id")
+    return sides.unionByName(told.select(F.lit("mention").alias("direction"), F.col("source_type").alias("what"), "id", F.col("summary").alias("title")))
 
 
 def new_relationships(existing: DataFrame, found: DataFrame, types: tuple[str, ...]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..schemas import CATEGORIES, active, category_rank
+from ..schemas import CATEGORIES, PRELOADED, active, category_rank
 
 MINUTES = "timestampdiff(MICROSECOND, started_at, ended_at) / 6e7"
 
@@ -170,29 +170,104 @@ def recent(df: DataFrame, stamp: str, *columns: str, limit: int = 20) -> DataFra
     return df.orderBy(F.desc_nulls_last(stamp), "id").limit(limit).select("id", *columns)
 
 
-def global_search(chunks: DataFrame, conversations: DataFrame, messages: DataFrame, entities: DataFrame, term: str) -> DataFrame:
-    """Hits of every scope, each with its own limit."""
-    parts = (
-        ("conversation", conversations.filter(like("summary", term) | like("project_name", term)), "started_at", "summary", 20),
-        ("message", messages.filter(like("content", term)), "created_at", "content", 30),
-        ("memory", chunks.filter(like("content", term) | F.array_contains("tags", term)), "created_at", "content", 30),
-        ("entity", entities.filter(like("name", term)), "mention_count", "name", 20),
+def global_search(tables: dict[str, DataFrame], term: str) -> DataFrame:
+    """Hits of the six scopes, each in its order and with its own limit.
+
+    `tables` has conversations, messages, memory_chunks, skills, projects and prompts.
+    """
+    holds = lambda *columns: functools.reduce(operator.or_, [like(c, term) for c in columns])
+    shown_last = F.coalesce("file_modified", "last_used", "created_at")
+    scopes = (
+        ("conversation", "conversations", holds("summary", "project_name"), F.desc_nulls_first("started_at"), "summary", 20),
+        ("message", "messages", holds("content"), F.desc_nulls_first("created_at"), "content", 30),
+        ("memory", "memory_chunks", holds("content", "project_name") | F.array_contains("tags", term), F.desc_nulls_first("confidence"), "content", 30),
+        ("skill", "skills", holds("name", "description"), F.desc_nulls_last(shown_last), "name", 20),
+        ("project", "projects", holds("name", "description"), F.desc_nulls_last("created_at"), "name", 20),
+        ("prompt", "prompts", holds("name", "content"), F.desc_nulls_last("updated_at"), "name", 20),
     )
-    found = [d.orderBy(F.desc_nulls_last(key), "id").limit(n).select(F.lit(scope).alias("scope"), "id", F.substring(F.regexp_replace(shown, "\n", " "), 1, 200).alias("snippet")) for scope, d, key, shown, n in parts]
+    found = []
+    for scope, table, wanted, order, shown, limit in scopes:
+        rows = tables[table].filter(wanted).orderBy(order, "id").limit(limit)
+        snippet = F.substring(F.regexp_replace(shown, "\n", " "), 1, 200)
+        found.append(rows.select(F.lit(scope).alias("scope"), "id", snippet.alias("snippet")))
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def calendar(chunks: DataFrame, conversations: DataFrame, entities: DataFrame, reflections: DataFrame, ingestion_log: DataFrame, since: Column) -> DataFrame:
-    """Events of all sources in one form: type, id, title, start."""
-    origin = conversations.select(F.col("id").alias("source_id"), F.col("started_at").alias("at")).withColumn("source_type", F.lit("conversation"))
-    dated = chunks.filter(active()).join(origin, ["source_type", "source_id"], "left").select("id", F.substring("content", 1, 60).alias("title"), F.coalesce("at", "created_at").alias("start"))
+def _short(text: str | Column, most: int) -> Column:
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
+
+
+def calendar(tables: dict[str, DataFrame], since: Column, most_chunks: int = 1000, most_entities: int = 300) -> DataFrame:
+    """Events of the eight sources in one form: type, id, title, start. The limits are features of the list.
+
+    `tables` has conversations, memory_chunks, skills, projects, prompts, entities, memory_reflections, ingestion_log.
+    """
+    t = tables
+    summary = F.col("summary")
+    untitled = F.concat(F.lit("Session #"), F.col("id").cast("string"))
+    named = F.when(F.length(F.trim(summary)) > 0, summary).otherwise(untitled)
+    origin = t["conversations"].select(F.col("id").alias("source_id"), F.col("started_at").alias("at")).withColumn("source_type", F.lit("conversation"))
+    dated = t["memory_chunks"].filter(active()).join(origin, ["source_type", "source_id"], "left").withColumn("start", F.coalesce("at", "created_at")).filter(F.col("start") >= since)
+    kind = lambda label, column="name": F.concat(F.lit(label), F.lit(": "), F.col(column))
+    of = lambda df, title, start: df.select("id", title.alias("title"), start.alias("start"))
+    entities = t["entities"].filter(F.col("first_seen") >= since).orderBy(F.desc_nulls_first("mention_count"), "id").limit(most_entities)
+    file_name = F.element_at(F.split("file_path", "/"), -1)
     parts = {
-        "conversation": conversations.select("id", F.coalesce("summary", F.lit("(untitled)")).alias("title"), F.col("started_at").alias("start")),
-        "memory": dated,
-        "reflection": reflections.select("id", F.col("reflection_type").alias("title"), F.col("created_at").alias("start")),
-        "ingestion": ingestion_log.select("id", F.element_at(F.split("file_path", "/"), -1).alias("title"), F.col("ingested_at").alias("start")),
+        "conversation": of(t["conversations"], F.when(F.length(named) > 60, F.concat(F.substring(named, 1, 57), F.lit("..."))).otherwise(named), F.col("started_at")),
+        "memory": of(dated.orderBy("start", "id").limit(most_chunks), F.concat(F.lit("["), "category", F.lit("] "), _short("content", 80)), F.col("start")),
+        "skill": of(t["skills"], kind("Skill"), F.coalesce("file_modified", "last_used", "created_at")),
+        "project": of(t["projects"], kind("Project"), F.col("created_at")),
+        "prompt": of(t["prompts"], kind("Prompt"), F.col("created_at")),
+        "entity": of(entities, F.concat("entity_type", F.lit(": "), "name"), F.col("first_seen")),
+        "reflection": of(t["memory_reflections"], F.concat("reflection_type", F.lit(": "), "action_taken"), F.col("created_at")),
+        "ingestion": of(t["ingestion_log"], F.concat(F.lit("Ingest: "), file_name, F.lit(" ("), F.col("record_count").cast("string"), F.lit(" rec)")), F.col("ingested_at")),
     }
-    return functools.reduce(DataFrame.unionByName, [d.filter(F.col("start") >= since).select(F.lit(k).alias("type"), "id", "title", "start") for k, d in parts.items()])
+    return functools.reduce(DataFrame.unionByName, [d.filter(F.col("start") >= since).withColumn("type", F.lit(k)) for k, d in parts.items()])
+
+
+def conversation_list(conversations: DataFrame, messages: DataFrame, project: str | None = None, model: str | None = None, text: str | None = None, limit: int = 500) -> DataFrame:
+    """Conversations of a project and a model with a text in their messages, each filter optional, the newest first."""
+    rows = conversations.filter(all_of(F.col("project_name") == project if project else None, F.col("model") == model if model else None))
+    if text:
+        rows = rows.join(messages.filter(like("content", text)).select(F.col("conversation_id").alias("id")), "id", "left_semi")
+    return rows.orderBy(F.desc_nulls_first("started_at"), "id").limit(limit).select("id", F.col("summary").alias("title"), F.col("project_name").alias("project"), "model", "started_at", F.col("message_count").alias("messages"))
+
+
+def options(**columns: tuple[DataFrame, str]) -> DataFrame:
+    """The distinct values of some columns, as lists to choose from: `list` and `value`."""
+    return functools.reduce(DataFrame.unionByName, [df.filter(F.col(c).isNotNull()).select(F.lit(name).alias("list"), F.col(c).alias("value")).distinct() for name, (df, c) in columns.items()])
+
+
+def by_id(df: DataFrame, row_id: int) -> DataFrame:
+    """All columns of one row, but vectors."""
+    return df.filter(F.col("id") == row_id).drop(*(c for c in df.columns if c.startswith("embedding")))
+
+
+def conversation_chunks(chunks: DataFrame, conversation: int) -> DataFrame:
+    """The chunks that were read out of a conversation."""
+    return chunks.filter((F.col("source_type") == "conversation") & (F.col("source_id") == conversation)).orderBy(F.desc_nulls_first("confidence"), "id").select("id", "category", "content", "confidence")
+
+
+def chunks_with_projects(chunks: DataFrame, projects: DataFrame, as_of: Column, decayed: Column) -> DataFrame:
+    """Active chunks that have not expired, their confidence by age, and the project of their name where there is one."""
+    alive = F.col("expires_at").isNull() | (F.col("expires_at") > as_of) if "expires_at" in chunks.columns else F.lit(True)
+    named = projects.select(F.col("name").alias("project_name"), F.col("status").alias("project_status"))
+    return chunks.filter(active() & alive).join(named, "project_name", "left").select("id", "project_name", "project_status", F.round(F.col("confidence").cast("double") * decayed, 6).alias("weight"))
+
+
+def skill_usage(messages: DataFrame, skills: DataFrame, as_of: Column, weeks: int = 8) -> DataFrame:
+    """Uses of each skill by week: answers in the last weeks whose tool has the skill's name."""
+    recent_answers = messages.filter((F.col("role") == "assistant") & (F.col("created_at") > before(as_of, 7 * weeks)))
+    used = recent_answers.join(skills.select(F.col("name").alias("tool_name")), "tool_name")
+    return used.groupBy(F.col("tool_name").alias("name"), F.to_date(F.date_trunc("week", "created_at")).alias("week")).agg(F.count("*").alias("uses"))
+
+
+def skill_calls(messages: DataFrame, skills: DataFrame, tool: str = "Skill") -> DataFrame:
+    """Uses of each skill by week: messages of one tool whose blocks (a JSON array) name the skill, once a message."""
+    blocks = F.from_json("content_blocks", "array<struct<skill:string>>")
+    named = messages.filter(F.col("tool_name") == tool).select("created_at", F.explode(F.array_distinct(F.transform(blocks, lambda b: b["skill"]))).alias("name"))
+    return named.join(skills.select("name"), "name").groupBy("name", F.to_date(F.date_trunc("week", "created_at")).alias("week")).agg(F.count("*").alias("uses"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -239,6 +314,11 @@ def contacts(projects: DataFrame, name: str) -> DataFrame:
     return people.select(F.col("name").alias("project"), F.col("p.name").alias("person"), F.col("p.role").alias("role")).filter(like("person", name))
 
 
+def contact_notes(chunks: DataFrame, name: str) -> DataFrame:
+    """Chunks on contacts whose text holds a name, the surest first."""
+    return chunks.filter((F.col("category") == "contact") & like("content", name)).orderBy(F.desc_nulls_first("confidence"), "id").select("id", "content", "confidence", "project_name", F.array_join("tags", ", ").alias("tags"))
+
+
 def project_decisions(projects: DataFrame) -> DataFrame:
     """Decisions that the projects' JSON lists, one row each."""
     rows = projects.select(F.col("name").alias("project"), F.explode(F.from_json("decisions", "array<struct<title:string,date:string>>")).alias("d"))
@@ -306,10 +386,26 @@ def previews(messages: DataFrame, each: int = 500, most: int = 4000, first: int
 
 
 def context_preload(chunks: DataFrame, project: str, limit: int = 20) -> DataFrame:
-    """What a session starts with: the project's own chunks first, then what holds everywhere."""
-    own = chunks.filter(like("project_name", project)).withColumn("priority", F.lit(1))
-    general = chunks.filter(F.col("category").isin("preference", "contact", "workflow") & (F.col("project_name").isNull() | ~like("project_name", project))).withColumn("priority", F.lit(2))
-    return own.unionByName(general).orderBy("priority", F.desc_nulls_last("confidence"), F.desc_nulls_first("created_at"), "id").limit(limit).select("id", "priority", "category", "confidence")
+    """What a session starts with, of the categories that are preloaded: the project's own chunks first, then all others."""
+    wanted = chunks.filter(F.col("category").isin(*PRELOADED))
+    own = wanted.filter(like("project_name", project)).withColumn("priority", F.lit(1))
+    others = wanted.filter(F.col("project_name").isNull() | ~like("project_name", project)).withColumn("priority", F.lit(2))
+    return own.unionByName(others).orderBy("priority", F.desc_nulls_last("confidence"), F.desc_nulls_first("created_at"), "id").limit(limit).select("id", "priority", "category", "confidence")
+
+
+def preload_contacts(chunks: DataFrame, project: str, limit: int = 10) -> DataFrame:
+    """The contacts of a project and those of none, the surest and newest first."""
+    wanted = (F.col("category") == "contact") & (like("project_name", project) | F.col("project_name").isNull())
+    return chunks.filter(wanted).orderBy(F.desc_nulls_last("confidence"), F.desc_nulls_first("created_at"), "id").limit(limit).select("id", "category", "confidence")
+
+
+def preload_audit(chosen: DataFrame, contacts_: DataFrame, project: str, as_of: Column) -> DataFrame:
+    """The audit row of what a session was started with: at most some tens of ids."""
+    ids = chosen.select(F.lit(0).alias("part"), F.monotonically_increasing_id().alias("k"), "id").unionByName(contacts_.select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("k"), "id"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "k", "id"))), lambda x: x["id"])
+    row = ids.agg(listed.alias("affected_chunks"), F.count_if(F.col("part") == 0).alias("n"), F.count_if(F.col("part") == 1).alias("m"))
+    reason = F.concat(F.lit(f"SessionStart preload for project={project!r} ("), F.col("n").cast("string"), F.lit(" chunks + "), F.col("m").cast("string"), F.lit(" contacts)"))
+    return row.filter("n + m > 0").select(F.lit("preload").alias("reflection_type"), "affected_chunks", F.lit("session_start").alias("action_taken"), reason.alias("reasoning"), F.lit(1.0).cast("decimal(3,2)").alias("confidence"), as_of.alias("created_at"))
 
 
 def eval_recall(questions: DataFrame, hits: DataFrame) -> DataFrame:
@@ -319,3 +415,10 @@ def eval_recall(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """
     found = questions.join(hits, "id", "left").withColumn("hit", F.exists("expected", lambda x: F.contains(F.lower(F.coalesce("answer", F.lit(""))), F.lower(x))))
     return found.groupBy("id").agg(F.max(F.col("hit").cast("int")).alias("hit")).agg(F.count("*").alias("questions"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 4).alias("recall"))
+
+
+def recall_delta(with_memory: DataFrame, without: DataFrame) -> DataFrame:
+    """Two results of `eval_recall` side by side, and what the memory adds."""
+    a = with_memory.select("questions", F.col("hits").alias("hits_with"), F.col("recall").alias("recall_with"))
+    b = without.select(F.col("hits").alias("hits_without"), F.col("recall").alias("recall_without"))
+    return a.crossJoin(b).withColumn("delta", F.round(F.col("recall_with") - F.col("recall_without"), 4))  # one row each

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .adapters import AS_OF, Memory, sql
@@ -15,40 +13,15 @@ from .operators import mutations as mu
 from .operators import reflect as rf
 from .operators import retrieval as rt
 from .plans import reports as rp
+from .registry import QUERIES, SQL, query, table_query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
 
 
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def query(name: str, oracle: str | None = None):
-    """Register a function of the memory tables under `name`."""
-
-    def add(fn: Callable[[Memory], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(Memory(spark, folder))
-        if oracle:
-            SQL[name] = oracle
-        return fn
-
-    return add
-
-
-def table_query(name: str, oracle: str | None = None):
-    """Register a function of (spark, folder)."""
-
-    def add(fn: Query):
-        QUERIES[name] = fn
-        if oracle:
-            SQL[name] = oracle
-        return fn
-
-    return add
-
-
 NOW = f"TIMESTAMP '{AS_OF}'"
 MIN = "date_diff('microsecond', started_at, ended_at) / 6e7"
 ACT = "coalesce(status, 'active') = 'active'"
@@ -219,23 +192,70 @@ def _(m):
     return rp.recent(m.ingestion_log, "ingested_at", "file_path", "record_count", limit=10)
 
 
-def _scope(scope, source, where, key, shown, n):
-    return f"(SELECT '{scope}' AS scope, id, substring(replace({shown}, chr(10), ' '), 1, 200) AS snippet FROM {source} WHERE {where} ORDER BY {key} DESC NULLS LAST, id LIMIT {n})"
+def search_tables(m: Memory) -> dict[str, DataFrame]:
+    return {"conversations": m.conversations, "messages": m.messages, "memory_chunks": m.chunks, "skills": m.skills, "projects": m.projects, "prompts": m.prompts}
+
+
+def _scope(scope, source, where, order, shown, n):
+    return f"(SELECT '{scope}' AS scope, id, substring(replace({shown}, chr(10), ' '), 1, 200) AS snippet FROM {source} WHERE {where} ORDER BY {order}, id LIMIT {n})"
+
+
+def _holds(term, *columns):
+    return " OR ".join(f"{c} ILIKE '%{term}%'" for c in columns)
+
 
+def search_sql(term: str) -> str:
+    return sql("chunks convs skills projects prompts", " UNION ALL ".join((
+        _scope("conversation", "convs", _holds(term, "summary", "project_name"), "started_at DESC NULLS FIRST", "summary", 20),
+        _scope("message", "messages", _holds(term, "content"), "created_at DESC NULLS FIRST", "content", 30),
+        _scope("memory", "chunks", _holds(term, "content", "project_name") + f" OR list_contains(tags, '{term}')", "confidence DESC NULLS FIRST", "content", 30),
+        _scope("skill", "skills", _holds(term, "name", "description"), "coalesce(file_modified, last_used, created_at) DESC NULLS LAST", "name", 20),
+        _scope("project", "projects", _holds(term, "name", "description"), "created_at DESC NULLS LAST", "name", 20),
+        _scope("prompt", "prompts", _holds(term, "name", "content"), "updated_at DESC NULLS LAST", "name", 20),
+    )))
 
-@query("global_search", sql("chunks convs entities", " UNION ALL ".join((_scope("conversation", "convs", "summary ILIKE '%er%' OR project_name ILIKE '%er%'", "started_at", "summary", 20), _scope("message", "messages", "content ILIKE '%er%'", "created_at", "content", 30), _scope("memory", "chunks", "content ILIKE '%er%' OR list_contains(tags, 'er')", "created_at", "content", 30), _scope("entity", "entities", "name ILIKE '%er%'", "mention_count", "name", 20)))))
+
+@query("global_search", search_sql("on"))
+def _(m):
+    return rp.global_search(search_tables(m), "on")
+
+
+@query("global_search_tag", search_sql("src3"))
 def _(m):
-    return rp.global_search(m.chunks, m.conversations, m.messages, m.entities, "er")
+    return rp.global_search(search_tables(m), "src3")
+
+
+def calendar_tables(m: Memory) -> dict[str, DataFrame]:
+    return search_tables(m) | {"entities": m.entities, "memory_reflections": m.reflections, "ingestion_log": m.ingestion_log}
+
 
+SINCE = "2024-01-03 00:00:00"
+_CALENDAR = f"""
+    SELECT id, CASE WHEN length(t) > 60 THEN substring(t, 1, 57) || '...' ELSE t END AS title, start, 'conversation' AS type
+    FROM (SELECT id, CASE WHEN length(trim(summary)) > 0 THEN summary ELSE 'Session #' || id END AS t, started_at AS start FROM convs)
+    UNION ALL (SELECT chunks.id, '[' || category || '] ' || CASE WHEN length(content) > 80 THEN substring(content, 1, 80) || '...' ELSE content END, coalesce(started_at, created_at) AS start, 'memory'
+        FROM chunks LEFT JOIN convs ON source_type = 'conversation' AND convs.id = source_id WHERE {ACT} AND coalesce(started_at, created_at) >= TIMESTAMP '{SINCE}' ORDER BY start, chunks.id LIMIT 1000)
+    UNION ALL SELECT id, 'Skill: ' || name, coalesce(file_modified, last_used, created_at), 'skill' FROM skills
+    UNION ALL SELECT id, 'Project: ' || name, created_at, 'project' FROM projects
+    UNION ALL SELECT id, 'Prompt: ' || name, created_at, 'prompt' FROM prompts
+    UNION ALL (SELECT id, entity_type || ': ' || name, first_seen, 'entity' FROM entities WHERE first_seen >= TIMESTAMP '{SINCE}' ORDER BY mention_count DESC NULLS FIRST, id LIMIT 300)
+    UNION ALL SELECT id, reflection_type || ': ' || action_taken, created_at, 'reflection' FROM reflections
+    UNION ALL SELECT id, 'Ingest: ' || split_part(file_path, '/', -1) || ' (' || record_count || ' rec)', ingested_at, 'ingestion' FROM ingestion_log"""
+_CALENDAR_TABLES = "chunks convs skills projects prompts entities reflections ingestion_log"
 
-@query("calendar_union", sql("chunks convs reflections ingestion_log", f"SELECT * FROM (SELECT 'conversation' AS type, id, coalesce(summary, '(untitled)') AS title, started_at AS start FROM convs UNION ALL SELECT 'memory', chunks.id, substring(content, 1, 60), coalesce(started_at, created_at) FROM chunks LEFT JOIN convs ON source_type = 'conversation' AND convs.id = source_id WHERE {ACT} UNION ALL SELECT 'reflection', id, reflection_type, created_at FROM reflections UNION ALL SELECT 'ingestion', id, split_part(file_path, '/', -1), ingested_at FROM ingestion_log) WHERE start >= TIMESTAMP '2024-01-03'"))
+
+def _calendar(m: Memory) -> DataFrame:
+    return rp.calendar(calendar_tables(m), F.lit(SINCE).cast("timestamp_ntz"))
+
+
+@query("calendar_union", sql(_CALENDAR_TABLES, f"SELECT * FROM ({_CALENDAR}) WHERE start >= TIMESTAMP '{SINCE}'"))
 def _(m):
-    return rp.calendar(m.chunks, m.conversations, m.entities, m.reflections, m.ingestion_log, F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
+    return _calendar(m)
 
 
-@query("event_type_counter", sql("reflections", "SELECT reflection_type, count(*) AS n FROM reflections GROUP BY 1 ORDER BY n DESC, 1"))
+@query("event_type_counter", sql(_CALENDAR_TABLES, f"SELECT type, count(*) AS n FROM ({_CALENDAR}) WHERE start >= TIMESTAMP '{SINCE}' GROUP BY 1 ORDER BY n DESC, 1"))
 def _(m):
-    return rp.count_by(m.reflections, "reflection_type").orderBy(F.desc("n"), "reflection_type")
+    return rp.count_by(_calendar(m), "type").orderBy(F.desc("n"), "type")
 
 
 @query("project_options", sql("chunks", "SELECT DISTINCT project_name FROM chunks WHERE project_name IS NOT NULL"))
@@ -253,9 +273,9 @@ def _(m):
     return rp.skill_list(m.skills)
 
 
-@query("skills_search", sql("skills", "SELECT id, name, description FROM skills WHERE name ILIKE '%1%' OR description ILIKE '%steel%' ORDER BY use_count DESC NULLS LAST, id LIMIT 20"))
+@query("skills_search", sql("skills", "SELECT id, name, description FROM skills WHERE name ILIKE '%bolt%' OR description ILIKE '%econ%' ORDER BY use_count DESC NULLS LAST, id LIMIT 20"))
 def _(m):
-    return m.skills.filter(rp.like("name", "1") | rp.like("description", "steel")).orderBy(F.desc_nulls_last("use_count"), "id").limit(20).select("id", "name", "description")
+    return m.skills.filter(rp.like("name", "bolt") | rp.like("description", "econ")).orderBy(F.desc_nulls_last("use_count"), "id").limit(20).select("id", "name", "description")
 
 
 @query("names_with_keywords", sql("entities", "SELECT id, name FROM entities WHERE (name ILIKE '%customer%' AND name ILIKE '%7%')"))
@@ -273,9 +293,9 @@ def _(m):
     return rp.project_list(m.projects)
 
 
-@query("contacts", sql("projects", "SELECT name AS project, p->>'name' AS person, p->>'role' AS role FROM (SELECT name, unnest(CAST(contacts AS JSON[])) AS p FROM projects) WHERE p->>'name' ILIKE '%an%'"))
+@query("contacts", sql("projects", "SELECT name AS project, p->>'name' AS person, p->>'role' AS role FROM (SELECT name, unnest(CAST(contacts AS JSON[])) AS p FROM projects) WHERE p->>'name' ILIKE '%n_1%'"))
 def _(m):
-    return rp.contacts(m.projects, "an")
+    return rp.contacts(m.projects, "n_1")
 
 
 @query("project_decisions", sql("projects", "SELECT name AS project, d->>'title' AS title, CAST(d->>'date' AS DATE) AS day FROM (SELECT name, unnest(CAST(decisions AS JSON[])) AS d FROM projects)"))
@@ -308,9 +328,9 @@ def _(m):
 # --- queues --------------------------------------------------------------------------------------------------
 
 
-@query("pending_extraction", sql("convs chunks", "SELECT id, message_count FROM convs WHERE message_count >= 5 AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.source_type = 'conversation' AND c.source_id = convs.id AND c.id % 2 = 0) ORDER BY started_at DESC, id LIMIT 20"))
+@query("pending_extraction", sql("convs chunks", "SELECT id, message_count FROM convs WHERE message_count >= 5 AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.source_type = 'conversation' AND c.source_id = convs.id) ORDER BY started_at DESC, id LIMIT 20"))
 def _(m):
-    return rp.pending_extraction(m.conversations, m.chunks.filter("id % 2 = 0"))
+    return rp.pending_extraction(m.conversations, m.chunks)
 
 
 @query("pending_entities", sql("convs mentions", "SELECT id, message_count FROM convs WHERE message_count >= 3 AND NOT EXISTS (SELECT 1 FROM mentions x WHERE x.source_type = 'conversation' AND x.source_id = convs.id) ORDER BY started_at DESC, id LIMIT 100"))
@@ -341,7 +361,10 @@ def _(m):
     return rp.previews(m.messages).select("conversation_id", F.sha2("preview", 256).alias("digest"))
 
 
-@query("context_preload", sql("chunks", "SELECT id, priority, category, confidence FROM (SELECT *, 1 AS priority FROM chunks WHERE project_name ILIKE '%src5%' UNION ALL SELECT *, 2 FROM chunks WHERE category IN ('preference', 'contact', 'workflow') AND (project_name IS NULL OR project_name NOT ILIKE '%src5%')) ORDER BY priority, confidence DESC NULLS LAST, created_at DESC NULLS FIRST, id LIMIT 20"))
+PRELOADED = "category IN ('decision', 'preference', 'pattern', 'error_solution', 'project_context')"
+
+
+@query("context_preload", sql("chunks", f"SELECT id, priority, category, confidence FROM (SELECT *, 1 AS priority FROM chunks WHERE project_name ILIKE '%src5%' AND {PRELOADED} UNION ALL SELECT *, 2 FROM chunks WHERE (project_name IS NULL OR project_name NOT ILIKE '%src5%') AND {PRELOADED}) ORDER BY priority, confidence DESC NULLS LAST, created_at DESC NULLS FIRST, id LIMIT 20"))
 def _(m):
     return rp.context_preload(m.chunks, "src5")
 
@@ -373,9 +396,9 @@ def _(spark, folder):
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 
 
-@table_query("trigram_topk", f"SELECT p_partkey, p_name, round(s, 6) AS similarity FROM (SELECT p_partkey, p_name, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS s FROM (SELECT *, {_GRAMS.format('p_name')} AS a, {_GRAMS.format(chr(39) + 'part 1' + chr(39))} AS b FROM part)) WHERE s > 0.3 ORDER BY s DESC, p_partkey LIMIT 10")
+@table_query("trigram_topk", f"SELECT p_partkey, p_name, round(s, 6) AS similarity FROM (SELECT p_partkey, p_name, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS s FROM (SELECT *, {_GRAMS.format('p_name')} AS a, {_GRAMS.format(chr(39) + 'cold widgets' + chr(39))} AS b FROM part)) WHERE s > 0.3 ORDER BY s DESC, p_partkey LIMIT 10")
 def _(spark, folder):
-    return rt.trigram_search(spark.read.parquet(f"{folder}/part.parquet"), "p_name", "part 1", "p_partkey")
+    return rt.trigram_search(spark.read.parquet(f"{folder}/part.parquet"), "p_name", "cold widgets", "p_partkey")
 
 
 # --- vectors -------------------------------------------------------------------------------------------------
@@ -384,8 +407,8 @@ _DIST = f"1 - list_dot_product(embedding::DOUBLE[], {VECTOR_SQL}) / (sqrt(list_d
 _SCORED = f"SELECT source_type, source_id, project_name, category, {_DIST} AS distance FROM (SELECT v.*, c.project_name, c.category FROM vectors v JOIN chunks c ON v.source_type = 'memory_chunk' AND c.id = v.source_id UNION ALL SELECT v.*, convs.project_name, NULL FROM vectors v JOIN messages m ON v.source_type = 'message' AND m.id = v.source_id JOIN convs ON convs.id = m.conversation_id)"
 
 
-def _scored(m: Memory, project: str | None = None) -> DataFrame:
-    return rt.scored(m.embeddings, m.chunks, m.messages, m.conversations, VECTOR, project)
+def _nearest(m: Memory, **wanted) -> DataFrame:
+    return _shown(rt.nearest(m.embeddings, m.chunks, m.messages, m.conversations, VECTOR, **wanted))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -397,22 +420,22 @@ _KNN = "SELECT source_type, source_id, project_name, round(distance, 6) AS dista
 
 @query("knn_search", sql("vectors chunks convs", _KNN.format(f"SELECT * FROM ({_SCORED})")))
 def _(m):
-    return _shown(rt.nearest(_scored(m)))
+    return _nearest(m)
 
 
 @query("knn_project_scoped", sql("vectors chunks convs", _KNN.format(f"SELECT * FROM ({_SCORED}) WHERE project_name = 'src4'")))
 def _(m):
-    return _shown(rt.nearest(_scored(m, "src4")))
+    return _nearest(m, project="src4")
 
 
 @query("knn_scope_after_limit", sql("vectors chunks convs", _KNN.format(f"SELECT * FROM ({_SCORED})") + " WHERE source_type = 'memory_chunk'"))
 def _(m):
-    return _shown(rt.nearest(_scored(m), scope="memory_chunk"))
+    return _nearest(m, scope="memory_chunk")
 
 
 @query("knn_threshold", sql("vectors chunks convs", _KNN.format(f"SELECT * FROM ({_SCORED}) WHERE 1 - distance > 0.1")))
 def _(m):
-    return _shown(rt.nearest(_scored(m), least=0.1))
+    return _nearest(m, least=0.1)
 
 
 @query("similar_to_source", sql("vectors", "SELECT v.id, v.source_type, v.source_id, round(1 - list_dot_product(v.embedding::DOUBLE[], o.e) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(o.e, o.e))), 6) AS distance FROM vectors v, (SELECT embedding::DOUBLE[] AS e FROM vectors WHERE source_type = 'memory_chunk' AND source_id = 10 ORDER BY id LIMIT 1) o WHERE NOT (v.source_type = 'memory_chunk' AND v.source_id = 10) ORDER BY distance, v.id LIMIT 8"))
@@ -433,27 +456,36 @@ def _(m):
     return g.neighbours(m.entities, m.relationships, 103)
 
 
-_WALK = "WITH RECURSIVE e AS (SELECT from_entity AS a, to_entity AS b FROM relationships WHERE from_entity < 100000 UNION SELECT to_entity, from_entity FROM relationships WHERE from_entity < 100000), w(node, depth) AS (SELECT 1003::BIGINT, 0 UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node WHERE w.depth < {})"
+_EDGES = "e AS (SELECT from_entity AS a, to_entity AS b FROM relationships UNION SELECT to_entity, from_entity FROM relationships)"
+_WALK = f"WITH RECURSIVE {_EDGES}, w(node, depth) AS (SELECT 1003::BIGINT, 0 UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node WHERE w.depth < {{}}), d AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1)"
 
 
-@query("graph_distances", sql("relationships", _WALK.format(6) + " SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1"))
+@query("graph_distances", sql("relationships", _WALK.format(6) + " SELECT node, depth::INT AS depth FROM d"))
 def _(m):
-    return g.distances(m.relationships.filter("from_entity < 100000"), 1003)
+    return g.distances(m.relationships, 1003)
+
+
+#: All shortest ways, by distances from both ends, and the smallest of them.
+_SHORTEST = (
+    _WALK.format(6).replace("1003::", "103::") + ", v(node, depth) AS (SELECT 118::BIGINT, 0 UNION SELECT e.b, v.depth + 1 FROM v JOIN e ON e.a = v.node WHERE v.depth < 6), f AS (SELECT node, min(depth) AS depth FROM v GROUP BY 1), "
+    "p(node, path) AS (SELECT 103::BIGINT, [103::BIGINT] UNION ALL SELECT e.b, list_append(p.path, e.b) FROM p JOIN e ON e.a = p.node JOIN d ON d.node = e.b AND d.depth = len(p.path) JOIN f ON f.node = e.b AND f.depth + len(p.path) = (SELECT depth FROM d WHERE node = 118)) "
+    "SELECT len(path)::INT AS nodes, array_to_string(path, '>') AS path FROM p WHERE node = 118 ORDER BY p.path LIMIT 1"
+)
 
 
-@query("graph_path", sql("relationships", _WALK.format(6) + " SELECT min(depth)::INT + 1 AS nodes FROM w WHERE node = 1007 GROUP BY node"))
+@query("graph_path", sql("relationships", _SHORTEST))
 def _(m):
-    return g.path(m.relationships.filter("from_entity < 100000"), 1003, 1007).select("nodes")
+    return g.path(m.relationships, 103, 118).select("nodes", F.array_join("path", ">").alias("path"))
 
 
-@query("graph_khop", sql("relationships", _WALK.format(2) + ", d AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1) SELECT b.depth::INT AS hop, from_entity, to_entity, relation_type FROM relationships r JOIN d a ON a.node = r.from_entity OR a.node = r.to_entity JOIN d b ON b.node = CASE WHEN a.node = r.from_entity THEN r.to_entity ELSE r.from_entity END WHERE b.depth = a.depth + 1 AND r.from_entity < 100000"))
+@query("graph_khop", sql("relationships", _WALK.format(2) + " SELECT b.depth::INT AS hop, from_entity, to_entity, relation_type FROM relationships r JOIN d a ON a.node IN (r.from_entity, r.to_entity) JOIN d b ON b.node = CASE WHEN a.node = r.from_entity THEN r.to_entity ELSE r.from_entity END WHERE b.depth = a.depth + 1"))
 def _(m):
-    return g.recall(m.relationships.filter("from_entity < 100000"), 1003, 2)
+    return g.recall(m.relationships, 1003, 2)
 
 
-@query("graph_degree", sql("entities relationships", "SELECT e.id, name, mention_count, count(*) AS degree FROM entities e JOIN relationships r ON r.from_entity = e.id OR r.to_entity = e.id WHERE e.id < 1000 GROUP BY 1, 2, 3"))
+@query("graph_degree", sql("entities relationships", "SELECT id, name, mention_count, count(*) AS degree FROM entities JOIN (SELECT from_entity AS id FROM relationships UNION ALL SELECT to_entity FROM relationships WHERE to_entity <> from_entity) USING (id) GROUP BY 1, 2, 3"))
 def _(m):
-    return g.degrees(m.entities, m.relationships).filter("id < 1000")
+    return g.degrees(m.entities, m.relationships)
 
 
 @query("graph_top", sql("entities", "SELECT id, name, mention_count FROM entities WHERE entity_type = 'project' ORDER BY mention_count DESC NULLS FIRST, id LIMIT 20"))
@@ -528,9 +560,10 @@ def _(m):
     return mu.touch(m.chunks, m.chunks.filter("id IN (1, 2, 3)").select("id"), as_of()).select("id", "access_count", "last_accessed")
 
 
-@query("new_files", sql("ingestion_log", "SELECT id, file_path FROM ingestion_log l WHERE NOT EXISTS (SELECT 1 FROM ingestion_log x WHERE x.id % 2 = 0 AND x.file_path = l.file_path AND x.file_hash = l.file_hash)"))
+@query("new_files", sql("ingestion_log", "SELECT id, file_path FROM ingestion_log l WHERE NOT EXISTS (SELECT 1 FROM ingestion_log x JOIN labels ON doc_id = x.id WHERE x.file_path = l.file_path AND x.file_hash = l.file_hash)"))
 def _(m):
-    return mu.not_yet(m.ingestion_log, m.ingestion_log.filter("id % 2 = 0"), ["file_path", "file_hash"]).select("id", "file_path")
+    logged = m.ingestion_log.join(m.read("labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return mu.not_yet(m.ingestion_log, logged, ["file_path", "file_hash"]).select("id", "file_path")
 
 
 @query("memory_decay", sql("chunks", f"SELECT id, round(confidence::DOUBLE * CASE WHEN last_accessed > {NOW} - INTERVAL 7 DAY THEN 1.0 WHEN last_accessed > {NOW} - INTERVAL 30 DAY THEN 0.8 WHEN last_accessed > {NOW} - INTERVAL 90 DAY THEN 0.5 ELSE 0.2 END, 6) AS weight FROM chunks WHERE {ACT}"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Enumerations and the value lists that writers check.
 CATEGORIES = ("decision", "pattern", "insight", "preference", "contact", "error_solution", "project_context", "workflow")
 ROLES = ("user", "assistant", "system", "tool_result")
+PRELOADED = ("decision", "preference", "pattern", "error_solution", "project_context")
 PROJECT_STATES = ("active", "paused", "completed", "archived")
 CHUNK_STATES = ("active", "superseded", "merged", "stale")
 ENTITY_TYPES = ("person", "project", "technology", "decision", "concept", "organization")

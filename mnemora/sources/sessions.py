@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..shared import written
 
 #: What is read of a line; block arrays stay text until it is known that they are arrays.
 LINE = "type string, uuid string, parentUuid string, isSidechain boolean, timestamp string, sessionId string, cwd string, entrypoint string, gitBranch string, message string"
@@ -39,10 +40,10 @@ def session_lines(files: DataFrame) -> DataFrame:
 def parse_sessions(files: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Conversations and messages of session files; files without a session id drop out.
 
-    The first and last entries in file order, not the earliest and latest, give a conversation its span; times
+    Files are read and parsed once, into the shared folder; both tables are derived from there. The first and last entries in file order, not the earliest and latest, give a conversation its span; times
     that cannot be read become `as_of`.
     """
-    lines = session_lines(files).withColumn("created_at", F.coalesce("created_at", as_of))
+    lines = written(session_lines(files)).withColumn("created_at", F.coalesce("created_at", as_of))
     folder = F.element_at(F.split("path", "/"), -2)
     first = lambda c, when=None: F.min_by(F.col(c), F.when(when, F.col("line_no")) if when is not None else F.col("line_no"))
     conversations = lines.groupBy("path", "file_hash").agg(

@@ -22,35 +22,38 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _manifest(self) -> tuple[int, dict]:
-        """Number and content of the newest manifest; empty before the first commit."""
+    def _manifests(self) -> tuple[int, int]:
+        """The largest number of a complete manifest, 0 before the first commit, and of any, complete or torn."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         found = [int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()] if fs.exists(path) else []
         complete = [n for n in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests/{n}/_SUCCESS"))]
-        if not complete:
-            return 0, {"tables": {}, "migrations": []}
-        n = max(complete)
-        return n, json.loads(self.spark.read.text(f"{self.root}/manifests/{n}").first()[0])
+        return max(complete, default=0), max(found, default=0)
+
+    def _manifest(self) -> dict:
+        """The newest complete manifest; an empty one before the first commit."""
+        n, _ = self._manifests()
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{n}").first()[0]) if n else {"tables": {}, "migrations": []}
 
     def read(self, name: str) -> DataFrame:
         """The table as of the last commit; an empty one with its schema before its first."""
-        _, now = self._manifest()
+        now = self._manifest()
         if folders := now["tables"].get(name):
             return self.spark.read.parquet(*(f"{self.root}/{f}" for f in folders))
         return self.spark.createDataFrame([], TABLES[name])
 
     def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, migrations: list[str] | None = None) -> int:
         """Write all tables, then the manifest that names them: all or nothing. Returns its number."""
-        n, now = self._manifest()
+        now = self._manifest()
         tables = dict(now["tables"])
         for name, df in (replaced or {}).items():
             tables[name] = [self._write(name, df)]
         for name, df in (appended or {}).items():
             tables[name] = [*tables.get(name, []), self._write(name, df)]
         new = json.dumps({"tables": tables, "migrations": [*now["migrations"], *(migrations or [])]})
-        self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.text(f"{self.root}/manifests/{n + 1}")
-        return n + 1
+        n = self._manifests()[1] + 1  # the folder of a commit that failed half-way is never written again
+        self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.text(f"{self.root}/manifests/{n}")
+        return n
 
     def _write(self, name: str, df: DataFrame) -> str:
         folder = f"{name}/{uuid.uuid4().hex}"
@@ -62,7 +65,7 @@ class Store:
 
     def migrate(self, steps: dict[str, dict[str, DataFrame]]) -> list[str]:
         """Apply the named steps that were not applied yet, in the order of their names."""
-        done = set(self._manifest()[1]["migrations"])
+        done = set(self._manifest()["migrations"])
         new = [s for s in sorted(steps) if s not in done]
         for s in new:
             self.commit(replaced=steps[s], migrations=[s])

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.mutations import not_yet
 from ..sources.sessions import parse_sessions
 from ..sources.store import Store
+from ..shared import written
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -23,26 +24,35 @@ def commit_batch(store: Store, as_of: Column, append_new: bool = False) -> Calla
     """What a micro-batch does: files whose path and hash are logged are left out, so a batch may run twice.
 
     A changed file of a known session adds nothing, as the first version wins, unless `append_new` is set: then
-    messages with new uuids are added.
+    messages with new uuids are added. Of several files of one session in a batch that with the smallest path is the
+    first version. A uuid that repeats in a session counts once, by its first line.
     """
 
     def run(batch: DataFrame, _: int) -> None:
         files = not_yet(batch.withColumn("file_hash", F.sha2("content", 256)), store.read("ingestion_log").select(F.col("file_path").alias("path"), "file_hash"), ["path", "file_hash"])
         conversations, messages = parse_sessions(files.select("path", "content"), as_of)
+        conversations = written(conversations)
         known = store.read("conversations")
-        fresh = not_yet(conversations, known, ["session_id"])
-        fresh = fresh.withColumn("id", F.xxhash64("session_id").bitwiseAND(F.lit(2**62 - 1)))  # a batch that runs twice gives the same ids
-        ids = fresh.select("session_id", F.col("id").alias("conversation_id"))
+        first = conversations.groupBy("session_id").agg(F.min(F.struct("path", "file_hash")).alias("first"))
+        fresh = not_yet(conversations.join(first, "session_id").filter(F.struct("path", "file_hash") == F.col("first")), known, ["session_id"])
+        fresh = fresh.dropDuplicates(["session_id"]).withColumn("id", F.xxhash64("session_id").bitwiseAND(F.lit(2**62 - 1)))  # a batch that runs twice gives the same ids
+        ids = fresh.select("session_id", F.col("id").alias("conversation_id"), F.col("path").alias("first_path"))
         if append_new:
-            ids = ids.unionByName(known.select("session_id", F.col("id").alias("conversation_id")))
+            ids = ids.unionByName(known.select("session_id", F.col("id").alias("conversation_id"), F.lit("").alias("first_path")))
         lines = messages.join(ids, "session_id")
         if append_new:
-            lines = not_yet(lines, store.read("messages").filter("uuid IS NOT NULL"), ["uuid"])
+            lines = not_yet(lines.filter("uuid IS NOT NULL OR path = first_path"), store.read("messages").filter("uuid IS NOT NULL"), ["uuid"])
+        else:
+            lines = lines.filter("path = first_path")
+        # one row a uuid; lines without one are all kept
+        own = F.coalesce("uuid", F.concat_ws(" ", "path", F.col("line_no").cast("string")))
+        firsts = lines.groupBy("session_id", own.alias("own")).agg(F.min(F.struct(F.col("path") != F.col("first_path"), F.col("path"), F.col("line_no"))).alias("at"))
+        lines = lines.withColumn("own", own).join(firsts, ["session_id", "own"]).filter(F.struct(F.col("path") != F.col("first_path"), F.col("path"), F.col("line_no")) == F.col("at"))
         log = conversations.select(F.xxhash64("path", "file_hash").alias("id"), F.col("path").alias("file_path"), "file_hash", as_of.alias("ingested_at"), F.col("message_count").alias("record_count"))
         store.commit(
             appended={
                 "conversations": fresh.select("id", "session_id", "project_path", "project_name", "model", "entrypoint", "git_branch", "started_at", "ended_at", "message_count"),
-                "messages": lines.select(F.xxhash64("session_id", "line_no").alias("id"), "conversation_id", "uuid", "parent_uuid", "role", "content", "tool_name", "is_sidechain", "model", "created_at"),
+                "messages": lines.select(F.xxhash64("session_id", "own", "file_hash").alias("id"), "conversation_id", "uuid", "parent_uuid", "role", "content", "tool_name", "is_sidechain", "model", "created_at"),
                 "ingestion_log": log,
             }
         )

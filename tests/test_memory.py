@@ -13,6 +13,7 @@ from mnemora.operators.embedding import embed, hashing_embedder
 from mnemora.plans import reports
 from mnemora.sources import sessions, sinks
 from mnemora.sources.store import Store
+from mnemora.schemas import TABLES
 from mnemora.streaming.ingest import commit_batch, ingest_stream, windowed_messages
 
 LINES = [
@@ -50,6 +51,52 @@ def test_sessions(spark, folder, as_of):
     assert again[0].count() == 0 and again[2].count() == 0
 
 
+def test_two_files_of_one_session(spark, tmp_path, as_of):
+    """One conversation, each uuid once, whatever the order of the files; later files add only if asked to."""
+    where = tmp_path / "projects" / "-tmp-p"
+    where.mkdir(parents=True)
+    (where / "a.jsonl").write_text("\n".join(map(json.dumps, [LINES[0], LINES[1], LINES[0]])))
+    (where / "b.jsonl").write_text("\n".join(map(json.dumps, [LINES[0], LINES[1], LINES[2]])))
+    for append, messages in ((False, 2), (True, 3)):
+        store = Store(spark, str(tmp_path / f"store{append}"))
+        for k in range(2):
+            commit_batch(store, as_of, append_new=append)(sessions.read_files(spark, str(where), "*.jsonl"), k)
+        assert [store.read(t).count() for t in ("conversations", "messages", "ingestion_log")] == [1, messages, 2]
+        assert store.read("messages").select("uuid").distinct().count() == store.read("messages").select("id").distinct().count() == messages
+
+
+def test_torn_manifest(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([(1, "a", "h", None, 2)], TABLES["ingestion_log"])
+    assert store.commit(appended={"ingestion_log": rows}) == 1
+    (tmp_path / "store" / "manifests" / "2").mkdir()  # a commit that failed half-way
+    assert store.read("ingestion_log").count() == 1
+    assert store.commit(appended={"ingestion_log": rows}) == 3 and store.read("ingestion_log").count() == 2
+
+
+def test_console_only_reads(spark):
+    tables = {"rows": spark.range(3)}
+    assert console(spark, "WITH x AS (SELECT * FROM rows) SELECT count(*) AS n FROM x", tables).first().n == 3
+    assert console(spark, "EXPLAIN SELECT * FROM rows", tables).count() == 1
+    for bad in ("DROP VIEW rows", "WITH x AS (SELECT 1) INSERT INTO rows SELECT * FROM x", "EXPLAIN DROP VIEW rows", "explain", ""):
+        with pytest.raises(ValueError):
+            console(spark, bad, tables)
+
+
+def test_access_and_preload_are_tracked(spark, tmp_path, as_of):
+    store = Store(spark, str(tmp_path / "store"))
+    memory = MemoryStore(store, hashing_embedder(), project="p")
+    memory.write("use parquet", "decision", as_of)
+    memory.write("ann writes parquet", "contact", as_of)
+    assert memory.find("parquet").count() == 2 and store.read("memory_chunks").agg(F.sum("access_count")).first()[0] == 0
+    assert memory.find("use", as_of=as_of).count() == 1
+    assert {r.id: r.access_count for r in store.read("memory_chunks").collect()} == {1: 1, 2: 0}
+    chosen, people = memory.preload("p", as_of)
+    assert [r.id for r in chosen.collect()] == [1] and [r.id for r in people.collect()] == [2]
+    audit = store.read("memory_reflections").first()
+    assert audit.affected_chunks == [1, 2] and audit.reasoning.endswith("(1 chunks + 1 contacts)")
+
+
 def test_stream_ingests_once(spark, folder, tmp_path, as_of):
     store = Store(spark, str(tmp_path / "store"))
     for _ in range(2):

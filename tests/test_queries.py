@@ -9,9 +9,12 @@ import duckdb
 import pytest
 
 from mnemora import queries as q
+from mnemora import queries_views  # noqa: F401
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Queries that have rows only over more than the smallest tables.
+EMPTY = {"recent_errors_since"}
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +46,9 @@ def test_like_duckdb(spark, duck, name):
     want = duck.execute(q.SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
-    assert rows_of(got.columns, got.collect()) == rows_of(names, want.fetchall())
+    rows = want.fetchall()
+    assert rows_of(got.columns, got.collect()) == rows_of(names, rows)
+    assert rows or name in EMPTY, "a comparison of nothing with nothing shows nothing"
 
 
 def test_every_query_has_sql():
