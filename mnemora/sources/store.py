@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,21 +36,22 @@ class Store:
         n, _ = self._manifests()
         return json.loads(self.spark.read.text(f"{self.root}/manifests/{n}").first()[0]) if n else {"tables": {}, "migrations": []}
 
+    def tables(self, *names: str) -> dict[str, DataFrame]:
+        """Tables as of the last commit; empty ones with their schema before their first."""
+        now = self._manifest()["tables"]
+        return {n: self.spark.read.parquet(*(f"{self.root}/{f}" for f in now[n])) if now.get(n) else self.spark.createDataFrame([], TABLES[n]) for n in names}
+
     def read(self, name: str) -> DataFrame:
-        """The table as of the last commit; an empty one with its schema before its first."""
-        now = self._manifest()
-        if folders := now["tables"].get(name):
-            return self.spark.read.parquet(*(f"{self.root}/{f}" for f in folders))
-        return self.spark.createDataFrame([], TABLES[name])
+        return self.tables(name)[name]
 
     def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, migrations: list[str] | None = None) -> int:
         """Write all tables, then the manifest that names them: all or nothing. Returns its number."""
         now = self._manifest()
         tables = dict(now["tables"])
-        for name, df in (replaced or {}).items():
-            tables[name] = [self._write(name, df)]
-        for name, df in (appended or {}).items():
-            tables[name] = [*tables.get(name, []), self._write(name, df)]
+        work = [(name, df, []) for name, df in (replaced or {}).items()] + [(name, df, tables.get(name, [])) for name, df in (appended or {}).items()]
+        with ThreadPoolExecutor(max(1, len(work))) as pool:  # the jobs of several tables run side by side
+            for (name, _, before), folder in zip(work, pool.map(lambda w: self._write(*w[:2]), work)):
+                tables[name] = [*before, folder]
         new = json.dumps({"tables": tables, "migrations": [*now["migrations"], *(migrations or [])]})
         n = self._manifests()[1] + 1  # the folder of a commit that failed half-way is never written again
         self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.text(f"{self.root}/manifests/{n}")

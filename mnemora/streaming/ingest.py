@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,10 +29,14 @@ def commit_batch(store: Store, as_of: Column, append_new: bool = False) -> Calla
     """
 
     def run(batch: DataFrame, _: int) -> None:
-        files = not_yet(batch.withColumn("file_hash", F.sha2("content", 256)), store.read("ingestion_log").select(F.col("file_path").alias("path"), "file_hash"), ["path", "file_hash"])
+        now = store.tables("ingestion_log", "conversations", "messages")
+        logged = now["ingestion_log"].select(F.col("file_path").alias("path"), "file_hash")
+        files = not_yet(batch.withColumn("file_hash", F.sha2("content", 256)), logged, ["path", "file_hash"])
+        if files.isEmpty():
+            return
         conversations, messages = parse_sessions(files.select("path", "content"), as_of)
         conversations = written(conversations)
-        known = store.read("conversations")
+        known = now["conversations"]
         first = conversations.groupBy("session_id").agg(F.min(F.struct("path", "file_hash")).alias("first"))
         fresh = not_yet(conversations.join(first, "session_id").filter(F.struct("path", "file_hash") == F.col("first")), known, ["session_id"])
         fresh = fresh.dropDuplicates(["session_id"]).withColumn("id", F.xxhash64("session_id").bitwiseAND(F.lit(2**62 - 1)))  # a batch that runs twice gives the same ids
@@ -41,13 +45,13 @@ def commit_batch(store: Store, as_of: Column, append_new: bool = False) -> Calla
             ids = ids.unionByName(known.select("session_id", F.col("id").alias("conversation_id"), F.lit("").alias("first_path")))
         lines = messages.join(ids, "session_id")
         if append_new:
-            lines = not_yet(lines.filter("uuid IS NOT NULL OR path = first_path"), store.read("messages").filter("uuid IS NOT NULL"), ["uuid"])
+            lines = not_yet(lines.filter("uuid IS NOT NULL OR path = first_path"), now["messages"].filter("uuid IS NOT NULL"), ["uuid"])
         else:
             lines = lines.filter("path = first_path")
         # one row a uuid; lines without one are all kept
         own = F.coalesce("uuid", F.concat_ws(" ", "path", F.col("line_no").cast("string")))
-        firsts = lines.groupBy("session_id", own.alias("own")).agg(F.min(F.struct(F.col("path") != F.col("first_path"), F.col("path"), F.col("line_no"))).alias("at"))
-        lines = lines.withColumn("own", own).join(firsts, ["session_id", "own"]).filter(F.struct(F.col("path") != F.col("first_path"), F.col("path"), F.col("line_no")) == F.col("at"))
+        order = Window.partitionBy("session_id", "own").orderBy(F.col("path") != F.col("first_path"), "path", "line_no")
+        lines = lines.withColumn("own", own).withColumn("k", F.row_number().over(order)).filter("k = 1")
         log = conversations.select(F.xxhash64("path", "file_hash").alias("id"), F.col("path").alias("file_path"), "file_hash", as_of.alias("ingested_at"), F.col("message_count").alias("record_count"))
         store.commit(
             appended={
