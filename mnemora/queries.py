@@ -369,12 +369,38 @@ def _(m):
     return rp.context_preload(m.chunks, "src5")
 
 
-_RE2 = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
+def redact_sql(text: str) -> str:
+    """All rules, in their order, for an engine whose word boundaries are of ASCII."""
+    for rule, by in tx.REDACTIONS:
+        plain = rule.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
+        text = f"regexp_replace({text}, '{plain}', '{by.replace('$1', chr(92) + '1')}', 'g')"
+    return text
 
 
-@query("redact_text", sql("chunks", r"SELECT id, sha256(r) AS digest, greatest(0, (length(r) - length(replace(r, '<REDACTED', ''))) // 9)::INT AS n FROM (SELECT id, regexp_replace(regexp_replace(content, '(?i)\b(password|passwd|pwd|secret|api_?key|token)\s*[:=]\s*[''" + '"' + r"]?([A-Za-z0-9_\-\.\+/=]{6,})[''" + '"' + r"]?', '\1=<REDACTED>', 'g'), '" + _RE2 + "', '<REDACTED_EMAIL>', 'g') AS r FROM chunks)"))
+def _redacted(text: str) -> str:
+    return sql("chunks", f"SELECT id, sha256(r) AS digest, greatest(0, (length(r) - length(replace(r, '<REDACTED', ''))) // 9 - (length(t) - length(replace(t, '<REDACTED', ''))) // 9)::INT AS n FROM (SELECT id, t, {redact_sql('t')} AS r FROM (SELECT id, {text} AS t FROM chunks))")
+
+
+def _digests(df: DataFrame) -> DataFrame:
+    return df.withColumn("r", tx.redact("t")).select("id", F.sha2("r", 256).alias("digest"), tx.redactions("t", "r").alias("n"))
+
+
+@query("redact_text", _redacted("content"))
+def _(m):
+    return _digests(m.chunks.select("id", F.col("content").alias("t")))
+
+
+#: One made-up string for each rule, and some that no rule takes.
+PLANTED = " ".join((
+    "-----BEGIN RSA PRIVATE KEY-----abc-----END RSA PRIVATE KEY-----", "sk-ant-" + "a1" * 12, "sk-proj-" + "b2" * 12, "sk-" + "c3" * 16, "ghp_" + "d4" * 16, "AKIA" + "E5" * 8, "AIza" + "f" * 35,
+    "xoxb-" + "1" * 12, "sk_live_" + "g6" * 12, "eyJ" + "h" * 10 + "." + "i" * 10 + "." + "j" * 10, "Authorization: Bearer " + "k7" * 6, "password = hunter22", "api_key:abcdef", "ann@example.org", "/Users/ann/x", "/home/bob/y",
+    "sk-short", "AKIA1", "a token of esteem", "mail at example", "ghost", "/User/x",
+))
+
+
+@query("redact_planted", _redacted(f"content || ' {PLANTED}'"))
 def _(m):
-    return m.chunks.select("id", "content", tx.redact("content").alias("r")).select("id", F.sha2("r", 256).alias("digest"), tx.redactions("content", "r").alias("n"))
+    return _digests(m.chunks.select("id", F.concat("content", F.lit(f" {PLANTED}")).alias("t")))
 
 
 @table_query("json_props", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
