@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from mnemora import queries as q
-from mnemora import queries_views  # noqa: F401
+from mnemora import queries_sources, queries_views  # noqa: F401
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
