@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -369,14 +369,15 @@ def transcripts(messages: DataFrame, most: int = 1000, whole: int = 80_000, leas
     """The turns of users and assistants of each conversation as one text, its end if it is too long."""
     turn = F.concat(F.lit("["), F.upper("role"), F.lit("]\n"), tx.shortened("content", most), F.lit("\n"))
     rows = messages.filter(F.col("role").isin("user", "assistant") & (F.coalesce("content", F.lit("")) != ""))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", turn.alias("turn")))), lambda x: x["turn"]), "\n")
+    # only turns that reach into the kept end are collected, however long the conversation
+    later = Window.partitionBy("conversation_id").orderBy(F.desc("created_at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("conversation_id", "created_at", "id", turn.alias("turn")).withColumn("after", F.coalesce(F.sum(F.length("turn") + 1).over(later), F.lit(0))).filter(F.col("after") < whole)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "turn"))), lambda x: x["turn"]), "\n")
     return rows.groupBy("conversation_id").agg(tx.tail(text, whole).alias("transcript")).filter(F.length("transcript") >= least)
 
 
 def previews(messages: DataFrame, each: int = 500, most: int = 4000, first: int = 30, least: int = 100) -> DataFrame:
     """A short text of each conversation's first messages: until more than `most` characters are in."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("conversation_id").orderBy("created_at", "id")
     rows = messages.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= first).filter((F.col("role") != "tool_result") & (F.coalesce("content", F.lit("")) != "")).withColumn("cut", F.substring("content", 1, each))
     shown = rows.withColumn("so_far", F.coalesce(F.sum(F.length("cut")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("so_far") <= most)

@@ -8,14 +8,19 @@ file system of the cluster will do.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES
 
+#: Names of backups, which sort by time.
+STAMP = "%Y%m%d-%H%M%S"
+
 
 class Store:
     """The tables of the memory model below one folder."""
@@ -65,6 +70,20 @@ class Store:
     def next_id(self, name: str) -> int:
         return (self.read(name).agg(F.max("id")).first()[0] or 0) + 1
 
+    def backup(self, target: str, at: datetime, keep_days: int = 30) -> str:
+        """Copy all tables to a folder named by the time, then delete backups there that are older; returns the folder."""
+        folder = f"{target.rstrip('/')}/{at:{STAMP}}"
+        for name in self._manifest()["tables"]:
+            self.read(name).write.parquet(f"{folder}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(target)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        oldest = f"{at - timedelta(days=keep_days):{STAMP}}"
+        for s in fs.listStatus(path):
+            name = s.getPath().getName()
+            if re.fullmatch(r"\d{8}-\d{6}", name) and name < oldest:
+                fs.delete(s.getPath(), True)
+        return folder
+
     def migrate(self, steps: dict[str, dict[str, DataFrame]]) -> list[str]:
         """Apply the named steps that were not applied yet, in the order of their names."""
         done = set(self._manifest()["migrations"])

@@ -2,6 +2,7 @@
 
 import json
 import uuid
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,9 +12,9 @@ from mnemora.api import MemoryStore, console
 from mnemora.operators import extract, graph, mutations, reflect
 from mnemora.operators.embedding import embed, hashing_embedder
 from mnemora.plans import reports
+from mnemora.schemas import TABLES
 from mnemora.sources import sessions, sinks
 from mnemora.sources.store import Store
-from mnemora.schemas import TABLES
 from mnemora.streaming.ingest import commit_batch, ingest_stream, windowed_messages
 
 LINES = [
@@ -74,6 +75,24 @@ def test_torn_manifest(spark, tmp_path):
     assert store.commit(appended={"ingestion_log": rows}) == 3 and store.read("ingestion_log").count() == 2
 
 
+def test_backups_and_their_age(spark, tmp_path):
+    store, target = Store(spark, str(tmp_path / "store")), str(tmp_path / "backups")
+    store.commit(appended={"ingestion_log": spark.createDataFrame([(1, "a", "h", None, 2)], TABLES["ingestion_log"])})
+    (tmp_path / "backups" / "notes").mkdir(parents=True)
+    first = store.backup(target, datetime(2024, 1, 1))
+    store.backup(target, datetime(2024, 1, 20))
+    assert spark.read.parquet(f"{first}/ingestion_log").count() == 1
+    store.backup(target, datetime(2024, 2, 5))
+    assert sorted(p.name for p in (tmp_path / "backups").iterdir()) == ["20240120-000000", "20240205-000000", "notes"]
+
+
+def test_long_transcripts_keep_their_end(spark):
+    rows = [(k, 1, "user" if k % 2 else "assistant", f"{k} " + "x" * 90, k) for k in range(60)] + [(100, 2, "user", "y" * 300, 0)]
+    df = spark.createDataFrame(rows, "id long, conversation_id long, role string, content string, t long").withColumn("created_at", F.timestamp_seconds("t"))
+    whole = {r.conversation_id: r.transcript for r in reports.transcripts(df, whole=10**6).collect()}
+    assert {r.conversation_id: r.transcript for r in reports.transcripts(df, whole=1000).collect()} == {c: t[-1000:] for c, t in whole.items()}
+
+
 def test_console_only_reads(spark):
     tables = {"rows": spark.range(3)}
     assert console(spark, "WITH x AS (SELECT * FROM rows) SELECT count(*) AS n FROM x", tables).first().n == 3
