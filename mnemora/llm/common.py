@@ -3,38 +3,20 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The white space of the text contracts: space and U+0009 to U+000D.
-WHITE = " \t\n\x0b\x0c\r"
+from ..shared import shared_dir
+from ..shared import written as materialise
 
+__all__ = ["WHITE", "free_name", "give_back", "join_hot", "map_batches", "materialise", "shared_dir", "text_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints. Only a session of one process may do without: it gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mnemora-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The white space of the text contracts: space and U+0009 to U+000D.
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def give_back() -> None:
