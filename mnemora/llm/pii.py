@@ -124,9 +124,10 @@ SHAPES = {
     "secret": re.compile(r"[0-9a-f]{32,}|[A-Za-z]{2,5}[-_][A-Za-z0-9_-]{16,}|(?=[A-Za-z0-9_]*\d)(?=[A-Za-z0-9_]*[A-Z])[A-Za-z0-9_]{20,}|(?=[\w.-]*[0-9A-Z])[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{6,}){2}", re.A),
     "date": re.compile(r"\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}", re.A),
     "plain": re.compile(r"[\d.,]+", re.A),
+    "code": re.compile(r"(?=[A-Za-z]*\d)(?=\d*[A-Za-z])[A-Za-z0-9]{8,}", re.A),
     "mixed": re.compile(r"(?=[A-Za-z]*[a-z][A-Z])[A-Za-z]{8,}", re.A),
 }
-FEATURES = ["bias", *(f"shape_{k}" for k in SHAPES), *(f"cue_{k}" for k in KINDS), *(f"shape_cue_{k}" for k in KINDS), "digits_0", "digits_1_6", "digits_7_9", "digits_10_13", "digits_14_19", "digits_20", "luhn", "luhn_cue_card", "mixed_cue_secret", "atoms", "space_inside", "edge_punctuation", "letters", "hex"]
+FEATURES = ["bias", *(f"shape_{k}" for k in SHAPES), *(f"cue_{k}" for k in KINDS), *(f"shape_cue_{k}" for k in KINDS), "digits_0", "digits_1_6", "digits_7_9", "digits_10_13", "digits_14_19", "digits_20", "luhn", "luhn_cue_card", "code_cue_secret", "mixed_cue_secret", "atoms", "space_inside", "edge_punctuation", "letters", "hex"]
 AT = {f: i for i, f in enumerate(FEATURES)}
 #: A text's outline: the features but that of the check digit ask only which characters are digits, letters a to f, other letters.
 OUTLINE = str.maketrans({**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"), **dict.fromkeys("ABCDEF", "A"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "G")})
@@ -145,8 +146,8 @@ def segment_features(s: str, atoms: int, cues: frozenset[str]) -> list[int]:
             out.append(AT[f"shape_{k}"])
             if k in cues:
                 out.append(AT[f"shape_cue_{k}"])
-            if k == "mixed" and "secret" in cues:
-                out.append(AT["mixed_cue_secret"])
+            if k in ("code", "mixed") and "secret" in cues:
+                out.append(AT[f"{k}_cue_secret"])
     out += [AT[f"cue_{k}"] for k in sorted(cues)]
     if 14 <= n <= 19 and luhn(digits):
         out.append(AT["luhn"])
@@ -386,9 +387,10 @@ def sentence(rnd: random.Random) -> tuple[str, list[Span]]:
         "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
         "iban": lambda: (rnd.choice(("DE", "FR", "ES")) + digits(2) + rnd.choice((" ", "")) + rnd.choice((" ", "")).join(digits(4) for _ in range(rnd.randint(3, 5)))),
         "secret": lambda: rnd.choice((lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.choice((32, 40, 64)))), lambda: rnd.choice(("sk-", "ghp_", "AKIA_")) + "".join(rnd.choice("abcdefABCDEF0123456789") for _ in range(24)), lambda: letters(rnd.randint(18, 40)) + "." + letters(rnd.randint(20, 60)) + "." + letters(rnd.randint(12, 43))))(),
+        "short secret": lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(10, 24))),
         "spelt secret": lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(4, 12))) + "".join(rnd.choice("ABCDEFGHIJ") for _ in range(rnd.randint(2, 6))) + "".join(rnd.choice("mnopq") for _ in range(rnd.randint(0, 6))),
     }
-    plain = (lambda: str(rnd.randint(1900, 2030)), lambda: f"{digits(4)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}", lambda: f"{rnd.randint(1, 12)}.{rnd.randint(1, 28)}.{digits(4)}", lambda: digits(rnd.randint(1, 9)), lambda: digits(rnd.choice((15, 16, 17, 22))), lambda: f"{digits(2)},{digits(3)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(3)} {digits(3)}", lambda: word() + digits(2), lambda: "@" + word(), lambda: f"{digits(1)}-{digits(1)}", lambda: rnd.choice(tuple(CUES)) + " " + word(), make["spelt secret"], make["spelt secret"], lambda: word().replace("é", "e") + rnd.choice(("X", "QL", "Net")) + rnd.choice(("", ".")), lambda: f"{word()}.{word()}.{word()}")
+    plain = (lambda: str(rnd.randint(1900, 2030)), lambda: f"{digits(4)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}", lambda: f"{rnd.randint(1, 12)}.{rnd.randint(1, 28)}.{digits(4)}", lambda: digits(rnd.randint(1, 9)), lambda: digits(rnd.choice((15, 16, 17, 22))), lambda: f"{digits(2)},{digits(3)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(3)} {digits(3)}", lambda: word() + digits(2), lambda: "@" + word(), lambda: f"{digits(1)}-{digits(1)}", lambda: rnd.choice(tuple(CUES)) + " " + word(), make["spelt secret"], make["spelt secret"], lambda: digits(2) + "abcdef"[rnd.randint(0, 5)] + digits(rnd.randint(4, 9)), lambda: word().replace("é", "e") + rnd.choice(("X", "QL", "Net")) + rnd.choice(("", ".")), lambda: f"{word()}.{word()}.{word()}")
     text, spans = "", []
     for _ in range(rnd.randint(1, 3)):
         text += " ".join(word() for _ in range(rnd.randint(1, 4))) + " "
@@ -396,11 +398,11 @@ def sentence(rnd: random.Random) -> tuple[str, list[Span]]:
             text += rnd.choice(plain)()
         else:
             k = rnd.choice(KINDS)
-            spelt = k == "secret" and rnd.random() < 0.3  # letters only: by its cue a secret
-            if spelt or rnd.random() < 0.4:
-                text += rnd.choice([c for c, x in CUES.items() if x == k]) + rnd.choice((" ", ": ", " = "))
+            kind = rnd.choice((k, k, "short secret", "spelt secret")) if k == "secret" else k  # secrets by their cue only
+            if kind != k or rnd.random() < 0.4:
+                text += rnd.choice([c for c, x in CUES.items() if x == k]) + rnd.choice((" ", ": ", " = ", "="))
             quote = '"' if k == "secret" and rnd.random() < 0.6 else ""
-            x = make["spelt secret" if spelt else k]()
+            x = make[kind]()
             spans.append((len(text + quote), len(text + quote + x), k))
             text += quote + x + quote
         text += rnd.choice((" ", ". ", ", ")) + word() + " "
@@ -518,10 +520,10 @@ def listed(spans: list[Span]) -> str:
 
 
 def spans_digest(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row the columns `keep`, the number of base spans by kind, a digest of them, and all spans as text."""
+    """Per row the columns `keep`, the number of base spans by kind, a digest of them, and all spans as text and number."""
 
     def result(_, base, spans):
-        return (*(sum(k == x for _, _, k in base) for x in BASE_KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans))
+        return (*(sum(k == x for _, _, k in base) for x in BASE_KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), len(spans))
 
-    fields = [(f"n_{k}", pa.int64(), "long") for k in BASE_KINDS] + [("base_sha256", pa.string(), "string"), ("spans", pa.string(), "string")]
+    fields = [(f"n_{k}", pa.int64(), "long") for k in BASE_KINDS] + [("base_sha256", pa.string(), "string"), ("spans", pa.string(), "string"), ("n_spans", pa.int64(), "long")]
     return _mapped(df, text, keep, result, fields)

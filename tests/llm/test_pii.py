@@ -127,6 +127,7 @@ def test_digest_and_edge_cases(spark):
         assert got[i].base_sha256 == hashlib.sha256(pii.listed(want).encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[2] == k for s in want) for k in pii.BASE_KINDS]
         assert set(filter(None, pii.listed(want).split(","))) <= set(got[i].spans.split(","))
+        assert got[i].n_spans == len(list(filter(None, got[i].spans.split(","))))
     assert got[-1].spans == "" and pii.spans_digest(df).count() == len(rows) + 2
     assert pii.spans_digest(df.limit(0)).count() == 0
     clean = spark.createDataFrame([("Write to ann@x.org or +1 (017) 555-7713 now.", 1, "s")], "text string, spans int, _clean string")
