@@ -248,7 +248,7 @@ def _small(rows: DataFrame, bench: DataFrame, schema: str) -> DataFrame:
         made = [batch.column(0).take(pa.array(row)), ids.take(pa.array(item)), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())]
         return pa.RecordBatch.from_arrays(made, names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-    return map_batches(rows, run, schema, items.memo.clear)
+    return map_batches(rows, run, schema, lambda: items.memo.clear())
 
 
 # --- benchmarks whose seeds are a table --------------------------------------------------------------------------
@@ -347,4 +347,4 @@ def without_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", it
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([not held.copies(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
 
-    return map_batches(df, run, df.schema, held.memo.clear)
+    return map_batches(df, run, df.schema, lambda: held.memo.clear())

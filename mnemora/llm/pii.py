@@ -482,7 +482,7 @@ def _mapped(df: DataFrame, text: str, keep, result, fields: list[tuple[str, pa.D
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*keep, *(f[0] for f in fields)])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return map_batches(rows, run, ", ".join([*kept, *(f"{n} {d}" for n, _, d in fields)]), field.memo.clear)
+    return map_batches(rows, run, ", ".join([*kept, *(f"{n} {d}" for n, _, d in fields)]), lambda: field.memo.clear())
 
 
 def find_spans(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
