@@ -173,13 +173,15 @@ class ByteBPE:
     def packed(self, piece: str) -> bytes:
         """Ids of the matches of the pattern in `piece`, as little-endian 32-bit integers."""
         out, memo = [], self.memo.new
-        found = self.split(piece)
+        # a word of letters with a space before it or none is one match of the pattern that is known
+        word = self.pattern == CUT_AT_SPACES and piece.removeprefix(" ").isalpha()
+        found = (piece,) if word else self.split(piece)
         for pre in found:
             ids = memo.get(pre) if len(found) > 1 else None
             if ids is None:
                 token = pre.encode()
                 r = self.hash.get(token)
-                ids = PACK(r) if r >= 0 else np.array(self.merge(token), "<u4").tobytes()
+                ids = PACK(r) if r >= 0 else struct.pack(f"<{len(m := self.merge(token))}I", *m)
                 if len(found) > 1 and len(pre) < LONG_PIECE:
                     memo[pre] = ids
             out.append(ids)
