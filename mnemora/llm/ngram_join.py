@@ -244,12 +244,16 @@ def _components(df: DataFrame, doc: str, text: str, n: int, percent: int, block:
     ids = chosen.select(F.col("first_id").alias("want"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     again = base.join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    sets = materialise(_sets(again, n, "cls long, grams array<long>", lambda i, text, grams: (_class(grams), _signed(grams)) if len(grams) else None).dropDuplicates(["cls"]).join(chosen.select("cls", "copies", "n"), "cls"))
+    sets = _sets(again, n, "cls long, grams array<long>", lambda i, text, grams: (_class(grams), _signed(grams)) if len(grams) else None)
+    # where no id repeats there is one row a class; else rows are told apart by a shuffle of all sets
+    single = docs.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
+    sets = materialise(sets if single else sets.dropDuplicates(["cls"]))
 
     # second bound: partners share one of the rarest n-grams of each
-    rows = sets.select("cls", "n", F.explode("grams").alias("gram"))
-    shared = materialise(rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"))
-    by_class = join_hot(rows, shared.withColumn("rows", F.col("df")), "gram", "rows").filter("df IS NOT NULL").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held"))
+    rows = sets.join(chosen.select("cls"), "cls", "left_semi") if not single else sets
+    rows = rows.select("cls", F.explode("grams").alias("gram"))
+    shared = materialise(rows.groupBy("gram").agg(F.count("*").cast("int").alias("df")).filter("df > 1"))
+    by_class = join_hot(rows, shared.withColumn("rows", F.col("df")), "gram", "rows").filter("df IS NOT NULL").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held")).join(chosen.select("cls", "n"), "cls")
     room = slack + 1 - (F.col("n") - F.size("held"))
     prefix = materialise(by_class.filter(room > 0).select("cls", F.explode(F.slice("held", F.lit(1), F.least(room, F.size("held").cast("long")).cast("int"))).alias("g")).select("cls", "g.gram"))
     stars = prefix.groupBy("gram").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).filter("m > 1").withColumn("rows", F.col("m"))
@@ -259,7 +263,7 @@ def _components(df: DataFrame, doc: str, text: str, n: int, percent: int, block:
     # the products
     placed = placements(groups, chosen, starred, percent, block, block_grams)
     bins = max(1, -(-(placed.agg(F.sum("n")).first()[0] or 0) * 2 // block_grams))
-    tiles = placed.drop("n").join(sets.select("cls", "copies", "grams"), "cls").withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(bins)))
+    tiles = placed.drop("n").join(chosen.select("cls", "copies"), "cls").join(sets, "cls").withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(bins)))
     done = materialise(tiles.groupBy("bin").applyInArrow(lambda t: _tiles(t, percent), "a long, b long, links long"))
     linked_to = done.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     roots = components(done.filter("a != b").select("a", "b")).withColumnRenamed("node", "cls")
