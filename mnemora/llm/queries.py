@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, decontaminate, html_extract, license_scan, ngram_join, pii, quality_rules, token_counts, turn_repair, warc, whitening
+from . import byte_bpe, chat_format, decontaminate, html_extract, language_id, license_scan, ngram_join, pii, quality_rules, token_counts, turn_repair, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.language_digest(table(spark, folder, "documents"))
+
+
 def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     return turn_repair.repair_digest(table(spark, folder, "conversations"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
+    "op11_language_id": op11_language_id,
     "op12_turn_repair": op12_turn_repair,
     "op13_whitening": op13_whitening,
 }
