@@ -5,7 +5,8 @@ over linked bytes, in O(n log n). The vocabulary file is a parameter; the driver
 arrays, a few MB whatever the corpus, go to the tasks with the function.
 
 Defined cases: a null or empty text has no tokens; texts are never cut, however long; repeated rows are encoded
-each; an empty table gives an empty table; other columns are carried or left out, never read.
+each; an empty table gives an empty table; other columns are carried or left out, never read:
+results get underscores before their names until these are free.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import map_text
 
 #: Odd multipliers of the slot hash.
 STEP, MIX, MASK = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xFFFFFFFFFFFFFFFF
@@ -229,7 +229,7 @@ class ByteBPE:
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row the columns `keep`, `ids` (packed little-endian 32-bit), and `decoded`, the bytes of the ids."""
     bpe = ByteBPE.from_file(vocabulary, pattern)
-    return _mapped(df, bpe, text, keep, lambda bpe, ids: (ids, bpe.decode(ids)), ["ids", "decoded"], [pa.binary(), pa.binary()], "ids binary, decoded binary")
+    return _mapped(df, bpe, text, keep, lambda bpe, ids: (ids, bpe.decode(ids)), [("ids", "binary"), ("decoded", "binary")], [pa.binary(), pa.binary()])
 
 
 def encode_digest(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -239,21 +239,14 @@ def encode_digest(df: DataFrame, vocabulary: str, pattern: str, text: str = "tex
     def digest(bpe: ByteBPE, ids: bytes):
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
-    return _mapped(df, bpe, text, keep, digest, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()], "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _mapped(df, bpe, text, keep, digest, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], [pa.int64(), pa.string(), pa.string()])
 
 
-def _mapped(df, bpe, text, keep, result, names, types, ddl) -> DataFrame:
-    rows = df.select(*(F.col(f"`{c}`") for c in keep), text_of(f"`{text}`").alias("_bpe_text"))
-    taken = {c.lower() for c in keep} & set(names)
-    if taken:
-        raise ValueError(f"kept columns clash with results: {sorted(taken)}")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _mapped(df, bpe, text, keep, result, fields, types) -> DataFrame:
+    def encoded(texts: pa.Array) -> list[pa.Array]:
         if not hasattr(bpe, "memo"):
             bpe.start()
-        found = [result(bpe, bpe.encode(t.as_py())) for t in batch.column(batch.num_columns - 1)]
-        made = [pa.array(x, t) for x, t in zip(zip(*found), types)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*keep, *names])
+        found = [result(bpe, bpe.encode(t.as_py())) for t in texts]
+        return [pa.array(x, t) for x, t in zip(zip(*found), types)]
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_batches(rows, run, f"{kept}, {ddl}" if kept else ddl, bpe.stop)
+    return map_text(df, text, keep, encoded, fields, bpe.stop)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..shared import shared_dir
 from ..shared import written as materialise
 
-__all__ = ["WHITE", "free_name", "give_back", "join_hot", "map_batches", "materialise", "shared_dir", "text_of"]
+__all__ = ["WHITE", "free_name", "give_back", "join_hot", "map_batches", "map_text", "materialise", "shared_dir", "text_of"]
 
 #: The white space of the text contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -43,6 +43,24 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def map_text(df: DataFrame, text: str, keep: Sequence[str], fn: Callable[[pa.Array], list[pa.Array]], fields: list[tuple[str, str]], done: Callable[[], None] | None = None) -> DataFrame:
+    """The columns `keep`, then those that `fn` makes of a batch of texts (null as empty): `fields` are their names and types.
+
+    Results get underscores before their names until these are free; the kept columns may have any names.
+    """
+    own = [f"c{i}" for i in range(len(keep))]
+    made = [f"r{i}" for i in range(len(fields))]
+    rows = df.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(keep, own)), text_of(f"`{text}`").alias("said"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *fn(batch.column(len(own)))], names=[*own, *made])
+
+    kept = [f"{o} {rows.schema[o].dataType.simpleString()}" for o in own]
+    out = map_batches(rows, run, ", ".join([*kept, *(f"{m} {t}" for m, (_, t) in zip(made, fields))]), done)
+    named = df.select(*(F.col(f"`{c}`") for c in keep))
+    return out.select(*(F.col(o).alias(c) for o, c in zip(own, keep)), *(F.col(m).alias(free_name(named, n)) for m, (n, _) in zip(made, fields)))
+
+
 def join_hot(df: DataFrame, side: DataFrame, key: str, rows: str, hot: int = 10_000, most: int = 100_000) -> DataFrame:
     """Left join of `df` with `side`, which has one row a key and the number `rows` of rows that it meets in `df`.
 

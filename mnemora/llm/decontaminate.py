@@ -227,8 +227,8 @@ class Items:
 
 
 def words_in(bench: DataFrame) -> int:
-    """Words of the benchmark, parted by white space: one more than the items' words at most by item."""
-    return bench.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+")).cast("long")), F.lit(0))).first()[0]
+    """A bound of the benchmark's words by its bytes, as any word but the last is followed by a byte at least."""
+    return bench.agg(F.coalesce(F.sum(F.ceil((F.octet_length("text") + 1) / 2)), F.lit(0))).first()[0]
 
 
 def _held(bench: DataFrame) -> tuple[Items, pa.Array]:
@@ -347,4 +347,6 @@ def without_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", it
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([not held.copies(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
 
-    return map_batches(df, run, df.schema, lambda: held.memo.clear())
+    own = [f"c{i}" for i in range(len(df.columns))]  # any names will do
+    rest = map_batches(df.toDF(*own), run, df.toDF(*own).schema, lambda: held.memo.clear())
+    return rest.select(*(F.col(o).alias(c) for o, c in zip(own, df.columns)))

@@ -9,7 +9,8 @@ added where it overlaps none of them.
 
 Defined cases: a null text is an empty text without spans; texts are searched whole; base patterns are found in
 linear time whatever the text; repeated rows are searched each; an empty table gives an empty table; columns
-other than the text are carried or left out. Very long texts and words are decoded along their atoms, in time in
+other than the text are carried or left out, whatever their names: results get underscores before theirs until these
+are free. Very long texts and words are decoded along their atoms, in time in
 proportion to their length; of a long text only places of atoms and decisions not yet settled are held.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import free_name, map_text
 
 #: Kinds in the order of the contract, then those that only the field finds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -102,8 +103,10 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the field ---------------------------------------------------------------------------------------------
 
-#: Most atoms of one segment; their length in characters is not bounded.
-LONGEST = 8
+#: Groups of four after the country and its check digits in the longest account number, and the most atoms of one
+#: segment, which is such a number written with spaces: its head, its groups and a shorter one. Characters are not bounded.
+IBAN_GROUPS = 7
+LONGEST = IBAN_GROUPS + 2
 LABELS = ("out", *KINDS)
 COLUMNS = np.arange(len(LABELS))
 ATOM = re.compile(r"[^\s\"'<>,;|()=\[\]{}]+|[\"'<>,;|()=\[\]{}]")
@@ -120,7 +123,7 @@ SHAPES = {
     "ip": re.compile(r"(?:\d{1,3}\.){3}\d{1,3}", re.A),
     "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}", re.A),
     "ssn": re.compile(r"\d{3}-\d{2}-\d{4}", re.A),
-    "iban": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?", re.A),
+    "iban": re.compile(rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,{IBAN_GROUPS}}}(?: ?[A-Z0-9]{{1,3}})?", re.A),
     "secret": re.compile(r"[0-9a-f]{32,}|[A-Za-z]{2,5}[-_][A-Za-z0-9_-]{16,}|(?=[A-Za-z0-9_]*\d)(?=[A-Za-z0-9_]*[A-Z])[A-Za-z0-9_]{20,}|(?=[\w.-]*[0-9A-Z])[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{6,}){2}", re.A),
     "date": re.compile(r"\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}", re.A),
     "plain": re.compile(r"[\d.,]+", re.A),
@@ -379,13 +382,21 @@ def sentence(rnd: random.Random) -> tuple[str, list[Span]]:
         sep = rnd.choice(("", "", " ", "-"))
         return sep.join(d[k : k + 4] for k in range(0, len(d), 4))
 
+    def iban() -> str:
+        """A country's length, from the shortest layout to the longest, with a bank's letters or all digits, spaced or not."""
+        space, n, mixed = rnd.choice((" ", " ", "")), rnd.randint(11, 30), rnd.random() < 0.6
+        account = rnd.choice((n, n, rnd.randint(6, n)))  # from here on letters may stand among the digits
+        capitals = "ABCDEFGHIJKLMNOPRSTUVW"
+        rest = "".join(rnd.choice(capitals) if mixed and k < 4 else rnd.choice(capitals + 2 * "0123456789") if mixed and k >= account else digits(1) for k in range(n))
+        return space.join([letters(2).upper() + digits(2), *(rest[k : k + 4] for k in range(0, n, 4))])
+
     make = {
         "email": lambda: f"{word().replace('é', 'e')}{rnd.choice(('', '.', '_'))}{digits(rnd.randint(0, 2))}{rnd.choice(('@', '@', ' @ '))}{word().replace('é', 'e')}.{rnd.choice(('com', 'org', 'net', 'example.com'))}",
         "ip": lambda: ".".join(str(rnd.randint(0, 255)) for _ in range(4)),
         "card": card,
         "phone": lambda: rnd.choice((f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(4)} {digits(4)}")),
         "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
-        "iban": lambda: (rnd.choice(("DE", "FR", "ES")) + digits(2) + rnd.choice((" ", "")) + rnd.choice((" ", "")).join(digits(4) for _ in range(rnd.randint(3, 5)))),
+        "iban": iban,
         "secret": lambda: rnd.choice((lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.choice((32, 40, 64)))), lambda: rnd.choice(("sk-", "ghp_", "AKIA_")) + "".join(rnd.choice("abcdefABCDEF0123456789") for _ in range(24)), lambda: letters(rnd.randint(18, 40)) + "." + letters(rnd.randint(20, 60)) + "." + letters(rnd.randint(12, 43))))(),
         "short secret": lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(10, 24))),
         "spelt secret": lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(4, 12))) + "".join(rnd.choice("ABCDEFGHIJ") for _ in range(rnd.randint(2, 6))) + "".join(rnd.choice("mnopq") for _ in range(rnd.randint(0, 6))),
@@ -472,17 +483,12 @@ def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
 
 def _mapped(df: DataFrame, text: str, keep, result, fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
     field = trained()
-    rows = df.select(*(F.col(f"`{c}`") for c in keep), text_of(f"`{text}`").alias("_pii_text"))
-    if taken := {c.lower() for c in keep} & {n for n, _, _ in fields}:
-        raise ValueError(f"kept columns clash with results: {sorted(taken)}")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [result(t, *find(t, field)) for t in (x.as_py() for x in batch.column(batch.num_columns - 1))]
-        made = [pa.array(x, f[1]) for x, f in zip(zip(*found), fields)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*keep, *(f[0] for f in fields)])
+    def found(texts: pa.Array) -> list[pa.Array]:
+        rows = [result(t, *find(t, field)) for t in (x.as_py() for x in texts)]
+        return [pa.array(x, f[1]) for x, f in zip(zip(*rows), fields)]
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return map_batches(rows, run, ", ".join([*kept, *(f"{n} {d}" for n, _, d in fields)]), lambda: field.memo.clear())
+    return map_text(df, text, keep, found, [(n, d) for n, _, d in fields], lambda: field.memo.clear())
 
 
 def find_spans(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -508,9 +514,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
             at = max(at, e)
         return ("".join(out) + t[at:],)
 
-    clean = "_clean"
-    while clean.lower() in {c.lower() for c in rest}:
-        clean = f"_{clean}"
+    clean = free_name(df, "clean")
     done = _mapped(df, text, rest, result, [(clean, pa.string(), "string")])
     return done.select(*(F.col(clean).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns))
 

@@ -1,7 +1,9 @@
 """Host-level quality rules, in DataFrame functions only.
 
 Each document is held against text rules; failures are summed by host, the failure rate of each rule is
-shrunk towards the corpus rate with an empirical beta prior, and the verdicts on hosts are joined back.
+shrunk towards the corpus rate with an empirical beta prior, and the verdicts on hosts are joined back: a host on which
+more documents fail a rule than are tolerated is refused on this rule, and all its documents that fail it go. On other
+hosts a single failure is taken for an accident. Documents that fail nothing stay, whatever their host.
 
 Defined cases: a null text is an empty text (it has no words and fails the base rule); a null host is a host
 of its own; repeated rows are judged one by one and each counts for its host; an empty table gives an empty
@@ -27,8 +29,9 @@ SOFT_RULES = {
     "repeats": "100 * n_repeat_words > 20 * n_words",
     "word_length": "word_chars > 15 * n_words OR word_chars < 2 * n_words",
 }
-#: A host is refused on a rule when its shrunken failure rate is above this.
-HOST_LIMIT = 0.5
+#: Share of a host's documents that may fail a rule. A host is refused on the rule when its rate is above this by one
+#: standard deviation of its posterior; then those of its documents go that fail the rule.
+TOLERATED = 0.05
 #: A document that fails so many rules goes whatever its host.
 RULE_LIMIT = 2
 #: Bounds of the prior's weight, in documents.
@@ -92,21 +95,24 @@ def host_rates(judged: DataFrame) -> DataFrame:
     """Per host its number of documents and the shrunken failure rate of each rule; `judged` has `host` and one flag column a rule.
 
     The prior of a rule is a beta distribution fitted by moments to the hosts' rates: its mean is the corpus
-    rate, its weight follows from the variance between hosts.
+    rate, its weight follows from the variance between hosts, less what sampling adds to it. `low_` is the rate less
+    one standard deviation of the posterior.
     """
     hosts = judged.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(f"f_{r}").cast("long")).alias(r) for r in SOFT_RULES))
     fits = []
     for r in SOFT_RULES:
         rate = F.sum(r) / F.sum("n")
         spread = F.sum(F.col(r) * F.col(r) / F.col("n")) / F.sum("n") - rate * rate
-        fits += [rate.alias(f"m_{r}"), spread.alias(f"v_{r}")]
+        sampling = (F.count("*") - 1) * rate * (1 - rate) / F.sum("n")
+        fits += [rate.alias(f"m_{r}"), (spread - sampling).alias(f"v_{r}")]
     prior = hosts.agg(*fits)
     out = hosts.crossJoin(F.broadcast(prior))  # one row
     rates = []
     for r in SOFT_RULES:
         m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
         weight = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(PRIOR_MIN)), F.lit(PRIOR_MAX))).otherwise(PRIOR_MAX)
-        rates.append(((F.col(r) + m * weight) / (F.col("n") + weight)).alias(f"r_{r}"))
+        rate = (F.col(r) + m * weight) / (F.col("n") + weight)
+        rates.append((rate - F.sqrt(rate * (1 - rate) / (F.col("n") + weight + 1))).alias(f"low_{r}"))
     return out.select("host", "n", *rates)
 
 
@@ -127,7 +133,7 @@ def quality_verdicts(df: DataFrame, text: str = "text", host: str = "source", ke
     failed = F.array_compact(F.array(*(F.when(F.col(f"f_{r}"), F.lit(r)) for r in SOFT_RULES)))
     refused = F.lit(False)
     for r in SOFT_RULES:
-        refused = refused | (F.col(f"f_{r}") & (F.col(f"r_{r}") > HOST_LIMIT))
+        refused = refused | (F.col(f"f_{r}") & (F.col(f"low_{r}") > TOLERATED))
     verdict = ~F.col("base_failed") & ~refused & (F.size(failed) < RULE_LIMIT)
     if only_kept:
         return both.filter(verdict).select(*(F.col(o).alias(c) for o, c in zip(own, keep)))

@@ -90,10 +90,11 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 def _quality_sql() -> str:
     """Measures, failures by host, the beta prior by moments, and the verdicts."""
     rules = quality_rules.SOFT_RULES
-    prior = ", ".join(f"sum({r})::DOUBLE / sum(n) AS m_{r}, sum({r}::DOUBLE * {r} / n) / sum(n) - (sum({r})::DOUBLE / sum(n)) ** 2 AS v_{r}" for r in rules)
+    prior = ", ".join(f"sum({r})::DOUBLE / sum(n) AS m_{r}, sum({r}::DOUBLE * {r} / n) / sum(n) - (sum({r})::DOUBLE / sum(n)) ** 2 - (count(*) - 1) * (sum({r})::DOUBLE / sum(n)) * (1 - sum({r})::DOUBLE / sum(n)) / sum(n) AS v_{r}" for r in rules)
     weight = lambda r: f"CASE WHEN v_{r} > 0 THEN least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, {quality_rules.PRIOR_MIN}), {quality_rules.PRIOR_MAX}) ELSE {quality_rules.PRIOR_MAX} END"
     rates = ", ".join(f"({r} + m_{r} * {weight(r)}) / (n + {weight(r)}) AS r_{r}" for r in rules)
-    refused = " OR ".join(f"(f_{r} AND r_{r} > {quality_rules.HOST_LIMIT})" for r in rules)
+    weights = ", ".join(f"n + {weight(r)} AS w_{r}" for r in rules)
+    refused = " OR ".join(f"(f_{r} AND r_{r} - sqrt(r_{r} * (1 - r_{r}) / (w_{r} + 1)) > {quality_rules.TOLERATED})" for r in rules)
     failed = " + ".join(f"f_{r}::INT" for r in rules)
     return f"""
         WITH d AS (SELECT doc_id, coalesce(source, chr(1) || 'null') AS host, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
@@ -104,7 +105,7 @@ def _quality_sql() -> str:
         m AS (SELECT doc_id, host, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[{quality_rules.SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM d JOIN ls USING (doc_id) LEFT JOIN cov USING (doc_id)),
         j AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed, {", ".join(f"({c}) AS f_{r}" for r, c in rules.items())} FROM m),
         h AS (SELECT host, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE f_{r}) AS {r}" for r in rules)} FROM j GROUP BY 1),
-        p AS (SELECT {prior} FROM h), rate AS (SELECT host, {rates} FROM h, p)
+        p AS (SELECT {prior} FROM h), rate AS (SELECT host, {rates}, {weights} FROM h, p)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({refused}) AND {failed} < {quality_rules.RULE_LIMIT} AS kept FROM j JOIN rate USING (host)"""
 
 

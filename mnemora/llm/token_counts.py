@@ -3,48 +3,82 @@
 Huge texts are encoded in overlapping chunks with offsets; two chunks are spliced at a common boundary that is
 proven stable: both end a token before, and begin one after, the same white space, across which neither the
 normaliser nor the pre-tokenizer of the vocabulary joins anything. Where the overlap has no such boundary it is
-widened until it has one or the chunk reaches the end of the text. Texts of usual length are summed from the
-counts of their words, parted by the same stable boundaries, which the library has encoded once.
+widened until it has one or the chunk reaches the end of the text. Texts of up to one chunk are summed from the
+counts of their words, parted by the same stable boundaries, which the library has encoded once; this way is taken only
+if the vocabulary's file names a normaliser and a pre-tokenizer that allow it (`counts_by_word`), else such texts, too,
+go to the library whole.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; texts are never cut; repeated rows are counted
-each; an empty table gives an empty table; columns other than the text are carried or left out.
+each; an empty table gives an empty table; columns other than the text are carried or left out, whatever their names:
+results get underscores before theirs until these are free.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import WHITE, map_batches, text_of
+from .common import WHITE, map_text
 
-#: Texts of more characters are encoded in chunks.
-HUGE = 50_000
+#: Texts of more than a chunk are encoded in chunks.
 CHUNK, OVERLAP = 16_384, 256
+#: Normalisers and pre-tokenizers of the library that work on each stretch between white space by itself, and those
+#: that part the text there (fixed values).
+PLAIN = frozenset(("Lowercase", "NFC", "NFD", "StripAccents", "Punctuation", "Digits"))
+PARTS = frozenset(("BertPreTokenizer", "Whitespace", "WhitespaceSplit"))
 #: Words whose counts a task remembers before it starts afresh, and the most characters of such a word.
 MEMO, LONG_WORD = 500_000, 64
 
 
+def counts_by_word(vocabulary: dict) -> bool:
+    """Whether a text's tokens are those of its words, one after the other, by what the vocabulary's file says."""
+
+    def steps(part: dict | None) -> list[dict]:
+        if part is None:
+            return []
+        return [s for p in part.get("normalizers", part.get("pretokenizers", ())) for s in steps(p)] if part["type"] == "Sequence" else [part]
+
+    def parts(step: dict) -> bool:
+        """Whether a step leaves no piece with white space: it keeps only the matches of a pattern that matches none."""
+        if step["type"] != "Split":
+            return step["type"] in PARTS
+        pattern = re.sub(r"\[\^[^\]]*\\s[^\]]*\]", "", step["pattern"].get("Regex", " "))
+        return step["behavior"] == "Removed" and step["invert"] and re.fullmatch(r"(?:[\w'|+?\[\]]|\\p\{[LN]\})*", pattern) is not None
+
+    def plain(step: dict) -> bool:
+        if step["type"] == "Replace":
+            return step["pattern"].get("Regex") == r"\s+" and step["content"] == " "
+        return step["type"] in PLAIN or step["type"] == "ByteLevel" and not step["use_regex"] and not step["add_prefix_space"]
+
+    spaced = any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in vocabulary.get("added_tokens", ()))
+    split = steps(vocabulary.get("pre_tokenizer"))
+    return not spaced and all(map(plain, steps(vocabulary.get("normalizer")))) and any(map(parts, split)) and all(parts(s) or plain(s) for s in split)
+
+
 class Counter:
     """Counts tokens with one vocabulary of the tokenizers library."""
 
-    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, huge: int = HUGE):
-        self.path, self.chunk, self.overlap, self.huge = path, chunk, overlap, huge
+    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, huge: int | None = None):
+        self.path, self.chunk, self.overlap, self.huge = path, chunk, overlap, chunk if huge is None else huge
 
     def start(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(self.path), {}
+        self.by_word = counts_by_word(json.loads(self.tokenizer.to_str()))
 
     def stop(self) -> None:
-        self.__dict__.pop("tokenizer", None), self.__dict__.pop("memo", None)
+        for k in ("tokenizer", "memo", "by_word"):
+            self.__dict__.pop(k, None)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("tokenizer", "memo")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("tokenizer", "memo", "by_word")}
 
     def _encode(self, text: str) -> tuple[list[int], list[int]]:
         """Starts and ends of the tokens of `text`."""
@@ -98,7 +132,7 @@ class Counter:
         return best
 
     def count(self, text: str) -> int:
-        if len(text) > self.huge:
+        if len(text) > self.huge or not self.by_word:
             return self.spliced(text)
         memo, total, new = self.memo, 0, {}
         for word in text.replace("\n", " ").split(" "):
@@ -122,19 +156,11 @@ class Counter:
 def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 2048, **sizes: int) -> DataFrame:
     """Per row the columns `keep`, the bytes and tokens of its text, and whether they are over `limit` tokens."""
     counter = Counter(vocabulary, **sizes)
-    names = ["n_bytes", "n_tokens", "over_limit"]
-    if taken := {c.lower() for c in keep} & set(names):
-        raise ValueError(f"kept columns clash with results: {sorted(taken)}")
-    rows = df.select(*(F.col(f"`{c}`") for c in keep), text_of(f"`{text}`").alias("_counted"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def counted(texts: pa.Array) -> list[pa.Array]:
         if not hasattr(counter, "memo"):
             counter.start()
-        texts = batch.column(batch.num_columns - 1)
         tokens = [counter.count(t.as_py()) for t in texts]
-        made = [pa.compute.binary_length(texts).cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array([t > limit for t in tokens], pa.bool_())]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*keep, *names])
+        return [pa.compute.binary_length(texts).cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array([t > limit for t in tokens], pa.bool_())]
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    ddl = "n_bytes long, n_tokens long, over_limit boolean"
-    return map_batches(rows, run, f"{kept}, {ddl}" if kept else ddl, counter.stop)
+    return map_text(df, text, keep, counted, [("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")], counter.stop)

@@ -122,3 +122,12 @@ def test_bounds_and_common_seeds_lose_no_copy(monkeypatch):
             assert {(i, s) for i, s, *_ in searched.copies(t)} == want
             found += len(want)
         assert found > 60
+
+
+def test_items_without_ascii_white_space_count_by_their_bytes(spark):
+    item = "　".join(f"w{k}" for k in range(1000))
+    items = spark.createDataFrame([(1, item), (2, "a b c"), (3, "")], "item string, text string")
+    assert dc.words_in(items) >= 1003
+    docs = spark.createDataFrame([(1, item, "x"), (2, "nothing here at all", "y")], "doc_id long, text string, `a.b` string")
+    kept = dc.without_contaminated(docs, items.withColumnRenamed("item", "item_id"))
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]

@@ -133,3 +133,14 @@ def test_digest_and_edge_cases(spark):
     clean = spark.createDataFrame([("Write to ann@x.org or +1 (017) 555-7713 now.", 1, "s")], "text string, spans int, _clean string")
     assert [tuple(r) for r in pii.redact(clean).collect()] == [("Write to <email> or <phone> now.", 1, "s")]
     assert pii.find_spans(df).filter("doc_id = -1").first().spans == []
+
+
+def test_account_numbers_of_the_longest_layout(spark):
+    """All groups of a spaced number are one span, and no column's name is in the way of the redaction."""
+    long = "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    df = spark.createDataFrame([(1, f"my account {long} is known", "x", 2)], "doc_id long, text string, `a.b` string, said int")
+    (row,) = pii.redact(df).collect()
+    assert row.text == "my account <iban> is known" and row["a.b"] == "x" and row.said == 2
+    shaped = pii.SHAPES["iban"]
+    longest = "XX00 " + "AB12 " * pii.IBAN_GROUPS + "AB1"
+    assert shaped.fullmatch(longest) and len(longest.split()) == pii.LONGEST and not shaped.fullmatch(longest.replace("AB1", "AB12", 1) + "2 AB1")

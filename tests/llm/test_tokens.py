@@ -83,3 +83,28 @@ def test_splice_widens_where_no_boundary_is_near():
     lib = Tokenizer.from_file(WORD)
     for text in ("q" * 300 + " tail of text " + "w" * 500 + " x", "no white space at all".replace(" ", "-") * 30, " " * 400 + "a " * 200):
         assert counter.count(text) == len(lib.encode(text, add_special_tokens=False))
+
+
+def test_other_vocabularies_like_the_library():
+    """Where words do not stand for themselves the library gets whole texts or chunks."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(other)
+    for sizes in ({}, {"chunk": 64, "overlap": 4}):
+        counter = Counter(other, **sizes)
+        counter.start()
+        assert not counter.by_word
+        for text in [*TEXTS, noise(3, 3000)]:
+            assert counter.count(text) == len(lib.encode(text, add_special_tokens=False)), text
+    counter = Counter(WORD)
+    counter.start()
+    assert counter.by_word
+
+
+def test_kept_columns_with_any_names(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x"), (2, None, 8, None)], "doc_id long, text string, n_tokens int, `a.b` string")
+    keep = ("doc_id", "n_tokens", "a.b")
+    out = encode_digest(df, BYTE, public_tokenizers.PATTERN, keep=keep)
+    assert out.columns == [*keep, "_n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted((r.doc_id, r.n_tokens, r["a.b"], r._n_tokens) for r in out.collect()) == [(1, 7, "x", 2), (2, 8, None, 0)]
+    counts = count_tokens(df, WORD, keep=keep)
+    assert sorted((r.doc_id, r.n_tokens, r._n_tokens) for r in counts.collect()) == [(1, 7, 2), (2, 8, 0)]
