@@ -8,7 +8,8 @@ driver, on generated pages; they go to the tasks with the function (a few hundre
 Defined cases: a null or empty page has an empty text; pages are read whole, with broken markup read as browsers do
 in the common cases (unclosed paragraphs, items, buttons and drawings, stray ends, missing heads), in time in
 proportion to their length and depth; all that Python counts as white space, no-break spaces too, becomes one space;
-repeated rows are read each; an empty table gives an empty table; columns but those named are not read.
+repeated rows are read each; equal scores keep a node; an empty table gives an empty table; columns but those named are
+not read, and results get underscores before their names until these are free.
 """
 
 from __future__ import annotations
@@ -17,31 +18,31 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import map_text
 
 #: Fixed sets of HTML elements: what ends a block, what has no content, what is never text, what ends implicitly.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-SILENT = frozenset("template noscript svg math iframe object select button datalist canvas audio video map".split())
+SILENT = frozenset("template noscript svg iframe object select button datalist canvas audio video map annotation annotation-xml".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 #: Elements inside which an open paragraph outside is none of theirs.
 KEEPS_PARAGRAPH = ("td", "th", "li", "table", "article", "section", "div")
 #: Characters of pages that are scored at once.
 PACK_CHARS = 500_000
-#: Silent elements inside each other that are told apart; deeper ones end with these.
-DEEP_SILENCE = 64
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^'\"<>]++|\"[^\"<]*\"|'[^'<]*')*+)>")
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-NAMED = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: A value behind an equals sign goes up to its quote, whatever it holds; a quote that never ends is a plain character.
+VALUE = r"=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|)"
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|{VALUE})*+)>")
+ATTRIBUTE = re.compile(rf"([^\s=/]++)\s*+(?:({VALUE}))?")
+NAMED = frozenset(("class", "id", "role", "style", "aria-hidden", "hidden"))
 TOKEN = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 GOOD = frozenset("article content main post entry story text body prose copy page".split())
@@ -77,8 +78,10 @@ class Node:
 
 def _attributes(raw: str) -> tuple[frozenset[str], bool]:
     tokens, hidden = set(), False
-    for m in NAMED.finditer(raw):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+    for m in ATTRIBUTE.finditer(raw):
+        name, value = m[1].lower(), (m[2] or "")[1:].strip().strip("\"'")
+        if name not in NAMED:
+            continue
         if name in ("class", "id", "role"):
             tokens |= {t.lower() for t in TOKEN.findall(value)}
         elif name == "style":
@@ -117,7 +120,7 @@ class Silence:
     """
 
     def __init__(self, page: str):
-        self.page, self.names, self.inner, self.ends = page, [], {}, {}
+        self.page, self.names, self.places, self.inner, self.ends = page, [], {}, {}, {}
 
     def ended_after(self, tag: str, at: int) -> bool:
         if tag not in self.ends:
@@ -126,11 +129,14 @@ class Silence:
 
     def tag(self, tag: str, close: bool, empty: bool, at: int) -> None:
         if close:
-            if tag in self.names:
-                del self.names[len(self.names) - 1 - self.names[::-1].index(tag) :]
+            if places := self.places.get(tag):
+                to = places[-1]
+                while len(self.names) > to:
+                    self.places[self.names.pop()].pop()
                 if not self.names:
                     self.inner = {}
-        elif not empty and len(self.names) < DEEP_SILENCE and self.ended_after(tag, at):
+        elif not empty and self.ended_after(tag, at):
+            self.places.setdefault(tag, []).append(len(self.names))
             self.names.append(tag)
 
     def block(self, tag: str, close: bool, open_outside: bool) -> bool:
@@ -141,7 +147,7 @@ class Silence:
         elif n:
             self.inner[tag] = n - 1
         elif open_outside:
-            self.names, self.inner = [], {}
+            self.names, self.places, self.inner = [], {}, {}
             return True
         return False
 
@@ -191,7 +197,7 @@ def parse(page: str) -> list[Node]:
             end = page.find("-->", at + 4)
             at = n if end < 0 else end + 3
             continue
-        m = TAG.match(page, at) or LOOSE.match(page, at)
+        m = TAG.match(page, at)
         if not m:
             if page.startswith(("<!", "<?"), at) or page.startswith("</", at):
                 end = page.find(">", at)
@@ -271,6 +277,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         total[parents[i]] += total[i]
     page, last = max(total[0, 0], 1), max(total[0, 3], 1)
     inside: list[int] = []  # marks of a node and of those above it, one bit a feature
+    alike = [Counter(nodes[k].tag for k in v.children) for v in nodes]
     tag_at = {t: AT[f"tag_{t}"] for t in TAGS}
     in_at = {t: AT[f"in_{t}"] for t in ("article", "main", "nav", "header", "footer", "aside", "form", "li", "table")}
     for i, v in enumerate(nodes):
@@ -307,7 +314,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         row[AT["page_share"]] = chars / page
         row[AT["parent_share"]] = chars / max(total[v.parent, 0], 1) if v.parent >= 0 else 1
         row[AT["siblings"]] = min(len(up), 50)
-        row[AT["like_siblings"]] = min(sum(nodes[k].tag == v.tag for k in up[:50]), 50)
+        row[AT["like_siblings"]] = min(alike[v.parent][v.tag], 50) if up else 0
         row[AT["before"]] = v.start / last
         row[AT["inputs"]] = min(inputs, 10)
     return x
@@ -440,6 +447,8 @@ def generated(rnd: random.Random) -> tuple[str, list[str]]:
     if rnd.random() < 0.8:
         blocks.append(words(2, 10))
         main += f"<h1>{blocks[-1]}</h1>"
+        if rnd.random() < 0.15:  # a heading in a frame of its own
+            main = rnd.choice((f"<div{name('post-header', 'entry-header', 'article-header', 'story-head')}>{main}</div>", f"<header>{main}</header>"))
     inner_extras = rnd.random() < 0.3
     for k in range(rnd.choice((1, 1, 1, 2, 4, 8, 14))):
         t = prose(1, 4) if rnd.random() < 0.15 else prose(8, 120)
@@ -526,14 +535,10 @@ def _packs(pages: pa.Array) -> Iterator[list[str]]:
 
 def extract(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Per row the columns `keep`, `text` and `n_chars`."""
-    if taken := {c.lower() for c in keep} & {"text", "n_chars"}:
-        raise ValueError(f"kept columns clash with results: {sorted(taken)}")
     trees = trained()
-    rows = df.select(*(F.col(f"`{c}`") for c in keep), text_of(f"`{page}`").alias("_page"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def read(pages: pa.Array) -> list[pa.Array]:
         out: list[str] = []
-        pages = batch.column(batch.num_columns - 1)
         for some in _packs(pages):
             parsed = [parse(p) for p in some]
             odds = trees.predict(np.concatenate([features(p) for p in parsed]))
@@ -541,8 +546,6 @@ def extract(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id
             for p in parsed:
                 out.append(main_text(p, odds[k : k + len(p)]))
                 k += len(p)
-        made = [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*keep, "text", "n_chars"])
+        return [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return map_batches(rows, run, ", ".join([*kept, "text string", "n_chars long"]))
+    return map_text(df, page, keep, read, [("text", "string"), ("n_chars", "long")])

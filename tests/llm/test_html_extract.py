@@ -79,6 +79,54 @@ def test_unclosed_silent_elements_do_not_silence_the_page():
         assert text_of(f"<html><body>{before}{article}{after}</body></html>").endswith(want), before
 
 
+STORY = "<p>A first paragraph of the story, which goes on for a while, and on.</p><p>A second one of the same story, no shorter than the first.</p>"
+TOLD = "A first paragraph of the story, which goes on for a while, and on.\n\nA second one of the same story, no shorter than the first."
+
+
+def test_markup_in_attribute_values():
+    for p in ('<p title="x<y>z">', "<p title='a>b'>", '<p data-x = "<p>" >', "<p title=it's>", '<p title="a class=nav b">', '<p title="open>', "<p a='b' c=\">\" d>"):
+        assert text_of(f"<html><body><article>{p}After attr, in the story of old.</p>{STORY}</article></body></html>") == f"After attr, in the story of old.\n\n{TOLD}", p
+    assert he._attributes(" title=\"x class='nav'\" CLASS=main id = 'a-b' hidden") == (frozenset(("main", "a", "b")), True)
+
+
+def test_formulas_are_text_and_deep_drawings_are_not():
+    page = f"<html><body><article><p>Euler said <math><mi>e</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>e=2</annotation></math> in the story, and more of it.</p>{STORY}</article></body></html>"
+    assert text_of(page) == f"Euler said e=2 in the story, and more of it.\n\n{TOLD}"
+    page = f"<html><body><article>{'<svg>' * 70}{'</svg>' * 66}<text>silent words here</text>{'</svg>' * 4}{STORY}</article></body></html>"
+    assert text_of(page) == TOLD
+
+
+def test_heading_in_a_frame_of_its_own():
+    for head in ("<div class='post-header'><h1>Real Title</h1></div>", "<header><h1>Real Title</h1></header>"):
+        assert text_of(f"<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>Blog</a></li></ul></nav><article>{head}{STORY}{STORY}</article><footer>&copy; Site</footer></body></html>").startswith("Real Title"), head
+
+
+def brute_features(nodes, i):
+    """Counts below a node and beside it, by walking the tree."""
+    below = [k for k in range(len(nodes)) if i in _above(nodes, k)]
+    chars, links, tags, blocks = (sum(getattr(nodes[k], a) for k in below) for a in ("chars", "links", "tags", "blocks"))
+    beside = [k for k in range(len(nodes)) if k and nodes[k].parent == nodes[i].parent and i]
+    return {"chars": np.log1p(chars), "link_share": links / chars if chars else 0, "tag_density": tags / (chars + 20) * 100, "blocks": np.log1p(blocks), "siblings": min(len(beside), 50), "like_siblings": min(sum(nodes[k].tag == nodes[i].tag for k in beside), 50), "depth": nodes[i].depth, "in_article": float(any(nodes[k].tag == "article" for k in _above(nodes, i)[1:])), "page_share": chars / max(sum(v.chars for v in nodes), 1)}
+
+
+def _above(nodes, k):
+    out = [k]
+    while nodes[out[-1]].parent >= 0:
+        out.append(nodes[out[-1]].parent)
+    return out
+
+
+def test_features_like_a_walk_of_the_tree():
+    rnd = random.Random(12)
+    pages = ["".join(rnd.choice(("<div>", "</div>", "<p>x y, z", "<ul><li>y", "</ul>", "<article>", "</article>", "<a href=#>link</a>")) for _ in range(40)) for _ in range(12)] + ["<ul>" + "<p>a</p>" * 20 + "<li>b" * 45 + "</ul>"]
+    for page in pages:
+        nodes = he.parse(page)
+        x = he.features(nodes)
+        for i in range(len(nodes)):
+            for name, want in brute_features(nodes, i).items():
+                assert np.isclose(x[i, he.AT[name]], want), (page, i, name)
+
+
 def test_deep_and_broken_pages_in_proportion():
     for make in (lambda n: "<ul>" * n, lambda n: "<ul>" * n + "</li></p></td>" * n, lambda n: "<div class='comment nav'>" * n + "x", lambda n: "<ul><li>a" * n, lambda n: "<div><button>" * n + "</button>", lambda n: "<table><tr><td>" * n):
         took = []
