@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trigram_similarity
+from ..shared import written
 
 
 def distances(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
@@ -40,22 +41,28 @@ def distances(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
     return vectors.select(*(f"`{f.name}`" for f in rest), "embedding").mapInArrow(run, ddl)
 
 
-def with_sources(far: DataFrame, chunks: DataFrame, messages: DataFrame, conversations: DataFrame, project: str | None = None) -> DataFrame:
-    """Distances with the project and category of what they belong to; the project filter stands in both branches."""
+def with_sources(far: DataFrame, chunks: DataFrame, messages: DataFrame, conversations: DataFrame, project: str | None = None, value: str = "distance") -> DataFrame:
+    """Distances, or what `value` names, with the project and category of what they belong to; the project filter stands in both branches."""
     memory = far.filter("source_type = 'memory_chunk'").join(chunks.select(F.col("id").alias("source_id"), "project_name", "category"), "source_id")
     owner = messages.select(F.col("id").alias("source_id"), "conversation_id").join(conversations.select(F.col("id").alias("conversation_id"), "project_name"), "conversation_id").drop("conversation_id")
     said = far.filter("source_type = 'message'").join(owner, "source_id").withColumn("category", F.lit(None).cast("string"))
     if project:
         memory, said = (d.filter(F.col("project_name") == project) for d in (memory, said))
-    columns = ["source_type", "source_id", "project_name", "category", "distance"]
+    columns = ["source_type", "source_id", "project_name", "category", value]
     return memory.select(columns).unionByName(said.select(columns))
 
 
+def sources_of(embeddings: DataFrame, chunks: DataFrame, messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Vectors with the project and category of what they belong to, for many questions (`knn_join.nearest_many`)."""
+    return with_sources(embeddings.select("source_type", "source_id", "embedding"), chunks, messages, conversations, value="embedding")
+
+
 def nearest(embeddings: DataFrame, chunks: DataFrame, messages: DataFrame, conversations: DataFrame, query: Sequence[float], limit: int = 10, scope: str | None = None, project: str | None = None, least: float | None = None) -> DataFrame:
     """The closest sources: a scope filters after the limit, a project and a least similarity before it.
 
     Vectors are scored where they lie; only distances are joined. Without a project a few times the limit of the
-    closest are joined first, and all only if too few of these have a source.
+    closest are joined first, and all only if more there are and too few of these have a source. What is found is
+    written once, so that no vector is scored again when the result is read.
     """
     far = distances(embeddings.select("source_type", "source_id", "embedding"), query)
     if least is not None:
@@ -63,9 +70,10 @@ def nearest(embeddings: DataFrame, chunks: DataFrame, messages: DataFrame, conve
     order = [F.asc_nulls_last("distance"), "source_type", "source_id"]
     found = None
     if not project:
-        first = far.orderBy(*order).limit(4 * limit + 16)
-        found = with_sources(F.broadcast(first), chunks, messages, conversations).orderBy(*order).limit(limit)
-        if found.count() < limit:
+        most = 4 * limit + 16
+        first = written(far.orderBy(*order).limit(most))
+        found = written(with_sources(F.broadcast(first), chunks, messages, conversations).orderBy(*order).limit(limit))
+        if found.count() < limit and first.count() == most:
             found = None
     if found is None:
         found = with_sources(far, chunks, messages, conversations, project).orderBy(*order).limit(limit)
