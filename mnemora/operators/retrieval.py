@@ -57,17 +57,32 @@ def sources_of(embeddings: DataFrame, chunks: DataFrame, messages: DataFrame, co
     return with_sources(embeddings.select("source_type", "source_id", "embedding"), chunks, messages, conversations, value="embedding")
 
 
-def nearest(embeddings: DataFrame, chunks: DataFrame, messages: DataFrame, conversations: DataFrame, query: Sequence[float], limit: int = 10, scope: str | None = None, project: str | None = None, least: float | None = None) -> DataFrame:
+def nearest(embeddings: DataFrame, chunks: DataFrame, messages: DataFrame, conversations: DataFrame, query: Sequence[float], limit: int = 10, scope: str | None = None, project: str | None = None, least: float | None = None, index=None, model: str | None = None) -> DataFrame:
     """The closest sources: a scope filters after the limit, a project and a least similarity before it.
 
+    With an `index` (`vector_index.VectorIndex`) only the cells near the query are read, of vectors of one `model`; more
+    of them where too few rows have a source, so the limit is reached as long as there are rows.
+
     Vectors are scored where they lie; only distances are joined. Without a project a few times the limit of the
     closest are joined first, and all only if more there are and too few of these have a source. What is found is
     written once, so that no vector is scored again when the result is read.
     """
+    order = [F.asc_nulls_last("distance"), "source_type", "source_id"]
+    if index is not None:
+        own = {"model": model} if model else {}
+        most = 4 * limit + 16
+        far = index.search(query, most, **own) if not project else None
+        found = None if far is None else written(with_sources(F.broadcast(far), chunks, messages, conversations).orderBy(*order).limit(limit))
+        if found is None or found.count() < limit:
+            keys = ["source_type", "source_id"]
+            there = with_sources(embeddings.select(*keys, F.lit(0.0).alias("distance")), chunks, messages, conversations, project).select(*keys)
+            far = index.search(query, limit, where=lambda rows: rows.join(there, keys, "left_semi"), **own)
+            found = with_sources(F.broadcast(far), chunks, messages, conversations, project).orderBy(*order).limit(limit)
+        found = found if least is None else found.filter(1 - F.col("distance") > least)
+        return found.filter(F.col("source_type") == scope) if scope else found
     far = distances(embeddings.select("source_type", "source_id", "embedding"), query)
     if least is not None:
         far = far.filter(1 - F.col("distance") > least)
-    order = [F.asc_nulls_last("distance"), "source_type", "source_id"]
     found = None
     if not project:
         most = 4 * limit + 16

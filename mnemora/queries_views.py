@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .adapters import AS_OF, sql
 from .functions import text as tx
+from .operators import evaluation as ev
 from .operators import graph as g
+from .operators import knn_join as knn
 from .operators import mutations as mu
 from .operators import retrieval as rt
+from .operators.vector_index import VectorIndex, recall, search_many
 from .plans import reports as rp
 from .queries import ACT, NOW, PRELOADED, VECTOR, VECTOR_SQL, as_of
 from .registry import query, table_query
+from .shared import shared_dir
 
 PRELOAD = "src5"
 _CONTACTS = f"SELECT id, category, confidence FROM chunks WHERE category = 'contact' AND (project_name ILIKE '%{PRELOAD}%' OR project_name IS NULL) ORDER BY confidence DESC NULLS LAST, created_at DESC NULLS FIRST, id LIMIT 10"
@@ -161,3 +167,52 @@ def _(spark, folder):
     items = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("id"), F.array(F.substring("text", 1, 5)).alias("expected"))
     docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "lang")
     return rp.recall_delta(rp.eval_recall(items, docs.select("id", F.col("text").alias("answer"))), rp.eval_recall(items, docs.select("id", F.col("lang").alias("answer"))))
+
+
+_COSINE = "1 - list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
+_SOURCED = "SELECT v.source_type, v.source_id, v.embedding, c.project_name, c.category FROM vectors v JOIN chunks c ON v.source_type = 'memory_chunk' AND c.id = v.source_id UNION ALL SELECT v.source_type, v.source_id, v.embedding, convs.project_name, NULL FROM vectors v JOIN messages m ON v.source_type = 'message' AND m.id = v.source_id JOIN convs ON convs.id = m.conversation_id"
+_ASKED = "SELECT vec_id AS q, list_transform(embedding, lambda x: round(x::DOUBLE, 7)) AS query, CASE WHEN vec_id % 150 = 0 THEN 'src4' END AS project FROM embeddings WHERE vec_id % 50 = 0"
+_RANKED = "SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, source_type, source_id) AS place FROM (SELECT q, source_type, source_id, project_name, category, round({}, 12) AS distance FROM ({}) JOIN ({}) ON project IS NULL OR project = project_name)".format(_COSINE.format(a="query", b="embedding"), _ASKED, _SOURCED)
+
+
+def _asked(m):
+    """The stated queries: every vector whose id is divisible by 50; some ask within a project."""
+    return m.embeddings.filter("id % 50 = 0").select(F.col("id").alias("q"), "embedding", F.when(F.col("id") % 150 == 0, "src4").alias("project"))
+
+
+@query("knn_join", sql("vectors chunks convs", f"SELECT q, place, source_type, source_id, project_name, round(distance, 6) AS distance FROM ({_RANKED}) WHERE place <= 10"))
+def _(m):
+    near = knn.nearest_many(_asked(m), rt.sources_of(m.embeddings, m.chunks, m.messages, m.conversations), 10)
+    return near.select("q", F.col("place").cast("long").alias("place"), "source_type", "source_id", "project_name", F.round("distance", 6).alias("distance"))
+
+
+@query("vector_index", sql("vectors", f"SELECT q, place, id, round(distance, 6) AS distance FROM (SELECT q, id, distance, row_number() OVER (PARTITION BY q ORDER BY distance, id) AS place FROM (SELECT q, id, round({_COSINE.format(a='query', b='embedding')}, 12) AS distance FROM ({_ASKED}), vectors)) WHERE place <= 10"))
+def _(m):
+    """The index with all its cells read is the exact way; what its own number of probes finds is in `vector_index_recall`."""
+    index = VectorIndex(m.spark, f"{shared_dir(m.spark)}/index-{uuid.uuid4().hex}", {"id": "long"}).build(m.embeddings)
+    near = search_many(index, _asked(m).drop("project"), 10, "model-a", probes=max(map(len, index.centres.values())))
+    return near.select("q", F.col("place").cast("long").alias("place"), "id", F.round("distance", 6).alias("distance"))
+
+
+@query("vector_index_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def _(m):
+    """Whether the index finds nine of ten exact neighbours of the stated queries with the probes that it chose."""
+    index = VectorIndex(m.spark, f"{shared_dir(m.spark)}/index-{uuid.uuid4().hex}", {"id": "long"}).build(m.embeddings)
+    exact = knn.knn_join(_asked(m).drop("project"), m.embeddings.select("id", "embedding"), 10)
+    found = recall(index, _asked(m).drop("project"), exact, 10, "model-a")
+    return _asked(m).agg(F.count("*").alias("queries")).withColumn("enough", F.lit(found >= 0.9))
+
+
+_CONTEXT = "string_agg('- [' || coalesce(category, '?') || ' · ' || coalesce(project_name, '—') || '] ' || CASE WHEN length(flat) > 400 THEN substring(flat, 1, 400) || '…' ELSE flat END, chr(10) ORDER BY place)"
+_TEXTS = "SELECT 'memory_chunk' AS source_type, id AS source_id, trim(replace(coalesce(content, ''), chr(10), ' ')) AS flat FROM chunks UNION ALL SELECT 'message', id, trim(replace(coalesce(content, ''), chr(10), ' ')) FROM messages"
+
+
+@query("eval_questions", sql("vectors chunks convs", f"""WITH near AS (SELECT * FROM ({_RANKED}) WHERE place <= 6), ctx AS (SELECT q, list(source_id ORDER BY place) AS ids, {_CONTEXT} AS context FROM near LEFT JOIN ({_TEXTS}) t USING (source_type, source_id) GROUP BY 1),
+    e AS (SELECT id AS q, substring(content, 1, 9) AS a, 'src4' AS b FROM chunks WHERE id % 50 = 0)
+    SELECT a.q AS id, len(coalesce(ids, [])) AS retrieved, ids[1] AS first_id, CASE WHEN contains(lower(coalesce(context, '')), lower(e.a)) THEN e.a WHEN contains(lower(coalesce(context, '')), lower(e.b)) THEN e.b END AS match FROM ({_ASKED}) a JOIN e USING (q) LEFT JOIN ctx USING (q)"""))
+def _(m):
+    """All stated questions at once; the model repeats its prompt, so it answers what the context holds."""
+    questions = m.chunks.filter("id % 50 = 0").select("id", F.lit("x").alias("category"), F.lit("").alias("question"), F.array(F.substring("content", 1, 9), F.lit("src4")).alias("expected_substrings"))
+    questions = questions.join(_asked(m).select(F.col("q").alias("id")), "id", "left_semi")
+    results = ev.evaluate(questions, _asked(m), (m.embeddings, m.chunks, m.messages, m.conversations), lambda prompts: list(prompts))
+    return results.select("id", F.size("retrieved").alias("retrieved"), F.try_element_at("retrieved", F.lit(1)).alias("first_id"), "match")

@@ -14,15 +14,24 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
-def csv_text(df: DataFrame, limit: int = 100_000) -> bytes:
-    """A bounded table as one CSV text with a byte order mark, for spreadsheets; the limit is the feature."""
-    return df.limit(limit).toPandas().to_csv(index=False).encode("utf-8-sig")
+def _bounded(df: DataFrame, most: int):
+    """All rows of a table of at most `most` rows; a larger one raises, so no row is lost without notice."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: use write_csv, which writes tables of any size")
+    return rows
 
 
-def write_excel(df: DataFrame, path: str, sheet: str = "export", limit: int = 100_000) -> bool:
-    """A bounded table as a spreadsheet, if a writer is installed."""
+def csv_text(df: DataFrame, most: int = 100_000) -> bytes:
+    """A table of at most `most` rows as one CSV text with a byte order mark, for spreadsheets."""
+    return _bounded(df, most).to_csv(index=False).encode("utf-8-sig")
+
+
+def write_excel(df: DataFrame, path: str, sheet: str = "export", most: int = 100_000) -> bool:
+    """A table of at most `most` rows as a spreadsheet, if a writer is installed."""
+    rows = _bounded(df, most)
     try:
-        df.limit(limit).toPandas().to_excel(path, sheet_name=sheet[:31], index=False)
+        rows.to_excel(path, sheet_name=sheet[:31], index=False)
     except ImportError:
         return False
     return True
@@ -41,6 +50,24 @@ def context_markdown(chosen: DataFrame, project: str) -> str:
     return "\n".join(out)
 
 
+def question_report(results: DataFrame, title: str = "Memory evaluation", most: int = 10_000) -> str:
+    """Recall with and without memory, a line a question, and the misses, of the results of an evaluation."""
+    rows = sorted(results.limit(most + 1).collect(), key=lambda r: str(r.id))
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} questions")
+    n, hits, cold = len(rows), sum(r.match is not None for r in rows), sum(r.cold_match is not None for r in rows)
+    mark = lambda m: "✗" if m is None else f"✓ {m}"
+    cell = lambda x: " ".join(str(x).split()).replace("|", "\\|")
+    out = [f"# {title}", "", f"- with memory: **{hits}/{n}**", f"- without: **{cold}/{n}**", f"- delta: **{hits - cold:+d}**", "", "## Questions", "", "| ID | Category | with memory | without | retrieved |", "|---|---|---|---|---|"]
+    out += [f"| {cell(r.id)} | {cell(r.category or '?')} | {cell(mark(r.match))} | {cell(mark(r.cold_match))} | {','.join(map(str, r.retrieved[:5])) or '—'} |" for r in rows]
+    missed = [r for r in rows if r.match is None and r.category != "control"]
+    if missed:
+        out += ["", "## Misses", ""]
+    for r in missed:
+        out += [f"### {cell(r.id)}: {cell(r.question)}", f"- expected one of: `{', '.join(r.expected_substrings or [])}`", f"- retrieved: `{r.retrieved}`", f"- answer: {cell(r.answer)}", ""]
+    return "\n".join(out) + "\n"
+
+
 def eval_report(recall: DataFrame, title: str = "Retrieval evaluation") -> str:
     r = recall.first()
     return f"# {title}\n\n| questions | hits | recall |\n|---|---|---|\n| {r.questions} | {r.hits} | {r.recall} |\n"

@@ -85,6 +85,18 @@ def test_hot_bad_and_filtered(spark, small):
     assert index._rows().filter("source_type = 'bad'").count() == 0
 
 
+def test_search_of_sources_by_the_index(spark, tmp_path):
+    """The same sources as without the index, scopes and projects too."""
+    m = Memory(spark, FOLDER)
+    index = VectorIndex(spark, str(tmp_path / "index")).build(m.embeddings)
+    index.centres, index.probes = index.centres, {k: len(c) for k, c in index.centres.items()}
+    query = m.embeddings.filter("id = 10").first().embedding
+    tables = (m.embeddings, m.chunks, m.messages, m.conversations)
+    shown = lambda df: [(r.source_type, r.source_id, round(r.distance, 9)) for r in df.collect()]
+    for wanted in ({}, {"scope": "memory_chunk"}, {"project": "src4"}, {"least": 0.1}):
+        assert shown(retrieval.nearest(*tables, query, 10, index=index, model="model-a", **wanted)) == shown(retrieval.nearest(*tables, query, 10, **wanted)), wanted
+
+
 def test_only_probed_cells_are_read(small):
     vectors, index = small
     rows = index._rows().filter("model = 'a' AND size = 8 AND cell IN (1, 2)")
