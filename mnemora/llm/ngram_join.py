@@ -203,17 +203,18 @@ def placements(groups: DataFrame, chosen: DataFrame, prefix: DataFrame, percent:
     if sizes.filter("large").isEmpty():
         return materialise(small)
     large = materialise(join_hot(members, sizes.select("root", "g", "large"), "root", "g").filter("large").select("cls", "n"))
-    held = materialise(prefix.join(large.select("cls"), "cls", "left_semi"))
+    # one row a class, with its prefix as an array, so that the joins below go by class and not by class and n-gram
+    held = prefix.join(large.select("cls"), "cls", "left_semi").groupBy("cls")
+    held = materialise(held.agg(F.max(F.struct("m", "gram")).alias("common"), F.collect_list("gram").alias("grams")))
     # sizes of partners are at most one band apart
     width = float(np.log(100 / percent)) * (1 + 1e-6)
-    common = held.groupBy("cls").agg(F.max(F.struct("m", "gram")).alias("common"))
-    celled = materialise(large.join(common, "cls").withColumn("band", F.floor(F.log("n") / width)).withColumn("cell", F.xxhash64("common.gram", "band")).drop("common"))
+    celled = materialise(large.join(held.select("cls", "common"), "cls").withColumn("band", F.floor(F.log("n") / width)).withColumn("cell", F.xxhash64("common.gram", "band")).drop("common"))
     cells = materialise(celled.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("s")))
     parts = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("s") / block_grams))
     blocks = join_hot(celled, cells.select("cell", "c", parts.alias("parts"), (F.col("c") == 1).alias("alone")), "cell", "c")
     blocks = materialise(blocks.select("cls", "n", "band", "alone", F.xxhash64("cell", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block")))
     # blocks that share a prefix n-gram, of the same band or the next
-    shared = materialise(held.select("cls", "gram").join(blocks, "cls").select("gram", "band", "block", "alone").distinct())
+    shared = materialise(blocks.join(held.select("cls", "grams"), "cls").select(F.explode("grams").alias("gram"), "band", "block", "alone").distinct())
     other = shared.select("gram", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("block").alias("other"), F.col("band").alias("other_band"))
     meet = shared.join(other, ["gram", "band"]).filter("band != other_band OR block < other OR (block = other AND NOT alone)")
     pairs = materialise(meet.select("block", "other").distinct())
