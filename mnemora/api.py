@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph, mutations, retrieval
+from .operators import changes, graph, mutations, retrieval
 from .operators.embedding import Embedder
 from .plans import reports
 from .schemas import CATEGORIES
@@ -45,22 +46,26 @@ class MemoryStore:
         return found
 
     def find(self, term: str, limit: int = 20, as_of: Column | None = None) -> DataFrame:
-        """Chunks that hold a term; with `as_of` their access is tracked, in one commit."""
+        """Chunks that hold a term; with `as_of` their access is tracked: as many rows are appended as were found."""
         return self._tracked(reports.search_chunks(self.store.read("memory_chunks"), term, limit), as_of)
 
     def _tracked(self, hits: DataFrame, as_of: Column | None) -> DataFrame:
         if as_of is None:
             return hits
         hits = written(hits)
-        self.store.commit(replaced={"memory_chunks": mutations.touch(self.store.read("memory_chunks"), hits, as_of)})
+        self.store.commit(appended={"chunk_events": self._events(hits, changes.SEEN, as_of)})
         return hits
 
+    def _events(self, ids: DataFrame, kind: str, as_of: Column, **values) -> DataFrame:
+        return changes.events(ids, kind, as_of, uuid.uuid4().hex, **values)
+
     def preload(self, project: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
         """The chunks and contacts that a session starts with; an audit row says which they were."""
         chunks = self.store.read("memory_chunks")
         chosen, people = written(reports.context_preload(chunks, project)), written(reports.preload_contacts(chunks, project))
-        audit = reports.preload_audit(chosen, people, project, as_of).withColumn("id", F.lit(self.store.next_id("memory_reflections")))
-        self.store.commit(appended={"memory_reflections": audit})
+        new = self.store.next_id("memory_reflections")
+        audit = reports.preload_audit(chosen, people, project, as_of).withColumn("id", F.lit(new))
+        self.store.commit(appended={"memory_reflections": audit}, last_ids={"memory_reflections": new})
         return chosen, people
 
     def recall_entity(self, name: str, hops: int = 2, types: list[str] | None = None) -> DataFrame:
@@ -78,28 +83,39 @@ class MemoryStore:
         new = self.store.next_id("memory_chunks")
         row = self.store.spark.createDataFrame([(new, "manual", content, category, list(tags), min(1.0, max(0.0, confidence)), self.scope(project), "active", 0)], "id long, source_type string, content string, category string, tags array<string>, confidence double, project_name string, status string, access_count int")
         base = self.store.spark.createDataFrame([], self.store.read("memory_chunks").schema)
-        self.store.commit(appended={"memory_chunks": base.unionByName(mutations.validated(row).withColumn("created_at", as_of), allowMissingColumns=True)})
+        self.store.commit(appended={"memory_chunks": base.unionByName(mutations.validated(row).withColumn("created_at", as_of), allowMissingColumns=True)}, last_ids={"memory_chunks": new})
         return new
 
     def supersede(self, old: int, new: int, reason: str, as_of: Column) -> bool:
         """Mark a chunk as superseded; false if it is not there, the audit line is written in either case."""
-        chunks = self.store.read("memory_chunks")
-        there = not chunks.filter(F.col("id") == old).isEmpty()
-        self.store.commit(replaced={"memory_chunks": mutations.supersede(chunks, [old], new, as_of)} if there else {}, appended={"memory_reflections": self._audit("manual_supersede", "superseded" if there else "not_found", reason, [old, new], as_of)})
+        there = not self.store.read("memory_chunks").filter(F.col("id") == old).isEmpty()
+        audit, last = self._audit("manual_supersede", "superseded" if there else "not_found", reason, [old, new], as_of)
+        log = {"chunk_events": self._events(changes.of_ids(self.store.spark, [old]), changes.SUPERSEDED, as_of, superseded_by=new)} if there else {}
+        self.store.commit(appended={"memory_reflections": audit, **log}, last_ids=last)
         return there
 
+    def edit(self, chunk: int, as_of: Column, **values) -> bool:
+        """Set columns of a chunk; false if it is not there."""
+        if values.get("category") is not None and values["category"] not in CATEGORIES:
+            raise ValueError(f"unknown category {values['category']!r}")
+        if self.store.read("memory_chunks").filter(F.col("id") == chunk).isEmpty():
+            return False
+        own = {c: F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else F.lit(v) for c, v in values.items()}
+        self.store.commit(appended={"chunk_events": self._events(changes.of_ids(self.store.spark, [chunk]), changes.EDITED, as_of, **own)})
+        return True
+
     def forget(self, ids: Sequence[int], reason: str, as_of: Column) -> int:
         """Delete chunks with their vectors and the references to them, in one commit; returns how many there were."""
-        chunks = self.store.read("memory_chunks")
-        n = chunks.filter(F.col("id").isin(*ids)).count()
-        left, vectors = mutations.forget_chunks(chunks, self.store.read("embeddings"), ids)
-        self.store.commit(replaced={"memory_chunks": left, "embeddings": vectors}, appended={"memory_reflections": self._audit("forget", "deleted", reason, ids, as_of)})
+        n = self.store.read("memory_chunks").filter(F.col("id").isin(*ids)).count()
+        audit, last = self._audit("forget", "deleted", reason, ids, as_of)
+        self.store.commit(appended={"memory_reflections": audit, "chunk_events": self._events(changes.of_ids(self.store.spark, ids), changes.FORGOTTEN, as_of)}, last_ids=last)
         return n
 
     def forget_entity(self, entity: int, reason: str, as_of: Column) -> None:
         names = ("entities", "relationships", "entity_mentions")
         left = mutations.forget_entity(*(self.store.read(t) for t in names), entity)
-        self.store.commit(replaced=dict(zip(names, left)), appended={"memory_reflections": self._audit("forget_entity", "deleted", reason, [entity], as_of)})
+        audit, last = self._audit("forget_entity", "deleted", reason, [entity], as_of)
+        self.store.commit(replaced=dict(zip(names, left)), appended={"memory_reflections": audit}, last_ids=last)
 
     def recent_reflections(self, kinds: Sequence[str] = (), limit: int = 20) -> DataFrame:
         rows = self.store.read("memory_reflections")
@@ -108,10 +124,12 @@ class MemoryStore:
     def projects(self) -> DataFrame:
         return reports.distinct_values(self.store.read("memory_chunks"), "project_name")
 
-    def _audit(self, kind: str, action: str, reason: str, ids: Sequence[int], as_of: Column) -> DataFrame:
-        one = self.store.spark.createDataFrame([(self.store.next_id("memory_reflections"), reason, list(ids))], "id long, reason string, ids array<long>")
+    def _audit(self, kind: str, action: str, reason: str, ids: Sequence[int], as_of: Column) -> tuple[DataFrame, dict[str, int]]:
+        """An audit row, and the id that it takes."""
+        new = self.store.next_id("memory_reflections")
+        one = self.store.spark.createDataFrame([(new, reason, list(ids))], "id long, reason string, ids array<long>")
         rows = mutations.log_reflection(kind, action, F.col("reason"), F.col("ids"), F.lit(1.0), as_of, one)
-        return one.select("id").crossJoin(rows)  # one row each
+        return one.select("id").crossJoin(rows), {"memory_reflections": new}  # one row each
 
 
 def console(spark: SparkSession, statement: str, tables: dict[str, DataFrame]) -> DataFrame:

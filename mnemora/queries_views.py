@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .adapters import AS_OF, sql
 from .functions import text as tx
+from .operators import changes
 from .operators import evaluation as ev
 from .operators import graph as g
 from .operators import knn_join as knn
 from .operators import mutations as mu
 from .operators import retrieval as rt
+from .operators import trigram_index as ti
 from .operators.vector_index import VectorIndex, recall, search_many
 from .plans import reports as rp
 from .queries import ACT, NOW, PRELOADED, VECTOR, VECTOR_SQL, as_of
-from .registry import query, table_query
+from .registry import SQL, query, table_query
 from .shared import shared_dir
 
 PRELOAD = "src5"
@@ -216,3 +220,36 @@ def _(m):
     questions = questions.join(_asked(m).select(F.col("q").alias("id")), "id", "left_semi")
     results = ev.evaluate(questions, _asked(m), (m.embeddings, m.chunks, m.messages, m.conversations), lambda prompts: list(prompts))
     return results.select("id", F.size("retrieved").alias("retrieved"), F.try_element_at("retrieved", F.lit(1)).alias("first_id"), "match")
+
+
+@query("trigram_index_topk", SQL["trigram_topk"])
+def _(m):
+    """As `trigram_topk`, by postings of trigrams."""
+    index = ti.TrigramIndex(m.spark, f"{shared_dir(m.spark)}/index-{uuid.uuid4().hex}", "p_name", "p_partkey").build(m.read("part"))
+    return ti.trigram_search(m.read("part"), index, "cold widgets")
+
+
+@query("chunk_index_search", SQL["search_chunks"])
+def _(m):
+    """As `search_chunks`, texts by postings of trigrams."""
+    index = ti.TrigramIndex(m.spark, f"{shared_dir(m.spark)}/index-{uuid.uuid4().hex}", "content").build(m.chunks)
+    return ti.search_chunks(m.chunks, index, "src3")
+
+
+_HIT = f"SELECT id FROM chunks WHERE (content ILIKE '%src3%' OR list_contains(tags, 'src3') OR project_name ILIKE '%src3%') AND {ACT} ORDER BY confidence DESC NULLS FIRST, created_at DESC NULLS FIRST, id LIMIT 20"
+
+
+@query("changes_folded", sql("chunks", f"""WITH hit AS ({_HIT}), t AS (SELECT id, CASE WHEN id IN (5, 9) THEN 'superseded' WHEN id = 7 THEN 'stale' ELSE status END AS status, CASE WHEN id IN (5, 9) THEN 11 ELSE superseded_by END AS ref,
+    (access_count + CASE WHEN id IN (SELECT id FROM hit) THEN 2 ELSE 0 END)::INT AS access_count, CASE WHEN id IN (SELECT id FROM hit) THEN {NOW} + INTERVAL 1 DAY ELSE last_accessed END AS last_accessed, CASE WHEN id = 7 THEN 'later' ELSE project_name END AS project_name FROM chunks)
+    SELECT id, status, CASE WHEN ref IN (4, 8, 15) THEN NULL ELSE ref END AS superseded_by, access_count, last_accessed, project_name FROM t WHERE id NOT IN (4, 8, 15)"""))
+def _(m):
+    """Two tracked searches, one of them logged twice, a superseding, edits and a forgetting, folded into the table."""
+    hits, of = rp.search_chunks(m.chunks, "src3"), lambda *ids: changes.of_ids(m.spark, ids)
+    tomorrow = as_of() + F.expr("INTERVAL 1 DAY")
+    log = [
+        changes.events(hits, changes.SEEN, as_of(), "a"), changes.events(hits, changes.SEEN, tomorrow, "b"), changes.events(hits, changes.SEEN, as_of(), "a"),
+        changes.events(of(5, 9), changes.SUPERSEDED, as_of(), "c", superseded_by=11), changes.events(of(4, 8, 15), changes.FORGOTTEN, as_of(), "d"),
+        changes.events(of(7), changes.EDITED, tomorrow, "e", project_name=F.lit("later"), status=F.lit("stale")), changes.events(of(7), changes.EDITED, as_of(), "f", project_name=F.lit("sooner")),
+    ]
+    every = functools.reduce(DataFrame.unionByName, log)
+    return changes.folded(m.chunks, every).select("id", "status", "superseded_by", "access_count", "last_accessed", "project_name")

@@ -27,12 +27,13 @@ INGESTION_LOG = "id long, file_path string, file_hash string, ingested_at timest
 SKILLS = "id long, name string, version string, description string, path string, triggers array<string>, last_used timestamp, use_count int, config string, created_at timestamp, updated_at timestamp, file_created timestamp, file_modified timestamp"
 PROMPTS = "id long, name string, category string, content string, variables array<string>, source_path string, usage_count int, tags array<string>, created_at timestamp, updated_at timestamp"
 PROJECTS = "id long, name string, description string, contacts array<struct<name:string,role:string>>, decisions array<struct<title:string,date:string>>, status string, created_at timestamp, updated_at timestamp"
+CHUNK_EVENTS = "event string, kind string, id long, at timestamp, place int, superseded_by long, content string, category string, tags array<string>, confidence decimal(3,2), project_name string, status string, expires_at timestamp"
 MIGRATIONS = "migration_name string, applied_at timestamp"
 
 TABLES = {
     "conversations": CONVERSATIONS, "messages": MESSAGES, "memory_chunks": CHUNKS, "embeddings": EMBEDDINGS, "entities": ENTITIES,
     "relationships": RELATIONSHIPS, "entity_mentions": MENTIONS, "memory_reflections": REFLECTIONS, "ingestion_log": INGESTION_LOG,
-    "skills": SKILLS, "prompts": PROMPTS, "projects": PROJECTS, "applied_migrations": MIGRATIONS,
+    "skills": SKILLS, "prompts": PROMPTS, "projects": PROJECTS, "applied_migrations": MIGRATIONS, "chunk_events": CHUNK_EVENTS,
 }
 
 

@@ -1,8 +1,11 @@
 """Versioned Parquet tables: each commit writes new folders and then one manifest, which readers go by.
 
-One writer at a time; the manifest is written last and under a new number, so a failed commit leaves no trace in
-reads. Files are written by Spark; the manifest is one small row of JSON, itself a Spark text file, so that any
-file system of the cluster will do.
+The manifest is written last and under a new number, so a failed commit leaves no trace in reads. A commit that only
+appends goes onto the newest manifest, also where another writer has committed meanwhile; one that replaces tables or
+gives ids is refused then. Files are written by Spark; the manifest is one small row of JSON, itself a Spark text file,
+so that any file system of the cluster will do.
+
+Chunks and vectors are read as their changes (`operators.changes`) leave them; `fold` writes them out so.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import changes
 from ..schemas import TABLES
 
 #: Names of backups, which sort by time.
@@ -41,23 +45,41 @@ class Store:
         n, _ = self._manifests()
         return json.loads(self.spark.read.text(f"{self.root}/manifests/{n}").first()[0]) if n else {"tables": {}, "migrations": []}
 
+    def _raw(self, names, now: dict) -> dict[str, DataFrame]:
+        return {n: self.spark.read.parquet(*(f"{self.root}/{f}" for f in now[n])) if now.get(n) else self.spark.createDataFrame([], TABLES[n]) for n in names}
+
     def tables(self, *names: str) -> dict[str, DataFrame]:
         """Tables as of the last commit; empty ones with their schema before their first."""
         now = self._manifest()["tables"]
-        return {n: self.spark.read.parquet(*(f"{self.root}/{f}" for f in now[n])) if now.get(n) else self.spark.createDataFrame([], TABLES[n]) for n in names}
+        out = self._raw(names, now)
+        if now.get("chunk_events"):
+            log = self._raw(["chunk_events"], now)["chunk_events"]
+            out |= {n: fold(out[n], log) for n, fold in (("memory_chunks", changes.folded), ("embeddings", changes.folded_vectors)) if n in out}
+        return out
 
     def read(self, name: str) -> DataFrame:
         return self.tables(name)[name]
 
-    def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, migrations: list[str] | None = None) -> int:
-        """Write all tables, then the manifest that names them: all or nothing. Returns its number."""
-        now = self._manifest()
-        tables = dict(now["tables"])
-        work = [(name, df, []) for name, df in (replaced or {}).items()] + [(name, df, tables.get(name, [])) for name, df in (appended or {}).items()]
+    def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, migrations: list[str] | None = None, last_ids: dict[str, int] | None = None) -> int:
+        """Write all tables, then the manifest that names them: all or nothing. Returns its number.
+
+        `last_ids` are the largest ids that were given (`next_id`). Where chunks are replaced, their changes are in them.
+        """
+        base, now, replaced = self._manifests()[0], self._manifest(), dict(replaced or {})
+        folds = "memory_chunks" in replaced and bool(now["tables"].get("chunk_events"))
+        if folds and "embeddings" not in replaced:
+            replaced["embeddings"] = self.read("embeddings")
+        work = [*((name, df, True) for name, df in replaced.items()), *((name, df, False) for name, df in (appended or {}).items())]
         with ThreadPoolExecutor(max(1, len(work))) as pool:  # the jobs of several tables run side by side
-            for (name, _, before), folder in zip(work, pool.map(lambda w: self._write(*w[:2]), work)):
-                tables[name] = [*before, folder]
-        new = json.dumps({"tables": tables, "migrations": [*now["migrations"], *(migrations or [])]})
+            folders = list(pool.map(lambda w: self._write(*w[:2]), work))
+        if self._manifests()[0] != base:
+            if replaced or migrations or last_ids:
+                raise RuntimeError("another writer has committed since this commit began")
+            now = self._manifest()
+        tables = dict(now["tables"]) | ({"chunk_events": []} if folds else {})
+        for (name, _, whole), folder in zip(work, folders):
+            tables[name] = [*([] if whole else tables.get(name, [])), folder]
+        new = json.dumps({"tables": tables, "migrations": [*now["migrations"], *(migrations or [])], "last_ids": now.get("last_ids", {}) | (last_ids or {})})
         n = self._manifests()[1] + 1  # the folder of a commit that failed half-way is never written again
         self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.text(f"{self.root}/manifests/{n}")
         return n
@@ -68,7 +90,15 @@ class Store:
         return folder
 
     def next_id(self, name: str) -> int:
-        return (self.read(name).agg(F.max("id")).first()[0] or 0) + 1
+        """The id after the last that the manifest says was given; where it says nothing, after the largest of the table."""
+        now = self._manifest()
+        last = now.get("last_ids", {}).get(name)
+        return (last if last is not None else self._raw([name], now["tables"])[name].agg(F.max("id")).first()[0] or 0) + 1
+
+    def fold(self) -> int:
+        """Write chunks and vectors as their changes leave them; the log of changes begins anew."""
+        tables = self.tables("memory_chunks", "embeddings")
+        return self.commit(replaced=tables)
 
     def backup(self, target: str, at: datetime, keep_days: int = 30) -> str:
         """Copy all tables to a folder named by the time, then delete backups there that are older; returns the folder."""
