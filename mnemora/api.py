@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import ParseException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import changes, graph, mutations, retrieval
@@ -74,6 +74,18 @@ class MemoryStore:
             raise LookupError(name)
         return graph.recall(self.store.read("relationships"), seed.id, hops, types)
 
+    def recall(self, name: str, hops: int = 1, project: str | None = None, types: list[str] | None = None) -> tuple[Row | None, DataFrame | None, DataFrame | None]:
+        """The entity of a name, preferably of the project, what lies within some hops of it, and its latest mentions; nothing if there is none."""
+        entities = self.store.read("entities")
+        seed = graph.seed_of(entities, name, self.scope(project)).first()
+        if seed is None:
+            return None, None, None
+        return seed, graph.recalled(entities, self.store.read("relationships"), seed.id, hops, types), graph.latest_mentions(self.store.read("entity_mentions"), seed.id)
+
+    def preload_summary(self) -> Row | None:
+        """What the latest session started with."""
+        return reports.preload_summary(self.store.read("memory_reflections")).first()
+
     def write(self, content: str, category: str, as_of: Column, project: str | None = None, confidence: float = 0.8, tags: Sequence[str] = ()) -> int:
         """Append a chunk; returns its id."""
         if category not in CATEGORIES:

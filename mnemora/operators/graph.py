@@ -11,6 +11,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.json import canonical as canonical_json
 from ..shared import written as cut
 
 MOST_HOPS, DEEPEST = 3, 6
@@ -81,6 +82,29 @@ def recall(relationships: DataFrame, start: int, hops: int = 2, types: list[str]
     return functools.reduce(DataFrame.unionByName, out)
 
 
+def seed_of(entities: DataFrame, name: str, project: str | None = None) -> DataFrame:
+    """The entity that a name stands for: of those it resolves to one of the project if there is one, else the first."""
+    found = resolve(entities, name).join(entities.select("id", "project_name"), "id")
+    own = [F.desc_nulls_last(F.col("project_name") == project)] if project else []
+    return found.orderBy(*own, F.desc_nulls_first("mention_count"), "id").limit(1)
+
+
+def recalled(entities: DataFrame, relationships: DataFrame, start: int, hops: int = 1, types: list[str] | None = None) -> DataFrame:
+    """The edges of `recall` with the entity that each reaches, its direction and confidence."""
+    steps = recall(relationships, start, hops, types)
+    depth = steps.select(F.col("from_entity").alias("id"), "hop").unionByName(steps.select(F.col("to_entity").alias("id"), "hop")).groupBy("id").agg(F.min("hop").alias("first")).withColumn("first", F.when(F.col("id") == start, 0).otherwise(F.col("first")))
+    # an edge of a hop reaches the end that no earlier hop has
+    ends = steps.join(depth.withColumnsRenamed({"id": "to_entity", "first": "to_first"}), "to_entity").withColumn("out", F.col("to_first") == F.col("hop"))
+    ends = ends.select("hop", "from_entity", "to_entity", "relation_type", F.when(F.col("out"), F.col("to_entity")).otherwise(F.col("from_entity")).alias("id"), F.when(F.col("out"), "outgoing").otherwise("incoming").alias("direction"))
+    sure = relationships.groupBy("from_entity", "to_entity", "relation_type").agg(F.max("confidence").alias("confidence"))
+    named = entities.select("id", "name", "entity_type", "project_name", "mention_count")
+    return ends.distinct().join(sure, ["from_entity", "to_entity", "relation_type"]).join(named, "id").select("hop", "direction", "relation_type", "confidence", "id", "name", "entity_type", "project_name", "mention_count")
+
+
+def latest_mentions(mentions: DataFrame, entity: int, limit: int = 20) -> DataFrame:
+    return mentions.filter(F.col("entity_id") == entity).orderBy(F.desc_nulls_first("created_at"), F.desc("id")).limit(limit).select("source_type", "source_id", "context_snippet", "created_at")
+
+
 def degrees(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     """Relations of each entity; a relation of an entity to itself counts once."""
     ends = relationships.select(F.explode(F.array_distinct(F.array("from_entity", "to_entity"))).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
@@ -93,9 +117,8 @@ def contradictions(relationships: DataFrame) -> DataFrame:
 
 
 def attribute_conflicts(relationships: DataFrame) -> DataFrame:
-    """Relations of one kind between the same two entities whose attributes (a JSON text) differ."""
-    plain = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json("attributes", "map<string,string>")))))
-    rows = relationships.withColumn("plain", plain).filter("plain != '{}'")
+    """Relations of one kind between the same two entities whose attributes (a JSON text) differ, however deep."""
+    rows = relationships.withColumn("plain", canonical_json("attributes")).filter("plain != '{}'")
     return rows.groupBy("from_entity", "to_entity", "relation_type").agg(F.countDistinct("plain").alias("n")).filter("n > 1")
 
 

@@ -409,6 +409,12 @@ def preload_audit(chosen: DataFrame, contacts_: DataFrame, project: str, as_of:
     return row.filter("n + m > 0").select(F.lit("preload").alias("reflection_type"), "affected_chunks", F.lit("session_start").alias("action_taken"), reason.alias("reasoning"), F.lit(1.0).cast("decimal(3,2)").alias("confidence"), as_of.alias("created_at"))
 
 
+def preload_summary(reflections: DataFrame) -> DataFrame:
+    """The audit row of the latest preload; no row if there was none."""
+    last = reflections.filter("reflection_type = 'preload'").orderBy(F.desc_nulls_last("created_at"), F.desc("id")).limit(1)
+    return last.select("id", "reflection_type", "affected_chunks", "action_taken", "reasoning", "confidence", "created_at")
+
+
 def eval_recall(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Share of questions of whose expected substrings one stands in an answer, in any case.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .adapters import AS_OF, sql
+from .functions import json as js
 from .functions import text as tx
 from .operators import changes
 from .operators import evaluation as ev
@@ -20,6 +21,7 @@ from .operators import trigram_index as ti
 from .operators.vector_index import VectorIndex, recall, search_many
 from .plans import reports as rp
 from .queries import ACT, NOW, PRELOADED, VECTOR, VECTOR_SQL, as_of
+from .queries import _WALK
 from .registry import SQL, query, table_query
 from .shared import shared_dir
 
@@ -253,3 +255,21 @@ def _(m):
     ]
     every = functools.reduce(DataFrame.unionByName, log)
     return changes.folded(m.chunks, every).select("id", "status", "superseded_by", "access_count", "last_accessed", "project_name")
+
+
+@query("recall_neighbours", sql("entities relationships", _WALK.format(2) + """, reached AS (SELECT DISTINCT b.depth::INT AS hop, CASE WHEN b.node = to_entity THEN 'outgoing' ELSE 'incoming' END AS direction, from_entity, to_entity, relation_type, b.node AS id FROM relationships r JOIN d a ON a.node IN (r.from_entity, r.to_entity) JOIN d b ON b.node = CASE WHEN a.node = r.from_entity THEN r.to_entity ELSE r.from_entity END WHERE b.depth = a.depth + 1)
+    SELECT hop, direction, relation_type, confidence, id, name, entity_type, project_name, mention_count FROM reached JOIN (SELECT from_entity, to_entity, relation_type, max(confidence) AS confidence FROM relationships GROUP BY ALL) USING (from_entity, to_entity, relation_type) JOIN entities USING (id)"""))
+def _(m):
+    return g.recalled(m.entities, m.relationships, 1003, 2)
+
+
+@query("latest_mentions", sql("mentions", "SELECT source_type, source_id, context_snippet, created_at FROM mentions WHERE entity_id = (SELECT min(entity_id) FROM mentions) ORDER BY created_at DESC, id DESC LIMIT 20"))
+def _(m):
+    return g.latest_mentions(m.mentions, m.mentions.agg(F.min("entity_id")).first()[0])
+
+
+@query("json_contains", """SELECT event_type, json_contains(j, '{"a":{"type":"' || 'click' || '"}}') AS nested, json_contains(j, '{"b":[2]}') AS listed, count(*) AS n FROM (SELECT event_type, '{"b":[1,' || (event_id % 3) || '],"a":{"type":"' || event_type || '","k":' || (event_id % 2) || '}}' AS j FROM events) GROUP BY ALL""")
+def _(m):
+    made = F.concat(F.lit('{"b":[1,'), (F.col("event_id") % 3).cast("string"), F.lit('],"a":{"type":"'), "event_type", F.lit('","k":'), (F.col("event_id") % 2).cast("string"), F.lit("}}"))
+    rows = m.read("events").select("event_type", made.alias("j"))
+    return rows.select("event_type", js.contains("j", {"a": {"type": "click"}}).alias("nested"), js.contains("j", {"b": [2]}).alias("listed")).groupBy("event_type", "nested", "listed").agg(F.count("*").alias("n"))

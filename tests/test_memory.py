@@ -238,3 +238,22 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert "|  3|" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main([*root, "add", "nonsense", "x"])
+
+
+def test_recall_with_project_types_and_mentions(spark, tmp_path, as_of):
+    store = Store(spark, str(tmp_path / "store"))
+    entity = lambda i, name, project, n: (i, "person", name, name.lower(), None, None, None, n, project, None, None)
+    store.commit(appended={
+        "entities": spark.createDataFrame([entity(1, "Ada", "p", 1), entity(2, "Ada", "q", 9), entity(3, "Bo", None, 2), entity(4, "Cy", "p", 3)], TABLES["entities"]),
+        "relationships": spark.createDataFrame([(k, a, b, t, None, None, None, None, None, None, None) for k, (a, b, t) in enumerate([(1, 3, "uses"), (4, 3, "uses"), (4, 1, "blocks"), (2, 3, "uses")])], TABLES["relationships"]),
+        "entity_mentions": spark.createDataFrame([(k, 1, "conversation", k, f"m{k}", datetime(2024, 1, 1 + k % 25, k // 25)) for k in range(30)], TABLES["entity_mentions"]),
+    })
+    memory = MemoryStore(store)
+    assert memory.recall("ada")[0].id == 2 and memory.recall("ada", project="p")[0].id == 1 and memory.recall("ada", project="z")[0].id == 2 and memory.recall("nobody") == (None, None, None)
+    seed, near, mentions = memory.recall("ada", 2, "p", ["uses"])
+    assert sorted((r.hop, r.direction, r.relation_type, r.name) for r in near.collect()) == [(1, "outgoing", "uses", "Bo"), (2, "incoming", "uses", "Ada"), (2, "incoming", "uses", "Cy")]
+    assert [r.source_id for r in mentions.collect()][:2] == [24, 23] and mentions.count() == 20
+    assert memory.preload_summary() is None
+    memory.write("use parquet", "decision", as_of, project="p")
+    memory.preload("p", as_of)
+    assert memory.preload_summary().affected_chunks == [1] and memory.preload_summary().action_taken == "session_start"
