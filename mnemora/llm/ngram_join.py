@@ -264,7 +264,8 @@ def _components(df: DataFrame, doc: str, text: str, n: int, percent: int, block:
     # the products
     placed = placements(groups, chosen, starred, percent, block, block_grams)
     bins = max(1, -(-(placed.agg(F.sum("n")).first()[0] or 0) * 2 // block_grams))
-    tiles = placed.drop("n").join(chosen.select("cls", "copies"), "cls").join(sets, "cls").withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(bins)))
+    # sets and copies meet by class, before a class is placed in several tiles
+    tiles = placed.drop("n").join(sets.join(chosen.select("cls", "copies"), "cls"), "cls").withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(bins)))
     done = materialise(tiles.groupBy("bin").applyInArrow(lambda t: _tiles(t, percent), "a long, b long, links long"))
     linked_to = done.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     roots = components(done.filter("a != b").select("a", "b")).withColumnRenamed("node", "cls")
