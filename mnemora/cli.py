@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+from datetime import datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .api import MemoryStore, console
 from .plans import reports
-from .schemas import CATEGORIES, TABLES
+from .schemas import CATEGORIES, TABLES, active
 from .sources import sinks
 from .sources.store import Store
 from .streaming.ingest import ingest_stream
@@ -21,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name, arguments in {
         "ingest": ["folder"], "search": ["term"], "add": ["category", "content"], "forget": ["ids"], "stats": [], "coverage": [],
-        "recall": ["entity"], "preload": ["project"], "sql": ["statement"], "export": ["table", "path"], "reflections": [], "decisions": ["project"],
+        "recall": ["entity"], "preload": ["project"], "sql": ["statement"], "export": ["table", "path"], "reflections": [], "decisions": ["project"], "project": ["project"], "contact": ["name"], "fold": [], "backup": ["folder"], "edit": ["id", "content"],
     }.items():
         c = sub.add_parser(name)
         for a in arguments:
@@ -50,7 +51,10 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "coverage":
         reports.coverage_by_project(chunks).show(100)
     elif a.command == "recall":
-        memory.recall_entity(a.entity).show(100)
+        seed, near, mentions = memory.recall(a.entity, 2)
+        if seed:
+            near.show(100)
+            mentions.show(20, truncate=80)
     elif a.command == "preload":
         chosen = reports.context_preload(chunks, a.project).select("id")
         print(sinks.context_markdown(chunks.join(chosen, "id"), a.project))
@@ -60,6 +64,16 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_csv(store.read(a.table), a.path)
     elif a.command == "reflections":
         memory.recent_reflections().show(truncate=80)
+    elif a.command == "project":
+        reports.by_project(chunks.filter(active()), a.project).join(chunks.select("id", "content"), "id").show(100, truncate=80)
+    elif a.command == "contact":
+        reports.contact_notes(chunks, a.name).show(100, truncate=80)
+    elif a.command == "fold":
+        print(store.fold())
+    elif a.command == "backup":
+        print(store.backup(a.folder, datetime.now()))
+    elif a.command == "edit":
+        print(memory.edit(int(a.id), now, content=a.content))
     elif a.command == "decisions":
         reports.decisions_for_project(chunks, store.read("conversations"), a.project).show(100)
     return 0

@@ -16,12 +16,13 @@ from .operators import evaluation as ev
 from .operators import graph as g
 from .operators import knn_join as knn
 from .operators import mutations as mu
+from .operators import paths as ps
 from .operators import retrieval as rt
 from .operators import trigram_index as ti
 from .operators.vector_index import VectorIndex, recall, search_many
 from .plans import reports as rp
 from .queries import ACT, NOW, PRELOADED, VECTOR, VECTOR_SQL, as_of
-from .queries import _WALK
+from .queries import _SHORTEST, _WALK
 from .registry import SQL, query, table_query
 from .shared import shared_dir
 
@@ -273,3 +274,18 @@ def _(m):
     made = F.concat(F.lit('{"b":[1,'), (F.col("event_id") % 3).cast("string"), F.lit('],"a":{"type":"'), "event_type", F.lit('","k":'), (F.col("event_id") % 2).cast("string"), F.lit("}}"))
     rows = m.read("events").select("event_type", made.alias("j"))
     return rows.select("event_type", js.contains("j", {"a": {"type": "click"}}).alias("nested"), js.contains("j", {"b": [2]}).alias("listed")).groupBy("event_type", "nested", "listed").agg(F.count("*").alias("n"))
+
+
+_PAIRS = ((103, 118), (103, 103), (1003, 1005), (1, 1004))
+
+
+def _path_sql(start: int, end: int) -> str:
+    one = _SHORTEST.replace("103::", f"{start}::").replace("118::", f"{end}::").replace("node = 118", f"node = {end}")
+    return f'SELECT {start}::BIGINT AS start, {end}::BIGINT AS "end", * FROM ({one})'
+
+
+@query("graph_paths", sql("relationships", " UNION ALL ".join(_path_sql(a, b) for a, b in _PAIRS)))
+def _(m):
+    """Several pairs at once, from both ends, over the adjacency table of all relations."""
+    pairs = m.spark.createDataFrame(list(_PAIRS), "start long, end long")
+    return ps.shortest_paths(pairs, ps.Adjacency.build(m.relationships)).withColumn("path", F.array_join("path", ">"))

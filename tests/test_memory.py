@@ -232,7 +232,7 @@ def test_command_line(spark, folder, tmp_path, capsys):
     root = ["--root", str(tmp_path / "cli")]
     assert cli.main([*root, "add", "decision", "use parquet"]) == 0
     assert cli.main([*root, "ingest", str(folder / "projects")]) == 0
-    for command in (["search", "parquet"], ["stats"], ["sql", "SELECT count(*) AS n FROM messages"], ["forget", "1"], ["reflections"]):
+    for command in (["search", "parquet"], ["stats"], ["sql", "SELECT count(*) AS n FROM messages"], ["recall", "nobody"], ["edit", "1", "use parquet only"], ["contact", "x"], ["project", "x"], ["forget", "1"], ["fold"], ["backup", str(tmp_path / "backups")], ["reflections"]):
         assert cli.main([*root, *command]) == 0
     assert "use parquet" not in cli.sinks.context_markdown(Store(spark, root[1]).read("memory_chunks"), "p")
     assert "|  3|" in capsys.readouterr().out
