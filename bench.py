@@ -20,6 +20,7 @@ HEADLINE = [
     "transcript_build", "preview_build", "redact_text", "knn_search", "knn_project_scoped", "similar_to_source", "trigram_topk",
     "graph_neighbors", "graph_distances", "graph_khop", "graph_degree", "graph_timeline", "entity_upsert_merge", "dedup_pairs", "tag_clusters",
     "forget_cascade", "upsert_latest_wins", "new_files", "exact_dup_hash", "calendar_union", "search_memory", "entity_upsert_attributes",
+    "knn_join", "changes_folded", "graph_paths",
 ]
 SMALL = "/root/testdata/sf0.001"
 
