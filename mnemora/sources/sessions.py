@@ -86,11 +86,15 @@ def parse_skills(files: DataFrame) -> DataFrame:
     return rows.withColumn("triggers", tx.triggers("description"))
 
 
-def parse_prompts(files: DataFrame, least: int = 20, deepest: int | None = None) -> DataFrame:
-    """Prompt files with their variables; `deepest` bounds the folders below the root."""
+def parse_prompts(files: DataFrame, least: int = 20, deepest: int | None = None, root: str = "") -> DataFrame:
+    """Prompt files with their variables; `deepest` bounds the levels below `root` (a file in it is at level 1).
+
+    `walk.read_named` reads files of a name without entering what is pruned or too deep.
+    """
     rows = files.select("path", F.decode("content", "UTF-8").alias("content")).filter(F.length(tx.strip("content")) >= least)
     if deepest is not None:
-        rows = rows.filter(F.size(F.split("path", "/")) <= deepest)
+        plain = lambda c: F.rtrim(F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("/"))  # noqa: E731  without scheme and host
+        rows = rows.filter(F.size(F.split(plain(F.col("path")), "/")) - F.size(F.split(plain(F.lit(root)), "/")) <= deepest)
     return rows.select("path", "content", tx.template_variables("content").alias("variables"), project_of("path").alias("project"))
 
 
