@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of the vectors of one block of queries, of one part of the stored vectors, and cells of one matrix product.
-QUERY_BYTES, STORED_BYTES, CELLS = 32_000_000, 64_000_000, 4_000_000
+QUERY_BYTES, STORED_BYTES, CELLS = 32_000_000, 64_000_000, 2_000_000
 
 
 def _unit(vectors: pa.Array, places: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -43,21 +43,22 @@ class Queries:
     """One block of queries: their ids, projects, and unit vectors by length."""
 
     def __init__(self, table: pa.Table):
-        self.ids, self.projects = table.column("q").combine_chunks(), table.column("project").to_pylist()
+        self.ids, self.projects = table.column("q").combine_chunks(), np.array(table.column("project").to_pylist(), object)
         self.vectors = {m.shape[1]: (rows, m) for rows, m in _unit(table.column("embedding"), 7)}  # like their stored form
 
 
-def _nearest_rows(distances: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the `limit` smallest of each column, ties by row; infinite ones are left out."""
+def _nearest_rows(distances: np.ndarray, limit: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and columns of the `limit` smallest of each column, ties by row; infinite ones are left out, and those beyond
+    what is `known` to bound a column. Third, the bounds that follow for other rows."""
     k = min(limit, len(distances))
-    bound = np.partition(distances, k - 1, axis=0)[k - 1]
+    bound = np.minimum(np.partition(distances, k - 1, axis=0)[k - 1] if k == limit else np.inf, known)
     near = (distances <= bound) & np.isfinite(distances)
     for c in np.flatnonzero(near.sum(axis=0) > k):  # ties at the bound
         first = np.flatnonzero(near[:, c])
         first = first[np.argsort(distances[first, c], kind="stable")[:k]]
         near[:, c] = False
         near[first, c] = True
-    return np.nonzero(near)
+    return *np.nonzero(near), bound
 
 
 def _shortened(table: pa.Table, limit: int, order: Sequence[str]) -> pa.Table:
@@ -69,31 +70,61 @@ def _shortened(table: pa.Table, limit: int, order: Sequence[str]) -> pa.Table:
     return table.filter(pa.array(place < limit))
 
 
-def _scored(queries: Queries, stored: pa.Table, limit: int, order: Sequence[str]) -> pa.Table:
-    """The nearest rows of `stored` for each query: its columns but the vector, `at` (the query's place), `distance`."""
+def _scored(queries: Queries, stored: pa.Table, limit: int, order: Sequence[str], known: np.ndarray | None = None, only: np.ndarray | None = None) -> pa.Table:
+    """The nearest rows of `stored` for each query: its columns but the vector, `at` (the query's place), `distance`.
+
+    `known` has by query a distance that `limit` rows are within; it is kept up to date, and rows beyond it are left out.
+    `only` tells by query whether it asks at all.
+    """
     stored = stored.sort_by([(o, "ascending") for o in order])
     carried = stored.drop_columns(["embedding"])
-    own = carried.column("project_name").to_pylist() if "project_name" in carried.column_names else None
+    known = np.full(len(queries.ids), np.inf) if known is None else known
+    if "project_name" in carried.column_names:
+        own, wanted, asks = np.array(carried.column("project_name").to_pylist(), object), queries.projects, np.not_equal(queries.projects, None).astype(bool)
+        number = {p: k for k, p in enumerate({*wanted[asks]})}
+        own, wanted = (np.array([number.get(p, -1) for p in x], np.int64) for x in (own, wanted))
+    else:
+        own = None
     parts = []
     for rows, m in _unit(stored.column("embedding")):
         if m.shape[1] not in queries.vectors or not len(rows):
             continue
         places, q = queries.vectors[m.shape[1]]
+        if only is not None:
+            places, q = places[only[places]], q[only[places]]
         step = max(1, CELLS // len(rows))
         for k in range(0, len(places), step):
             at = places[k : k + step]
             far = np.round(1 - m @ q[k : k + step].T, 12)
-            if own is not None:
-                for c, p in enumerate(at):
-                    if queries.projects[p] is not None:
-                        far[np.array([own[r] != queries.projects[p] for r in rows]), c] = np.inf
-            r, c = _nearest_rows(far, limit)
+            if own is not None and asks[at].any():
+                some = np.flatnonzero(asks[at])
+                far[:, some] = np.where(own[rows][:, None] == wanted[at[some]], far[:, some], np.inf)
+            r, c, known[at] = _nearest_rows(far, limit, known[at])
             parts.append(carried.take(pa.array(rows[r])).append_column("at", pa.array(at[c], pa.int64())).append_column("distance", pa.array(far[r, c], pa.float64())))
     if not parts:
         return carried.slice(0, 0).append_column("at", pa.array([], pa.int64())).append_column("distance", pa.array([], pa.float64()))
     return pa.concat_tables(parts)
 
 
+class Nearest:
+    """What one task has found of a block of queries: at most a few times `limit` rows a query."""
+
+    def __init__(self, queries: Queries, limit: int, order: Sequence[str]):
+        self.queries, self.limit, self.order = queries, limit, order
+        self.known, self.kept, self.held = np.full(len(queries.ids), np.inf), None, 0
+
+    def add(self, stored: pa.Table, only: np.ndarray | None = None) -> None:
+        found = _scored(self.queries, stored, self.limit, self.order, self.known, only)
+        self.kept = found if self.kept is None else pa.concat_tables([self.kept, found])
+        if len(self.kept) > 4 * self.held + 100_000:
+            self.kept = _shortened(self.kept, self.limit, self.order).combine_chunks()
+            self.held = len(self.kept)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.kept is not None and len(self.kept):
+            yield from _with_ids(_shortened(self.kept, self.limit, self.order), self.queries).to_batches(max_chunksize=10_000)
+
+
 def _with_ids(table: pa.Table, queries: Queries) -> pa.Table:
     return table.append_column("q", queries.ids.take(table.column("at").combine_chunks())).drop_columns(["at"])
 
@@ -115,15 +146,10 @@ def knn_join(queries: DataFrame, stored: DataFrame, limit: int = 10, order: Sequ
         block = queries.sparkSession.sparkContext.broadcast(queries.toArrow())  # its size has just been checked
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine, kept, held = Queries(block.value), None, 0
+            near = Nearest(Queries(block.value), limit, order)
             for batch in batches:
-                found = _scored(mine, pa.Table.from_batches([batch]), limit, order)
-                kept = found if kept is None else pa.concat_tables([kept, found])
-                if len(kept) > 4 * held + 100_000:
-                    kept = _shortened(kept, limit, order)
-                    held = len(kept)
-            if kept is not None and len(kept):
-                yield from _with_ids(_shortened(kept, limit, order), mine).to_batches()
+                near.add(pa.Table.from_batches([batch]))
+            yield from near.batches()
 
         near = stored.mapInArrow(run, kinds)
     else:
@@ -154,3 +180,12 @@ def nearest_many(questions: DataFrame, sources: DataFrame, limit: int = 10, **si
         return found
     scopes = questions.select("q", "scope").filter("scope IS NOT NULL").dropDuplicates(["q"])
     return found.join(scopes, "q", "left").filter("scope IS NULL OR scope = source_type").drop("scope")
+
+
+def search_memory_many(questions: DataFrame, embeddings: DataFrame, chunks: DataFrame, least: float = 0.70, limit: int = 10, source_type: str | None = None, **sizes: int) -> DataFrame:
+    """`retrieval.search_memory` for many questions (`q`, `embedding`, perhaps `project`): its columns, and `q` and `place`."""
+    vectors = embeddings.filter(F.col("source_type") == source_type) if source_type else embeddings
+    own = chunks.select(F.col("id").alias("source_id"), "project_name", "category").withColumn("source_type", F.lit("memory_chunk"))
+    stored = vectors.select("id", "source_type", "source_id", "embedding").join(own, ["source_type", "source_id"], "left")
+    found = knn_join(questions, stored, limit, **sizes).withColumn("similarity", 1 - F.col("distance"))
+    return found.filter(F.col("similarity") > least).select("q", "place", "id", "source_type", "source_id", "project_name", "category", "similarity")

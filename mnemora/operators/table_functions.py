@@ -1,7 +1,8 @@
 """Searches as table functions that SQL can join laterally.
 
 The functions are SQL text over views of the memory's tables, so a statement with them is one plan of joins and windows.
-A lateral join scores each row of the left side against all vectors; for very many queries `knn_join` is the way.
+A lateral join scores each row of the left side against all vectors, pair by pair and without a compiled loop: some hundred
+queries over ten thousand vectors take minutes. For more `knn_join.search_memory_many` finds the same by matrix products.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemora.operators import retrieval
-from mnemora.operators.knn_join import knn_join, nearest_many
+from mnemora.operators.knn_join import knn_join, nearest_many, search_memory_many
+from mnemora.operators.table_functions import register_search_memory
 
 DDL = "id long, project_name string, embedding array<float>"
 
@@ -53,3 +54,23 @@ def test_many_questions_like_one_by_one(spark):
     for q, vector, scope, project in asked:
         one = retrieval.nearest(m.embeddings, m.chunks, m.messages, m.conversations, vector, 5, scope, project).collect()
         assert sorted((r.source_type, r.source_id, r.d) for r in many if r.q == q) == sorted((r.source_type, r.source_id, round(r.distance, 9)) for r in one)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"query_bytes": 1500, "stored_bytes": 40_000}])
+def test_searches_like_the_lateral_join(spark, sizes):
+    """The table function of SQL and the join give the same rows, in the query too, which goes by the join."""
+    from mnemora.adapters import Memory
+    from mnemora.queries import QUERIES
+    from tests.test_queries import FOLDER
+
+    m = Memory(spark, FOLDER)
+    asked = m.embeddings.filter("id % 10 = 0").select(F.col("id").alias("q"), "embedding", F.when(F.col("id") % 30 == 0, "src4").when(F.col("id") % 70 == 0, "none").alias("project"))
+    register_search_memory(spark, m.embeddings, m.chunks)
+    asked.createOrReplaceTempView("asked")
+    for kind in ("memory_chunk", None):
+        lateral = spark.sql(f"SELECT q, place, source_type, source_id, project_name, category, round(similarity, 7) AS s FROM asked, LATERAL search_memory(embedding, 0.05D, 5, {f"'{kind}'" if kind else 'NULL'}, project)")
+        many = search_memory_many(asked, m.embeddings, m.chunks, 0.05, 5, kind, **sizes).withColumn("s", F.round("similarity", 7)).select(lateral.columns)
+        assert lateral.count() > 50 and sorted(map(tuple, many.collect()), key=repr) == sorted(map(tuple, lateral.collect()), key=repr)
+    # pairs are scored by matrix products in Arrow batches, not one by one in a nested loop
+    plan = QUERIES["search_memory_lateral"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoopJoin" not in plan
