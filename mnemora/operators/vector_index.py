@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .knn_join import Queries, _scored, _shortened, _unit, _with_ids, knn_join
+from .knn_join import QUERY_BYTES, Nearest, Queries, _scored, _shortened, _unit, _with_ids, knn_join
 from .retrieval import distances
 
 #: What stands for a null model.
@@ -41,6 +41,8 @@ SAMPLE, ROUNDS, MOST_CELLS = 50_000, 8, 4096
 TRIED, NEIGHBOURS, TARGET = 100, 10, 0.95
 #: Candidates by the codes whose vectors are read, for each wanted row.
 WIDER = 8
+#: Pairs of a query and a cell that a task holds at once.
+PAIRS = 50_000
 
 
 def _placed(df: DataFrame, centres: dict[tuple[str, int], np.ndarray], keys: Sequence[str]) -> DataFrame:
@@ -260,45 +262,104 @@ def _rough(rows: DataFrame, q: np.ndarray, at: dict[int, float], keys: Sequence[
 def recall(index: VectorIndex, queries: DataFrame, exact: DataFrame, limit: int = 10, model: str = NO_MODEL, probes: int | None = None) -> float:
     """Share of the exact neighbours (`q`, `keys`) of a stated query set (`q`, `embedding`) that the index finds.
 
-    The queries are read by cell in one job: each goes to its nearest cells, and only rows there are scored.
+    The queries are read in one job: each reads its nearest cells, and only rows there are scored.
     """
     found = search_many(index, queries, limit, model, probes).select("q", *index.keys)
     wanted = written(exact.select("q", *index.keys).distinct())
     return wanted.join(found.distinct(), ["q", *index.keys]).count() / max(1, wanted.count())
 
 
-def search_many(index: VectorIndex, queries: DataFrame, limit: int = 10, model: str = NO_MODEL, probes: int | None = None) -> DataFrame:
+def search_many(index: VectorIndex, queries: DataFrame, limit: int = 10, model: str = NO_MODEL, probes: int | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """The nearest rows of many queries (`q`, `embedding`): `keys`, `q`, `distance`, `place`.
 
-    Queries and rows meet by cell, in pieces of a bounded number of rows, so a hot cell is many tasks.
+    Each query knows how far its last cell is. Queries of a checked size go to the rows, which stay where they lie, as one
+    broadcast block; a task scores its rows of a cell against the queries that reach it. More queries meet the rows by
+    cell, in blocks of queries and pieces of a bounded number of rows, so a hot cell is many tasks.
     """
     keys, centres = index.keys, {s: c for (m, s), c in index.centres.items() if m == model}
     held, read = index.spark.sparkContext.broadcast(centres), {s: probes or index.probes[model, s] for s in centres}
 
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, m in _unit(batch.column(1), 7):
                 if (c := held.value.get(m.shape[1])) is not None and len(rows):
-                    near = _order(c, m)[:, : read[m.shape[1]]]
-                    k = near.shape[1]
-                    taken = batch.take(pa.array(np.repeat(rows, k)))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.full(len(rows) * k, m.shape[1], np.int32)), pa.array(near.ravel().astype(np.int32))], names=["q", "embedding", "size", "cell"])
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(_reach(c, m, read[m.shape[1]]))], names=["q", "embedding", "reach"])
 
     kind = queries.schema["q"].dataType.simpleString()
-    asked = written(queries.select("q", F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["q"]).mapInArrow(probed, f"q {kind}, embedding array<double>, size int, cell int"))
+    asked = written(queries.select("q", F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["q"]).mapInArrow(reaching, f"q {kind}, embedding array<double>, reach double"))
     live = index._live(index._rows()).filter(F.col("model") == model).select(*keys, "embedding", "size", "cell")
-    counts = live.groupBy("size", "cell").agg(F.count("*").alias("n"))
-    pieces = written(counts.join(asked.select("size", "cell").distinct(), ["size", "cell"]).withColumn("pieces", F.ceil(F.col("n") / 50_000)))
-    left = asked.join(F.broadcast(pieces), ["size", "cell"]).select("q", "embedding", "size", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
-    right = live.join(F.broadcast(pieces), ["size", "cell"]).select(*keys, "embedding", "size", "cell", F.pmod(F.xxhash64(*keys), F.col("pieces")).alias("piece"))
     kinds = ", ".join([*(f"{k} {live.schema[k].dataType.simpleString()}" for k in keys), "distance double", f"q {kind}"])
-
-    def scored(some: pa.Table, rows: pa.Table) -> pa.Table:
-        mine = Queries(some.append_column("project", pa.nulls(len(some), pa.string())))
-        found = _scored(mine, rows.select([*keys, "embedding"]), limit, keys)
-        return _with_ids(_shortened(found, limit, keys), mine).select([*keys, "distance", "q"])
-
-    group = ("size", "cell", "piece")
-    near = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(scored, kinds)
+    size = asked.agg(F.coalesce(F.sum(F.size("embedding") * 8 + 64), F.lit(0))).first()[0]
+    if size <= query_bytes:
+        block = index.spark.sparkContext.broadcast(asked.toArrow())  # its size has just been checked
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine, reach = _block(block.value)
+            near = Nearest(mine, limit, keys)
+            for batch in batches:
+                whole = pa.Table.from_batches([batch])
+                length, cell = (whole.column(c).to_numpy() for c in ("size", "cell"))
+                rows = whole.select([*keys, "embedding"])
+                for d in np.unique(length):
+                    if d in mine.vectors and read[d] >= len(held.value[d]):
+                        near.add(rows.filter(pa.array(length == d)))
+                        continue
+                    for c in np.unique(cell[length == d]) if d in mine.vectors else ():
+                        near.add(rows.filter(pa.array((length == d) & (cell == c))), _reached(mine, reach, held.value[d][c]))
+            yield from near.batches()
+
+        near = live.mapInArrow(run, kinds)
+    else:
+        blocks = -(-size // query_bytes)
+
+        def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                mine, reach = _block(pa.Table.from_batches([batch]))
+                for d, (places, m) in mine.vectors.items():
+                    c = held.value[d]
+                    step = max(1, PAIRS // len(c))
+                    for k in range(0, len(places), step):
+                        at, cell = np.nonzero(_far(c, m[k : k + step]) <= reach[places[k : k + step], None])
+                        yield pa.RecordBatch.from_arrays([*batch.take(pa.array(places[k + at])).columns[:2], pa.array(np.full(len(at), d, np.int32)), pa.array(cell.astype(np.int32))], names=["q", "embedding", "size", "cell"])
+
+        of = F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block")
+        spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        counts = live.groupBy("size", "cell").agg(F.count("*").alias("n"))
+        pieces = written(counts.withColumn("pieces", F.ceil(F.col("n") / 50_000)))
+        left = asked.mapInArrow(probed, f"q {kind}, embedding array<double>, size int, cell int").join(F.broadcast(pieces), ["size", "cell"]).select("q", "embedding", "size", "cell", of, spread(F.col("pieces")).alias("piece"))
+        right = live.join(F.broadcast(pieces), ["size", "cell"]).select(*keys, "embedding", "size", "cell", F.pmod(F.xxhash64(*keys), F.col("pieces")).alias("piece"), spread(F.lit(blocks)).alias("block"))
+
+        def scored(some: pa.Table, rows: pa.Table) -> pa.Table:
+            mine = Queries(some.append_column("project", pa.nulls(len(some), pa.string())))
+            found = _scored(mine, rows.select([*keys, "embedding"]), limit, keys)
+            return _with_ids(_shortened(found, limit, keys), mine).select([*keys, "distance", "q"])
+
+        group = ("size", "cell", "piece", "block")
+        near = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(scored, kinds)
     place = F.row_number().over(Window.partitionBy("q").orderBy("distance", *keys))
     return near.withColumn("place", place).filter(F.col("place") <= limit)
+
+
+def _far(centres: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """By query (a unit vector) and cell what grows with the distance from the cell's centre."""
+    return (centres * centres).sum(axis=1) / 2 - queries @ centres.T
+
+
+def _reach(centres: np.ndarray, queries: np.ndarray, probes: int) -> np.ndarray:
+    """How far the last of the nearest `probes` cells of each query is, a little more for rounding; in slices of a bounded size."""
+    if probes >= len(centres):
+        return np.full(len(queries), np.inf)
+    step = max(1, PAIRS // len(centres))
+    return np.concatenate([np.partition(_far(centres, queries[k : k + step]), probes - 1, axis=1)[:, probes - 1] for k in range(0, len(queries), step)]) + 1e-9
+
+
+def _block(asked: pa.Table) -> tuple[Queries, np.ndarray]:
+    return Queries(asked.append_column("project", pa.nulls(len(asked), pa.string()))), asked.column("reach").to_numpy()
+
+
+def _reached(queries: Queries, reach: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Which queries of a block read a cell."""
+    out = np.zeros(len(reach), bool)
+    places, m = queries.vectors[len(centre)]
+    out[places] = _far(centre[None, :], m)[:, 0] <= reach[places]
+    return out

@@ -1,11 +1,13 @@
 """The vector index: recall against exact neighbours of the stated queries, changes without a rebuild, hot and bad rows."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mnemora.adapters import Memory
-from mnemora.operators import retrieval
+from mnemora.operators import retrieval, vector_index
 from mnemora.operators.knn_join import knn_join
 from mnemora.operators.vector_index import VectorIndex, recall, search_many
 from tests.test_queries import FOLDER
@@ -85,6 +87,36 @@ def test_hot_bad_and_filtered(spark, small):
     assert index._rows().filter("source_type = 'bad'").count() == 0
 
 
+@pytest.mark.parametrize("query_bytes", [1_000_000, 2_000])
+@pytest.mark.parametrize("probes", [1, 3, 1000])
+def test_many_queries_like_one_by_one(small, query_bytes, probes):
+    """Both ways of meeting, over the cells that a single search reads."""
+    vectors, index = small
+    queries = vectors.filter("model = 'a' AND source_id % 9 = 0").select((F.col("source_id") + F.when(F.col("source_type") == "hot", 1000).otherwise(0)).alias("q"), "embedding")
+    many = search_many(index, queries, 6, "a", probes, query_bytes).collect()
+    found: dict = {}
+    for r in sorted(many, key=lambda r: r.place):
+        found.setdefault(r.q, []).append((r.source_type, r.source_id))
+    for q in (0, 9, 27, 1000, 1009):
+        query = queries.filter(F.col("q") == q).first().embedding
+        near = vector_index._order(index.centres["a", 8], np.array(query) / np.linalg.norm(query))[:probes]
+        read = index._rows().filter(F.col("model") == "a").filter(F.col("size") == 8).filter(F.col("cell").isin(near.tolist()))
+        assert found[q] == exact(read, query, 6), q
+
+
+def test_a_query_is_held_once_however_many_cells_it_reads(spark):
+    """Searching 2,000 queries in 4,000 cells held 2,000 * 4,000 vectors; now a task holds a bounded number of pairs."""
+    rnd = np.random.default_rng(4)
+    centres, queries = (rnd.normal(size=(n, 16)) for n in (4000, 2000))
+    tracemalloc.start()
+    reach = vector_index._reach(centres, queries, 1500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000
+    assert ((vector_index._far(centres, queries[:50]) <= reach[:50, None]).sum(axis=1) == 1500).all()
+    assert (vector_index._reach(centres, queries, 4000) == np.inf).all()
+
+
 def test_search_of_sources_by_the_index(spark, tmp_path):
     """The same sources as without the index, scopes and projects too."""
     m = Memory(spark, FOLDER)
