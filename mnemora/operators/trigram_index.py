@@ -1,7 +1,8 @@
 """Postings of trigrams: substring and similarity searches read the postings of a few rare trigrams and the rows they name.
 
 Two sets of trigrams are kept of each text: all windows of three characters in lower case, for ILIKE '%term%', and those
-of its padded words, for trigram similarity. Postings lie in Parquet partitions by a checksum of the trigram, sorted by
+of its padded words, for trigram similarity. A task gathers the keys of each trigram of some texts in a list, so that lists
+are dealt, not single postings. They lie in Parquet partitions by a checksum of the trigram, sorted by
 it, so a search reads the row groups of its trigrams. Common trigrams are dealt over several tasks and files by a salt
 that follows from their count.
 
@@ -20,7 +21,11 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +37,57 @@ from ..shared import written
 BUCKETS, FILE_ROWS, RAREST = 128, 1_000_000, 4
 #: Candidates whose keys are named in the scan of the rows; more are joined.
 NAMED = 1_000
+#: Characters of the texts whose postings a task gathers at once.
+CHARS = 2_000_000
 WINDOW, WORD = "window", "word"
 
 
-def windows(text: Column) -> Column:
-    """Distinct windows of three characters, in lower case."""
-    c = F.split(F.lower(text), "")
-    n = F.greatest(F.size(c) - 2, F.lit(0))
-    parts = F.arrays_zip(*(F.slice(c, F.lit(k), n).alias(f"c{k}") for k in (1, 2, 3)))
-    return F.array_distinct(F.transform(parts, lambda p: F.concat(p["c1"], p["c2"], p["c3"])))
+def padded(text: Column) -> Column:
+    """A text whose windows are the trigrams of its words, but for those with a space in the second and third place."""
+    return F.concat(F.lit("  "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
+
+
+def _lists(texts: list[str], words: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct windows of three characters of some texts, where the list of each begins and ends, and the lists: places of the texts."""
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    at = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    good = at[:-2] == at[2:]
+    if words:
+        good &= (c[1:-1] != 32) | (c[2:] != 32)
+    c, at = c.astype(np.int64), at[:-2][good]
+    grams, number = np.unique((c[:-2] | c[1:-1] << 21 | c[2:] << 42)[good], return_inverse=True)
+    pairs = np.unique(number * len(texts) + at)
+    number, at = pairs // max(1, len(texts)), pairs % max(1, len(texts))
+    said = np.stack([grams >> k & 0x1FFFFF for k in (0, 21, 42)], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    return [said[k : k + 3] for k in range(0, len(said), 3)], np.searchsorted(number, np.arange(len(grams) + 1)), at
+
+
+def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most `CHARS` characters together, or one text, and at most `most` texts."""
+    start = total = 0
+    for k, n in enumerate(lengths):
+        if k > start and (total + n > CHARS or k - start >= most):
+            yield start, k
+            start, total = k, 0
+        total += n
+    if lengths:
+        yield start, len(lengths)
+
+
+def posting_lists(rows: DataFrame, most: int) -> DataFrame:
+    """`set`, `gram` and `keys` of rows with `key`, `low` and `padded`: a list for each slice of the rows, not a row for each posting."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.add(*(pc.fill_null(pc.utf8_length(batch.column(k)), 0) for k in (1, 2))).to_pylist()
+            for start, end in _slices(lengths, most):
+                part = batch.slice(start, end - start)
+                for kind, k in ((WINDOW, 1), (WORD, 2)):
+                    grams, ends, at = _lists(pc.fill_null(part.column(k), "").to_pylist(), kind == WORD)
+                    keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), part.column(0).take(pa.array(at)))
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(grams), pa.string()), pa.array(grams, pa.string()), keys], names=["set", "gram", "keys"])
+
+    return rows.select("key", "low", "padded").mapInArrow(run, f"set string, gram string, keys array<{rows.schema['key'].dataType.simpleString()}>")
 
 
 def term_windows(term: str) -> list[str]:
@@ -69,24 +116,26 @@ class TrigramIndex:
         """Postings of more rows, as a batch of their own."""
         n = max([0, *self._batches()]) + 1
         text = F.col(f"`{self.column}`").cast("string")
-        both = F.concat(F.transform(windows(text), lambda g: F.struct(F.lit(WINDOW).alias("set"), g.alias("gram"))), F.transform(trigrams(text), lambda g: F.struct(F.lit(WORD).alias("set"), g.alias("gram"))))
-        found = rows.select(F.col(f"`{self.key}`").cast(self.kind).alias("key"), text.alias(self.column)).select("key", F.explode(both).alias("p")).select("key", "p.set", "p.gram")
-        found = found.withColumn("bucket", F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(BUCKETS)).cast("int"))
-        counts = written(found.groupBy("bucket", "set", "gram").agg(F.count("*").alias("n")))
+        own = rows.select(F.col(f"`{self.key}`").cast(self.kind).alias("key"), F.lower(text).alias("low"), padded(text).alias("padded"))
+        found = posting_lists(own, FILE_ROWS).withColumn("bucket", F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(BUCKETS)).cast("int"))
+        found = written(found)  # the texts are gone through once
+        counts = written(found.groupBy("bucket", "set", "gram").agg(F.sum(F.size("keys").cast("long")).alias("n")))
         counts.sort("bucket", "set", "gram").write.partitionBy("bucket").parquet(f"{self.root}/counts/{n}")
         common = counts.filter(F.col("n") > FILE_ROWS).select("set", "gram", F.ceil(F.col("n") / FILE_ROWS).alias("files"))  # at most one for FILE_ROWS postings
-        salted = found.join(F.broadcast(common), ["set", "gram"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key"), F.col("files")), F.lit(0)))
+        salted = found.join(F.broadcast(common), ["set", "gram"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("keys"), F.col("files")), F.lit(0)))
         dealt = salted.repartition("bucket", F.when(F.col("files").isNotNull(), F.struct("set", "gram", "salt")))
-        dealt.sortWithinPartitions("bucket", "set", "gram", "key").select("bucket", "set", "gram", "key").write.partitionBy("bucket").parquet(f"{self.root}/postings/{n}")
+        dealt.sortWithinPartitions("bucket", "set", "gram").select("bucket", "set", "gram", "keys").write.partitionBy("bucket").parquet(f"{self.root}/postings/{n}")
         return self
 
     build = add
 
     def _read(self, what: str, kind: str, grams: list[str], columns: str) -> DataFrame:
         """Rows of the given trigrams: only their partitions, and in these the row groups that may hold them."""
-        parts = [self.spark.read.schema(f"set string, gram string, {columns}, bucket int").parquet(f"{self.root}/{what}/{n}") for n in self._batches()]
-        every = functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"set string, gram string, {columns}, bucket int")
-        return every.filter(F.col("bucket").isin(sorted({_bucket(g) for g in grams})) & (F.col("set") == kind) & F.col("gram").isin(grams))
+        stored = f"keys array<{self.kind}>" if what == "postings" else columns
+        parts = [self.spark.read.schema(f"set string, gram string, {stored}, bucket int").parquet(f"{self.root}/{what}/{n}") for n in self._batches()]
+        every = functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"set string, gram string, {stored}, bucket int")
+        mine = every.filter(F.col("bucket").isin(sorted({_bucket(g) for g in grams})) & (F.col("set") == kind) & F.col("gram").isin(grams))
+        return mine.select("set", "gram", F.explode("keys").alias("key"), "bucket") if what == "postings" else mine
 
     def _rarest(self, kind: str, grams: list[str], most: int) -> list[str] | None:
         """The `most` rarest trigrams of a term, rarest first; None if one of all occurs nowhere."""

@@ -76,3 +76,21 @@ def test_memory_search_like_the_report(spark, tmp_path):
     index = ti.TrigramIndex(spark, str(tmp_path / "index"), "content").build(m.chunks)
     for term in ("src3", "tion the", "the", "zz"):
         assert ti.search_chunks(m.chunks, index, term).collect() == reports.search_chunks(m.chunks, term).collect(), term
+
+
+def test_postings_are_dealt_as_lists(spark, built, tmp_path, monkeypatch):
+    """A row holds the keys of a trigram in many texts, not one posting; slices of any size hold the same postings as the texts."""
+    df, _ = built
+    for chars in (ti.CHARS, 40):
+        monkeypatch.setattr(ti, "CHARS", chars)
+        own = df.coalesce(1).select(F.col("id").alias("key"), F.lower("text").alias("low"), ti.padded(F.col("text")).alias("padded"))
+        lists = own.toArrow()
+        rows = [(kind, g, lists["key"][start + k].as_py()) for start, end in ti._slices([len(t or "") for t in lists["low"].to_pylist()], 100) for kind, c in ((ti.WINDOW, "low"), (ti.WORD, "padded"))
+                for grams, ends, at in [ti._lists([t or "" for t in lists[c].to_pylist()[start:end]], kind == ti.WORD)] for n, g in enumerate(grams) for k in at[ends[n] : ends[n + 1]]]
+        want = [(ti.WINDOW, t[i : i + 3], k) for k, t in zip(lists["key"].to_pylist(), lists["low"].to_pylist()) if t for i in range(len(t) - 2)]
+        said = df.select("id", F.explode(ti.trigrams(F.col("text"))).alias("g")).collect()
+        assert set(rows) == {*want, *((ti.WORD, r.g, r.id) for r in said)}
+    monkeypatch.undo()
+    index = ti.TrigramIndex(spark, str(tmp_path / "lists"), "text").build(df)
+    stored = spark.read.parquet(f"{index.root}/postings/1").filter("gram = 'alp' AND set = 'window'")
+    assert stored.count() <= 4 < 100 < index._read("postings", ti.WINDOW, ["alp"], "key long").count()
