@@ -350,7 +350,7 @@ def _reach(centres: np.ndarray, queries: np.ndarray, probes: int) -> np.ndarray:
     if probes >= len(centres):
         return np.full(len(queries), np.inf)
     step = max(1, PAIRS // len(centres))
-    return np.concatenate([np.partition(_far(centres, queries[k : k + step]), probes - 1, axis=1)[:, probes - 1] for k in range(0, len(queries), step)]) + 1e-9
+    return np.concatenate([np.partition(_far(centres, queries[k : k + step]), probes - 1, axis=1)[:, probes - 1].copy() for k in range(0, len(queries), step)]) + 1e-9
 
 
 def _block(asked: pa.Table) -> tuple[Queries, np.ndarray]:
