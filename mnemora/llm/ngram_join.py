@@ -2,8 +2,9 @@
 
 Texts are sets of hashed word n-grams. Documents with equal sets are one class from the start. Two bounds that
 follow from set sizes discard classes and pairs before any product: a class with more n-grams of its own than
-its size lets it miss has no partner, and partners share an n-gram among the rarest of each, its prefix. Classes that
-prefix n-grams connect make a group. A small group is one block, multiplied with itself. In a larger one the classes
+its size lets it miss has no partner, and partners share an n-gram among the rarest of each, its prefix. N-grams are
+counted for the first bound by parts, the second part for what the first has left, and go to their bins in lists, see
+`_dealt`; they are not written between. Classes that prefix n-grams connect make a group. A small group is one block, multiplied with itself. In a larger one the classes
 with the same prefix n-gram and about the same size make blocks, bound in classes and in n-grams, and only blocks
 that share a prefix n-gram and whose sizes allow a link meet: a long chain of groups costs in proportion to its
 length. Each tile, a pair of blocks, accumulates overlap counts by matrix products, drops pairs outside the bounds
@@ -33,8 +34,10 @@ from .graphs import components
 WORDS, PERCENT = 4, 85
 #: Classes, and n-grams, of one block; a larger set is a block by itself. A tile holds two blocks.
 BLOCK, BLOCK_GRAMS = 1024, 1_000_000
-#: One n-gram hash in so many takes part in the first bound.
+#: The first bound counts two parts of the n-gram hashes, each one in so many.
 ONE_IN = 4
+#: N-grams of a bin of the first bound, about; texts whose n-grams are dealt together.
+BIN_GRAMS, DEAL_ROWS = 2_000_000, 16_384
 #: N-grams of more members than this are multiplied as dense columns.
 DENSE = 12
 #: Ids that are broadcast at most (32 MB with the hashes of their texts); more are joined by a shuffle.
@@ -99,6 +102,80 @@ def _signed(grams: np.ndarray) -> np.ndarray:
     return grams.view(np.int64)
 
 
+def _dealt(df: DataFrame, n: int, part: int, bins: int) -> DataFrame:
+    """The n-grams of one part as lists, a row for each bin and some thousands of texts.
+
+    `cls` has the classes that a list knows and `held` how many n-grams each shares with another one there; `low`
+    and `high` are 48 bits of each other n-gram and `at` the place of its class. An n-gram that several classes share
+    is in the list once, at -1, however many they are.
+    """
+    hashes: WordHashes = WordHashes()
+    fields = {"bin": pa.int64(), "cls": pa.list_(pa.int64()), "held": pa.list_(pa.int32()), "low": pa.list_(pa.int32()), "high": pa.list_(pa.int16()), "at": pa.list_(pa.int16())}
+
+    def lists(texts: pa.Array, out: dict[str, list]) -> None:
+        own = {_class(s): s[s % np.uint64(ONE_IN) == part] for t in texts if len(s := gram_set(t.as_py(), hashes, n))}
+        cls = np.array(list(own), np.int64)
+        gram = np.concatenate([*own.values(), np.empty(0, np.uint64)])
+        at = np.repeat(np.arange(len(own)), [len(s) for s in own.values()])
+        order = np.argsort(gram, kind="stable")
+        gram, at = gram[order], at[order]
+        bin_ = (gram >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)  # in the order of the n-grams
+        first = np.r_[True, gram[1:] != gram[:-1]][: len(gram)]
+        alone = first & np.r_[first[1:], True][: len(gram)]
+        for rows in np.split(np.arange(len(gram)), np.flatnonzero(np.diff(bin_)) + 1) if len(gram) else ():
+            known, place = np.unique(at[rows], return_inverse=True)
+            sent = first[rows]
+            bits = gram[rows][sent] >> np.uint64(2)
+            out["bin"].append(int(bin_[rows[0]]))
+            out["cls"].append(cls[known])
+            out["held"].append(np.bincount(place[~alone[rows]], minlength=len(known)).astype(np.int32))
+            out["low"].append(bits.astype(np.uint32).view(np.int32))
+            out["high"].append((bits >> np.uint64(32)).astype(np.uint16).view(np.int16))
+            out["at"].append(np.where(alone[rows], place, -1)[sent].astype(np.int16))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        out: dict[str, list] = {k: [] for k in fields}
+        for k in range(0, batch.num_rows, DEAL_ROWS):
+            lists(batch.column(0).slice(k, DEAL_ROWS), out)
+        return pa.RecordBatch.from_arrays([pa.array(v, fields[k]) for k, v in out.items()], names=list(fields)) if out["bin"] else None
+
+    return map_batches(df.select("text"), run, "bin long, cls array<long>, held array<int>, low array<int>, high array<smallint>, at array<smallint>", hashes.clear)
+
+
+def _held(table: pa.Table) -> pa.Table:
+    """Of the lists of a bin: per class, how many of its n-grams there another class has; n-grams that only look alike, and rows of a class in several lists, make it more."""
+    values = lambda c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table.column(c).chunks])
+    sizes = lambda c: np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in table.column(c).chunks])
+    cls, held, at = values("cls"), values("held").astype(np.int64), values("at").astype(np.int64)
+    key = values("high").view(np.uint16).astype(np.uint64) << np.uint64(32) | values("low").view(np.uint32)
+    lengths = sizes("cls")
+    several = at < 0
+    at += np.repeat(np.cumsum(lengths) - lengths, sizes("at"))
+    at[several] = -1
+    order = np.argsort(key)
+    key, at, several = key[order], at[order], several[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    who = cls[at]
+    shared = np.logical_or.reduceat(several, starts) | (np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts))
+    hit = at[np.repeat(shared, np.diff(np.r_[starts, len(key)])) & ~several]
+    held += np.bincount(hit, minlength=len(cls))
+    names, place = np.unique(cls[held > 0], return_inverse=True)
+    return pa.table({"cls": pa.array(names, pa.int64()), "held": pa.array(np.bincount(place, held[held > 0], len(names)).astype(np.int64))})
+
+
+def _may_link(base: DataFrame, classes: DataFrame, n: int, percent: int, part: int) -> DataFrame:
+    """The rows of `classes` (`cls`, `n`, `own`, the sizes `p0`, `p1` of their parts) that may have a partner, `own` with the n-grams of this part that no other class of `base` has."""
+    bins = max(1, -(-(classes.agg(F.sum(f"p{part}")).first()[0] or 0) // BIN_GRAMS))
+    held = _dealt(base, n, part, bins).groupBy("bin").applyInArrow(_held, "cls long, held long").groupBy("cls").agg(F.sum("held").alias("held"))
+    own = F.col("own") + F.greatest(F.col(f"p{part}") - F.coalesce("held", F.lit(0)), F.lit(0))
+    return materialise(classes.join(held, "cls", "left").withColumn("own", own).filter(F.col("own") <= _slack(percent)).drop("held"))
+
+
+def _slack(percent: int):
+    """N-grams that a set of n may lack in a partner."""
+    return F.expr(f"n - ((n * {percent} + 99) div 100)")
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Overlap counts of two lists of sets, or of one list with itself, as the product of their incidence matrices.
 
@@ -228,24 +305,24 @@ def _components(df: DataFrame, doc: str, text: str, n: int, percent: int, block:
     base = df.select(F.col(f"`{doc}`").cast("long").alias("id"), text_of(f"`{text}`").alias("text"))
 
     def summary(i, text, grams):
-        some = _signed(grams[grams % np.uint64(ONE_IN) == 0])
-        return i, text_key(text), _class(grams), len(grams), some
+        parts = np.bincount((grams % np.uint64(ONE_IN)).astype(np.int64), minlength=2)
+        return i, text_key(text), _class(grams), len(grams), int(parts[0]), int(parts[1])
+
+    docs = materialise(_sets(base, n, "id long, text_key long, cls long, n long, p0 long, p1 long", summary))
+    classes = materialise(docs.filter("n > 0").groupBy("cls").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), *(F.max(c).alias(c) for c in ("n", "p0", "p1"))))
 
-    docs = materialise(_sets(base, n, "id long, text_key long, cls long, n long, some array<long>", summary))
-    classes = materialise(docs.filter("n > 0").groupBy("cls").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n")))
+    def of(some: DataFrame) -> DataFrame:
+        """A document of each of these classes."""
+        ids = some.select(F.col("first_id").alias("want"))
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return base.join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi")
 
     # first bound: n-grams that no other class has
-    one_in = docs.filter("n > 0").select("cls", F.explode("some").alias("gram"))
-    lone = one_in.groupBy("gram").agg(F.min("cls").alias("cls"), F.max("cls").alias("other")).filter("cls = other")
-    own = lone.groupBy("cls").agg(F.count("*").alias("own"))
-    slack = F.expr(f"n - ((n * {percent} + 99) div 100)")  # n-grams that a set may lack in a partner
-    chosen = materialise(classes.join(own, "cls", "left").filter(F.coalesce("own", F.lit(0)) <= slack).select("cls", "first_id", "copies", "n"))
+    near = _may_link(base, classes.withColumn("own", F.lit(0).cast("long")), n, percent, 0)
+    chosen = _may_link(of(near), near, n, percent, 1)
 
     # the sets of the classes that are left, from one document each
-    ids = chosen.select(F.col("first_id").alias("want"))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    again = base.join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    sets = _sets(again, n, "cls long, grams array<long>", lambda i, text, grams: (_class(grams), _signed(grams)) if len(grams) else None)
+    sets = _sets(of(chosen), n, "cls long, grams array<long>", lambda i, text, grams: (_class(grams), _signed(grams)) if len(grams) else None)
     # where no id repeats there is one row a class; else rows are told apart by a shuffle of all sets
     single = docs.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
     sets = materialise(sets if single else sets.dropDuplicates(["cls"]))
@@ -255,7 +332,7 @@ def _components(df: DataFrame, doc: str, text: str, n: int, percent: int, block:
     rows = rows.select("cls", F.explode("grams").alias("gram"))
     shared = materialise(rows.groupBy("gram").agg(F.count("*").cast("int").alias("df")).filter("df > 1"))
     by_class = join_hot(rows, shared.withColumn("rows", F.col("df")), "gram", "rows").filter("df IS NOT NULL").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held")).join(chosen.select("cls", "n"), "cls")
-    room = slack + 1 - (F.col("n") - F.size("held"))
+    room = _slack(percent) + 1 - (F.col("n") - F.size("held"))
     prefix = materialise(by_class.filter(room > 0).select("cls", F.explode(F.slice("held", F.lit(1), F.least(room, F.size("held").cast("long")).cast("int"))).alias("g")).select("cls", "g.gram"))
     stars = prefix.groupBy("gram").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).filter("m > 1").withColumn("rows", F.col("m"))
     starred = materialise(join_hot(prefix, materialise(stars), "gram", "rows").filter("m IS NOT NULL").select("cls", "gram", "hub", "m"))
@@ -263,9 +340,11 @@ def _components(df: DataFrame, doc: str, text: str, n: int, percent: int, block:
 
     # the products
     placed = placements(groups, chosen, starred, percent, block, block_grams)
-    bins = max(1, -(-(placed.agg(F.sum("n")).first()[0] or 0) * 2 // block_grams))
-    # sets and copies meet by class, before a class is placed in several tiles
-    tiles = placed.drop("n").join(sets.join(chosen.select("cls", "copies"), "cls"), "cls").withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(bins)))
+    size = placed.agg(F.sum("n").alias("grams"), F.count("*").alias("rows")).first()
+    bins = max(1, -(-(size.grams or 0) * 2 // block_grams))
+    # placements go to the sets, which are dealt once, by bin
+    placed = placed.drop("n").join(chosen.select("cls", "copies"), "cls")
+    tiles = sets.join(F.broadcast(placed) if size.rows <= BROADCAST_IDS // 2 else placed, "cls").withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(bins)))
     done = materialise(tiles.groupBy("bin").applyInArrow(lambda t: _tiles(t, percent), "a long, b long, links long"))
     linked_to = done.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     roots = components(done.filter("a != b").select("a", "b")).withColumnRenamed("node", "cls")
@@ -274,7 +353,7 @@ def _components(df: DataFrame, doc: str, text: str, n: int, percent: int, block:
     grouped = materialise(grouped.select("cls", F.coalesce("root", "cls").alias("root"), "first_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     firsts = materialise(grouped.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("g")))
     found = join_hot(grouped, firsts, "root", "g").select("cls", "root", "component_id", "copies", "links")
-    return docs.drop("some"), materialise(found)
+    return docs.drop("p0", "p1"), materialise(found)
 
 
 def _rows(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -146,3 +146,29 @@ def test_one_of_each_stays(spark):
     assert sorted(map(tuple, nj.one_of_each(two).collect()), key=str) == [(1, "a b c d e f"), (2, "q r s t u v"), (4, ""), (4, None)]
     want = {d for d, _, c, _ in brute(rows) if d == c}
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted(want) and got.filter("doc_id is null").count() == 1
+
+
+def test_held_like_sets(spark, monkeypatch):
+    monkeypatch.setattr(nj, "DEAL_ROWS", 30)  # lists of several parts of a batch meet in a bin
+    rows = corpus(9, groups=8)
+    texts = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("coalesce(text, '') AS text")
+    sets = {nj._class(s): set(s[s % np.uint64(4) == 1].tolist()) for _, t in rows if len(s := nj.gram_set(t or "", nj.WordHashes(), 4))}
+    want = {c: sum(any(g in o for d, o in sets.items() if d != c) for g in s) for c, s in sets.items()}
+    for split, bins in ((1, 1), (3, 7)):
+        dealt = nj._dealt(texts.repartition(split), 4, 1, bins)
+        got = dict(dealt.groupBy("bin").applyInArrow(nj._held, "cls long, held long").groupBy("cls").sum("held").collect())
+        # never fewer; more only where a class is in several lists
+        assert all(got.get(c, 0) >= n for c, n in want.items()) and set(got) == {c for c, n in want.items() if n}
+    one = {nj._class(nj.gram_set(t, nj.WordHashes(), 4)): t for _, t in rows if t and t.strip()}
+    alone = spark.createDataFrame([(t,) for t in one.values()], "text string").repartition(3)
+    got = dict(nj._dealt(alone, 4, 1, 5).groupBy("bin").applyInArrow(nj._held, "cls long, held long").groupBy("cls").sum("held").collect())
+    assert got == {c: n for c, n in want.items() if n}
+
+
+def test_texts_without_partners_leave_no_ngrams(spark, monkeypatch, tmp_path):
+    seen = []
+    whole = nj.materialise
+    monkeypatch.setattr(nj, "materialise", lambda d: seen.append(whole(d)) or seen[-1])
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(100))) for i in range(200)]
+    assert nj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 200
+    assert not [d for d in seen if any(t.startswith("array") for _, t in d.dtypes) and d.count()]

@@ -77,3 +77,21 @@ def test_hosts_decide(spark):
     rows = [(k, bad if k < 40 else good, "spam") for k in range(50)] + [(k, bad if k == 100 else good, "clean") for k in range(100, 400)]
     verdicts = {r.doc_id: r.kept for r in q.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not any(verdicts[k] for k in range(40)) and all(verdicts[k] for k in range(40, 50)) and all(verdicts[k] for k in range(100, 400))
+
+
+def test_the_filter_writes_no_copy_of_the_texts(spark, monkeypatch):
+    from mnemora.llm import quality_rules
+
+    seen = []
+    whole = quality_rules.materialise
+    monkeypatch.setattr(quality_rules, "materialise", lambda d: seen.append(whole(d)) or seen[-1])
+    good = " ".join(f"word{k}" for k in range(80))
+    texts = [good, good + " # # # # # # # # # #", good[:40], None, (good[:60] + "\n") * 3 + good, good + " a b c d" * 9, good + " #" * 30 + " a b c" * 12]
+    rows = [(i, texts[(i * i + i // 11) % len(texts)] if i % 3 else good, [None, "h0", "h1", "h2"][i % 4] if i > 60 else "h3", i, "x") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int, faults string").repartition(3)
+    got = quality_rules.quality_filter(df)
+    assert got.columns == df.columns
+    kept = sorted(map(tuple, got.collect()), key=str)
+    assert not any("c1" in d.columns or "text" in d.columns for d in seen)  # columns of the table
+    want = quality_rules.quality_verdicts(df)
+    assert kept == sorted(map(tuple, want.filter("kept").select(df.columns).collect()), key=str) and 20 < len(kept) < 140
