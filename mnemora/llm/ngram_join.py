@@ -38,6 +38,8 @@ BLOCK, BLOCK_GRAMS = 1024, 1_000_000
 ONE_IN = 4
 #: N-grams of a bin of the first bound, about; texts whose n-grams are dealt together.
 BIN_GRAMS, DEAL_ROWS = 2_000_000, 16_384
+#: Counts of one class in one bin that are summed together, about.
+SHARE_ROWS = 500_000
 #: N-grams of more members than this are multiplied as dense columns.
 DENSE = 12
 #: Ids that are broadcast at most (32 MB with the hashes of their texts); more are joined by a shuffle.
@@ -163,12 +165,38 @@ def _held(table: pa.Table) -> pa.Table:
     return pa.table({"cls": pa.array(names, pa.int64()), "held": pa.array(np.bincount(place, held[held > 0], len(names)).astype(np.int64))})
 
 
+def _held_lists(table: pa.Table, shares: int) -> pa.Table:
+    """What `_held` finds in a bin as lists, a row for each share of the classes: a class meets as many bins as it has n-grams."""
+    found = _held(table)
+    cls, held = (found.column(c).to_numpy() for c in ("cls", "held"))
+    share = cls % shares
+    order = np.argsort(share, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(share[order])) + 1) if len(order) else []
+    lists = lambda v, t: pa.array([v[p] for p in parts], pa.list_(t))
+    return pa.table({"share": pa.array([int(share[p[0]]) for p in parts], pa.int64()), "cls": lists(cls, pa.int64()), "held": lists(held.astype(np.int32), pa.int32())})
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """A row for each class of a share, the sum of its lists."""
+    cls, held = (np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table.column(c).chunks]) for c in ("cls", "held"))
+    names, place = np.unique(cls, return_inverse=True)
+    return pa.table({"cls": pa.array(names, pa.int64()), "held": pa.array(np.bincount(place, held, len(names)).astype(np.int64))})
+
+
+def _held_by_class(base: DataFrame, n: int, part: int, bins: int, shares: int) -> DataFrame:
+    """`cls` and `held`, a row for each class of `base` that has n-grams of this part in common with others."""
+    lists = _dealt(base, n, part, bins).groupBy("bin").applyInArrow(lambda t: _held_lists(t, shares), "share long, cls array<long>, held array<int>")
+    return lists.groupBy("share").applyInArrow(_summed, "cls long, held long")
+
+
 def _may_link(base: DataFrame, classes: DataFrame, n: int, percent: int, part: int) -> DataFrame:
     """The rows of `classes` (`cls`, `n`, `own`, the sizes `p0`, `p1` of their parts) that may have a partner, `own` with the n-grams of this part that no other class of `base` has."""
-    bins = max(1, -(-(classes.agg(F.sum(f"p{part}")).first()[0] or 0) // BIN_GRAMS))
-    held = _dealt(base, n, part, bins).groupBy("bin").applyInArrow(_held, "cls long, held long").groupBy("cls").agg(F.sum("held").alias("held"))
+    size = classes.agg(F.sum(f"p{part}").alias("grams"), F.count("*").alias("rows")).first()
+    bins = max(1, -(-(size.grams or 0) // BIN_GRAMS))
+    shares = max(1, -(-min(size.rows * bins, size.grams or 0) // SHARE_ROWS))
     own = F.col("own") + F.greatest(F.col(f"p{part}") - F.coalesce("held", F.lit(0)), F.lit(0))
-    return materialise(classes.join(held, "cls", "left").withColumn("own", own).filter(F.col("own") <= _slack(percent)).drop("held"))
+    near = classes.join(_held_by_class(base, n, part, bins, shares), "cls", "left").withColumn("own", own)
+    return materialise(near.filter(F.col("own") <= _slack(percent)).drop("held"))
 
 
 def _slack(percent: int):
@@ -267,37 +295,53 @@ def _tiles(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({k: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64()) for k, v in kept.items()})
 
 
+def _homes(held: DataFrame, block: int) -> DataFrame:
+    """`held` (`cls`, `common`, `grams` and more) with `home`, the n-gram that the class goes by, and `joined`, whether that is another's.
+
+    A class of a cell of under half a block goes to the cell of most classes that has one of its prefix n-grams, so that
+    the few that lack the n-gram of a large group make blocks together, instead of one for each n-gram that they have.
+    """
+    cells = materialise(held.groupBy("common").agg(F.count("*").alias("c")).withColumn("rows", F.col("c")))
+    held = materialise(join_hot(held, cells, "common", "rows"))
+    rows = held.withColumn("gram", F.explode("grams")).drop("grams")
+    largest = materialise(rows.groupBy("gram").agg(F.max(F.struct("c", "common")).alias("largest"), F.count("*").alias("rows")))
+    kept = [c for c in held.columns if c not in ("cls", "grams")]
+    found = join_hot(rows, largest, "gram", "rows").groupBy("cls").agg(*(F.first(c).alias(c) for c in kept), F.max("largest").alias("largest"), F.collect_list("gram").alias("grams"))
+    joined = (2 * F.col("c") < block) & (F.col("largest.common") != F.col("common"))
+    return found.withColumn("joined", joined).withColumn("home", F.when(F.col("joined"), F.col("largest.common")).otherwise(F.col("common"))).drop("c", "common", "largest")
+
+
 def placements(groups: DataFrame, chosen: DataFrame, prefix: DataFrame, percent: int, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """`cls`, `tile`, `side` and `n` of each class in each tile it takes part in; a side of 1 is the second of two blocks.
+    """`cls`, `tile`, `side`, `n` and `copies` of each class in each tile it takes part in; a side of 1 is the second of two blocks.
 
-    `groups` has `node` and `root`, `chosen` has `cls` and `n`, `prefix` has `cls`, `gram` and the number `m` of classes
-    that have it in their prefix. A class goes by the prefix n-gram that most others have too, so that near copies,
-    which have most of their prefixes in common, fill a few whole blocks.
+    `groups` has `node` and `root`, `chosen` has `cls`, `n` and `copies`, `prefix` has `cls`, `gram` and the number `m` of
+    classes that have it in their prefix. A class goes by the prefix n-gram that most others have too, so that near
+    copies, which have most of their prefixes in common, fill a few whole blocks; those that lack it, see `_homes`.
     """
-    members = materialise(groups.select(F.col("node").alias("cls"), "root").join(chosen.select("cls", "n"), "cls"))
+    members = materialise(groups.select(F.col("node").alias("cls"), "root").join(chosen.select("cls", "n", "copies"), "cls"))
     sizes = materialise(members.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("grams")).withColumn("large", (F.col("g") > block) | (F.col("grams") > block_grams)))
-    small = join_hot(members, sizes.select("root", "g", "large"), "root", "g").filter("NOT large").select("cls", F.col("root").alias("tile"), F.lit(0).alias("side"), "n")
+    small = join_hot(members, sizes.select("root", "g", "large"), "root", "g").filter("NOT large").select("cls", F.col("root").alias("tile"), F.lit(0).alias("side"), "n", "copies")
     if sizes.filter("large").isEmpty():
         return materialise(small)
-    large = materialise(join_hot(members, sizes.select("root", "g", "large"), "root", "g").filter("large").select("cls", "n"))
+    large = materialise(join_hot(members, sizes.select("root", "g", "large"), "root", "g").filter("large").select("cls", "n", "copies"))
     # one row a class, with its prefix as an array, so that the joins below go by class and not by class and n-gram
     held = prefix.join(large.select("cls"), "cls", "left_semi").groupBy("cls")
-    held = materialise(held.agg(F.max(F.struct("m", "gram")).alias("common"), F.collect_list("gram").alias("grams")))
+    held = large.join(held.agg(F.max(F.struct("m", "gram")).getField("gram").alias("common"), F.collect_list("gram").alias("grams")), "cls")
     # sizes of partners are at most one band apart
     width = float(np.log(100 / percent)) * (1 + 1e-6)
-    celled = materialise(large.join(held.select("cls", "common"), "cls").withColumn("band", F.floor(F.log("n") / width)).withColumn("cell", F.xxhash64("common.gram", "band")).drop("common"))
+    celled = materialise(_homes(held, block).withColumn("band", F.floor(F.log("n") / width)).withColumn("cell", F.xxhash64("home", "joined", "band")).drop("home", "joined"))
     cells = materialise(celled.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("s")))
     parts = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("s") / block_grams))
     blocks = join_hot(celled, cells.select("cell", "c", parts.alias("parts"), (F.col("c") == 1).alias("alone")), "cell", "c")
-    blocks = materialise(blocks.select("cls", "n", "band", "alone", F.xxhash64("cell", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block")))
+    blocks = materialise(blocks.select("cls", "n", "copies", "grams", "band", "alone", F.xxhash64("cell", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block")))
     # blocks that share a prefix n-gram, of the same band or the next
-    shared = materialise(blocks.join(held.select("cls", "grams"), "cls").select(F.explode("grams").alias("gram"), "band", "block", "alone").distinct())
+    shared = materialise(blocks.select(F.explode("grams").alias("gram"), "band", "block", "alone").distinct())
     other = shared.select("gram", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("block").alias("other"), F.col("band").alias("other_band"))
     meet = shared.join(other, ["gram", "band"]).filter("band != other_band OR block < other OR (block = other AND NOT alone)")
     pairs = materialise(meet.select("block", "other").distinct())
     tile = F.xxhash64("block", "other", F.lit("tile"))
     sides = pairs.select(F.col("block").alias("mine"), tile.alias("tile"), F.lit(0).alias("side")).unionByName(pairs.filter("block != other").select(F.col("other").alias("mine"), tile.alias("tile"), F.lit(1).alias("side")))
-    return materialise(small.unionByName(blocks.join(sides, F.col("block") == F.col("mine")).select("cls", "tile", "side", "n")))
+    return materialise(small.unionByName(blocks.join(sides, F.col("block") == F.col("mine")).select("cls", "tile", "side", "n", "copies")))
 
 
 def _components(df: DataFrame, doc: str, text: str, n: int, percent: int, block: int, block_grams: int) -> tuple[DataFrame, DataFrame]:
@@ -343,7 +387,7 @@ def _components(df: DataFrame, doc: str, text: str, n: int, percent: int, block:
     size = placed.agg(F.sum("n").alias("grams"), F.count("*").alias("rows")).first()
     bins = max(1, -(-(size.grams or 0) * 2 // block_grams))
     # placements go to the sets, which are dealt once, by bin
-    placed = placed.drop("n").join(chosen.select("cls", "copies"), "cls")
+    placed = placed.drop("n")
     tiles = sets.join(F.broadcast(placed) if size.rows <= BROADCAST_IDS // 2 else placed, "cls").withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(bins)))
     done = materialise(tiles.groupBy("bin").applyInArrow(lambda t: _tiles(t, percent), "a long, b long, links long"))
     linked_to = done.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))

@@ -1,5 +1,6 @@
 """N-gram Jaccard join against all pairs by brute force, with small blocks, and edge cases."""
 
+import itertools
 import random
 import re
 
@@ -172,3 +173,36 @@ def test_texts_without_partners_leave_no_ngrams(spark, monkeypatch, tmp_path):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(100))) for i in range(200)]
     assert nj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 200
     assert not [d for d in seen if any(t.startswith("array") for _, t in d.dtypes) and d.count()]
+
+
+def test_classes_without_the_common_ngram_make_blocks_together(spark):
+    for g in (200, 800):
+        # most have n-gram 0; each of the others has one of its own, which three of these have too
+        held = {i: {0, 1000 + i % (g // 4)} if i < g * 3 // 4 else {1000 + i - g * 3 // 4} for i in range(g)}
+        m = {x: sum(x in h for h in held.values()) for x in set().union(*held.values())}
+        groups = spark.createDataFrame([(i, 0) for i in held], "node long, root long")
+        chosen = spark.createDataFrame([(i, 100 + i % 3, 1) for i in held], "cls long, n long, copies long")
+        prefix = spark.createDataFrame([(i, x, m[x]) for i, h in held.items() for x in h], "cls long, gram long, m long")
+        rows = nj.placements(groups, chosen, prefix, 85, g - 1).collect()
+        assert len(rows) < 8 * g, len(rows) / g  # before, the block of those that have it went to each of the others
+        tiles, met = {}, {}
+        for r in rows:
+            tiles.setdefault(r.tile, ([], []))[r.side].append(r.cls)
+        for left, right in tiles.values():
+            for pair in itertools.product(left, right) if right else itertools.combinations(left, 2):
+                met[frozenset(pair)] = met.get(frozenset(pair), 0) + 1
+        assert set(met.values()) == {1}
+        assert all(frozenset(p) in met for p in itertools.combinations(held, 2) if held[p[0]] & held[p[1]])
+
+
+def test_counts_of_bins_come_back_as_lists(spark):
+    rows = corpus(9, groups=8)
+    for times in (1, 4):
+        texts = spark.createDataFrame([(f"{t or ''} tail{k}",) for _, t in rows for k in range(times)], "text string").repartition(3)
+        old = nj._dealt(texts, 4, 1, 9).groupBy("bin").applyInArrow(nj._held, "cls long, held long")
+        lists = nj._dealt(texts, 4, 1, 9).groupBy("bin").applyInArrow(lambda t: nj._held_lists(t, 2), "share long, cls array<long>, held array<int>")
+        assert lists.count() <= 9 * 2 < old.count()
+        got = nj._held_by_class(texts, 4, 1, 9, 2).collect()
+        assert len({r.cls for r in got}) == len(got)
+        assert sorted(map(tuple, got)) == sorted(map(tuple, old.groupBy("cls").sum("held").collect()))
+    assert nj._held_by_class(texts.limit(0), 4, 1, 1, 1).count() == 0
