@@ -5,7 +5,8 @@ follow from set sizes discard classes and pairs before any product: a class with
 its size lets it miss has no partner, and partners share an n-gram among the rarest of each, its prefix. N-grams are
 counted for the first bound by parts, the second part for what the first has left, and go to their bins in lists, see
 `_dealt`; they are not written between. Classes that prefix n-grams connect make a group. A small group is one block, multiplied with itself. In a larger one the classes
-with the same prefix n-gram and about the same size make blocks, bound in classes and in n-grams, and only blocks
+with the same prefix n-gram and about the same size make blocks, bound in classes and in n-grams, the few that lack
+the n-gram of most others make blocks together, and only blocks
 that share a prefix n-gram and whose sizes allow a link meet: a long chain of groups costs in proportion to its
 length. Each tile, a pair of blocks, accumulates overlap counts by matrix products, drops pairs outside the bounds
 of their sizes, and returns counts of links and a spanning forest.
